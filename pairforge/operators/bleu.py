@@ -25,19 +25,12 @@ def _group(df: DataFrame, group_cols: Sequence[str], rollup: bool):
     return df.rollup(*group_cols) if rollup else df.groupBy(*group_cols)
 
 
-def passthrough(stats: DataFrame) -> list[str]:
-    """Columns of a stats frame that are not n-gram counts."""
-    return [c for c in stats.columns if c != "ref_lens" and not re.fullmatch(r"w?r?m\d+", c)]
-
+STAT_COLS = re.compile(r"(w?r?m|rden|rposs|wden)\d+|ref_min|ref_closest|n_refs")
 
-def min_ref_len(ref_lens: Column) -> Column:
-    return F.coalesce(F.array_min(ref_lens), F.lit(0))
 
-
-def closest_ref_len(ref_lens: Column, hyp_len: Column) -> Column:
-    """Reference length closest to the hypothesis length, ties to the shorter one."""
-    best = F.array_min(F.transform(ref_lens, lambda r: F.struct(F.abs(r - hyp_len).alias("d"), r.alias("r"))))
-    return F.coalesce(best["r"], F.lit(0))
+def passthrough(stats: DataFrame) -> list[str]:
+    """Columns of a stats frame that are not n-gram statistics."""
+    return [c for c in stats.columns if not STAT_COLS.fullmatch(c)]
 
 
 # ---------------------------------------------------------------- D3
@@ -49,7 +42,7 @@ def corpus_bleu(stats: DataFrame, group_cols: Sequence[str] = (), max_n: int = 4
     """
     aggs = [F.count(F.lit(1)).alias("n_pairs"),
             F.sum("hyp_len").alias("_tl"),
-            F.sum(min_ref_len(F.col("ref_lens"))).alias("_rl")]
+            F.sum("ref_min").alias("_rl")]
     for n in range(1, max_n + 1):
         aggs += [F.sum(f"m{n}").alias(f"_m{n}"), F.sum(possible(F.col("hyp_len"), n)).alias(f"_p{n}")]
     g = _group(stats, group_cols, rollup).agg(*aggs)
@@ -80,7 +73,7 @@ def sentence_smooth_bleu(stats: DataFrame, max_n: int = 4, smooth: bool = True)
         add = 1.0 if (smooth and n > 1) else 0.0
         log_terms.append(F.log(correct + add + FLOAT_MIN) - F.log(guess + add + FLOAT_MIN))
         ps.append(F.when(guess == 0, F.lit(0.0)).otherwise(F.exp(F.log(correct + FLOAT_MIN) - F.log(guess))).alias(f"p{n}"))
-    reflen = min_ref_len(F.col("ref_lens"))
+    reflen = F.col("ref_min")
     brev = F.least(F.lit(0.0), 1.0 - (reflen + 1.0) / (F.col("hyp_len") + 1.0))
     bleu = F.exp(sum(log_terms) / max_n + brev)
     return stats.select(*passthrough(stats), bleu.alias("bleu"), *ps)
@@ -121,19 +114,24 @@ def _smooth(method: int, nums: list[Column], dens: list[Column], hyp_total: Colu
 
 
 def ngram_match(stats: DataFrame, group_cols: Sequence[str] = (), weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25),
-                smoothing: int = 1, auto_reweigh: bool = False, rollup: bool = False) -> DataFrame:
+                smoothing: int | Sequence[int] = 1, auto_reweigh: bool = False, rollup: bool = False) -> DataFrame:
     """Corpus BLEU as in CodeBLEU's n-gram match (micro-averaged modified precision).
 
     Denominator per pair and order is max(1, #hyp grams); closest reference length
     (ties to the shorter); bp = 1 if hyp > ref, 0 if hyp == 0, else exp(1 - ref/hyp).
+    ``smoothing`` may list several methods (D7): one ``score_m{k}`` column each,
+    all from the same single aggregation.
     """
     max_n = len(weights)
     aggs = [F.count(F.lit(1)).alias("n_pairs"), F.sum("hyp_len").alias("_h"),
-            F.sum(closest_ref_len(F.col("ref_lens"), F.col("hyp_len"))).alias("_r")]
+            F.sum("ref_closest").alias("_r")]
     for n in range(1, max_n + 1):
         aggs += [F.sum(f"m{n}").alias(f"_n{n}"), F.sum(F.greatest(F.lit(1), possible(F.col("hyp_len"), n))).alias(f"_d{n}")]
     g = _group(stats, group_cols, rollup).agg(*aggs)
-    return g.select(*group_cols, "n_pairs", _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh).alias("score"))
+    if isinstance(smoothing, int):
+        return g.select(*group_cols, "n_pairs", _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh).alias("score"))
+    return g.select(*group_cols, "n_pairs",
+                    *[_bleu_from_sums(g, max_n, weights, m, auto_reweigh).alias(f"score_m{m}") for m in smoothing])
 
 
 def _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh, num_prefix="_n", den_prefix="_d"):
@@ -157,42 +155,27 @@ def weighted_ngram_match(stats: DataFrame, group_cols: Sequence[str] = (), weigh
                          compat_bp: bool = True, rollup: bool = False) -> DataFrame:
     """Keyword-weighted n-gram **recall** (CodeBLEU part 2), smoothing method 1.
 
-    Needs stats built with ``keywords=`` (column ``wrm1``) and the extra column
-    ``wden1`` (sum over references of max(1, weighted unigram total)).
+    Needs stats built with ``keywords=`` (columns ``wrm1`` and ``wden1``).
     ``compat_bp`` reproduces the reference: the "reference length" in the brevity
     penalty is 2 per pair.
     """
     max_n = len(weights)
-    ref_len = F.lit(2) if compat_bp else closest_ref_len(F.col("ref_lens"), F.col("hyp_len"))
+    ref_len = F.lit(2) if compat_bp else F.col("ref_closest")
     aggs = [F.count(F.lit(1)).alias("n_pairs"), F.sum("hyp_len").alias("_h"), F.sum(ref_len).alias("_r"),
             F.sum("wrm1").alias("_n1"), F.sum("wden1").alias("_d1")]
     for n in range(2, max_n + 1):
-        den = F.aggregate(F.col("ref_lens"), F.lit(0).cast("long"), _ref_den(n))
-        aggs += [F.sum(f"rm{n}").alias(f"_n{n}"), F.sum(den).alias(f"_d{n}")]
+        aggs += [F.sum(f"rm{n}").alias(f"_n{n}"), F.sum(f"rden{n}").alias(f"_d{n}")]
     g = _group(stats, group_cols, rollup).agg(*aggs)
     return g.select(*group_cols, "n_pairs", _bleu_from_sums(g, max_n, weights, 1, False).alias("score"))
 
 
-def _ref_den(n):
-    return lambda a, x: a + F.greatest(F.lit(1), possible(x, n))
-
-
-def weighted_ref_den(refs: Column, keywords: Sequence[str]) -> Column:
-    """Sum over references of max(1, sum of unigram weights): D6's order-1 denominator."""
-    kw = F.array(*[F.lit(k) for k in keywords])
-    return F.aggregate(
-        refs, F.lit(0.0),
-        lambda a, r: a + F.greatest(F.lit(1.0), F.aggregate(r, F.lit(0.0), lambda b, t: b + F.when(F.array_contains(kw, t), 1.0).otherwise(0.2))),
-    )
-
-
 # ---------------------------------------------------------------- D8
 def sentence_bleu(stats: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25), smoothing: int = 1,
                   auto_reweigh: bool = False) -> DataFrame:
     """D5 on each pair separately (one score per pair)."""
     max_n = len(weights)
     cols = passthrough(stats)
-    s = stats.select(*cols, F.col("hyp_len").alias("_h"), closest_ref_len(F.col("ref_lens"), F.col("hyp_len")).alias("_r"),
+    s = stats.select(*cols, F.col("hyp_len").alias("_h"), F.col("ref_closest").alias("_r"),
                      *[F.col(f"m{n}").alias(f"_n{n}") for n in range(1, max_n + 1)],
                      *[F.greatest(F.lit(1), possible(F.col("hyp_len"), n)).alias(f"_d{n}") for n in range(1, max_n + 1)])
     return s.select(*cols, _bleu_from_sums(s, max_n, weights, smoothing, auto_reweigh).alias("score"))

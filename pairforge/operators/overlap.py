@@ -1,18 +1,33 @@
 """Clipped n-gram overlap between a hypothesis and its references.
 
-One pass produces every sufficient statistic the BLEU/ROUGE/F1 family needs:
-
-* ``m{n}``  - sum over hypothesis grams of min(count, max count in any reference)
-              (``Counter & (|= refs)``: BLEU's clipped matches)
-* ``rm{n}`` - sum over references of sum over grams of min(ref count, hyp count)
-              (per-reference intersection: ROUGE / weighted recall numerators)
-* ``wrm1``  - ``rm1`` with each unigram weighted (keyword weight), when asked.
-
-Plan shape: the pairs are hash-partitioned on the pair key once (a no-op when
-they come out of a join on that key), grams of both sides are exploded from one
-array, and three hash aggregates keyed by (pair, ...) run inside that same stage:
-no gram ever crosses the network.  Per-pair work is bounded by the pair's own
-text length, and pair keys are unique, so there is no hot key.
+One pass produces every sufficient statistic the BLEU/ROUGE/F1 family needs.
+Per pair (``key``):
+
+* ``hyp_len``      hypothesis length
+* ``ref_min``      shortest reference length
+* ``ref_closest``  reference length closest to ``hyp_len`` (ties to the shorter)
+* ``n_refs``       number of references
+* ``m{n}``         sum over hypothesis grams of min(count, max count in any reference)
+                   (``Counter & (|= refs)``: BLEU's clipped matches)
+* ``rm{n}``        sum over references of sum over grams of min(ref count, hyp count)
+                   (per-reference intersection: ROUGE / weighted recall numerators)
+* ``rden{n}``      sum over references of max(1, #grams of order n)
+* ``wrm1, wden1``  keyword-weighted ``rm1`` and its denominator (when ``keywords``)
+
+Two physical shapes:
+
+``ngram_stats`` (references in an array column, the common case of a fixed
+number of reference files).  Pairs are hash-partitioned on the key once (a
+no-op when they come out of a join on that key), the grams of both sides are
+exploded from one array and three hash aggregates keyed by (key, ...) run in
+that same stage: no gram crosses the network.  Per-pair work is bounded by the
+pair's own text and pair keys are unique.
+
+``ngram_stats_long`` (references as rows, e.g. a gold file whose ids repeat).
+A key may carry any number of references, so nothing is gathered per key:
+grams are counted per (key, n, gram, ref) with map-side partial aggregation,
+reference counts are joined to the hypothesis count of the same gram, then
+reduced per (key, n, gram) and per key.
 """
 from __future__ import annotations
 
@@ -24,11 +39,39 @@ from pyspark.sql import functions as F
 from pairforge.functions.ngrams import tagged_grams
 
 
+def possible(length: Column, n: int) -> Column:
+    """Number of n-grams in a sequence of ``length`` tokens: max(len - n + 1, 0)."""
+    return F.greatest(length - n + 1, F.lit(0))
+
+
 def keyword_weight(token: Column, keywords: Sequence[str], hit: float = 1.0, miss: float = 0.2) -> Column:
     """1 for a language keyword, 0.2 otherwise."""
     return F.when(token.isin(list(keywords)), F.lit(hit)).otherwise(F.lit(miss))
 
 
+def weighted_total(tokens: Column, keywords: Sequence[str]) -> Column:
+    """Sum of keyword weights over a token array."""
+    kw = F.array(*[F.lit(k) for k in keywords])
+    return F.aggregate(tokens, F.lit(0.0), lambda b, t: b + F.when(F.array_contains(kw, t), 1.0).otherwise(0.2))
+
+
+def _count_cols(max_n: int, keywords) -> list[str]:
+    cols = [f"m{n}" for n in range(1, max_n + 1)] + [f"rm{n}" for n in range(1, max_n + 1)]
+    return cols + (["wrm1"] if keywords is not None else [])
+
+
+def _gram_aggs(max_n: int, keywords) -> list[Column]:
+    aggs = []
+    for n in range(1, max_n + 1):
+        aggs.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("clip"))), F.lit(0)).cast("long").alias(f"m{n}"))
+    for n in range(1, max_n + 1):
+        aggs.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("rmin"))), F.lit(0)).cast("long").alias(f"rm{n}"))
+    if keywords is not None:
+        aggs.append(F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("rmin") * keyword_weight(F.col("g"), keywords))),
+                               F.lit(0.0)).alias("wrm1"))
+    return aggs
+
+
 def ngram_stats(
     pairs: DataFrame,
     key: str = "pair_id",
@@ -39,51 +82,116 @@ def ngram_stats(
     keywords: Sequence[str] | None = None,
     partition: bool = True,
 ) -> DataFrame:
-    """Per-pair sufficient statistics.
-
-    ``hyp`` is ``array<string>``; ``refs`` is ``array<array<string>>`` (one or
-    more references).  Output: ``key, *extra, hyp_len, ref_lens, m1..mN,
-    rm1..rmN[, wrm1]``.
-    """
+    """Per-pair statistics; ``hyp`` is ``array<string>``, ``refs`` is ``array<array<string>>``."""
     df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"))
     if partition:
         df = df.repartition(key)
+    hl = F.size("_hyp")
+    lens = F.transform("_refs", lambda r: F.size(r))
+    closest = F.array_min(F.transform(lens, lambda r: F.struct(F.abs(r - hl).alias("d"), r.alias("r"))))["r"]
+    meta_fields = [F.col(c) for c in extra] + [
+        hl.alias("hyp_len"),
+        F.coalesce(F.array_min(lens), F.lit(0)).alias("ref_min"),
+        F.coalesce(closest, F.lit(0)).alias("ref_closest"),
+        F.size("_refs").alias("n_refs"),
+    ]
+    for n in range(1, max_n + 1):
+        meta_fields.append(F.aggregate(lens, F.lit(0).cast("long"), _den(n)).alias(f"rden{n}"))
+    for n in range(1, max_n + 1):
+        meta_fields.append(F.aggregate(lens, F.lit(0).cast("long"), _poss(n)).alias(f"rposs{n}"))
+    if keywords is not None:
+        meta_fields.append(F.aggregate("_refs", F.lit(0.0),
+                                       lambda a, r: a + F.greatest(F.lit(1.0), weighted_total(r, keywords))).alias("wden1"))
     grams = F.concat(
         tagged_grams(F.col("_hyp"), max_n, -1),
         F.flatten(F.transform(F.col("_refs"), lambda r, k: tagged_grams(r, max_n, k))),
     )
-    meta = F.struct(*[F.col(c) for c in extra],
-                    F.size("_hyp").alias("hyp_len"),
-                    F.transform("_refs", lambda r: F.size(r)).alias("ref_lens"))
-    ex = df.select(key, meta.alias("_meta"), F.explode_outer(grams).alias("_x"))
+    # per-pair values are computed once, before the explode (a projection above
+    # the generator would re-evaluate them for every gram)
+    pre = df.select(key, F.struct(*meta_fields).alias("_meta"), grams.alias("_grams"))
+    ex = pre.select(key, "_meta", F.explode_outer("_grams").alias("_x"))
     lvl1 = ex.groupBy(key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), F.col("_x.k").alias("k")).agg(
-        F.count("_x.g").alias("c"), F.first("_meta").alias("_meta")
-    )
-    lvl2 = lvl1.groupBy(key, "n", "g").agg(
-        F.coalesce(F.max(F.when(F.col("k") < 0, F.col("c"))), F.lit(0)).alias("hc"),
-        F.collect_list(F.when(F.col("k") >= 0, F.col("c"))).alias("rc"),
-        F.first("_meta").alias("_meta"),
-    )
-    lvl2 = lvl2.select(
-        key, "n", "g", "_meta",
+        F.count("_x.g").alias("c"), F.first("_meta").alias("_meta"))
+    lvl2 = _reduce_refs(lvl1.groupBy(key, "n", "g"), key, carry=True)
+    out = lvl2.groupBy(key).agg(F.first("_meta").alias("_meta"), *_gram_aggs(max_n, keywords))
+    meta_names = list(extra) + ["hyp_len", "ref_min", "ref_closest", "n_refs"] + [f"rden{n}" for n in range(1, max_n + 1)] + \
+        [f"rposs{n}" for n in range(1, max_n + 1)] + \
+        (["wden1"] if keywords is not None else [])
+    return out.select(key, *[F.col("_meta")[c].alias(c) for c in meta_names], *_count_cols(max_n, keywords))
+
+
+def _den(n):
+    return lambda a, x: a + F.greatest(F.lit(1), possible(x, n))
+
+
+def _poss(n):
+    return lambda a, x: a + possible(x, n)
+
+
+def _reduce_refs(grouped, key, carry: bool):
+    # references per pair are an array column here, so a gram's list is bounded by it
+    aggs = [F.coalesce(F.max(F.when(F.col("k") < 0, F.col("c"))), F.lit(0)).alias("hc"),
+            F.collect_list(F.when(F.col("k") >= 0, F.col("c"))).alias("rc")]
+    if carry:
+        aggs.append(F.first("_meta").alias("_meta"))
+    lvl2 = grouped.agg(*aggs)
+    keep = [key, "n", "g"] + (["_meta"] if carry else [])
+    return lvl2.select(
+        *keep,
         F.least(F.col("hc"), F.coalesce(F.array_max("rc"), F.lit(0))).alias("clip"),
         F.aggregate("rc", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("hc"))).alias("rmin"),
     )
-    aggs = []
-    for n in range(1, max_n + 1):
-        aggs.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("clip"))), F.lit(0)).cast("long").alias(f"m{n}"))
-    for n in range(1, max_n + 1):
-        aggs.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("rmin"))), F.lit(0)).cast("long").alias(f"rm{n}"))
-    if keywords is not None:
-        aggs.append(
-            F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("rmin") * keyword_weight(F.col("g"), keywords))), F.lit(0.0)).alias("wrm1")
-        )
-    out = lvl2.groupBy(key).agg(F.first("_meta").alias("_meta"), *aggs)
-    cols = [key] + [F.col("_meta")[c].alias(c) for c in extra] + [F.col("_meta.hyp_len").alias("hyp_len"), F.col("_meta.ref_lens").alias("ref_lens")]
-    rest = [f"m{n}" for n in range(1, max_n + 1)] + [f"rm{n}" for n in range(1, max_n + 1)] + (["wrm1"] if keywords is not None else [])
-    return out.select(*cols, *rest)
 
 
-def possible(length: Column, n: int) -> Column:
-    """Number of n-grams in a sequence of ``length`` tokens: max(len - n + 1, 0)."""
-    return F.greatest(length - n + 1, F.lit(0))
+def ngram_stats_long(
+    hyps: DataFrame,
+    refs: DataFrame,
+    key: str = "pair_id",
+    hyp: str = "hyp",
+    ref: str = "ref",
+    ref_id: str = "ref_id",
+    max_n: int = 4,
+    keywords: Sequence[str] | None = None,
+) -> DataFrame:
+    """Per-pair statistics with references as rows ``(key, ref_id, ref tokens)``.
+
+    ``hyps`` has one row per key.  Keys without references get zero counts.
+    Nothing is gathered per key, so a key with millions of references is split
+    across tasks like any other data.
+    """
+    h = hyps.select(key, F.col(hyp).alias("_t"))
+    r = refs.select(key, F.col(ref_id).cast("int").alias("_k"), F.col(ref).alias("_t"))
+    hg = h.select(key, F.explode(tagged_grams(F.col("_t"), max_n, -1)).alias("_x"))
+    rg = r.select(key, F.explode(tagged_grams(F.col("_t"), max_n, F.col("_k"))).alias("_x"))
+    grams = hg.unionByName(rg)
+    lvl1 = grams.groupBy(key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), F.col("_x.k").alias("k")).agg(
+        F.count(F.lit(1)).alias("c"))
+    # Hypothesis counts are unique per (key, n, gram); each reference's count is
+    # joined to them instead of gathering a gram's references into one list.  A
+    # gram shared by very many references of one key is a skewed join key that
+    # AQE's skew-join splits.
+    hc = lvl1.filter(F.col("k") < 0).select(key, "n", "g", F.col("c").alias("hc"))
+    rc = lvl1.filter(F.col("k") >= 0).select(key, "n", "g", "c")
+    j = rc.join(hc, [key, "n", "g"])
+    per_gram = j.groupBy(key, "n", "g").agg(
+        F.least(F.max("hc"), F.max("c")).alias("clip"), F.sum(F.least(F.col("c"), F.col("hc"))).alias("rmin"))
+    counts = per_gram.groupBy(key).agg(*_gram_aggs(max_n, keywords))
+
+    hl = h.select(key, F.size("_t").alias("hyp_len"))
+    rl = r.select(key, F.size("_t").alias("_l"), *([weighted_total(F.col("_t"), keywords).alias("_w")] if keywords is not None else []))
+    rl = rl.join(hl, key)
+    ref_aggs = [F.min("_l").alias("ref_min"),
+                F.min(F.struct(F.abs(F.col("_l") - F.col("hyp_len")).alias("d"), F.col("_l").alias("r")))["r"].alias("ref_closest"),
+                F.count(F.lit(1)).alias("n_refs")]
+    ref_aggs += [F.sum(F.greatest(F.lit(1), possible(F.col("_l"), n))).alias(f"rden{n}") for n in range(1, max_n + 1)]
+    ref_aggs += [F.sum(possible(F.col("_l"), n)).alias(f"rposs{n}") for n in range(1, max_n + 1)]
+    if keywords is not None:
+        ref_aggs.append(F.sum(F.greatest(F.lit(1.0), F.col("_w"))).alias("wden1"))
+    ragg = rl.groupBy(key).agg(*ref_aggs)
+
+    out = hl.join(ragg, key, "left").join(counts, key, "left")
+    fill = {c: 0 for c in ["ref_min", "ref_closest", "n_refs"] + [f"rden{n}" for n in range(1, max_n + 1)]
+            + [f"rposs{n}" for n in range(1, max_n + 1)] + _count_cols(max_n, None)}
+    if keywords is not None:
+        fill.update({"wden1": 0.0, "wrm1": 0.0})
+    return out.fillna(fill)

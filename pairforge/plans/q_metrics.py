@@ -10,6 +10,7 @@ from pairforge.operators.overlap import ngram_stats
 from pairforge.plans import oracle as O
 from pairforge.plans.catalog import query
 from pairforge.plans.pairs import doc_pairs, turn_pairs
+from pairforge.functions.keywords import JAVA
 
 R6 = 6  # decimals kept in float outputs of registered queries
 
@@ -31,3 +32,115 @@ def corpus_bleu_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed corpus BLEU (x100) of document k+1 against document k, per language and in total."""
     out = B.corpus_bleu(doc_bleu_stats(spark, sf_dir), ["lang"], smooth=True, rollup=True)
     return out.select("lang", "n_pairs", F.round("bleu", R6).alias("bleu"))
+
+
+def _r(df: DataFrame, keep: list[str], floats: list[str]) -> DataFrame:
+    return df.select(*keep, *[F.round(c, R6).alias(c) for c in floats])
+
+
+def nist_tokens(c):
+    """Tokenisation of the smoothed sentence BLEU: strip, lower, split punctuation, NIST normalise."""
+    return T.nist_normalize(T.split_puncts(F.lower(T.py_strip(c))))
+
+
+# ------------------------------------------------------------------ D4 on turn pairs
+_SQL_SMOOTH_TURNS = f"""WITH {O.TURN_PAIRS},
+{O.ngram_stats('turn_pairs', O.nist_normalize(O.split_puncts('lower(' + O.strip('pred') + ')')),
+               O.nist_normalize(O.split_puncts('lower(' + O.strip('gold') + ')')))}
+{O.smooth_bleu_select('stats')}"""
+
+
+@query("smooth_bleu_turns", "H2 H3 H4 D4", _SQL_SMOOTH_TURNS)
+def smooth_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed sentence BLEU (macro mean x100, plus p1..p4) of assistant turn t+1 vs user turn t."""
+    p = turn_pairs(spark, sf_dir).select("pair_id", nist_tokens(F.col("pred")).alias("hyp"),
+                                         F.array(nist_tokens(F.col("gold"))).alias("refs"))
+    out = B.smooth_bleu_corpus(ngram_stats(p))
+    return _r(out, ["n_pairs"], ["bleu", "p1", "p2", "p3", "p4"])
+
+
+# ------------------------------------------------------------------ A11 + G2 + C3 + D4 (multi-reference)
+_SQL_SMOOTH_CONV = f"""WITH conv_pred AS (
+  SELECT conv_id AS pair_id, max_by(text, turn) AS pred FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+conv_gold AS (
+  SELECT conv_id AS pair_id, turn, text AS gold FROM conversations WHERE role = 'user'),
+conv_h AS (SELECT * FROM conv_pred WHERE pair_id IN (SELECT pair_id FROM conv_gold)),
+{O.ngram_stats('conv_h', O.nist_normalize(O.split_puncts('lower(' + O.strip('pred') + ')')),
+               O.nist_normalize(O.split_puncts('lower(' + O.strip('gold') + ')')), ref_src='conv_gold', ref_id='turn')}
+{O.smooth_bleu_select('stats')}"""
+
+
+@query("smooth_bleu_conversations", "A11 C3 G2 D4", _SQL_SMOOTH_CONV)
+def smooth_bleu_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction/gold maps keyed by conversation: the last assistant turn is the
+    prediction (last one per id wins) and every user turn of the id is a reference."""
+    from pairforge.sources.tables import table
+    from pairforge.operators.overlap import ngram_stats_long
+    c = table(spark, sf_dir, "conversations")
+    pred = c.filter(F.col("role") == "assistant").groupBy(F.col("conv_id").alias("pair_id")).agg(
+        F.max_by("text", "turn").alias("pred"))
+    gold = c.filter(F.col("role") == "user").select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("ref_id"),
+                                                    nist_tokens(F.col("text")).alias("ref"))
+    hyps = pred.join(gold.select("pair_id").distinct(), "pair_id", "left_semi").select(
+        "pair_id", nist_tokens(F.col("pred")).alias("hyp"))
+    out = B.smooth_bleu_corpus(ngram_stats_long(hyps, gold))
+    return _r(out, ["n_pairs"], ["bleu", "p1", "p2", "p3", "p4"])
+
+
+# ------------------------------------------------------------------ D5 + D7
+_SQL_NGRAM_MATCH = f"""WITH {O.DOC_PAIRS},
+{O.ngram_stats('doc_pairs', O.split('pred'), O.split('gold'), extra=('lang',))}
+{O.ngram_match_select('stats', 'lang', rollup=True)}"""
+
+
+@query("ngram_match_by_lang", "D5", _SQL_NGRAM_MATCH)
+def ngram_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CodeBLEU n-gram match (smoothing method 1) per language and in total."""
+    out = B.ngram_match(doc_bleu_stats(spark, sf_dir), ["lang"], rollup=True)
+    return _r(out, ["lang", "n_pairs"], ["score"])
+
+
+_SQL_SMOOTHING = f"""WITH {O.TURN_PAIRS},
+{O.ngram_stats('turn_pairs', O.split('pred'), O.split('gold'))}
+{O.ngram_match_select('stats', None, methods=(0, 1, 2, 3, 4), names=tuple(f'score_m{m}' for m in range(5)))}"""
+
+
+@query("bleu_smoothing_methods", "D7", _SQL_SMOOTHING)
+def bleu_smoothing_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus n-gram match of turn pairs under smoothing methods 0-4 (one aggregation)."""
+    p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
+                                         F.array(T.py_split(F.col("gold"))).alias("refs"))
+    out = B.ngram_match(ngram_stats(p), smoothing=[0, 1, 2, 3, 4])
+    return _r(out, ["n_pairs"], [f"score_m{m}" for m in range(5)])
+
+
+# ------------------------------------------------------------------ D6
+_SQL_WEIGHTED = f"""WITH {O.DOC_PAIRS},
+{O.ngram_stats('doc_pairs', O.split('pred'), O.split('gold'), extra=('lang',), keywords=JAVA)}
+{O.weighted_match_select('stats', 'lang', rollup=True)}"""
+
+
+@query("weighted_ngram_match_by_lang", "H25 D6", _SQL_WEIGHTED)
+def weighted_ngram_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-weighted n-gram recall (Java keyword list) per language and in total."""
+    p = doc_pairs(spark, sf_dir).select(
+        "pair_id", "lang", T.py_split(F.col("pred")).alias("hyp"), F.array(T.py_split(F.col("gold"))).alias("refs"))
+    out = B.weighted_ngram_match(ngram_stats(p, extra=["lang"], keywords=JAVA), ["lang"], rollup=True)
+    return _r(out, ["lang", "n_pairs"], ["score"])
+
+
+# ------------------------------------------------------------------ D8
+_SQL_SENTENCE = f"""WITH {O.TURN_PAIRS},
+{O.ngram_stats('turn_pairs', O.split('pred'), O.split('gold'))}
+SELECT pair_id, hyp_len, round({O.bleu_from_sums([f'm{n}::DOUBLE' for n in range(1, 5)],
+                               [f'greatest(1, {O.possible("hyp_len", n)})::DOUBLE' for n in range(1, 5)],
+                               'hyp_len', 'ref_closest', 1)}, 6) AS score FROM stats"""
+
+
+@query("sentence_bleu_turns", "D8", _SQL_SENTENCE)
+def sentence_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence-level n-gram match (method 1) of every turn pair."""
+    p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
+                                         F.array(T.py_split(F.col("gold"))).alias("refs"))
+    out = B.sentence_bleu(ngram_stats(p))
+    return _r(out, ["pair_id", "hyp_len"], ["score"])
