@@ -10,10 +10,14 @@ SEP = " "
 
 
 def ngram_array(tokens: Column, n: int) -> Column:
-    """Sliding n-grams of ``tokens`` as space-joined strings; empty when too short."""
+    """Sliding n-grams of ``tokens`` as space-joined strings; empty when too short.
+
+    Elements are read by index (O(1)); ``slice`` inside a lambda runs in
+    interpreted mode and copies the whole array per call, which is quadratic.
+    """
     return F.when(
         F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), SEP)),
+        F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws(SEP, *[tokens[i + j] for j in range(n)])),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -31,7 +35,7 @@ def padded(tokens: Column, n: int, pad_left: bool = False, pad_right: bool = Fal
 def ngram_tuples(tokens: Column, n: int, **pad) -> Column:
     """``ngrams``: array of n-element token arrays (optionally padded)."""
     t = padded(tokens, n, **pad)
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))).otherwise(
+    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array(*[t[i + j] for j in range(n)]))).otherwise(
         F.array().cast("array<array<string>>")
     )
 

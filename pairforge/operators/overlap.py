@@ -81,8 +81,13 @@ def ngram_stats(
     extra: Sequence[str] = (),
     keywords: Sequence[str] | None = None,
     partition: bool = True,
+    single_ref: bool = False,
 ) -> DataFrame:
-    """Per-pair statistics; ``hyp`` is ``array<string>``, ``refs`` is ``array<array<string>>``."""
+    """Per-pair statistics; ``hyp`` is ``array<string>``, ``refs`` is ``array<array<string>>``.
+
+    ``single_ref=True`` (every pair has exactly one reference) skips the
+    per-reference level and counts both sides in one hash aggregate.
+    """
     df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"))
     if partition:
         df = df.repartition(key)
@@ -106,18 +111,31 @@ def ngram_stats(
         tagged_grams(F.col("_hyp"), max_n, -1),
         F.flatten(F.transform(F.col("_refs"), lambda r, k: tagged_grams(r, max_n, k))),
     )
-    # per-pair values are computed once, before the explode (a projection above
-    # the generator would re-evaluate them for every gram)
-    pre = df.select(key, F.struct(*meta_fields).alias("_meta"), grams.alias("_grams"))
-    ex = pre.select(key, "_meta", F.explode_outer("_grams").alias("_x"))
-    lvl1 = ex.groupBy(key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), F.col("_x.k").alias("k")).agg(
-        F.count("_x.g").alias("c"), F.first("_meta").alias("_meta"))
-    lvl2 = _reduce_refs(lvl1.groupBy(key, "n", "g"), key, carry=True)
-    out = lvl2.groupBy(key).agg(F.first("_meta").alias("_meta"), *_gram_aggs(max_n, keywords))
+    # The generator takes the gram expression itself: exploding a column that a
+    # projection below computed made the generated code re-run that projection
+    # per output element.  Per-pair values live in their own projection and are
+    # joined back by key at the end.
+    ex = df.select(key, F.explode(grams).alias("_x")).select(
+        key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), F.col("_x.k").alias("k"))
+    if single_ref:
+        # one reference per pair: a single hash aggregate per (pair, n, gram)
+        per_gram = ex.groupBy(key, "n", "g").agg(
+            F.count_if(F.col("k") < 0).alias("hc"), F.count_if(F.col("k") >= 0).alias("rc")).select(
+            key, "n", "g", F.least("hc", "rc").alias("clip"), F.least("hc", "rc").alias("rmin"))
+    else:
+        lvl1 = ex.groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
+        per_gram = _reduce_refs(lvl1.groupBy(key, "n", "g"), key)
+    counts = per_gram.groupBy(key).agg(*_gram_aggs(max_n, keywords))
     meta_names = list(extra) + ["hyp_len", "ref_min", "ref_closest", "n_refs"] + [f"rden{n}" for n in range(1, max_n + 1)] + \
         [f"rposs{n}" for n in range(1, max_n + 1)] + \
         (["wden1"] if keywords is not None else [])
-    return out.select(key, *[F.col("_meta")[c].alias(c) for c in meta_names], *_count_cols(max_n, keywords))
+    # both sides stay hash-partitioned on the key: the join adds no exchange
+    meta = df.select(key, F.struct(*meta_fields).alias("_meta")).select(key, *[F.col("_meta")[c].alias(c) for c in meta_names])
+    out = meta.join(counts, key, "left")
+    zeros = {c: 0 for c in _count_cols(max_n, None)}
+    if keywords is not None:
+        zeros["wrm1"] = 0.0
+    return out.fillna(zeros).select(key, *meta_names, *_count_cols(max_n, keywords))
 
 
 def _den(n):
@@ -128,16 +146,13 @@ def _poss(n):
     return lambda a, x: a + possible(x, n)
 
 
-def _reduce_refs(grouped, key, carry: bool):
+def _reduce_refs(grouped, key):
     # references per pair are an array column here, so a gram's list is bounded by it
     aggs = [F.coalesce(F.max(F.when(F.col("k") < 0, F.col("c"))), F.lit(0)).alias("hc"),
             F.collect_list(F.when(F.col("k") >= 0, F.col("c"))).alias("rc")]
-    if carry:
-        aggs.append(F.first("_meta").alias("_meta"))
     lvl2 = grouped.agg(*aggs)
-    keep = [key, "n", "g"] + (["_meta"] if carry else [])
     return lvl2.select(
-        *keep,
+        key, "n", "g",
         F.least(F.col("hc"), F.coalesce(F.array_max("rc"), F.lit(0))).alias("clip"),
         F.aggregate("rc", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("hc"))).alias("rmin"),
     )

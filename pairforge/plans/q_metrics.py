@@ -18,7 +18,7 @@ R6 = 6  # decimals kept in float outputs of registered queries
 def doc_bleu_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = doc_pairs(spark, sf_dir).select(
         "pair_id", "lang", T.py_split(F.col("pred")).alias("hyp"), F.array(T.py_split(F.col("gold"))).alias("refs"))
-    return ngram_stats(p, extra=["lang"])
+    return ngram_stats(p, extra=["lang"], single_ref=True)
 
 
 # ------------------------------------------------------------------ D3 (flagship)
@@ -55,7 +55,7 @@ def smooth_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed sentence BLEU (macro mean x100, plus p1..p4) of assistant turn t+1 vs user turn t."""
     p = turn_pairs(spark, sf_dir).select("pair_id", nist_tokens(F.col("pred")).alias("hyp"),
                                          F.array(nist_tokens(F.col("gold"))).alias("refs"))
-    out = B.smooth_bleu_corpus(ngram_stats(p))
+    out = B.smooth_bleu_corpus(ngram_stats(p, single_ref=True))
     return _r(out, ["n_pairs"], ["bleu", "p1", "p2", "p3", "p4"])
 
 
@@ -110,7 +110,7 @@ def bleu_smoothing_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus n-gram match of turn pairs under smoothing methods 0-4 (one aggregation)."""
     p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
                                          F.array(T.py_split(F.col("gold"))).alias("refs"))
-    out = B.ngram_match(ngram_stats(p), smoothing=[0, 1, 2, 3, 4])
+    out = B.ngram_match(ngram_stats(p, single_ref=True), smoothing=[0, 1, 2, 3, 4])
     return _r(out, ["n_pairs"], [f"score_m{m}" for m in range(5)])
 
 
@@ -125,7 +125,7 @@ def weighted_ngram_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-weighted n-gram recall (Java keyword list) per language and in total."""
     p = doc_pairs(spark, sf_dir).select(
         "pair_id", "lang", T.py_split(F.col("pred")).alias("hyp"), F.array(T.py_split(F.col("gold"))).alias("refs"))
-    out = B.weighted_ngram_match(ngram_stats(p, extra=["lang"], keywords=JAVA), ["lang"], rollup=True)
+    out = B.weighted_ngram_match(ngram_stats(p, extra=["lang"], keywords=JAVA, single_ref=True), ["lang"], rollup=True)
     return _r(out, ["lang", "n_pairs"], ["score"])
 
 
@@ -142,5 +142,5 @@ def sentence_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-level n-gram match (method 1) of every turn pair."""
     p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
                                          F.array(T.py_split(F.col("gold"))).alias("refs"))
-    out = B.sentence_bleu(ngram_stats(p))
+    out = B.sentence_bleu(ngram_stats(p, single_ref=True))
     return _r(out, ["pair_id", "hyp_len"], ["score"])

@@ -16,7 +16,8 @@ _DEFAULTS = {
 }
 
 
-def get_session(master: str | None = None, app: str = "pairforge", shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(master: str | None = None, app: str = "pairforge", shuffle_partitions: int | None = None,
+                driver_memory: str | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and benches."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -24,6 +25,9 @@ def get_session(master: str | None = None, app: str = "pairforge", shuffle_parti
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if master and master.startswith("local"):
+        # local mode runs every task inside the driver JVM
+        b = b.config("spark.driver.memory", driver_memory or os.environ.get("PAIRFORGE_DRIVER_MEMORY", "16g"))
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
