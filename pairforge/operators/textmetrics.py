@@ -56,32 +56,30 @@ def bag_f1(stats: DataFrame, group_cols: Sequence[str] = (), rollup: bool = Fals
 
 # ---------------------------------------------------------------- D11
 def rouge_n(stats: DataFrame, max_order: int = 2, smooth: bool = False, compat: bool = True,
-            group_cols: Sequence[str] = (), rollup: bool = False) -> DataFrame:
+            group_cols: Sequence[str] = (), rollup: bool = False, both: bool = False) -> DataFrame:
     """ROUGE-N.
 
     ``compat=True`` reproduces the reference: the overlap of **all** orders is
     added to every order slot and the possible count of 0-based order ``o`` is
     ``max(ref_len - o + 1, 0)``, so values can exceed 1.  ``compat=False`` is the
-    usual per-order recall.  Needs ``ngram_stats`` with ``max_n >= max_order``.
+    usual per-order recall.  ``both=True`` returns ``rouge_n_compat`` and
+    ``rouge_n`` from one aggregation.  Needs ``ngram_stats`` with ``max_n >= max_order``.
     """
-    aggs = [F.count(F.lit(1)).alias("n_pairs")]
-    if compat:
-        overlap = sum(F.col(f"rm{n}") for n in range(1, max_order + 1))
-        aggs.append(F.sum(overlap).alias("_ov"))
-        for o in range(max_order):
-            # possible matches use the reference length: rposs{o} = sum over refs of max(len - o + 1, 0)
-            col = (F.col("rposs1") + F.col("n_refs")) if o == 0 else F.col(f"rposs{o}")
-            aggs.append(F.sum(col).alias(f"_p{o}"))
-        g = _group(stats, group_cols, rollup).agg(*aggs)
-        precs = [(F.col("_ov") + 1.0) / (F.col(f"_p{o}") + 1.0) if smooth else
-                 F.when(F.col(f"_p{o}") > 0, F.col("_ov") / F.col(f"_p{o}")).otherwise(F.lit(0.0)) for o in range(max_order)]
-    else:
-        for n in range(1, max_order + 1):
-            aggs += [F.sum(f"rm{n}").alias(f"_m{n}"), F.sum(f"rposs{n}").alias(f"_p{n}")]
-        g = _group(stats, group_cols, rollup).agg(*aggs)
-        precs = [(F.col(f"_m{n}") + 1.0) / (F.col(f"_p{n}") + 1.0) if smooth else
-                 F.when(F.col(f"_p{n}") > 0, F.col(f"_m{n}") / F.col(f"_p{n}")).otherwise(F.lit(0.0)) for n in range(1, max_order + 1)]
-    return g.select(*group_cols, "n_pairs", (sum(precs) / max_order).alias("rouge_n"))
+    def ratio(m, p):
+        return (m + 1.0) / (p + 1.0) if smooth else F.when(p > 0, m / p).otherwise(F.lit(0.0))
+
+    aggs = [F.count(F.lit(1)).alias("n_pairs"), F.sum(sum(F.col(f"rm{n}") for n in range(1, max_order + 1))).alias("_ov")]
+    for o in range(max_order):
+        # possible matches of 0-based order o: sum over refs of max(len - o + 1, 0)
+        aggs.append(F.sum((F.col("rposs1") + F.col("n_refs")) if o == 0 else F.col(f"rposs{o}")).alias(f"_p{o}"))
+    for n in range(1, max_order + 1):
+        aggs += [F.sum(f"rm{n}").alias(f"_m{n}"), F.sum(f"rposs{n}").alias(f"_q{n}")]
+    g = _group(stats, group_cols, rollup).agg(*aggs)
+    comp = sum(ratio(F.col("_ov"), F.col(f"_p{o}")) for o in range(max_order)) / max_order
+    std = sum(ratio(F.col(f"_m{n}"), F.col(f"_q{n}")) for n in range(1, max_order + 1)) / max_order
+    if both:
+        return g.select(*group_cols, "n_pairs", comp.alias("rouge_n_compat"), std.alias("rouge_n"))
+    return g.select(*group_cols, "n_pairs", (comp if compat else std).alias("rouge_n"))
 
 
 # ---------------------------------------------------------------- D12
@@ -100,12 +98,21 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     return len(a) - bin(v).count("1")
 
 
-@pandas_udf("long")
-def lcs_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+def _lcs_batch(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(r) if r is not None else [], list(h) if h is not None else [])
                       for r, h in zip(ref, hyp)], dtype="int64")
 
 
+_UDFS: dict = {}
+
+
+def lcs_udf(ref, hyp) -> Column:
+    """Arrow-batched LCS length of two token-array columns (built on first use)."""
+    if "lcs" not in _UDFS:
+        _UDFS["lcs"] = pandas_udf(_lcs_batch, "long")
+    return _UDFS["lcs"](ref, hyp)
+
+
 def rouge_l(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", smooth: bool = True,
             group_cols: Sequence[str] = (), rollup: bool = False) -> DataFrame:
     """Micro recall of the LCS length: sum LCS / sum reference length ((+1)/(+1) if smooth).

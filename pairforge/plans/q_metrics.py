@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import text as T
 from pairforge.operators import bleu as B
+from pairforge.operators import textmetrics as TM
 from pairforge.operators.overlap import ngram_stats
 from pairforge.plans import oracle as O
 from pairforge.plans.catalog import query
@@ -144,3 +145,56 @@ def sentence_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.array(T.py_split(F.col("gold"))).alias("refs"))
     out = B.sentence_bleu(ngram_stats(p, single_ref=True))
     return _r(out, ["pair_id", "hyp_len"], ["score"])
+
+
+# ------------------------------------------------------------------ D10
+_SQL_BAG_F1 = f"""WITH {O.DOC_PAIRS},
+{O.ngram_stats('doc_pairs', O.word_tokens('pred'), O.word_tokens('gold'), max_n=1, extra=('lang',))}
+{O.bag_f1_select('stats', 'lang', rollup=True)}"""
+
+
+@query("bag_f1_by_lang", "H5 D10", _SQL_BAG_F1)
+def bag_f1_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag-of-words precision / recall / F1 over lower-cased word tokens."""
+    p = doc_pairs(spark, sf_dir).select("pair_id", "lang", T.word_tokens(F.col("pred")).alias("hyp"),
+                                        F.array(T.word_tokens(F.col("gold"))).alias("refs"))
+    out = TM.bag_f1(ngram_stats(p, extra=["lang"], max_n=1, single_ref=True), ["lang"], rollup=True)
+    return _r(out, ["lang", "n_pairs"], ["precision", "recall", "f1"])
+
+
+# ------------------------------------------------------------------ D11
+_SQL_ROUGE_N = f"""WITH {O.TURN_PAIRS},
+{O.ngram_stats('turn_pairs', O.split('pred'), O.split('gold'))}
+{O.rouge_n_select('stats', 4, True)}"""
+
+
+@query("rouge_n_turns", "D11", _SQL_ROUGE_N)
+def rouge_n_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-N (order 4, smoothed): the reference's all-order form and per-order recall."""
+    p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
+                                         F.array(T.py_split(F.col("gold"))).alias("refs"))
+    st = ngram_stats(p, single_ref=True)
+    out = TM.rouge_n(st, 4, smooth=True, both=True)
+    return _r(out, ["n_pairs"], ["rouge_n_compat", "rouge_n"])
+
+
+# ------------------------------------------------------------------ D12 (rows-only: LCS has no SQL twin)
+@query("rouge_l_turns", "D12")
+def rouge_l_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L (smoothed micro LCS recall) of assistant turn t+1 against user turn t."""
+    p = turn_pairs(spark, sf_dir).select(T.py_split(F.col("pred")).alias("hyp"), T.py_split(F.col("gold")).alias("ref"))
+    out = TM.rouge_l(p, smooth=True)
+    return _r(out, ["n_pairs", "lcs", "ref_tokens"], ["rouge_l"])
+
+
+# ------------------------------------------------------------------ B13 / D13
+_SQL_EM = f"""WITH {O.DOC_PAIRS}
+SELECT lang, count(*) AS n_pairs, round(avg(CASE WHEN {O.strip('pred')} = {O.strip('gold')} THEN 1 ELSE 0 END) * 100.0, 6) AS em
+FROM doc_pairs GROUP BY ROLLUP(lang)"""
+
+
+@query("exact_match_by_lang", "H2 B13 D13", _SQL_EM)
+def exact_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-match rate (x100) after stripping both sides."""
+    out = TM.exact_match_rate(doc_pairs(spark, sf_dir), group_cols=["lang"], rollup=True)
+    return _r(out, ["lang", "n_pairs"], ["em"])
