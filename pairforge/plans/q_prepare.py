@@ -1,2 +1,219 @@
-"""Registered queries."""
+"""Registered preparation queries: pair building, filters, text normalisation,
+exact sampling and splitting over the supplied tables."""
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pairforge.functions import text as T
+from pairforge.functions.keywords import JAVA
+from pairforge.operators import prepare as P
+from pairforge.operators import sampling as S
+from pairforge.plans import oracle as O
+from pairforge.plans.catalog import query
+from pairforge.plans.pairs import doc_pairs
+from pairforge.sources.tables import table
+
+R6 = 6
+
+
+def turn_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, smelly, after, extracted``: user turn t, assistant t+1, user t+2."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.filter(F.col("role") == "user")
+    s = u.select("conv_id", "turn", F.col("text").alias("smelly"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    e = u.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("extracted"))
+    return s.join(a, ["conv_id", "turn"]).join(e, ["conv_id", "turn"])
+
+
+TRIPLES = """triples AS (
+  SELECT s.conv_id, s.turn, s.text AS smelly, a.text AS after, e.text AS extracted
+  FROM conversations s
+  JOIN conversations a ON a.conv_id = s.conv_id AND a.turn - 1 = s.turn AND a.role = 'assistant'
+  JOIN conversations e ON e.conv_id = s.conv_id AND e.turn - 2 = s.turn AND e.role = 'user'
+  WHERE s.role = 'user')"""
+
+_INSTR_HEAD, _INSTR_TAIL = P.INSTRUCTION_PROMPT.split("{src}")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_STYLES_SQL = f"""WITH {TRIPLES},
+styles AS (
+  SELECT conv_id, turn, 'a' AS style, coalesce(smelly, 'None') AS source, coalesce(after, 'None') || chr(10) || coalesce(extracted, 'None') AS target FROM triples
+  UNION ALL SELECT conv_id, turn, 'b', smelly, after || extracted FROM triples
+  UNION ALL SELECT conv_id, turn, 'c', smelly, extracted FROM triples
+  UNION ALL SELECT conv_id, turn, 'd', 'Refactor this method: ' || smelly || chr(10) || ' Refactored code: ' || after || extracted, '' FROM triples
+  UNION ALL SELECT conv_id, turn, 'e', {_sql_str(_INSTR_HEAD)} || smelly || {_sql_str(_INSTR_TAIL)}, '' FROM triples
+  UNION ALL SELECT conv_id, turn, 'f', {_sql_str(P.PERFORM_PROMPT)} || replace(smelly, chr(9), ' '), '' FROM triples)
+SELECT conv_id, turn, style, length(source) AS source_len, length(target) AS target_len,
+       md5(source || chr(1) || target) AS digest FROM styles"""
+
+
+@query("pair_styles_turns", "B5 B6 H22 K3", _STYLES_SQL)
+def pair_styles_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six (source, target) formatting styles over (user, assistant, user) turn triples."""
+    tr = turn_triples(spark, sf_dir)
+    parts = []
+    for style in "abcdef":
+        p = P.build_pairs(tr, style)
+        parts.append(p.select("conv_id", "turn", F.lit(style).alias("style"), F.length("source").alias("source_len"),
+                              F.length("target").alias("target_len"),
+                              F.md5(F.concat("source", F.lit("\u0001"), "target")).alias("digest")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_FILTER_SQL = f"""WITH {TRIPLES}
+SELECT conv_id, turn FROM triples
+WHERE len({O.split('smelly')}) <= 512 AND len({O.split("coalesce(after, 'None') || coalesce(extracted, 'None')")}) <= 512"""
+
+
+@query("length_filter_turns", "B7", _FILTER_SQL)
+def length_filter_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples kept when both the smelly side and after||extracted have at most 512 tokens."""
+    return P.length_filter(turn_triples(spark, sf_dir)).select("conv_id", "turn")
+
+
+_D1_SQL = f"""WITH {O.DOC_PAIRS}
+SELECT lang, count(*) AS n, round(avg(len({O.split('gold')})), 6) AS avg_src_len, round(avg(len({O.split('pred')})), 6) AS avg_trg_len,
+       max(len({O.split('gold')})) AS max_src_len, max(len({O.split('pred')})) AS max_trg_len
+FROM doc_pairs GROUP BY ROLLUP(lang)"""
+
+
+@query("length_stats_by_lang", "D1", _D1_SQL)
+def length_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Example count, mean and max whitespace lengths of source (gold doc) and target (next doc)."""
+    p = doc_pairs(spark, sf_dir).select("lang", F.col("gold").alias("source"), F.col("pred").alias("target"))
+    out = P.length_stats(p, group_cols=["lang"], rollup=True)
+    return out.select("lang", "n", F.round("avg_src_len", R6).alias("avg_src_len"), F.round("avg_trg_len", R6).alias("avg_trg_len"),
+                      F.col("max_src_len").cast("int").alias("max_src_len"), F.col("max_trg_len").cast("int").alias("max_trg_len"))
+
+
+def punct_tokens(c):
+    """A stand-in sub-word tokenizer: word runs and single punctuation marks."""
+    return F.regexp_extract_all(c, F.lit(T.WORD + "+|[^" + T.WS_CHARS + T.WORD_CHARS + "]"), 0)
+
+
+def _sql_punct(expr: str) -> str:
+    return f"regexp_extract_all({expr}, '[\\pL\\pN_]+|[^{O.WS_SQL[1:-1]}\\pL\\pN_]')"
+
+
+_D2_SQL = f"""WITH {TRIPLES},
+l AS (SELECT len({O.split('smelly')}) AS ws_s, len({O.split('after')}) AS ws_a, len({O.split('after')}) + len({O.split('extracted')}) AS ws_c,
+             len({_sql_punct('smelly')}) AS tk_s, len({_sql_punct('after')}) AS tk_a, len({_sql_punct('after || extracted')}) AS tk_c FROM triples)
+SELECT count(*) AS n, round(avg(ws_s), 6) AS avg_src_len, round(avg(ws_a), 6) AS avg_trg_len, round(avg(ws_c), 6) AS avg_trg_col_len,
+       max(ws_s) AS max_src_len, max(ws_a) AS max_trg_len, max(ws_c) AS max_trg_col_len,
+       round(avg(tk_s), 6) AS avg_src_tok, round(avg(tk_a), 6) AS avg_trg_tok, round(avg(tk_c), 6) AS avg_trg_col_tok,
+       max(tk_s) AS max_src_tok, max(tk_a) AS max_trg_tok, max(tk_c) AS max_trg_col_tok,
+       count(*) FILTER (WHERE tk_s > 512) AS src_over, count(*) FILTER (WHERE tk_a > 512) AS trg_over,
+       count(*) FILTER (WHERE tk_c > 512) AS trg_col_over FROM l"""
+
+
+@query("length_stats_collated_turns", "D2 K7", _D2_SQL)
+def length_stats_collated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collated length statistics of turn triples with a pluggable tokenizer."""
+    out = P.length_stats_collated(turn_triples(spark, sf_dir), punct_tokens)
+    fl = [c for c, t in out.dtypes if t == "double"]
+    return out.select(*[F.round(c, R6).alias(c) if c in fl else F.col(c).cast("int").alias(c) if c.startswith("max") else F.col(c)
+                        for c in out.columns])
+
+
+_SEQ_SQL = """SELECT d.doc_id, md5('defect: ' || replace(d.text, '</s>', '<unk>')) AS source_digest,
+       CASE l.quality WHEN 0 THEN 'false' WHEN 1 THEN 'true' END AS target,
+       '<java> ' || CASE l.toxic WHEN 0 THEN 'false' WHEN 1 THEN 'true' END AS tagged_target
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+
+
+@query("seq2seq_fields_labels", "B8 B9 B10 B11", _SEQ_SQL)
+def seq2seq_fields_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text-to-text fields for labelled documents: task prefix, special-token escape,
+    label as text and a language tag."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id")
+    return j.select("doc_id", F.md5(P.apply_task_prefix(P.escape_special(F.col("text")), "defect")).alias("source_digest"),
+                    P.label_to_text(F.col("quality")).alias("target"),
+                    P.apply_lang_tag(P.label_to_text(F.col("toxic")), "refine").alias("tagged_target"))
+
+
+_TOX_SQL = f"""SELECT d.doc_id, array_to_string({O.split('d.text')}[1:5 + (('0x' || substr(md5('42:' || d.doc_id::VARCHAR), 1, 8))::BIGINT % 5)], ' ') AS query
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic IS NOT NULL AND l.toxic > 0.3"""
+
+
+@query("toxicity_prompts", "B12", _TOX_SQL)
+def toxicity_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of documents whose toxicity exceeds 0.3, cut to a sampled 5-9 tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("toxicity"))
+    j = P.toxicity_filter(d.join(lab, "doc_id"), "toxicity")
+    k = P.sampled_length("42", F.col("doc_id"), 5, 10)
+    return j.select("doc_id", F.array_join(F.slice(T.py_split(F.col("text")), 1, k), " ").alias("query"))
+
+
+def _nist_sql(expr):
+    return O.nist_normalize(O.split_puncts(f"lower({O.strip(expr)})"))
+
+
+_NORM_SQL = f"""SELECT doc_id, len({O.split('text')}) AS n_ws_tokens, md5({O.collapse('text')}) AS collapsed_digest,
+       length({O.strip('text')}) AS stripped_len, len({_nist_sql('text')}) AS n_nist_tokens,
+       md5(array_to_string({_nist_sql('text')}, ' ')) AS nist_digest FROM documents"""
+
+
+@query("text_normalization_docs", "H1 H2 H3 H4", _NORM_SQL)
+def text_normalization_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitespace split / collapse / strip and the NIST tokenisation of every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    nist = T.nist_normalize(T.split_puncts(F.lower(T.py_strip(F.col("text")))))
+    return d.select("doc_id", F.size(T.py_split(F.col("text"))).alias("n_ws_tokens"),
+                    F.md5(T.collapse_ws(F.col("text"))).alias("collapsed_digest"),
+                    F.length(T.py_strip(F.col("text"))).alias("stripped_len"), F.size(nist).alias("n_nist_tokens"),
+                    F.md5(F.array_join(nist, " ")).alias("nist_digest"))
+
+
+def plant_comments(c):
+    """Turn prose into C-like text: sentence tails become line comments, questions block comments."""
+    return F.replace(F.replace(c, F.lit(". "), F.lit("; // ")), F.lit("? "), F.lit("? /* q */ "))
+
+
+_CLIKE_RE2 = r"""(?sm)//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|[^/'"]+|."""
+_STRIP_SQL = f"""WITH p AS (SELECT doc_id, replace(replace(text, '. ', '; // '), '? ', '? /* q */ ') AS t FROM documents),
+s AS (SELECT doc_id, array_to_string(list_filter(string_split(array_to_string(list_transform(
+        regexp_extract_all(t, '{_CLIKE_RE2.replace("'", "''")}'),
+        lambda x: CASE WHEN length(x) > 1 AND starts_with(x, '/') THEN ' ' ELSE x END), ''), chr(10)),
+        lambda l: {O.strip('l')} <> ''), chr(10)) AS code FROM p)
+SELECT doc_id, length(code) AS code_len, md5(code) AS code_digest FROM s"""
+
+
+@query("strip_comments_docs", "H7", _STRIP_SQL)
+def strip_comments_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-like comment removal over documents with planted line and block comments."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.strip_comments(plant_comments(F.col("text"))).alias("code"))
+    return d.select("doc_id", F.length("code").alias("code_len"), F.md5("code").alias("code_digest"))
+
+
+def plant_indent_markers(c):
+    """Newlines become ``NEW_LINE INDENT`` and question marks close two levels."""
+    return F.replace(F.replace(c, F.lit("\n"), F.lit(" NEW_LINE INDENT ")), F.lit("? "), F.lit("? DEDENT DEDENT "))
+
+
+_WSQ = O.WS_SQL
+_E1_SQL = f"""WITH p AS (SELECT doc_id, list_transform(string_split(replace(replace(text, chr(10), ' NEW_LINE INDENT '), '? ', '? DEDENT DEDENT '), 'NEW_LINE'),
+                 lambda l: {O.strip('l')}) AS ls FROM documents),
+d AS (SELECT doc_id, ls, list_transform(ls, lambda l: (length(l) - length(replace(l, 'INDENT', ''))) // 6 - (length(l) - length(replace(l, 'DEDENT', ''))) // 6) AS delta FROM p),
+r AS (SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i:
+        repeat(chr(9), greatest(list_sum(delta[1:i])::BIGINT, 0)) ||
+        regexp_replace(regexp_replace(ls[i], 'INDENT{_WSQ}?', '', 'g'), 'DEDENT{_WSQ}?', '', 'g')), chr(10)) AS code FROM d)
+SELECT doc_id, length(code) AS code_len, md5(code) AS code_digest FROM r"""
+
+
+@query("restore_indentation_docs", "E1", _E1_SQL)
+def restore_indentation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indentation restored from NEW_LINE / INDENT / DEDENT markers planted in documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.restore_indentation(plant_indent_markers(F.col("text"))).alias("code"))
+    return d.select("doc_id", F.length("code").alias("code_len"), F.md5("code").alias("code_digest"))
