@@ -217,3 +217,137 @@ def restore_indentation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indentation restored from NEW_LINE / INDENT / DEDENT markers planted in documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.restore_indentation(plant_indent_markers(F.col("text"))).alias("code"))
     return d.select("doc_id", F.length("code").alias("code_len"), F.md5("code").alias("code_digest"))
+
+
+# ------------------------------------------------------------------ F4 / F5 / F2 / F3 / F1
+_SPLIT_SQL = """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1234:' || doc_id::VARCHAR)) - 1 AS rk,
+                     count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN rk < floor(0.7 * n) THEN 'train' WHEN rk < floor(0.7 * n) + floor(0.1 * n) THEN 'valid' ELSE 'test' END AS split
+FROM r"""
+
+
+@query("exact_split_docs", "F4", _SPLIT_SQL)
+def exact_split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded shuffle split with exact sizes int(0.7 n) / int(0.1 n) / rest."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return S.exact_split(d, "doc_id", (0.7, 0.1), seed="1234").select("doc_id", "split")
+
+
+_OSPLIT_SQL = """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rk, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN rk < floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM r"""
+
+
+@query("ordered_split_docs", "F5", _OSPLIT_SQL)
+def ordered_split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 80 % of documents in id order, no shuffle."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return S.ordered_split(d, "doc_id", 0.8).select("doc_id", "split")
+
+
+_SAMPLE_SQL = """SELECT doc_id, lang FROM documents ORDER BY md5('1234:' || doc_id::VARCHAR) LIMIT 5000"""
+
+
+@query("sample_docs", "F2", _SAMPLE_SQL)
+def sample_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """min(5000, n) documents without replacement (seeded)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return S.sample_n(d, "doc_id", 5000, seed="1234")
+
+
+_FRAC_SQL = """SELECT doc_id, lang FROM documents ORDER BY md5('1234:' || doc_id::VARCHAR)
+LIMIT (SELECT floor(0.1 * count(*))::BIGINT FROM documents)"""
+
+
+@query("sample_frac_docs", "F3", _FRAC_SQL)
+def sample_frac_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly int(0.1 n) documents (seeded)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return S.sample_frac(d, "doc_id", 0.1, seed="1234")
+
+
+_HEAD_SQL = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100"
+
+
+@query("head_docs", "F1", _HEAD_SQL)
+def head_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first data_num = 100 examples (the limit is the operator)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return S.head(d, "doc_id", 100)
+
+
+_BATCH_SQL = """SELECT doc_id, row_number() OVER (ORDER BY md5('1234:' || doc_id::VARCHAR)) - 1 AS idx,
+       (row_number() OVER (ORDER BY md5('1234:' || doc_id::VARCHAR)) - 1) // 8 AS batch FROM documents"""
+
+
+@query("batches_docs", "E6 E11", _BATCH_SQL)
+def batches_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense row index in seeded shuffled order and fixed batches of 8."""
+    d = table(spark, sf_dir, "documents").select("doc_id", S.hash_key("1234", "doc_id").alias("_k"))
+    out = S.batch_assign(d, ["_k"], 8)
+    return out.select("doc_id", F.col("_idx").alias("idx"), "batch")
+
+
+_PROBS_SQL = """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+q AS (SELECT lang, n, pow(n / sum(n) OVER (), 0.7) AS q FROM c)
+SELECT lang, n, round(q / sum(q) OVER (), 6) AS prob FROM q"""
+
+
+@query("task_probs_docs", "F6", _PROBS_SQL)
+def task_probs_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-task sampling probabilities, p proportional to (n_i / N)^0.7, language as task."""
+    d = table(spark, sf_dir, "documents").select("lang")
+    out = S.task_sampling_probs(d, "lang")
+    return out.select("lang", "n", F.round("prob", R6).alias("prob"))
+
+
+_SCHED_SQL = """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+q AS (SELECT lang, pow(n / sum(n) OVER (), 0.7) AS q FROM c),
+p AS (SELECT lang, q / sum(q) OVER () AS prob FROM q),
+b AS (SELECT lang, sum(prob) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+             row_number() OVER (ORDER BY lang DESC) AS last_rank FROM p),
+u AS (SELECT event_id, ('0x' || substr(md5('1234:' || event_id::VARCHAR), 1, 13))::BIGINT / pow(16, 13) AS u FROM events)
+SELECT u.event_id, coalesce((SELECT lang FROM b WHERE u.u < b.hi ORDER BY b.hi LIMIT 1), (SELECT lang FROM b WHERE last_rank = 1)) AS task
+FROM u"""
+
+
+@query("task_schedule_events", "F7", _SCHED_SQL)
+def task_schedule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task per step (each event is a step) drawn with the language sampling probabilities."""
+    probs = S.task_sampling_probs(table(spark, sf_dir, "documents").select("lang"), "lang")
+    steps = table(spark, sf_dir, "events").select("event_id")
+    return S.task_schedule(steps, "event_id", probs, "lang", seed="1234")
+
+
+# ------------------------------------------------------------------ B1
+_REPO_SQL = """SELECT page_id, split_part(string_split(url, '/')[-1], '.', 1) AS repo_name,
+       'https://github.com/' || split_part(string_split(url, '/')[-1], '.', 1) || '.git' AS repo_url FROM pages"""
+
+
+@query("repo_names_pages", "B1", _REPO_SQL)
+def repo_names_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository name from a URL (last path segment before the first dot) and the clone URL."""
+    from pairforge.operators.mining import repo_name, repo_url
+    p = table(spark, sf_dir, "pages").select("page_id", repo_name(F.col("url")).alias("repo_name"))
+    return p.select("page_id", "repo_name", repo_url(F.col("repo_name")).alias("repo_url"))
+
+
+# ------------------------------------------------------------------ E9
+_LEX_RE2 = T._JAVA_LEX.replace("*+", "*").replace("++", "+").replace("'", "''")
+_KW_SQL = ", ".join("'" + k + "'" for k in JAVA + ["true", "false", "null"])
+_E9_SQL = f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{_LEX_RE2}') AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM l),
+k AS (SELECT doc_id, pos, tok, CASE WHEN tok IN ({_KW_SQL}) THEN ''
+             WHEN regexp_full_match(tok, '0|[1-9][0-9_]*[lL]?') THEN 'DECIMALINTEGER'
+             WHEN regexp_full_match(tok, '[\\pL_$][\\pL\\pN_$]*') THEN 'IDENTIFIER' ELSE '' END AS kind FROM t),
+c AS (SELECT *, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS cnt FROM k)
+SELECT doc_id, count(*) AS n_tokens, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END) AS n_abstracted,
+       md5(string_agg(CASE WHEN kind <> '' THEN kind || '_' || cnt::VARCHAR ELSE tok END, ' ' ORDER BY pos)) AS digest
+FROM c GROUP BY doc_id"""
+
+
+@query("abstract_identifiers_docs", "E9 H9", _E9_SQL)
+def abstract_identifiers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier / integer abstraction with one running counter per document (window form)."""
+    from pairforge.operators.mining import abstract_identifiers_df
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return abstract_identifiers_df(d, "doc_id", "text", JAVA).select("doc_id", "n_tokens", "n_abstracted", "digest")
