@@ -1,2 +1,67 @@
-"""Registered queries."""
+"""Registered evaluation-log queries: each user of ``events`` is a run, events in
+time order are its evaluation steps and ``value`` is the metric."""
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairforge.operators import evallog as EV
+from pairforge.plans.catalog import query
+from pairforge.sources.tables import table
+
+
+def _log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run"), F.col("ts").alias("step"),
+                                                 "event_type", "value")
+
+
+_ERR_SQL = """SELECT event_id, user_id AS run,
+  round(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w / count(*) OVER w, 5) AS error_rate
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query("running_error_rate_events", "E2", _ERR_SQL)
+def running_error_rate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative error rate per run in time order (5 decimals)."""
+    out = EV.running_error_rate(_log(spark, sf_dir), "run", "step", (F.col("event_type") == "error").cast("long"), F.lit(1))
+    return out.select("event_id", "run", "error_rate")
+
+
+_BEST_SQL = """WITH b AS (SELECT user_id, max(value) AS best FROM events GROUP BY user_id)
+SELECT e.user_id AS run, count(*) AS n_evals, max(b.best) AS best_value, min(e.ts) FILTER (WHERE e.value = b.best) AS best_step
+FROM events e JOIN b USING (user_id) GROUP BY e.user_id"""
+
+
+@query("best_checkpoint_events", "D21", _BEST_SQL)
+def best_checkpoint_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best metric per run and the first step reaching it."""
+    out = EV.best_checkpoint(_log(spark, sf_dir), "run", "step", "value", "max")
+    return out.select("run", "n_evals", "best_value", F.timestamp_micros("_bs").cast("timestamp_ntz").alias("best_step"))
+
+
+_STOP_SQL = """WITH a AS (SELECT user_id, ts, value, row_number() OVER w AS idx,
+         greatest(coalesce(max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0), -1.0) AS prev
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, max(CASE WHEN value > prev THEN idx ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM a)
+SELECT user_id AS run, count(*) AS n_evals, max(value) AS best_value, min(ts) FILTER (WHERE idx - last > 3) AS stop_step
+FROM b GROUP BY user_id"""
+
+
+@query("early_stop_events", "E4", _STOP_SQL)
+def early_stop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early-stopping step per run with patience 3 (max mode, initial best -1)."""
+    out = EV.early_stop(_log(spark, sf_dir), "run", "step", "value", patience=3, mode="max")
+    return out.select("run", "n_evals", "best_value", "stop_step")
+
+
+_KL_SQL = """SELECT event_id, user_id AS run, round(100.0 * exp(coalesce(sum(ln(1.0 + greatest(least(value / 6.0 - 1.0, 0.2), -0.2) * 48 / 10000.0))
+  OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)), 6) AS kl_coef
+FROM events"""
+
+
+@query("kl_coef_path_events", "E7 I6", _KL_SQL)
+def kl_coef_path_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive KL coefficient in force at each step (value = measured KL; init 100,
+    target 6, horizon 10000, 48 steps per update)."""
+    out = EV.kl_coef_path(_log(spark, sf_dir), "run", "step", "value")
+    return out.select("event_id", "run", F.round("kl_coef", 6).alias("kl_coef"))
