@@ -154,3 +154,8 @@ def length_stats_collated(triples: DataFrame, tokenizer: Tokenizer, max_len: int
         F.max(tk_s).alias("max_src_tok"), F.max(tk_a).alias("max_trg_tok"), F.max(tk_col).alias("max_trg_col_tok"),
         F.count_if(tk_s > max_len).alias("src_over"), F.count_if(tk_a > max_len).alias("trg_over"),
         F.count_if(tk_col > max_len).alias("trg_col_over"))
+
+
+def replace_literals(c) -> Column:
+    """Blank out string and char literals (kept as empty quotes) before structure checks."""
+    return F.regexp_replace(_c(c), r"\"(?:\\\\.|[^\\\\\"])*+\"|'(?:\\\\.|[^\\\\'])*+'", "\"\"")
