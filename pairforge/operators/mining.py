@@ -51,3 +51,69 @@ def abstract_identifiers_df(df: DataFrame, key: str, text: str, keywords: Sequen
     return g.select(key, "n_tokens", "n_abstracted", toks.alias("tokens"),
                     F.map_from_arrays(F.transform(kept, lambda x: x["rep"]), F.transform(kept, lambda x: x["tok"])).alias("token_map"),
                     F.md5(F.array_join(toks, " ")).alias("digest"))
+
+
+# ---------------------------------------------------------------- B2-B5
+RANGE_FIELDS = "filePath string, startLine int, endLine int, description string, codeElementType string"
+
+
+def filter_refactorings(events: DataFrame, kind: str = "EXTRACT_OPERATION", type_col: str = "type") -> DataFrame:
+    """B2: keep refactoring events of one type."""
+    return events.filter(F.col(type_col) == kind)
+
+
+def filter_ranges(ranges, element_type: str = "METHOD_DECLARATION") -> Column:
+    """Keep the code ranges of one element type inside a side array."""
+    return F.filter(_c(ranges), lambda r: r["codeElementType"] == element_type)
+
+
+# fixed value: description marking a swapped right side
+SOURCE_BEFORE = "source method declaration before extraction"
+
+
+def pick_roles(left, right) -> Column:
+    """before = left[0]; extracted = right[0] and after = right[1], swapped when
+    right[0] is described as the source method before extraction."""
+    r0, r1 = F.get(_c(right), 0), F.get(_c(right), 1)
+    swapped = r0["description"] == SOURCE_BEFORE
+    return F.struct(F.get(_c(left), 0).alias("before"),
+                    F.when(swapped, r1).otherwise(r0).alias("extracted"),
+                    F.when(swapped, r0).otherwise(r1).alias("after"))
+
+
+# ---------------------------------------------------------------- C4-C6, D18
+def first_parent(commits: DataFrame, repo: str = "repo", sha: str = "sha", parents: str = "parents") -> DataFrame:
+    """C4: every commit with its first parent's row (null for a root commit, which the
+    reference mishandled by reusing the previous commit's parent)."""
+    c = commits.select(repo, sha, F.get(F.col(parents), 0).alias("parent_sha"), *[x for x in commits.columns if x not in (repo, sha, parents)])
+    p = commits.select(F.col(repo).alias("_r"), F.col(sha).alias("parent_sha"), *[F.col(x).alias("parent_" + x) for x in commits.columns
+                                                                                 if x not in (repo, sha, parents)])
+    return c.join(p, (c[repo] == p["_r"]) & (c["parent_sha"] == p["parent_sha"]), "left").drop("_r").drop(p["parent_sha"])
+
+
+def file_versions_for(ranges: DataFrame, versions: DataFrame, keys=("repo", "sha", "path")) -> DataFrame:
+    """Attach file text at (repo, sha, path) - an equi-join, no checkout."""
+    return ranges.join(versions, list(keys), "left")
+
+
+def split_lines(content) -> Column:
+    """Lines as a line reader yields them: split on CRLF/CR/LF, no trailing empty piece."""
+    parts = F.split(_c(content), "\r\n|\r|\n")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def slice_lines(content, start_line, end_line) -> Column:
+    """Lines start..end (1-based, inclusive) form the method, the others the class
+    text; every line is re-terminated by a newline.  Returns ``struct(method, class_text)``."""
+    lines = split_lines(content)
+    idx = F.transform(lines, lambda ln, i: F.struct((i + 1).alias("n"), ln.alias("l")))
+    inside = F.filter(idx, lambda x: (x["n"] >= _c(start_line)) & (x["n"] <= _c(end_line)))
+    outside = F.filter(idx, lambda x: (x["n"] < _c(start_line)) | (x["n"] > _c(end_line)))
+    join = lambda arr: F.array_join(F.transform(arr, lambda x: F.concat(x["l"], F.lit("\n"))), "")
+    return F.struct(join(inside).alias("method"), join(outside).alias("class_text"))
+
+
+def refactorings_per_commit(events: DataFrame, commit: str) -> DataFrame:
+    """Refactorings per commit and whether a commit has any."""
+    return events.groupBy(commit).agg(F.count(F.lit(1)).alias("n_refactorings")).withColumn(
+        "has_refactoring", F.col("n_refactorings") > 0)

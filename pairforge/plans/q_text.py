@@ -1,2 +1,140 @@
-"""Registered queries."""
+"""Registered queries for nested records, mining tables and id encoding."""
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairforge.functions import arrays as A
+from pairforge.functions import text as T
+from pairforge.operators import encode as EN
+from pairforge.operators import evallog as EV
+from pairforge.operators import jsonops as J
+from pairforge.operators import mining as M
+from pairforge.plans import oracle as O
+from pairforge.plans.catalog import query
+from pairforge.sources.tables import table
+
+R6 = 6
+
+_FLAT_SQL = """SELECT event_id, json_extract(props, '$.k')::BIGINT AS "stats/k", value AS "stats/value",
+       event_type AS "meta/type", user_id AS "meta/run" FROM events"""
+
+
+@query("flatten_stats_events", "B15 B16", _FLAT_SQL)
+def flatten_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested step statistics (parsed JSON props + value) flattened to ``a/b`` columns."""
+    e = table(spark, sf_dir, "events")
+    nested = e.select(F.col("event_id"), F.struct(F.from_json("props", "k long")["k"].alias("k"), F.col("value").alias("value")).alias("stats"),
+                      F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("run")).alias("meta"))
+    return J.flatten_struct(nested)
+
+
+_REQ_SQL = """WITH r AS (SELECT doc_id, to_json({'custom_id': 'request-' || doc_id::VARCHAR, 'method': 'POST', 'url': '/v1/chat/completions',
+    'body': {'model': 'gpt-4o-mini', 'messages': [{'role': 'system', 'content': 'Write unit tests for the method.'},
+                                               {'role': 'user', 'content': text}]}}) AS request FROM documents)
+SELECT doc_id, length(request) AS request_len, md5(request) AS request_digest FROM r"""
+
+
+@query("batch_requests_docs", "B17 E6", _REQ_SQL)
+def batch_requests_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chat batch request per document (JSON text)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = J.build_batch_requests(d, "doc_id", F.lit("Write unit tests for the method."), F.col("text"), "gpt-4o-mini")
+    return r.select("doc_id", F.length("request").alias("request_len"), F.md5("request").alias("request_digest"))
+
+
+_RES_SQL = """SELECT 'request-' || conv_id::VARCHAR || '-' || turn::VARCHAR AS custom_id, md5(text) AS content_digest
+FROM conversations WHERE role = 'assistant'"""
+
+
+@query("batch_results_conversations", "B18", _RES_SQL)
+def batch_results_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch results (assistant turns serialised as API responses) parsed back to id and content."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    resp = F.to_json(F.struct(
+        F.concat(F.lit("request-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("custom_id"),
+        F.struct(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response")))
+    parsed = J.parse_batch_results(c.select(resp.alias("j")), "j")
+    return parsed.select("custom_id", F.md5("content").alias("content_digest"))
+
+
+_PARENT_SQL = """WITH c AS (SELECT user_id AS repo, event_id AS sha, event_type,
+       lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS parent_sha FROM events)
+SELECT c.repo, c.sha, c.parent_sha, p.event_type AS parent_event_type FROM c LEFT JOIN c p ON p.repo = c.repo AND p.sha = c.parent_sha"""
+
+
+def commits_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo, sha, parents, event_type``: each event is a commit whose parent is the
+    user's previous event (found with the sliced prefix scan, not a per-user window)."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_id").alias("sha"), "ts", "event_type")
+    s = EV.running(e, "repo", "ts", [EV.Scan("_prev", F.struct("ts", "sha"), "max", inclusive=False)])
+    return s.select("repo", "sha", F.when(F.col("_prev").isNotNull(), F.array(F.col("_prev.sha"))).otherwise(
+        F.array().cast("array<bigint>")).alias("parents"), "event_type")
+
+
+@query("first_parent_events", "C4", _PARENT_SQL)
+def first_parent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit -> first parent self-join; root commits keep a null parent."""
+    fp = M.first_parent(commits_from_events(spark, sf_dir))
+    return fp.select("repo", "sha", "parent_sha", F.col("parent_event_type"))
+
+
+_D18_SQL = """SELECT user_id AS repo, count(*) AS n_refactorings, count(*) > 0 AS has_refactoring
+FROM events WHERE event_type = 'purchase' GROUP BY user_id"""
+
+
+@query("refactorings_per_repo_events", "B2 D18", _D18_SQL)
+def refactorings_per_repo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one type counted per repository (user)."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("type"))
+    return M.refactorings_per_commit(M.filter_refactorings(e, "purchase"), "repo")
+
+
+_LINES = "list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: true)"
+_SLICE_SQL = """WITH p AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS parts FROM documents),
+l AS (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS ls FROM p)
+SELECT doc_id,
+  md5(coalesce(array_to_string(list_transform(list_filter(list_transform(ls, lambda x, i: {'n': i, 'l': x}), lambda s: s.n >= 2 AND s.n <= 3), lambda s: s.l || chr(10)), ''), '')) AS method_digest,
+  md5(coalesce(array_to_string(list_transform(list_filter(list_transform(ls, lambda x, i: {'n': i, 'l': x}), lambda s: s.n < 2 OR s.n > 3), lambda s: s.l || chr(10)), ''), '')) AS class_digest
+FROM l"""
+
+
+@query("slice_lines_docs", "C6", _SLICE_SQL)
+def slice_lines_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2-3 of each document as the method, the rest as its class text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", M.slice_lines(F.col("text"), F.lit(2), F.lit(3)).alias("s"))
+    return d.select("doc_id", F.md5("s.method").alias("method_digest"), F.md5("s.class_text").alias("class_digest"))
+
+
+_VOCAB_SQL = f"""SELECT token, count(*) AS count FROM (SELECT unnest({O.split('text')}) AS token FROM documents)
+GROUP BY token HAVING count(*) >= 3"""
+
+
+@query("vocab_counts_docs", "D26", _VOCAB_SQL)
+def vocab_counts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitespace-token frequencies of the corpus, kept from three occurrences."""
+    d = table(spark, sf_dir, "documents").select(T.py_split(F.col("text")).alias("t"))
+    return EN.vocab_counts(d, "t", 3)
+
+
+_ENC_SQL = f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) - 1 + 4 AS id FROM (
+    SELECT token, count(*) AS c FROM (SELECT unnest({O.split('text')}) AS token FROM documents) GROUP BY token HAVING count(*) >= 3)),
+t AS (SELECT doc_id, unnest({O.split('text')}) AS token, generate_subscripts({O.split('text')}, 1) AS pos FROM documents),
+e AS (SELECT t.doc_id, list(coalesce(v.id, 3)::INTEGER ORDER BY t.pos) AS ids FROM t LEFT JOIN v ON v.token = t.token GROUP BY t.doc_id),
+f AS (SELECT d.doc_id, coalesce(e.ids, []::INTEGER[])[1:511] || [2] AS x FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id),
+g AS (SELECT doc_id, x || list_transform(range(512 - len(x)), lambda i: 0) AS ids FROM f)
+SELECT doc_id, len(list_filter(ids, lambda i: i <> 0)) AS gen_len, list_sum(ids)::BIGINT AS id_sum,
+       len(list_filter(ids, lambda i: i = 0)) AS n_masked, md5(array_to_string(ids, ',')) AS ids_digest FROM g"""
+
+
+@query("encode_docs", "D26 E6 H10 H11 H12 D19", _ENC_SQL)
+def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded with the corpus vocabulary to 512 ids (EOS, padding, masks)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.py_split(F.col("text")).alias("t"))
+    vocab = EN.build_vocab(EN.vocab_counts(d, "t", 3))
+    enc = EN.encode(d, "doc_id", "t", vocab, 512)
+    labels = A.mask_labels("ids")
+    return enc.select("doc_id", A.gen_len("ids").alias("gen_len"),
+                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+                      F.size(F.filter(labels, lambda x: x == -100)).alias("n_masked"),
+                      F.md5(F.array_join("ids", ",")).alias("ids_digest"))
