@@ -36,7 +36,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.ngrams import tagged_grams
 
 
 def possible(length: Column, n: int) -> Column:
@@ -107,16 +106,9 @@ def ngram_stats(
     if keywords is not None:
         meta_fields.append(F.aggregate("_refs", F.lit(0.0),
                                        lambda a, r: a + F.greatest(F.lit(1.0), weighted_total(r, keywords))).alias("wden1"))
-    grams = F.concat(
-        tagged_grams(F.col("_hyp"), max_n, -1),
-        F.flatten(F.transform(F.col("_refs"), lambda r, k: tagged_grams(r, max_n, k))),
-    )
-    # The generator takes the gram expression itself: exploding a column that a
-    # projection below computed made the generated code re-run that projection
-    # per output element.  Per-pair values live in their own projection and are
-    # joined back by key at the end.
-    ex = df.select(key, F.explode(grams).alias("_x")).select(
-        key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), F.col("_x.k").alias("k"))
+    # Side k = -1 is the hypothesis, k >= 0 the references.
+    sides = df.select(key, (F.posexplode(F.concat(F.array(F.col("_hyp")), F.col("_refs")))).alias("_k", "_t"))
+    ex = explode_grams(sides.select(key, (F.col("_k") - 1).alias("k"), "_t"), key, "k", "_t", max_n)
     if single_ref:
         # one reference per pair: a single hash aggregate per (pair, n, gram)
         per_gram = ex.groupBy(key, "n", "g").agg(
@@ -138,6 +130,23 @@ def ngram_stats(
     return out.fillna(zeros).select(key, *meta_names, *_count_cols(max_n, keywords))
 
 
+def explode_grams(df: DataFrame, key: str, k: str, tokens: str, max_n: int) -> DataFrame:
+    """Rows ``(key, n, g, k)``: every gram of orders 1..max_n of each token array.
+
+    Tokens are exploded with their position and each position emits its grams by
+    index access, so generators, ``GetArrayItem`` and ``ConcatWs`` all run inside
+    whole-stage codegen (a higher-order lambda per gram would run interpreted).
+    """
+    pos = df.select(key, F.col(k).alias("k"), F.col(tokens).alias("_t"), F.posexplode(tokens).alias("_i", "_w"))
+    size = F.size("_t")
+    per_pos = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.when(F.col("_i") + n <= size,
+                                              F.concat_ws(" ", *[F.col("_t")[F.col("_i") + j] for j in range(n)])).alias("g"))
+        for n in range(1, max_n + 1)])
+    return pos.select(key, "k", F.explode(per_pos).alias("_x")).select(
+        key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), "k").filter(F.col("g").isNotNull())
+
+
 def _den(n):
     return lambda a, x: a + F.greatest(F.lit(1), possible(x, n))
 
@@ -176,11 +185,9 @@ def ngram_stats_long(
     """
     h = hyps.select(key, F.col(hyp).alias("_t"))
     r = refs.select(key, F.col(ref_id).cast("int").alias("_k"), F.col(ref).alias("_t"))
-    hg = h.select(key, F.explode(tagged_grams(F.col("_t"), max_n, -1)).alias("_x"))
-    rg = r.select(key, F.explode(tagged_grams(F.col("_t"), max_n, F.col("_k"))).alias("_x"))
-    grams = hg.unionByName(rg)
-    lvl1 = grams.groupBy(key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), F.col("_x.k").alias("k")).agg(
-        F.count(F.lit(1)).alias("c"))
+    grams = explode_grams(h.select(key, F.lit(-1).alias("k"), "_t"), key, "k", "_t", max_n).unionByName(
+        explode_grams(r.select(key, F.col("_k").alias("k"), "_t"), key, "k", "_t", max_n))
+    lvl1 = grams.groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
     # Hypothesis counts are unique per (key, n, gram); each reference's count is
     # joined to them instead of gathering a gram's references into one list.  A
     # gram shared by very many references of one key is a skewed join key that
