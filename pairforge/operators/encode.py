@@ -7,8 +7,10 @@ is not).  Ids are put back in order per text - one text's own tokens.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pairforge.operators.sampling import with_row_index
 
@@ -32,8 +34,8 @@ def build_vocab(counts: DataFrame, first_id: int = N_SPECIAL) -> DataFrame:
 def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int = 512, add_eos: bool = True) -> DataFrame:
     """Ids (unknown -> UNK), cut to leave room for EOS, EOS appended, PAD to ``max_len``."""
     t = texts.select(key, F.posexplode(tokens).alias("pos", "token"))
-    j = t.join(vocab.select("token", "id"), "token", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_s"))
+    j = t.join(vocab.select("token", F.col("id").alias("_vid")), "token", "left")
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_vid", F.lit(UNK)).alias("id")))).alias("_s"))
     ids = F.transform("_s", lambda x: x["id"].cast("int"))
     room = max_len - (1 if add_eos else 0)
     ids = F.slice(ids, 1, room)
@@ -44,3 +46,103 @@ def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: i
     empty = F.concat(F.array(F.lit(EOS)) if add_eos else F.array().cast("array<int>"),
                      F.array_repeat(F.lit(PAD), max_len - (1 if add_eos else 0)))
     return texts.select(key).join(enc, key, "left").select(key, F.coalesce("ids", empty).alias("ids"))
+
+
+# ---------------------------------------------------------------- D27 / D28 (re-aimed BPE)
+def _merge_pair(syms, a: str, b: str):
+    """Merge every non-overlapping (a, b) occurrence, left to right, into ``a + b``."""
+    n = F.size(syms)
+
+    def step(st, i):
+        hit = (~st["skip"]) & (i < n - 1) & (F.get(syms, i) == a) & (F.get(syms, i + 1) == b)
+        out = F.when(st["skip"], st["out"]).when(hit, F.concat(st["out"], F.array(F.lit(a + b)))).otherwise(
+            F.concat(st["out"], F.array(F.get(syms, i))))
+        return F.struct(out.alias("out"), hit.alias("skip"))
+
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), init, step)["out"]
+
+
+def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", count: str = "count",
+              checkpoint_every: int = 10) -> DataFrame:
+    """Learn ``num_merges`` merges from a (word, count) table.
+
+    Each round is one distributed aggregation over the distinct words: adjacent
+    symbol pairs weighted by word frequency, the most frequent pair wins (ties:
+    smallest pair), and it is merged in every word containing it.  Only the
+    winning pair (one row) reaches the driver.  The word table is cached per
+    round and checkpointed into the shared checkpoint folder every
+    ``checkpoint_every`` rounds to cut lineage.
+    Returns ``rank, left, right, count``.
+    """
+    spark = word_counts.sparkSession
+    from pairforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    sym = word_counts.select(F.filter(F.split(F.col(word), ""), lambda x: x != "").alias("syms"), F.col(count).alias("c"))
+    sym = sym.filter(F.size("syms") > 0).persist()
+    merges = []
+    for r in range(num_merges):
+        pairs = sym.select(F.explode(F.zip_with(F.slice("syms", 1, F.greatest(F.size("syms") - 1, F.lit(0))),
+                                                F.slice("syms", 2, F.size("syms")),
+                                                lambda x, y: F.struct(x.alias("a"), y.alias("b")))).alias("p"), "c")
+        best = (pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n"))
+                .orderBy(F.col("n").desc(), "a", "b").limit(1).collect())
+        if not best:
+            break
+        a, b, n = best[0]["a"], best[0]["b"], best[0]["n"]
+        merges.append((r, a, b, int(n)))
+        contains = F.exists(F.zip_with(F.slice("syms", 1, F.greatest(F.size("syms") - 1, F.lit(0))), F.slice("syms", 2, F.size("syms")),
+                                       lambda x, y: (x == a) & (y == b)), lambda z: z)
+        nxt = sym.select(F.when(contains, _merge_pair(F.col("syms"), a, b)).otherwise(F.col("syms")).alias("syms"), "c")
+        nxt = nxt.checkpoint() if (r + 1) % checkpoint_every == 0 else nxt.persist()
+        sym.unpersist()
+        sym = nxt
+    sym.unpersist()
+    return spark.createDataFrame(merges, "rank int, left string, right string, count long")
+
+
+def bpe_word(word: str, ranks: dict) -> list[str]:
+    """Apply merges (lowest rank first) to one word."""
+    syms = list(word)
+    while len(syms) > 1:
+        best, best_rank = None, None
+        for x, y in zip(syms, syms[1:]):
+            rk = ranks.get((x, y))
+            if rk is not None and (best_rank is None or rk < best_rank):
+                best, best_rank = (x, y), rk
+        if best is None:
+            break
+        out, i = [], 0
+        while i < len(syms):
+            if i < len(syms) - 1 and (syms[i], syms[i + 1]) == best:
+                out.append(syms[i] + syms[i + 1])
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+    return syms
+
+
+MAX_MERGES_BROADCAST = 1_000_000
+
+
+def bpe_encode(texts: DataFrame, key: str, tokens: str, merges: DataFrame) -> DataFrame:
+    """BPE pieces of every token.  Each **distinct** word is encoded once by an
+    Arrow UDF holding the merge table (its size is the merge count, checked), and
+    the pieces are joined back to the token occurrences.  Returns ``key, pos, token, pieces``."""
+    rows = merges.orderBy("rank").limit(MAX_MERGES_BROADCAST + 1).collect()
+    if len(rows) > MAX_MERGES_BROADCAST:
+        raise ValueError("merge table too large to ship to the executors")
+    ranks = {(r["left"], r["right"]): r["rank"] for r in rows}
+    bc = texts.sparkSession.sparkContext.broadcast(ranks)
+
+    def enc(words: pd.Series) -> pd.Series:
+        table = bc.value
+        return pd.Series([bpe_word(w, table) for w in words])
+
+    udf = pandas_udf(enc, "array<string>")
+    occ = texts.select(key, F.posexplode(tokens).alias("pos", "token"))
+    distinct = occ.select("token").distinct()
+    pieces = distinct.select("token", udf(F.col("token")).alias("pieces"))
+    return occ.join(pieces, "token")

@@ -138,3 +138,23 @@ def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
                       F.size(F.filter(labels, lambda x: x == -100)).alias("n_masked"),
                       F.md5(F.array_join("ids", ",")).alias("ids_digest"))
+
+
+def _bpe_merges(spark: SparkSession, sf_dir: str, num_merges: int = 20) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(T.py_split(F.col("text")).alias("t"))
+    return EN.bpe_train(EN.vocab_counts(d, "t", 3), num_merges)
+
+
+@query("bpe_merges_docs", "D26 D27")
+def bpe_merges_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 byte-pair merges learned from the corpus vocabulary (iterative:
+    rows-only; tests compare with a Python loop)."""
+    return _bpe_merges(spark, sf_dir)
+
+
+@query("bpe_encode_docs", "D27 D28")
+def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded with the learned merges: pieces per document (rows-only)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.py_split(F.col("text")).alias("t"))
+    enc = EN.bpe_encode(d, "doc_id", "t", _bpe_merges(spark, sf_dir))
+    return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.size("pieces")).alias("n_pieces"))
