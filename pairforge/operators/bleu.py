@@ -137,7 +137,11 @@ def ngram_match(stats: DataFrame, group_cols: Sequence[str] = (), weights: Seque
 def _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh, num_prefix="_n", den_prefix="_d"):
     nums = [F.col(f"{num_prefix}{n}").cast("double") for n in range(1, max_n + 1)]
     dens = [F.col(f"{den_prefix}{n}").cast("double") for n in range(1, max_n + 1)]
-    h, r = F.col("_h"), F.col("_r")
+    return _bleu_terms(nums, dens, F.col("_h"), F.col("_r"), weights, smoothing, auto_reweigh)
+
+
+def _bleu_terms(nums, dens, h, r, weights, smoothing, auto_reweigh):
+    max_n = len(weights)
     bp = F.when(h > r, F.lit(1.0)).when(h == 0, F.lit(0.0)).otherwise(F.exp(1.0 - r / h))
     ps = _smooth(smoothing, nums, dens, h)
     s = sum(w * F.log(p) for w, p in zip(weights, ps))
@@ -169,13 +173,49 @@ def weighted_ngram_match(stats: DataFrame, group_cols: Sequence[str] = (), weigh
     return g.select(*group_cols, "n_pairs", _bleu_from_sums(g, max_n, weights, 1, False).alias("score"))
 
 
-# ---------------------------------------------------------------- D8
+# ---------------------------------------------------------------- D8 + D7 methods 5-7
+def _sentence_smooth(method: int, nums, dens, hyp_len, next_prec=None, alpha: float = 5.0, k: int = 5, epsilon: float = 0.1):
+    """Per-sentence smoothing; methods 5-7 look at the sentence's own counts."""
+    if method <= 4:
+        return _smooth(method, nums, dens, hyp_len, epsilon, k)
+    if method == 6:
+        out = [nums[0] / dens[0], nums[1] / dens[1]]
+        for i in range(2, len(nums)):
+            pi0 = F.when(out[i - 2] == 0, F.lit(0.0)).otherwise(out[i - 1] * out[i - 1] / out[i - 2])
+            # numerator = clipped count, l = number of hypothesis grams of this order
+            out.append((nums[i] + alpha * pi0) / (possible(hyp_len, i + 1) + alpha))
+        return out
+    base = [nm / dn for nm, dn in zip(nums, dens)] if method == 5 else _smooth(4, nums, dens, hyp_len, epsilon, k)
+    plus1 = base + [next_prec]
+    out, prev = [], base[0] + 1.0
+    for i in range(len(base)):
+        v = (prev + base[i] + plus1[i + 1]) / 3.0
+        out.append(v)
+        prev = v
+    return out
+
+
+def sentence_score(smoothing: int = 1, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25), auto_reweigh: bool = False) -> Column:
+    """D8 score of one pair as a column over a stats row (``m1..``, ``hyp_len``,
+    ``ref_closest``).  Smoothing methods 5 and 7 also read ``m{len(weights)+1}``."""
+    max_n = len(weights)
+    nums = [F.col(f"m{n}").cast("double") for n in range(1, max_n + 1)]
+    dens = [F.greatest(F.lit(1), possible(F.col("hyp_len"), n)).cast("double") for n in range(1, max_n + 1)]
+    h, r = F.col("hyp_len"), F.col("ref_closest")
+    if smoothing <= 4:
+        return _bleu_terms(nums, dens, h, r, weights, smoothing, auto_reweigh)
+    nxt = None
+    if smoothing in (5, 7):
+        nxt = F.col(f"m{max_n + 1}") / F.greatest(F.lit(1), possible(h, max_n + 1))
+    bp = F.when(h > r, F.lit(1.0)).when(h == 0, F.lit(0.0)).otherwise(F.exp(1.0 - r / h))
+    ps = _sentence_smooth(smoothing, nums, dens, h, nxt)
+    # a zero precision makes the geometric mean 0 (Spark's log(0) would be null)
+    return F.when(nums[0] == 0, F.lit(0.0)).when(F.least(*ps) <= 0, F.lit(0.0)).otherwise(
+        bp * F.exp(sum(w * F.log(p) for w, p in zip(weights, ps))))
+
+
 def sentence_bleu(stats: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25), smoothing: int = 1,
                   auto_reweigh: bool = False) -> DataFrame:
-    """D5 on each pair separately (one score per pair)."""
-    max_n = len(weights)
-    cols = passthrough(stats)
-    s = stats.select(*cols, F.col("hyp_len").alias("_h"), F.col("ref_closest").alias("_r"),
-                     *[F.col(f"m{n}").alias(f"_n{n}") for n in range(1, max_n + 1)],
-                     *[F.greatest(F.lit(1), possible(F.col("hyp_len"), n)).alias(f"_d{n}") for n in range(1, max_n + 1)])
-    return s.select(*cols, _bleu_from_sums(s, max_n, weights, smoothing, auto_reweigh).alias("score"))
+    """D5 on each pair separately (one score per pair).  Smoothing methods 5 and 7
+    need the order len(weights)+1 counts in ``stats`` (``ngram_stats(max_n=5)``)."""
+    return stats.select(*passthrough(stats), sentence_score(smoothing, weights, auto_reweigh).alias("score"))

@@ -198,3 +198,22 @@ def exact_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-match rate (x100) after stripping both sides."""
     out = TM.exact_match_rate(doc_pairs(spark, sf_dir), group_cols=["lang"], rollup=True)
     return _r(out, ["lang", "n_pairs"], ["em"])
+
+
+# ------------------------------------------------------------------ D7 (all eight methods, per sentence)
+_SQL_SENT_METHODS = f"""WITH {O.TURN_PAIRS},
+{O.ngram_stats('turn_pairs', O.split('pred'), O.split('gold'), max_n=5)}
+SELECT count(*) AS n_pairs, {', '.join(f'round(avg({O.sentence_score_sql(m)}), 6) AS score_m{m}' for m in range(8))}
+FROM stats"""
+
+
+@query("sentence_smoothing_turns", "D7 D8", _SQL_SENT_METHODS)
+def sentence_smoothing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean sentence-level n-gram match of turn pairs under smoothing methods 0-7."""
+    p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
+                                         F.array(T.py_split(F.col("gold"))).alias("refs"))
+    st = ngram_stats(p, max_n=5, single_ref=True)
+    # all eight scores are projections of the same per-pair row
+    per = st.select(*[B.sentence_score(m).alias(f"score_m{m}") for m in range(8)])
+    out = per.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"score_m{m}").alias(f"score_m{m}") for m in range(8)])
+    return _r(out, ["n_pairs"], [f"score_m{m}" for m in range(8)])

@@ -76,3 +76,15 @@ def test_empty_prediction_counts_zero(spark):
     df = spark.createDataFrame([(1, "", "a b")], "pair_id int, pred string, gold string")
     r = _stats(df).first()
     assert (r.hyp_len, r.m1, r.ref_min) == (0, 0, 2)
+
+
+def test_sentence_smoothing_methods(spark):
+    """The eight smoothing methods on the classic guide-to-action sentence pair."""
+    hyp = "It is a guide to action which ensures that the military always obeys the commands of the party"
+    ref = "It is a guide to action that ensures that the military will forever heed Party commands"
+    df = spark.createDataFrame([(1, hyp, ref)], "pair_id int, pred string, gold string")
+    st = _stats(df, max_n=5)
+    expected = [0.4118, 0.4118, 0.4489, 0.4118, 0.4118, 0.4905, 0.4135, 0.4905]
+    # the published values are printed prefixes (truncated, not rounded)
+    got = [int(B.sentence_bleu(st, smoothing=m).first().score * 10000) / 10000 for m in range(8)]
+    assert got == expected
