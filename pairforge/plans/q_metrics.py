@@ -144,7 +144,7 @@ def sentence_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
                                          F.array(T.py_split(F.col("gold"))).alias("refs"))
     out = B.sentence_bleu(ngram_stats(p, single_ref=True))
-    return _r(out, ["pair_id", "hyp_len"], ["score"])
+    return _r(out.withColumn("hyp_len", F.col("hyp_len").cast("long")), ["pair_id", "hyp_len"], ["score"])
 
 
 # ------------------------------------------------------------------ D10

@@ -60,8 +60,8 @@ def pair_styles_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for style in "abcdef":
         p = P.build_pairs(tr, style)
-        parts.append(p.select("conv_id", "turn", F.lit(style).alias("style"), F.length("source").alias("source_len"),
-                              F.length("target").alias("target_len"),
+        parts.append(p.select("conv_id", "turn", F.lit(style).alias("style"), F.length("source").cast("long").alias("source_len"),
+                              F.length("target").cast("long").alias("target_len"),
                               F.md5(F.concat("source", F.lit("\u0001"), "target")).alias("digest")))
     out = parts[0]
     for p in parts[1:]:
@@ -92,7 +92,7 @@ def length_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = doc_pairs(spark, sf_dir).select("lang", F.col("gold").alias("source"), F.col("pred").alias("target"))
     out = P.length_stats(p, group_cols=["lang"], rollup=True)
     return out.select("lang", "n", F.round("avg_src_len", R6).alias("avg_src_len"), F.round("avg_trg_len", R6).alias("avg_trg_len"),
-                      F.col("max_src_len").cast("int").alias("max_src_len"), F.col("max_trg_len").cast("int").alias("max_trg_len"))
+                      F.col("max_src_len").cast("long").alias("max_src_len"), F.col("max_trg_len").cast("long").alias("max_trg_len"))
 
 
 def punct_tokens(c):
@@ -120,7 +120,7 @@ def length_stats_collated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collated length statistics of turn triples with a pluggable tokenizer."""
     out = P.length_stats_collated(turn_triples(spark, sf_dir), punct_tokens)
     fl = [c for c, t in out.dtypes if t == "double"]
-    return out.select(*[F.round(c, R6).alias(c) if c in fl else F.col(c).cast("int").alias(c) if c.startswith("max") else F.col(c)
+    return out.select(*[F.round(c, R6).alias(c) if c in fl else F.col(c).cast("long").alias(c) if c.startswith("max") else F.col(c)
                         for c in out.columns])
 
 
@@ -170,9 +170,10 @@ def text_normalization_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitespace split / collapse / strip and the NIST tokenisation of every document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     nist = T.nist_normalize(T.split_puncts(F.lower(T.py_strip(F.col("text")))))
-    return d.select("doc_id", F.size(T.py_split(F.col("text"))).alias("n_ws_tokens"),
+    return d.select("doc_id", F.size(T.py_split(F.col("text"))).cast("long").alias("n_ws_tokens"),
                     F.md5(T.collapse_ws(F.col("text"))).alias("collapsed_digest"),
-                    F.length(T.py_strip(F.col("text"))).alias("stripped_len"), F.size(nist).alias("n_nist_tokens"),
+                    F.length(T.py_strip(F.col("text"))).cast("long").alias("stripped_len"),
+                    F.size(nist).cast("long").alias("n_nist_tokens"),
                     F.md5(F.array_join(nist, " ")).alias("nist_digest"))
 
 
@@ -194,7 +195,7 @@ SELECT doc_id, length(code) AS code_len, md5(code) AS code_digest FROM s"""
 def strip_comments_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-like comment removal over documents with planted line and block comments."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.strip_comments(plant_comments(F.col("text"))).alias("code"))
-    return d.select("doc_id", F.length("code").alias("code_len"), F.md5("code").alias("code_digest"))
+    return d.select("doc_id", F.length("code").cast("long").alias("code_len"), F.md5("code").alias("code_digest"))
 
 
 def plant_indent_markers(c):
@@ -216,7 +217,7 @@ SELECT doc_id, length(code) AS code_len, md5(code) AS code_digest FROM r"""
 def restore_indentation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indentation restored from NEW_LINE / INDENT / DEDENT markers planted in documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.restore_indentation(plant_indent_markers(F.col("text"))).alias("code"))
-    return d.select("doc_id", F.length("code").alias("code_len"), F.md5("code").alias("code_digest"))
+    return d.select("doc_id", F.length("code").cast("long").alias("code_len"), F.md5("code").alias("code_digest"))
 
 
 # ------------------------------------------------------------------ F4 / F5 / F2 / F3 / F1
@@ -340,7 +341,7 @@ k AS (SELECT doc_id, pos, tok, CASE WHEN tok IN ({_KW_SQL}) THEN ''
              WHEN regexp_full_match(tok, '0|[1-9][0-9_]*[lL]?') THEN 'DECIMALINTEGER'
              WHEN regexp_full_match(tok, '[\\pL_$][\\pL\\pN_$]*') THEN 'IDENTIFIER' ELSE '' END AS kind FROM t),
 c AS (SELECT *, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS cnt FROM k)
-SELECT doc_id, count(*) AS n_tokens, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END) AS n_abstracted,
+SELECT doc_id, count(*) AS n_tokens, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END)::BIGINT AS n_abstracted,
        md5(string_agg(CASE WHEN kind <> '' THEN kind || '_' || cnt::VARCHAR ELSE tok END, ' ' ORDER BY pos)) AS digest
 FROM c GROUP BY doc_id"""
 

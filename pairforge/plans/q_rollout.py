@@ -50,7 +50,7 @@ r6 AS (SELECT *, list_transform(adv, lambda x: (x - am) / sqrt(avar + 1e-8)) AS
 
 
 _ADV_SQL = f"""WITH {ROLLOUT_CTES}
-SELECT vec_id, eos_pos, round(list_sum(rew), 6) AS reward_sum, round(adv[1], 6) AS adv_first,
+SELECT vec_id, eos_pos::BIGINT AS eos_pos, round(list_sum(rew), 6) AS reward_sum, round(adv[1], 6) AS adv_first,
        round(ret[1], 6) AS return_first, round(wadv[1], 6) AS whitened_first FROM r6"""
 
 
@@ -98,7 +98,7 @@ _STEP_SQL = f"""WITH {ROLLOUT_CTES},
 t AS (SELECT *, CASE WHEN list_contains(ids, 2) THEN list_position(ids, 2) ELSE 1 END AS curr_len FROM r2)
 SELECT count(*) AS n_seqs, round(abs(avg(list_sum(list_transform(range(1, curr_len + 1), lambda i: olp[i] - ref[i])))), 6) AS kl,
        round(avg(list_sum(list_transform(olp[1:curr_len], lambda x: -x))), 6) AS entropy,
-       round(avg(list_sum(nsr[1:curr_len])), 6) AS mean_non_score_reward, 100.0 AS kl_coef FROM t"""
+       round(avg(list_sum(nsr[1:curr_len])), 6) AS mean_non_score_reward, 100.0::DOUBLE AS kl_coef FROM t"""
 
 
 @query("step_stats_embeddings", "E5 I9 I5", _STEP_SQL)
@@ -134,4 +134,4 @@ def stack_padded_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts cut at their EOS, padded with ones to the longest of their label group."""
     r = rollouts(spark, sf_dir).select("vec_id", "label", A.truncate_at("old_logprobs", F.col("eos_pos")).alias("a"))
     out = RL.stack_padded(r, "a", "label")
-    return out.select("vec_id", F.size("a").alias("padded_len"), F.round(RL._sum("a"), R6).alias("padded_sum"))
+    return out.select("vec_id", F.size("a").cast("long").alias("padded_len"), F.round(RL._sum("a"), R6).alias("padded_sum"))

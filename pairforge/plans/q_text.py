@@ -40,7 +40,7 @@ def batch_requests_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat batch request per document (JSON text)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     r = J.build_batch_requests(d, "doc_id", F.lit("Write unit tests for the method."), F.col("text"), "gpt-4o-mini")
-    return r.select("doc_id", F.length("request").alias("request_len"), F.md5("request").alias("request_digest"))
+    return r.select("doc_id", F.length("request").cast("long").alias("request_len"), F.md5("request").alias("request_digest"))
 
 
 _RES_SQL = """SELECT 'request-' || conv_id::VARCHAR || '-' || turn::VARCHAR AS custom_id, md5(text) AS content_digest
@@ -134,9 +134,9 @@ def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = EN.build_vocab(EN.vocab_counts(d, "t", 3))
     enc = EN.encode(d, "doc_id", "t", vocab, 512)
     labels = A.mask_labels("ids")
-    return enc.select("doc_id", A.gen_len("ids").alias("gen_len"),
+    return enc.select("doc_id", A.gen_len("ids").cast("long").alias("gen_len"),
                       F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
-                      F.size(F.filter(labels, lambda x: x == -100)).alias("n_masked"),
+                      F.size(F.filter(labels, lambda x: x == -100)).cast("long").alias("n_masked"),
                       F.md5(F.array_join("ids", ",")).alias("ids_digest"))
 
 
