@@ -90,6 +90,8 @@ def ngram_stats(
     df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"))
     if partition:
         df = df.repartition(key)
+    if single_ref:
+        return _single_ref_stats(df, key, list(extra), max_n, keywords)
     hl = F.size("_hyp")
     lens = F.transform("_refs", lambda r: F.size(r))
     closest = F.array_min(F.transform(lens, lambda r: F.struct(F.abs(r - hl).alias("d"), r.alias("r"))))["r"]
@@ -109,14 +111,8 @@ def ngram_stats(
     # Side k = -1 is the hypothesis, k >= 0 the references.
     sides = df.select(key, (F.posexplode(F.concat(F.array(F.col("_hyp")), F.col("_refs")))).alias("_k", "_t"))
     ex = explode_grams(sides.select(key, (F.col("_k") - 1).alias("k"), "_t"), key, "k", "_t", max_n)
-    if single_ref:
-        # one reference per pair: a single hash aggregate per (pair, n, gram)
-        per_gram = ex.groupBy(key, "n", "g").agg(
-            F.count_if(F.col("k") < 0).alias("hc"), F.count_if(F.col("k") >= 0).alias("rc")).select(
-            key, "n", "g", F.least("hc", "rc").alias("clip"), F.least("hc", "rc").alias("rmin"))
-    else:
-        lvl1 = ex.groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
-        per_gram = _reduce_refs(lvl1.groupBy(key, "n", "g"), key)
+    lvl1 = ex.groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
+    per_gram = _reduce_refs(lvl1.groupBy(key, "n", "g"), key)
     counts = per_gram.groupBy(key).agg(*_gram_aggs(max_n, keywords))
     meta_names = list(extra) + ["hyp_len", "ref_min", "ref_closest", "n_refs"] + [f"rden{n}" for n in range(1, max_n + 1)] + \
         [f"rposs{n}" for n in range(1, max_n + 1)] + \
@@ -130,6 +126,47 @@ def ngram_stats(
     return out.fillna(zeros).select(key, *meta_names, *_count_cols(max_n, keywords))
 
 
+def _single_ref_stats(df: DataFrame, key: str, extra: list[str], max_n: int, keywords) -> DataFrame:
+    """One reference per pair: everything, lengths included, comes out of one chain of
+    hash aggregates over the exploded grams - the pairs are read and shuffled once.
+
+    Every side also emits one sentinel row (order 0) so a pair with empty texts
+    still appears; per-pair columns (``extra``) ride along as grouping keys."""
+    sides = df.select(key, *extra, F.posexplode(F.concat(F.array(F.col("_hyp")), F.slice("_refs", 1, 1))).alias("_k", "_t"))
+    pos = sides.select(key, *extra, (F.col("_k") - 1).alias("k"), "_t", F.posexplode_outer("_t").alias("_i", "_w"))
+    size = F.size("_t")
+    grams = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.when(F.col("_i") + n <= size,
+                                              F.concat_ws(" ", *[F.col("_t")[F.col("_i") + j] for j in range(n)])).alias("g"))
+        for n in range(1, max_n + 1)])
+    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g")))
+    per_pos = F.when(F.col("_i").isNull(), sentinel).otherwise(grams)
+    ex = pos.select(key, *extra, "k", F.explode(per_pos).alias("_x")).select(
+        key, *extra, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), "k").filter(F.col("g").isNotNull())
+    real = F.col("n") > 0
+    per_gram = ex.groupBy(key, *extra, "n", "g").agg(F.count_if(real & (F.col("k") < 0)).alias("hc"),
+                                                     F.count_if(real & (F.col("k") >= 0)).alias("rc"))
+    clip = F.least("hc", "rc")
+    aggs = [F.sum(F.when(F.col("n") == 1, F.col("hc")).otherwise(0)).cast("int").alias("hyp_len"),
+            F.sum(F.when(F.col("n") == 1, F.col("rc")).otherwise(0)).cast("int").alias("_rl")]
+    aggs += [F.sum(F.when(F.col("n") == n, clip).otherwise(0)).cast("long").alias(f"m{n}") for n in range(1, max_n + 1)]
+    if keywords is not None:
+        w = keyword_weight(F.col("g"), keywords)
+        aggs += [F.sum(F.when(F.col("n") == 1, clip * w).otherwise(0.0)).alias("wrm1"),
+                 F.sum(F.when(F.col("n") == 1, F.col("rc") * w).otherwise(0.0)).alias("_wr")]
+    out = per_gram.groupBy(key, *extra).agg(*aggs)
+    rl = F.col("_rl")
+    cols = [key, *extra, "hyp_len", rl.alias("ref_min"), rl.alias("ref_closest"), F.lit(1).alias("n_refs")]
+    cols += [F.greatest(F.lit(1), possible(rl, n)).cast("long").alias(f"rden{n}") for n in range(1, max_n + 1)]
+    cols += [possible(rl, n).cast("long").alias(f"rposs{n}") for n in range(1, max_n + 1)]
+    if keywords is not None:
+        cols.append(F.greatest(F.lit(1.0), F.col("_wr")).alias("wden1"))
+    cols += [f"m{n}" for n in range(1, max_n + 1)] + [F.col(f"m{n}").alias(f"rm{n}") for n in range(1, max_n + 1)]
+    if keywords is not None:
+        cols.append("wrm1")
+    return out.select(*cols)
+
+
 def explode_grams(df: DataFrame, key: str, k: str, tokens: str, max_n: int) -> DataFrame:
     """Rows ``(key, n, g, k)``: every gram of orders 1..max_n of each token array.
 
