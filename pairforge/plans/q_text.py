@@ -158,3 +158,49 @@ def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.py_split(F.col("text")).alias("t"))
     enc = EN.bpe_encode(d, "doc_id", "t", _bpe_merges(spark, sf_dir))
     return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.size("pieces")).alias("n_pieces"))
+
+
+_ELAPSED_SQL = """WITH s AS (SELECT user_id AS run, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs FROM events GROUP BY user_id)
+SELECT run, CASE WHEN secs > 3600 THEN floor(secs / 3600)::BIGINT::VARCHAR || 'h' || floor((secs % 3600) / 60)::BIGINT::VARCHAR || 'm'
+                 ELSE floor((secs % 3600) / 60)::BIGINT::VARCHAR || 'm' END AS elapsed FROM s"""
+
+
+@query("elapsed_text_events", "H21", _ELAPSED_SQL)
+def elapsed_text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run time of every user's event stream as ``{h}h{m}m`` text."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(
+        ((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6).alias("secs"))
+    return e.select("run", T.elapsed_text(F.col("secs")).alias("elapsed"))
+
+
+_WRAP_SQL = """SELECT conv_id, turn, md5('public class Template {' || chr(10) || replace(text, chr(9), ' ') || chr(10) || '}') AS digest
+FROM conversations WHERE role = 'assistant'"""
+
+
+@query("wrap_class_turns", "H22 H23", _WRAP_SQL)
+def wrap_class_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns, tabs as spaces, wrapped in a template class."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.md5(T.wrap_class(T.tabs_to_spaces(F.col("text")))).alias("digest"))
+
+
+_COLLATE_SQL = f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) - 1 + 4 AS id FROM (
+    SELECT token, count(*) AS c FROM (SELECT unnest({O.split('text')}) AS token FROM documents) GROUP BY token HAVING count(*) >= 3)),
+t AS (SELECT doc_id, unnest({O.split('text')}[1:64]) AS token, generate_subscripts({O.split('text')}[1:64], 1) AS pos FROM documents),
+e AS (SELECT t.doc_id, count(*) AS n FROM t GROUP BY t.doc_id),
+b AS (SELECT d.doc_id, d.doc_id // 8 AS batch, coalesce(e.n, 0) AS n FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id),
+m AS (SELECT batch, max(n) AS mx FROM b GROUP BY batch)
+SELECT b.doc_id, b.batch, m.mx::BIGINT AS padded_len, b.n::BIGINT AS attention FROM b JOIN m USING (batch)"""
+
+
+@query("collate_batches_docs", "K8 H13 H12", _COLLATE_SQL)
+def collate_batches_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id arrays (first 64 tokens) padded to the longest of their batch of 8, with attention masks."""
+    from pairforge.registry import collate_batch
+    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(T.py_split(F.col("text")), 1, 64).alias("t"))
+    vocab = EN.build_vocab(EN.vocab_counts(table(spark, sf_dir, "documents").select(T.py_split(F.col("text")).alias("t")), "t", 3))
+    enc = EN.encode(d, "doc_id", "t", vocab, 64, add_eos=False)
+    enc = enc.select("doc_id", F.filter("ids", lambda x: x != EN.PAD).alias("ids"), (F.col("doc_id") / 8).cast("long").alias("batch"))
+    out = collate_batch(enc, "batch", "ids", EN.PAD)
+    return out.select("doc_id", "batch", F.size("ids").cast("long").alias("padded_len"),
+                      F.aggregate(A.attention_mask("ids"), F.lit(0).cast("long"), lambda a, x: a + x).alias("attention"))
