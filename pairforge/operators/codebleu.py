@@ -42,8 +42,9 @@ def normalize_dataflow(items: DataFrame, key: str = "pair_id", side: str = "side
     """Rename variables ``var_i`` in order of first appearance, where an item's
     parents come before its own variable.  Output rows carry ``norm`` = the
     normalised (var, rel, parents) as one comparable string."""
-    slots = items.select(key, side, "item_no", F.posexplode(F.concat("par_vars", F.array("var"))).alias("slot", "name"))
-    first = slots.groupBy(key, side, "name").agg(F.min(F.struct("item_no", "slot")).alias("_o"))
+    # F8: items are taken in token-position order
+    slots = items.select(key, side, "item_no", "pos", F.posexplode(F.concat("par_vars", F.array("var"))).alias("slot", "name"))
+    first = slots.groupBy(key, side, "name").agg(F.min(F.struct("pos", "slot")).alias("_o"))
     w = Window.partitionBy(key, side).orderBy("_o")
     names = first.withColumn("vid", F.concat(F.lit("var_"), (F.row_number().over(w) - 1).cast("string")))
     named = slots.join(names.select(key, side, "name", "vid"), [key, side, "name"])

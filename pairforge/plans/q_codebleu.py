@@ -95,7 +95,7 @@ _DF_SQL = f"""WITH {DATAFLOW_CTES}
 SELECT matched, total, round(CASE WHEN total > 0 THEN matched / total ELSE 0.0 END, 6) AS score FROM dfm"""
 
 
-@query("dataflow_match_pages", "E8 E10 C9", _DF_SQL)
+@query("dataflow_match_pages", "E8 E10 F8 G4 C9", _DF_SQL)
 def dataflow_match_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-flow match of link chains after pruning/merging and variable normalisation."""
     items = CB.prune_merge_dataflow(page_dataflow(spark, sf_dir))

@@ -51,7 +51,7 @@ _SQL_SMOOTH_TURNS = f"""WITH {O.TURN_PAIRS},
 {O.smooth_bleu_select('stats')}"""
 
 
-@query("smooth_bleu_turns", "H2 H3 H4 D4", _SQL_SMOOTH_TURNS)
+@query("smooth_bleu_turns", "H2 H3 H4 C11 D4", _SQL_SMOOTH_TURNS)
 def smooth_bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed sentence BLEU (macro mean x100, plus p1..p4) of assistant turn t+1 vs user turn t."""
     p = turn_pairs(spark, sf_dir).select("pair_id", nist_tokens(F.col("pred")).alias("hyp"),
@@ -121,7 +121,7 @@ _SQL_WEIGHTED = f"""WITH {O.DOC_PAIRS},
 {O.weighted_match_select('stats', 'lang', rollup=True)}"""
 
 
-@query("weighted_ngram_match_by_lang", "H25 D6", _SQL_WEIGHTED)
+@query("weighted_ngram_match_by_lang", "H25 C10 D6", _SQL_WEIGHTED)
 def weighted_ngram_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-weighted n-gram recall (Java keyword list) per language and in total."""
     p = doc_pairs(spark, sf_dir).select(
@@ -207,7 +207,7 @@ SELECT count(*) AS n_pairs, {', '.join(f'round(avg({O.sentence_score_sql(m)}), 6
 FROM stats"""
 
 
-@query("sentence_smoothing_turns", "D7 D8", _SQL_SENT_METHODS)
+@query("sentence_smoothing_turns", "D7 D8 K6", _SQL_SENT_METHODS)
 def sentence_smoothing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean sentence-level n-gram match of turn pairs under smoothing methods 0-7."""
     p = turn_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("pred")).alias("hyp"),

@@ -53,7 +53,7 @@ SELECT n, tp, fp, fn, round(pr, 6) AS precision, round(rc, 6) AS recall,
        round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS f1 FROM q"""
 
 
-@query("threshold_prf_embeddings", "H17 B14 D14", _THRESH_SQL)
+@query("threshold_prf_embeddings", "H17 H26 B14 D14", _THRESH_SQL)
 def threshold_prf_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-class head: softmax of the first two values, class 1 when its probability > 0.5;
     truth is ``label >= 5``."""

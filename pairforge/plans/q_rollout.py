@@ -84,7 +84,7 @@ SELECT count(*) AS n_seqs, round(avg(pg_loss), 6) AS pg_loss, round(avg(vf_loss)
        round(1 - avg(val_error) / avg(return_var), 6) AS var_explained FROM s"""
 
 
-@query("ppo_losses_embeddings", "I3 I4 I5", _PPO_SQL)
+@query("ppo_losses_embeddings", "I3 I4 I5 H16", _PPO_SQL)
 def ppo_losses_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipped PPO policy/value losses and diagnostics averaged over rollouts."""
     r = rollouts(spark, sf_dir)

@@ -83,7 +83,7 @@ _D18_SQL = """SELECT user_id AS repo, count(*) AS n_refactorings, count(*) > 0 A
 FROM events WHERE event_type = 'purchase' GROUP BY user_id"""
 
 
-@query("refactorings_per_repo_events", "B2 D18", _D18_SQL)
+@query("refactorings_per_repo_events", "B2 D18 K5", _D18_SQL)
 def refactorings_per_repo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one type counted per repository (user)."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("type"))
@@ -204,3 +204,34 @@ def collate_batches_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = collate_batch(enc, "batch", "ids", EN.PAD)
     return out.select("doc_id", "batch", F.size("ids").cast("long").alias("padded_len"),
                       F.aggregate(A.attention_mask("ids"), F.lit(0).cast("long"), lambda a, x: a + x).alias("attention"))
+
+
+_CLONE_SQL = """WITH i AS (SELECT doc_id AS url1, doc_id + 1 AS url2, quality AS label FROM labels)
+SELECT i.url1, i.url2, md5(a.text) AS source_digest, md5(b.text) AS target_digest, i.label
+FROM i JOIN documents a ON a.doc_id = i.url1 JOIN documents b ON b.doc_id = i.url2"""
+
+
+@query("clone_pairs_labels", "A10 C2", _CLONE_SQL)
+def clone_pairs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clone-detection pairs: each labelled document against the next id, both looked up
+    in the code table and kept only when both exist."""
+    from pairforge.sources.readers import clone_pairs
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("url1"), (F.col("doc_id") + 1).alias("url2"),
+                                                 F.col("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("func"))
+    out = clone_pairs(lab, docs)
+    return out.select("url1", "url2", F.md5("source").alias("source_digest"), F.md5("target").alias("target_digest"), "label")
+
+
+_UNION_SQL = """WITH u AS (SELECT 0 AS file_no, text FROM documents UNION ALL SELECT 1, text FROM benchmark
+                  UNION ALL SELECT 2, text FROM conversations)
+SELECT file_no, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM u GROUP BY file_no"""
+
+
+@query("merged_corpus", "G1 A4", _UNION_SQL)
+def merged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three text sources concatenated (UNION ALL, source number kept) and summarised."""
+    parts = [table(spark, sf_dir, t).select(F.lit(i).alias("file_no"), "text")
+             for i, t in enumerate(("documents", "benchmark", "conversations"))]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).cast("long").alias("n_chars"))

@@ -121,11 +121,8 @@ def read_clone_pairs(spark: SparkSession, index_path: str, data_path: str, limit
     """TSV (url1, url2, label) looked up twice in the code table; a pair is
     kept only if both ids exist; ``limit`` applies after that filter."""
     idx = spark.read.option("sep", "\t").schema("url1 string, url2 string, label string").csv(index_path)
-    data = read_jsonl(spark, data_path, CLONE_DATA_SCHEMA, keep_corrupt=False)
-    a = data.select(F.col("idx").alias("url1"), F.col("func").alias("source"))
-    b = data.select(F.col("idx").alias("url2"), F.col("func").alias("target"))
-    j = idx.join(a, "url1").join(b, "url2").select("url1", "url2", "source", "target", text_to_label(F.col("label")).alias("label"))
-    return j.orderBy("url1", "url2").limit(limit) if limit >= 0 else j
+    idx = idx.select("url1", "url2", text_to_label(F.col("label")).alias("label"))
+    return clone_pairs(idx, read_jsonl(spark, data_path, CLONE_DATA_SCHEMA, keep_corrupt=False), limit)
 
 
 def read_pred_gold(spark: SparkSession, pred_path: str, gold_path: str) -> tuple[DataFrame, DataFrame]:
@@ -181,3 +178,12 @@ def reader_for(task: str) -> Callable[..., DataFrame]:
 
 def fixed_label(c) -> Column:
     return text_to_label(c)
+
+
+def clone_pairs(index: DataFrame, data: DataFrame, limit: int = -1, id_col: str = "idx", code: str = "func") -> DataFrame:
+    """C2 on DataFrames: (url1, url2, label) looked up twice in (id, code); kept only when
+    both ids exist; ``limit`` (in id order) after that filter."""
+    a = data.select(F.col(id_col).alias("url1"), F.col(code).alias("source"))
+    b = data.select(F.col(id_col).alias("url2"), F.col(code).alias("target"))
+    j = index.join(a, "url1").join(b, "url2").select("url1", "url2", "source", "target", "label")
+    return j.orderBy("url1", "url2").limit(limit) if limit >= 0 else j

@@ -78,3 +78,34 @@ def test_stream_collate_exactly_once(spark, tmp):
     ST.stream_collate(spark, src, out, ck).awaitTermination(120)
     ST.stream_collate(spark, src, out, ck).awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_running_error_stream(spark, tmp):
+    src, ck = os.path.join(tmp, "logs"), os.path.join(tmp, "ck2")
+    spark.createDataFrame([("r1", 2, 10), ("r2", 0, 5)], "run string, errors long, seen long").write.parquet(os.path.join(src, "b1"))
+    q = ST.start_running_error(spark, os.path.join(src, "*"), "run string, errors long, seen long", "err_rates", ck)
+    q.awaitTermination(120)
+    got = {r.run: r.error_rate for r in spark.table("err_rates").collect()}
+    assert got == {"r1": 0.2, "r2": 0.0}
+
+
+def test_other_sinks(spark, tmp):
+    df = spark.createDataFrame([("a\tb", "g", "f"), ("x", "y", "z")], "ss string, gt string, ft string")
+    W.write_comparison_csv(df, os.path.join(tmp, "cmp"))
+    back = spark.read.option("header", True).csv(os.path.join(tmp, "cmp")).orderBy("gt").collect()
+    assert back[0].ss == "a b"
+    log = spark.createDataFrame([(1, 0.5)], "step long, reward double")
+    W.append_table(log, os.path.join(tmp, "log"))
+    W.append_table(log, os.path.join(tmp, "log"))
+    assert spark.read.parquet(os.path.join(tmp, "log")).count() == 2
+    res = spark.createDataFrame([(0, "o/a"), (1, "o/b"), (0, "o/c")], "result int, name string")
+    summary = {r.result: r.n for r in W.write_job_results(res, os.path.join(tmp, "jobs")).collect()}
+    assert summary == {0: 2, 1: 1}
+    assert W.feature_cache_key("train", only_src=True, all_data=False, n=100) == "train_src_100"
+
+
+def test_row_function_udf(spark):
+    from pairforge.registry import row_function
+    f = row_function(lambda a, b: f"{a}-{b}", "string")
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, b int")
+    assert sorted(r.o for r in df.select(f("a", "b").alias("o")).collect()) == ["x-1", "y-2"]
