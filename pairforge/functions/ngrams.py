@@ -38,14 +38,3 @@ def ngram_tuples(tokens: Column, n: int, **pad) -> Column:
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array(*[t[i + j] for j in range(n)]))).otherwise(
         F.array().cast("array<array<string>>")
     )
-
-
-def tagged_grams(tokens: Column, max_n: int, tag) -> Column:
-    """All grams of orders 1..max_n as ``struct(k, n, g)`` with side/reference tag ``k``."""
-    tag = tag if isinstance(tag, Column) else F.lit(tag)
-    def tagger(n):
-        # a one-argument lambda: F.transform passes the index to two-argument ones
-        return lambda g: F.struct(tag.cast("int").alias("k"), F.lit(n).alias("n"), g.alias("g"))
-
-    parts = [F.transform(ngram_array(tokens, n), tagger(n)) for n in range(1, max_n + 1)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]

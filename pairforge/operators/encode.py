@@ -33,19 +33,18 @@ def build_vocab(counts: DataFrame, first_id: int = N_SPECIAL) -> DataFrame:
 
 def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int = 512, add_eos: bool = True) -> DataFrame:
     """Ids (unknown -> UNK), cut to leave room for EOS, EOS appended, PAD to ``max_len``."""
-    t = texts.select(key, F.posexplode(tokens).alias("pos", "token"))
+    # posexplode_outer keeps texts without tokens (one null row, not collected below)
+    t = texts.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
     j = t.join(vocab.select("token", F.col("id").alias("_vid")), "token", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_vid", F.lit(UNK)).alias("id")))).alias("_s"))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_vid", F.lit(UNK)).alias("id")))
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
     ids = F.transform("_s", lambda x: x["id"].cast("int"))
     room = max_len - (1 if add_eos else 0)
     ids = F.slice(ids, 1, room)
     if add_eos:
         ids = F.concat(ids, F.array(F.lit(EOS)))
     ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids)))
-    enc = g.select(key, ids.alias("ids"))
-    empty = F.concat(F.array(F.lit(EOS)) if add_eos else F.array().cast("array<int>"),
-                     F.array_repeat(F.lit(PAD), max_len - (1 if add_eos else 0)))
-    return texts.select(key).join(enc, key, "left").select(key, F.coalesce("ids", empty).alias("ids"))
+    return g.select(key, ids.alias("ids"))
 
 
 # ---------------------------------------------------------------- D27 / D28 (re-aimed BPE)
