@@ -159,3 +159,26 @@ def length_stats_collated(triples: DataFrame, tokenizer: Tokenizer, max_len: int
 def replace_literals(c) -> Column:
     """Blank out string and char literals (kept as empty quotes) before structure checks."""
     return F.regexp_replace(_c(c), r"\"(?:\\\\.|[^\\\\\"])*+\"|'(?:\\\\.|[^\\\\'])*+'", "\"\"")
+
+
+# ---------------------------------------------------------------- H24
+def split_task(cur_task) -> Column:
+    """``task_subtask`` -> struct(task = text before the first '_', sub_task = after the last '_')."""
+    parts = F.split(_c(cur_task), "_")
+    return F.struct(F.get(parts, 0).alias("task"), F.element_at(parts, -1).alias("sub_task"))
+
+
+def max_target_length(task, sub_task) -> Column:
+    """Maximum target length by task (fixed values of the multi-task setup)."""
+    t, s = _c(task), _c(sub_task)
+    return (F.when(t == "summarize", 128).when(t == "translate", 256)
+            .when((t == "refine") & (s == "small"), 120).when(t == "refine", 240)
+            .when(t == "concode", 150).when(t == "defect", 3))
+
+
+def batch_size_for(task, sub_task, model_tag: str) -> Column:
+    """Batch size by task and model size (fixed values of the multi-task setup)."""
+    t, s = _c(task), _c(sub_task)
+    if "codet5_small" in model_tag:
+        return F.when((t == "summarize") | (t == "translate") | ((t == "refine") & (s == "small")), 64).otherwise(32)
+    return F.when(t == "translate", 25).when(t == "summarize", 40).otherwise(28)

@@ -80,3 +80,14 @@ def test_registry_callbacks(spark):
     assert (row.acc, row.f1) == (0.6667, 0.6667)
     out = K.batched_map(df, lambda b: b.assign(s=b.label + b.pred), "label int, pred int, s long").agg(F.sum("s")).first()[0]
     assert out == 3
+
+
+def test_task_helpers(spark):
+    from pairforge.operators import prepare as P
+    df = spark.createDataFrame([("refine_small",), ("translate_java-cs",), ("defect_none",)], "t string")
+    s = P.split_task("t")
+    rows = df.select(s["task"].alias("task"), s["sub_task"].alias("sub"),
+                     P.max_target_length(s["task"], s["sub_task"]).alias("mx"),
+                     P.batch_size_for(s["task"], s["sub_task"], "codet5_small").alias("bs")).collect()
+    assert [(r.task, r.sub, r.mx, r.bs) for r in rows] == [("refine", "small", 120, 64), ("translate", "java-cs", 256, 64),
+                                                           ("defect", "none", 3, 32)]
