@@ -79,6 +79,7 @@ def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", coun
     ensure_checkpoint_dir(spark)
     sym = word_counts.select(F.filter(F.split(F.col(word), ""), lambda x: x != "").alias("syms"), F.col(count).alias("c"))
     sym = sym.filter(F.size("syms") > 0).persist()
+    prev = None
     merges = []
     for r in range(num_merges):
         pairs = sym.select(F.explode(F.zip_with(F.slice("syms", 1, F.greatest(F.size("syms") - 1, F.lit(0))),
@@ -93,9 +94,15 @@ def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", coun
         contains = F.exists(F.zip_with(F.slice("syms", 1, F.greatest(F.size("syms") - 1, F.lit(0))), F.slice("syms", 2, F.size("syms")),
                                        lambda x, y: (x == a) & (y == b)), lambda z: z)
         nxt = sym.select(F.when(contains, _merge_pair(F.col("syms"), a, b)).otherwise(F.col("syms")).alias("syms"), "c")
-        nxt = nxt.checkpoint() if (r + 1) % checkpoint_every == 0 else nxt.persist()
-        sym.unpersist()
-        sym = nxt
+        if (r + 1) % checkpoint_every == 0:
+            nxt = nxt.checkpoint()  # reliable: written to the shared checkpoint folder
+        else:
+            nxt = nxt.persist()  # filled by the next round's aggregation
+        if prev is not None:
+            prev.unpersist()  # nxt's parent (sym) stays cached until nxt is built
+        prev, sym = sym, nxt
+    if prev is not None:
+        prev.unpersist()
     sym.unpersist()
     return spark.createDataFrame(merges, "rank int, left string, right string, count long")
 

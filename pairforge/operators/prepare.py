@@ -182,3 +182,21 @@ def batch_size_for(task, sub_task, model_tag: str) -> Column:
     if "codet5_small" in model_tag:
         return F.when((t == "summarize") | (t == "translate") | ((t == "refine") & (s == "small")), 64).otherwise(32)
     return F.when(t == "translate", 25).when(t == "summarize", 40).otherwise(28)
+
+
+def restore_indentation_df(df: DataFrame, key: str, text: str, out: str = "code") -> DataFrame:
+    """E1 over whole texts: lines exploded with their position, the running depth as a
+    window over one text's own lines, and the lines reassembled in order (linear in
+    the number of lines, unlike the array form)."""
+    from pyspark.sql import Window
+    from pairforge.functions.text import WS, py_strip
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "NEW_LINE")).alias("pos", "_l"))
+    ln = py_strip(F.col("_l"))
+    lines = lines.select(key, "pos", ln.alias("_l"))
+    cnt = lambda m: ((F.length("_l") - F.length(F.replace(F.col("_l"), F.lit(m), F.lit("")))) / len(m)).cast("int")
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_d", F.sum(cnt("INDENT") - cnt("DEDENT")).over(w))
+    clean = F.regexp_replace(F.regexp_replace(F.col("_l"), "INDENT" + WS + "?", ""), "DEDENT" + WS + "?", "")
+    lines = lines.select(key, "pos", F.concat(F.repeat(F.lit("\t"), F.greatest(F.col("_d"), F.lit(0)).cast("int")), clean).alias("_o"))
+    g = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_o"))).alias("_s"))
+    return g.select(key, F.array_join(F.transform("_s", lambda x: x["_o"]), "\n").alias(out))

@@ -216,7 +216,8 @@ SELECT doc_id, length(code) AS code_len, md5(code) AS code_digest FROM r"""
 @query("restore_indentation_docs", "E1", _E1_SQL)
 def restore_indentation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indentation restored from NEW_LINE / INDENT / DEDENT markers planted in documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.restore_indentation(plant_indent_markers(F.col("text"))).alias("code"))
+    d = table(spark, sf_dir, "documents").select("doc_id", plant_indent_markers(F.col("text")).alias("t"))
+    d = P.restore_indentation_df(d, "doc_id", "t")
     return d.select("doc_id", F.length("code").cast("long").alias("code_len"), F.md5("code").alias("code_digest"))
 
 

@@ -89,6 +89,9 @@ def test_restore_indentation(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(xs)], "i int, s string")
     for r in df.select("i", T.restore_indentation("s").alias("o")).collect():
         assert r.o == _restore(xs[r.i])
+    from pairforge.operators.prepare import restore_indentation_df
+    for r in restore_indentation_df(df, "i", "s").collect():
+        assert r.code == _restore(xs[r.i])
 
 
 def test_lcs_matches_dp():
