@@ -107,11 +107,11 @@ _CB_SQL = f"""WITH {DATAFLOW_CTES},
 {SYNTAX_CTES.replace(PAGE_PAIRS + ',', '')},
 {O.ngram_stats('page_pairs', O.split('cand_html'), O.split('ref_html'), keywords=JAVA)},
 ng AS ({O.ngram_match_select('stats', None)}),
-wt AS ({O.weighted_match_select('stats', None)})
-SELECT round(ng.score, 6) AS ngram_match, round(wt.score, 6) AS weighted_ngram_match,
-       round(syn.matched / syn.total, 6) AS syntax_match, round(CASE WHEN dfm.total > 0 THEN dfm.matched / dfm.total ELSE 0.0 END, 6) AS dataflow_match,
-       round(0.25 * ng.score + 0.25 * wt.score + 0.25 * (syn.matched / syn.total) + 0.25 * (CASE WHEN dfm.total > 0 THEN dfm.matched / dfm.total ELSE 0.0 END), 6) AS codebleu
-FROM ng, wt, syn, dfm"""
+wt AS ({O.weighted_match_select('stats', None)}),
+r AS (SELECT round(ng.score, 6) AS ngram_match, round(wt.score, 6) AS weighted_ngram_match,
+       round(syn.matched / syn.total, 6) AS syntax_match, round(CASE WHEN dfm.total > 0 THEN dfm.matched / dfm.total ELSE 0.0 END, 6) AS dataflow_match
+FROM ng, wt, syn, dfm)
+SELECT *, round(0.25 * ngram_match + 0.25 * weighted_ngram_match + 0.25 * syntax_match + 0.25 * dataflow_match, 6) AS codebleu FROM r"""
 
 
 @query("codebleu_pages", "D9 D5 D6 C8 C9", _CB_SQL)
@@ -129,9 +129,10 @@ def codebleu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ng.unionByName(wt, allowMissingColumns=True).unionByName(sy, allowMissingColumns=True).unionByName(
         df_, allowMissingColumns=True)
     cols = ["ngram_match", "weighted_ngram_match", "syntax_match", "dataflow_match"]
-    row = u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
-    row = row.withColumn("codebleu", CB.codebleu(*[F.col(c) for c in cols]))
-    return row.select(*[F.round(c, R6).alias(c) for c in cols + ["codebleu"]])
+    # the combined score is taken from the four reported (rounded) components
+    row = u.agg(*[F.round(F.first(c, ignorenulls=True), R6).alias(c) for c in cols])
+    row = row.withColumn("codebleu", F.round(CB.codebleu(*[F.col(c) for c in cols]), R6))
+    return row.select(*cols, "codebleu")
 
 
 _ERR_SQL = f"""WITH o AS (SELECT page_id, unnest(regexp_extract_all(html, '{TAG_RE}', 1)) AS tag FROM pages),
