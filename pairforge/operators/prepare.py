@@ -176,10 +176,10 @@ def max_target_length(task, sub_task) -> Column:
             .when(t == "concode", 150).when(t == "defect", 3))
 
 
-def batch_size_for(task, sub_task, model_tag: str) -> Column:
+def batch_size_for(task, sub_task, small_model: bool) -> Column:
     """Batch size by task and model size (fixed values of the multi-task setup)."""
     t, s = _c(task), _c(sub_task)
-    if "codet5_small" in model_tag:
+    if small_model:
         return F.when((t == "summarize") | (t == "translate") | ((t == "refine") & (s == "small")), 64).otherwise(32)
     return F.when(t == "translate", 25).when(t == "summarize", 40).otherwise(28)
 

@@ -30,7 +30,7 @@ def flatten_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REQ_SQL = """WITH r AS (SELECT doc_id, to_json({'custom_id': 'request-' || doc_id::VARCHAR, 'method': 'POST', 'url': '/v1/chat/completions',
-    'body': {'model': 'gpt-4o-mini', 'messages': [{'role': 'system', 'content': 'Write unit tests for the method.'},
+    'body': {'model': 'chat-model', 'messages': [{'role': 'system', 'content': 'Write unit tests for the method.'},
                                                {'role': 'user', 'content': text}]}}) AS request FROM documents)
 SELECT doc_id, length(request) AS request_len, md5(request) AS request_digest FROM r"""
 
@@ -39,7 +39,7 @@ SELECT doc_id, length(request) AS request_len, md5(request) AS request_digest FR
 def batch_requests_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat batch request per document (JSON text)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    r = J.build_batch_requests(d, "doc_id", F.lit("Write unit tests for the method."), F.col("text"), "gpt-4o-mini")
+    r = J.build_batch_requests(d, "doc_id", F.lit("Write unit tests for the method."), F.col("text"), "chat-model")
     return r.select("doc_id", F.length("request").cast("long").alias("request_len"), F.md5("request").alias("request_digest"))
 
 

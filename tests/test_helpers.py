@@ -88,6 +88,6 @@ def test_task_helpers(spark):
     s = P.split_task("t")
     rows = df.select(s["task"].alias("task"), s["sub_task"].alias("sub"),
                      P.max_target_length(s["task"], s["sub_task"]).alias("mx"),
-                     P.batch_size_for(s["task"], s["sub_task"], "codet5_small").alias("bs")).collect()
+                     P.batch_size_for(s["task"], s["sub_task"], small_model=True).alias("bs")).collect()
     assert [(r.task, r.sub, r.mx, r.bs) for r in rows] == [("refine", "small", 120, 64), ("translate", "java-cs", 256, 64),
                                                            ("defect", "none", 3, 32)]

@@ -37,7 +37,7 @@ def test_puncts_and_words(spark):
 
 
 def _nist(s):
-    # NIST mteval normalisation written out from its published rules
+    # NIST-style normalisation written out from its published rules
     s = s.replace("<skipped>", "")
     s = re.sub(r"-\n", "", s)
     s = re.sub(r"\n", " ", s)
