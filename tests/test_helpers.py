@@ -91,3 +91,17 @@ def test_task_helpers(spark):
                      P.batch_size_for(s["task"], s["sub_task"], small_model=True).alias("bs")).collect()
     assert [(r.task, r.sub, r.mx, r.bs) for r in rows] == [("refine", "small", 120, 64), ("translate", "java-cs", 256, 64),
                                                            ("defect", "none", 3, 32)]
+
+
+def test_small_joins_and_lookups(spark, tmp_path):
+    from pairforge.functions.arrays import concat_codes
+    from pairforge.operators.textmetrics import post_process
+    from pairforge.sources.readers import task_files
+    ranges = spark.createDataFrame([("r", "s1", "A.java", 3)], "repo string, sha string, path string, line int")
+    versions = spark.createDataFrame([("r", "s1", "A.java", "class A {}")], "repo string, sha string, path string, content string")
+    assert M.file_versions_for(ranges, versions).first().content == "class A {}"
+    df = spark.createDataFrame([([1, 2], [3], " p ", " g ")], "a array<int>, b array<int>, p string, g string")
+    r = df.select(concat_codes("a", "b").alias("c"), post_process(F.col("p"), F.col("g")).alias("pp")).first()
+    assert r.c == [1, 2, 3] and (r.pp.pred, r.pp.refs) == ("p", ["g"])
+    files = task_files("/data", "translate", "java-cs")
+    assert files["train"] == "/data/translate/train.java-cs.txt.java,/data/translate/train.java-cs.txt.cs"
