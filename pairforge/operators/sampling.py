@@ -34,14 +34,14 @@ def order_key(col) -> Column:
     return F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
 
 
-def kth_smallest(df: DataFrame, key: str, k: int, width: int = 4) -> str | None:
-    """The k-th smallest (1-based) value of a unique hex-string key column."""
-    if k <= 0:
-        return None
+def _bucket_counts(df: DataFrame, key: str, prefix: str, width: int) -> list:
+    sub = df.filter(F.col(key).startswith(prefix)) if prefix else df
+    return sub.groupBy(F.substring(key, len(prefix) + 1, width).alias("b")).count().orderBy("b").collect()
+
+
+def _descend(df: DataFrame, key: str, k: int, buckets: list, width: int) -> str | None:
     prefix, remaining = "", k
     while True:
-        sub = df.filter(F.col(key).startswith(prefix)) if prefix else df
-        buckets = (sub.groupBy(F.substring(key, len(prefix) + 1, width).alias("b")).count().orderBy("b").collect())
         cum, chosen, chosen_count = 0, None, 0
         for row in buckets:
             if cum + row["count"] >= remaining:
@@ -56,6 +56,22 @@ def kth_smallest(df: DataFrame, key: str, k: int, width: int = 4) -> str | None:
             return df.filter(F.col(key).startswith(prefix)).agg(F.min(key)).first()[0]
         if len(chosen) < width:  # reached the end of the key: ties
             return prefix
+        buckets = _bucket_counts(df, key, prefix, width)
+
+
+def kth_smallest_many(df: DataFrame, key: str, ks: Sequence[int], width: int = 4) -> tuple[int, list]:
+    """Row count and the k-th smallest (1-based) values of a unique hex-string key.
+
+    The first pass (counts per key prefix, at most 16**width rows) is shared by
+    every k and also gives the row count; each k then narrows its own bucket."""
+    first = _bucket_counts(df, key, "", width)
+    n = sum(r["count"] for r in first)
+    return n, [(_descend(df, key, k, first, width) if 0 < k <= n else None) for k in ks]
+
+
+def kth_smallest(df: DataFrame, key: str, k: int, width: int = 4) -> str | None:
+    """The k-th smallest (1-based) value of a unique hex-string key column."""
+    return kth_smallest_many(df, key, [k], width)[1][0]
 
 
 def _with_key(df: DataFrame, id_col: str, seed) -> DataFrame:
@@ -69,11 +85,13 @@ def exact_split(df: DataFrame, id_col: str, fractions: Sequence[float] = (0.7, 0
     ``key`` overrides the seeded hash (e.g. ``order_key(id)`` for F5's ordered split).
     """
     d = df.withColumn("_key", key) if key is not None else _with_key(df, id_col, seed)
-    n = d.count()
+    # the row count comes out of the first bucket pass, shared by every boundary
+    first = _bucket_counts(d, "_key", "", 4)
+    n = sum(r["count"] for r in first)
     bounds, acc = [], 0
     for f in fractions:
         acc += int(f * n)
-        bounds.append(kth_smallest(d, "_key", acc))
+        bounds.append(_descend(d, "_key", acc, first, 4) if 0 < acc <= n else None)
     label = F.lit(names[len(fractions)])
     for b, name in reversed(list(zip(bounds, names))):
         if b is not None:
@@ -97,10 +115,12 @@ def sample_n(df: DataFrame, id_col: str, n: int = 5000, seed="1234") -> DataFram
 
 def sample_frac(df: DataFrame, id_col: str, fraction: float = 0.1, seed="1234") -> DataFrame:
     """exactly ``int(fraction * count)`` rows."""
-    k = int(fraction * df.count())
+    d = _with_key(df, id_col, seed)
+    first = _bucket_counts(d, "_key", "", 4)
+    k = int(fraction * sum(r["count"] for r in first))
     if k == 0:
-        return df.limit(0)
-    return sample_n(df, id_col, k, seed)
+        return d.filter(F.lit(False)).drop("_key")
+    return d.filter(F.col("_key") <= F.lit(_descend(d, "_key", k, first, 4))).drop("_key")
 
 
 def head(df: DataFrame, order_col: str, n: int) -> DataFrame:
