@@ -109,11 +109,13 @@ def ngram_stats(
         meta_fields.append(F.aggregate("_refs", F.lit(0.0),
                                        lambda a, r: a + F.greatest(F.lit(1.0), weighted_total(r, keywords))).alias("wden1"))
     # Side k = -1 is the hypothesis, k >= 0 the references.
-    sides = df.select(key, (F.posexplode(F.concat(F.array(F.col("_hyp")), F.col("_refs")))).alias("_k", "_t"))
-    ex = explode_grams(sides.select(key, (F.col("_k") - 1).alias("k"), "_t"), key, "k", "_t", max_n)
-    lvl1 = ex.groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
-    per_gram = _reduce_refs(lvl1.groupBy(key, "n", "g"), key)
-    counts = per_gram.groupBy(key).agg(*_gram_aggs(max_n, keywords))
+    # The per-pair columns ride along in the gram branch too, so both branches read
+    # the same columns of the same repartitioned pairs and the exchange is reused.
+    sides = df.select(key, *extra, (F.posexplode(F.concat(F.array(F.col("_hyp")), F.col("_refs")))).alias("_k", "_t"))
+    ex = explode_grams(sides.select(key, *extra, (F.col("_k") - 1).alias("k"), "_t"), key, "k", "_t", max_n, carry=extra)
+    lvl1 = ex.groupBy(key, *extra, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
+    per_gram = _reduce_refs(lvl1.groupBy(key, *extra, "n", "g"), key, extra)
+    counts = per_gram.groupBy(key, *extra).agg(*_gram_aggs(max_n, keywords)).drop(*extra)
     meta_names = list(extra) + ["hyp_len", "ref_min", "ref_closest", "n_refs"] + [f"rden{n}" for n in range(1, max_n + 1)] + \
         [f"rposs{n}" for n in range(1, max_n + 1)] + \
         (["wden1"] if keywords is not None else [])
@@ -167,21 +169,21 @@ def _single_ref_stats(df: DataFrame, key: str, extra: list[str], max_n: int, key
     return out.select(*cols)
 
 
-def explode_grams(df: DataFrame, key: str, k: str, tokens: str, max_n: int) -> DataFrame:
+def explode_grams(df: DataFrame, key: str, k: str, tokens: str, max_n: int, carry: Sequence[str] = ()) -> DataFrame:
     """Rows ``(key, n, g, k)``: every gram of orders 1..max_n of each token array.
 
     Tokens are exploded with their position and each position emits its grams by
     index access, so generators, ``GetArrayItem`` and ``ConcatWs`` all run inside
     whole-stage codegen (a higher-order lambda per gram would run interpreted).
     """
-    pos = df.select(key, F.col(k).alias("k"), F.col(tokens).alias("_t"), F.posexplode(tokens).alias("_i", "_w"))
+    pos = df.select(key, *carry, F.col(k).alias("k"), F.col(tokens).alias("_t"), F.posexplode(tokens).alias("_i", "_w"))
     size = F.size("_t")
     per_pos = F.array(*[
         F.struct(F.lit(n).alias("n"), F.when(F.col("_i") + n <= size,
                                               F.concat_ws(" ", *[F.col("_t")[F.col("_i") + j] for j in range(n)])).alias("g"))
         for n in range(1, max_n + 1)])
-    return pos.select(key, "k", F.explode(per_pos).alias("_x")).select(
-        key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), "k").filter(F.col("g").isNotNull())
+    return pos.select(key, *carry, "k", F.explode(per_pos).alias("_x")).select(
+        key, *carry, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), "k").filter(F.col("g").isNotNull())
 
 
 def _den(n):
@@ -192,13 +194,13 @@ def _poss(n):
     return lambda a, x: a + possible(x, n)
 
 
-def _reduce_refs(grouped, key):
+def _reduce_refs(grouped, key, carry: Sequence[str] = ()):
     # references per pair are an array column here, so a gram's list is bounded by it
     aggs = [F.coalesce(F.max(F.when(F.col("k") < 0, F.col("c"))), F.lit(0)).alias("hc"),
             F.collect_list(F.when(F.col("k") >= 0, F.col("c"))).alias("rc")]
     lvl2 = grouped.agg(*aggs)
     return lvl2.select(
-        key, "n", "g",
+        key, *carry, "n", "g",
         F.least(F.col("hc"), F.coalesce(F.array_max("rc"), F.lit(0))).alias("clip"),
         F.aggregate("rc", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("hc"))).alias("rmin"),
     )
