@@ -88,3 +88,38 @@ def test_sentence_smoothing_methods(spark):
     # the published values are printed prefixes (truncated, not rounded)
     got = [int(B.sentence_bleu(st, smoothing=m).first().score * 10000) / 10000 for m in range(8)]
     assert got == expected
+
+
+def _py_stats(hyp, refs, max_n=4):
+    from collections import Counter
+
+    def grams(t, n):
+        return Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+    out = {"hyp_len": len(hyp), "ref_min": min(len(r) for r in refs),
+           "ref_closest": min((len(r) for r in refs), key=lambda L: (abs(L - len(hyp)), L))}
+    for n in range(1, max_n + 1):
+        h = grams(hyp, n)
+        mx = Counter()
+        for r in refs:
+            mx |= grams(r, n)
+        out[f"m{n}"] = sum((h & mx).values())
+        out[f"rm{n}"] = sum(sum((grams(r, n) & h).values()) for r in refs)
+    return out
+
+
+def test_stats_match_python_counters(spark):
+    import random
+    rnd = random.Random(17)
+    rows = []
+    for i in range(40):
+        hyp = [rnd.choice("abcde") for _ in range(rnd.randint(0, 12))]
+        refs = [[rnd.choice("abcde") for _ in range(rnd.randint(0, 12))] for _ in range(rnd.randint(1, 3))]
+        rows.append((i, hyp, refs))
+    df = spark.createDataFrame(rows, "pair_id int, hyp array<string>, refs array<array<string>>")
+    multi = {r.pair_id: r for r in ngram_stats(df).collect()}
+    single = {r.pair_id: r for r in ngram_stats(df.select("pair_id", "hyp", F.slice("refs", 1, 1).alias("refs")),
+                                                   single_ref=True).collect()}
+    for i, hyp, refs in rows:
+        for got, rs in ((multi[i], refs), (single[i], refs[:1])):
+            exp = _py_stats(hyp, rs)
+            assert {k: got[k] for k in exp} == exp, (i, hyp, rs)
