@@ -8,9 +8,10 @@ driver) and narrows to the bucket holding rank k, so a trillion rows need
 about three light aggregation passes.  Rows are then labelled by comparing
 their key with the threshold: a map-only step, no shuffle of the rows.
 
-Dense row numbers (E6, E11) do need a global order: a range-partitioned sort,
-per-partition counts (one row per partition), and a broadcast of those
-offsets (size bounded by the number of partitions).
+Dense row numbers (E6, E11) do need a global order: a range-partitioned sort
+materialised once with checkpoint(), per-partition counts (one row per
+partition), and a broadcast of those offsets (size bounded by the number of
+partitions).
 """
 from __future__ import annotations
 
@@ -129,11 +130,20 @@ def head(df: DataFrame, order_col: str, n: int) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx", num_partitions: int | None = None) -> DataFrame:
-    """Dense 0-based row number in the given order, without a single-partition window."""
+    """Dense 0-based row number in the given order, without a single-partition window.
+
+    The range-partitioned, sorted rows get their partition id and in-partition
+    position once and are checkpointed (reliably, into the shared checkpoint
+    folder): the per-partition counts and the final join then read the same
+    materialised rows.  Recomputing the range partitioning for each branch could
+    sample different boundaries and mis-number rows.
+    """
+    from pairforge.session import ensure_checkpoint_dir
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     # one row per partition: a window over it is tiny
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
