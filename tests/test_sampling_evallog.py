@@ -69,3 +69,19 @@ def test_kl_coef_matches_loop(spark):
         assert abs(g - coef) < 1e-9 * coef
         err = min(max(v / 6.0 - 1, -0.2), 0.2)
         coef *= 1 + err * 48 / 10000.0
+
+
+def test_split_sizes_property(spark):
+    import random
+    rnd = random.Random(9)
+    for n in [rnd.randint(1, 400) for _ in range(4)] + [1, 7]:
+        df = spark.range(n).withColumnRenamed("id", "doc_id")
+        got = {r["split"]: r["count"] for r in S.exact_split(df, "doc_id", (0.7, 0.1), seed="s").groupBy("split").count().collect()}
+        exp = {"train": int(0.7 * n), "valid": int(0.1 * n), "test": n - int(0.7 * n) - int(0.1 * n)}
+        assert {k: got.get(k, 0) for k in exp} == exp, n
+
+
+def test_elapsed_text_boundaries(spark):
+    from pairforge.functions.text import elapsed_text
+    df = spark.createDataFrame([(59.0,), (3600.0,), (3661.0,), (7325.0,)], "s double")
+    assert [r.t for r in df.select(elapsed_text("s").alias("t")).collect()] == ["0m", "0m", "1h1m", "2h2m"]
