@@ -217,3 +217,26 @@ def sentence_smoothing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = st.select(*[B.sentence_score(m).alias(f"score_m{m}") for m in range(8)])
     out = per.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"score_m{m}").alias(f"score_m{m}") for m in range(8)])
     return _r(out, ["n_pairs"], [f"score_m{m}" for m in range(8)])
+
+
+# ------------------------------------------------------------------ E-3 evaluation report (D20 over D3, D10, D13)
+_SQL_REPORT = f"""WITH {O.DOC_PAIRS},
+{O.ngram_stats('doc_pairs', O.split('pred'), O.split('gold'), name='s4')},
+{O.ngram_stats('doc_pairs', O.word_tokens('pred'), O.word_tokens('gold'), max_n=1, name='s1')},
+b AS ({O.corpus_bleu_select('s4', None)}),
+f AS ({O.bag_f1_select('s1', None)}),
+e AS (SELECT avg(CASE WHEN {O.strip('pred')} = {O.strip('gold')} THEN 1 ELSE 0 END) * 100.0 AS em FROM doc_pairs)
+SELECT round(e.em, 4) AS em, round_even(b.bleu, 2) AS bleu, round_even(f.f1 * 100, 0) AS meteor FROM b, f, e"""
+
+
+@query("eval_report_docs", "D20 D3 D10 D13", _SQL_REPORT)
+def eval_report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One evaluation row as the fine-tuning loop reports it: exact match x100, corpus
+    BLEU rounded to 2 decimals, bag-of-words F1 ("meteor") x100 rounded half-even."""
+    from pairforge.operators.classify import metric_row
+    pairs = doc_pairs(spark, sf_dir)
+    em = TM.exact_match_rate(pairs).select(F.round("em", 4).alias("em"))
+    bleu = B.corpus_bleu(doc_bleu_stats(spark, sf_dir)).select(F.bround(F.round("bleu", 6), 2).alias("bleu"))
+    p1 = pairs.select("pair_id", T.word_tokens(F.col("pred")).alias("hyp"), F.array(T.word_tokens(F.col("gold"))).alias("refs"))
+    f1 = TM.bag_f1(ngram_stats(p1, max_n=1, single_ref=True)).select(F.bround(F.round("f1", 6) * 100, 0).alias("meteor"))
+    return metric_row(em, bleu, f1, decimals=6)
