@@ -240,3 +240,36 @@ def eval_report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p1 = pairs.select("pair_id", T.word_tokens(F.col("pred")).alias("hyp"), F.array(T.word_tokens(F.col("gold"))).alias("refs"))
     f1 = TM.bag_f1(ngram_stats(p1, max_n=1, single_ref=True)).select(F.bround(F.round("f1", 6) * 100, 0).alias("meteor"))
     return metric_row(em, bleu, f1, decimals=6)
+
+
+# ------------------------------------------------------------------ G2 with two references per pair
+_SQL_TWO_REFS = f"""WITH h AS (SELECT p.doc_id - 1 AS pair_id, p.text AS pred FROM documents p
+                   JOIN documents g ON g.doc_id = p.doc_id - 1 JOIN documents g2 ON g2.doc_id = p.doc_id + 1),
+r AS (SELECT g.doc_id AS pair_id, 0 AS ref_no, g.text AS gold FROM documents g
+        JOIN documents p ON p.doc_id = g.doc_id + 1 JOIN documents g2 ON g2.doc_id = g.doc_id + 2
+      UNION ALL
+      SELECT g2.doc_id - 2 AS pair_id, 1 AS ref_no, g2.text AS gold FROM documents g2
+        JOIN documents p ON p.doc_id = g2.doc_id - 1 JOIN documents g ON g.doc_id = g2.doc_id - 2),
+{O.ngram_stats('h', O.split('pred'), O.split('gold'), ref_src='r', ref_id='ref_no')},
+b AS ({O.corpus_bleu_select('stats', None)}),
+n AS ({O.ngram_match_select('stats', None)})
+SELECT b.n_pairs, b.bleu, n.score AS ngram_match FROM b, n"""
+
+
+@query("two_reference_bleu_docs", "G2 D3 D5", _SQL_TWO_REFS)
+def two_reference_bleu_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus BLEU and n-gram match of document k+1 against two references, documents k
+    and k+2 (clipping by the larger reference count, shortest / closest reference length)."""
+    from pairforge.sources.tables import table
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    g = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("r0"))
+    p = d.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("pred"))
+    g2 = d.select((F.col("doc_id") - 2).alias("pair_id"), F.col("text").alias("r1"))
+    j = g.join(p, "pair_id").join(g2, "pair_id")
+    pairs = j.select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
+                     F.array(T.py_split(F.col("r0")), T.py_split(F.col("r1"))).alias("refs"))
+    st = ngram_stats(pairs)
+    b = B.corpus_bleu(st).select("n_pairs", F.round("bleu", R6).alias("bleu"))
+    n = B.ngram_match(st).select(F.round("score", R6).alias("ngram_match"))
+    from pairforge.operators.classify import metric_row
+    return metric_row(b, n, decimals=6)
