@@ -104,3 +104,12 @@ def test_lcs_matches_dp():
             for j in range(1, len(b) + 1):
                 t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
         assert lcs_length(a, b) == t[-1][-1]
+
+
+def test_ngram_helpers(spark):
+    from pairforge.functions.ngrams import ngram_array, ngram_tuples
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],)], "t array<string>")
+    rows = df.select(ngram_array(F.col("t"), 2).alias("g"),
+                     ngram_tuples(F.col("t"), 2, pad_left=True, left_symbol="<s>").alias("p")).collect()
+    assert rows[0].g == ["a b", "b c"] and rows[1].g == []
+    assert rows[0].p == [["<s>", "a"], ["a", "b"], ["b", "c"]] and rows[1].p == [["<s>", "a"]]
