@@ -109,3 +109,17 @@ def test_row_function_udf(spark):
     f = row_function(lambda a, b: f"{a}-{b}", "string")
     df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, b int")
     assert sorted(r.o for r in df.select(f("a", "b").alias("o")).collect()) == ["x-1", "y-2"]
+
+
+def test_line_numbers_across_file_splits(spark, tmp):
+    p = os.path.join(tmp, "big.txt")
+    _write(p, [f"line {i:05d}" for i in range(5000)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = R.read_lines(spark, p)
+        assert df.rdd.getNumPartitions() > 1
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert all(r.line == f"line {r.line_no:05d}" for r in rows) and len(rows) == 5000
