@@ -1,11 +1,11 @@
 """Small helpers to run a function over Arrow batches of (id, text) rows."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import uuid
-
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         n = b.num_rows
         if not n:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i in range(n):
             held += int(sizes[i])
