@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, jaccard, winnow
+from pairforge.llm import bpe, chat, jaccard, winnow
 from pairforge.sources.tables import table
 
 
@@ -13,6 +13,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(same).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.format_chat(turns).withColumns({"turns": chat.parse(F.col("formatted")),
+                                               "loss": chat.under_mask(F.col("formatted"), F.col("loss_spans"))})
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(F.col("id").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
+                      F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                      F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
@@ -24,6 +39,20 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+SQL_OP1 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(role) + len(regexp_extract_all(role, '<\\*/?s>')) + len(regexp_extract_all(role, '\[\\*/?INST\]')) AS r,
+             length(text) + len(regexp_extract_all(text, '<\\*/?s>')) + len(regexp_extract_all(text, '\[\\*/?INST\]')) AS t,
+             coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) <> role, true) AS opens FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(13 + t + CASE WHEN opens THEN 7 + r ELSE 0 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 #: windows of 13 words of items and documents as lists of words, met by equality
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
@@ -59,12 +88,14 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 """
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op3_jaccard": op3_jaccard,
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat": SQL_OP1,
     "op3_jaccard": SQL_OP3,
     "op10_winnow": SQL_OP10,
 }
