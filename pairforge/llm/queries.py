@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, winnow
+from pairforge.llm import bpe, chat, jaccard, secrets, winnow
 from pairforge.sources.tables import table
 
 
@@ -33,6 +33,22 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def _span_digests(out: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Counts of the fixed kinds, the digest of their spans and all spans, as kind:start:end."""
+    def text(s):
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(c) for c, k in kinds.items()),
+        F.sha2(F.array_join(F.transform(F.filter("spans", lambda s: s["base"]), text), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", text), ",").alias("spans"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")),
+                         {"n_assign": "assign", "n_access": "access", "n_hex": "hex"})
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -90,6 +106,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 QUERIES = {
     "op1_chat": op1_chat,
     "op3_jaccard": op3_jaccard,
+    "op4_secrets": op4_secrets,
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
 }
