@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, secrets, winnow
+from pairforge.llm import bpe, chat, jaccard, licenses, secrets, winnow
 from pairforge.sources.tables import table
 
 
@@ -49,6 +49,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                          {"n_assign": "assign", "n_access": "access", "n_hex": "hex"})
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    labels = F.transform("base", lambda x: x["label"])
+    words = F.transform("base", lambda x: x["word"])
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels, F.transform("found", lambda x: x["label"]))), ",").alias("labels"),
+        "score")
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -107,6 +119,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
+    "op6_licenses": op6_licenses,
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
 }
