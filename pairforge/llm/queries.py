@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, licenses, secrets, winnow
+from pairforge.llm import bpe, chat, jaccard, licenses, pii, secrets, winnow
 from pairforge.sources.tables import table
 
 
@@ -37,9 +37,13 @@ def _span_digests(out: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Counts of the fixed kinds, the digest of their spans and all spans, as kind:start:end."""
     def text(s):
         return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: (s["kind"] == kind) & s["base"])).cast("bigint")
+
     return out.select(
         F.col("id").alias("doc_id"),
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(c) for c, k in kinds.items()),
+        *(count(kind).alias(column) for column, kind in kinds.items()),
         F.sha2(F.array_join(F.transform(F.filter("spans", lambda s: s["base"]), text), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", text), ",").alias("spans"))
 
@@ -61,6 +65,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find_personal(table(spark, sf_dir, "documents")), {f"n_{k}": k for k in pii.KINDS})
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -120,6 +128,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op6_licenses": op6_licenses,
+    "op9_pii": op9_pii,
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
 }

@@ -85,7 +85,7 @@ def test_operator_edges(spark):
 
 def test_query_matches_definition_on_whole_table(spark):
     from pairforge.llm.queries import op6_licenses
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     rows = op6_licenses(spark, sf).collect()
     assert len(rows) == len(texts)
