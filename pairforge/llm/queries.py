@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, licenses, pii, secrets, winnow
+from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, secrets, winnow
 from pairforge.sources.tables import table
 
 
@@ -65,6 +65,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
+    field = langid.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), field) \
+        .select(F.col("id").alias("doc_id"), "lang", "score").withColumnRenamed("lang", "lang_pred") \
+        .withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))) \
+        .select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(pii.find_personal(table(spark, sf_dir, "documents")), {f"n_{k}": k for k in pii.KINDS})
 
@@ -128,6 +138,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op6_licenses": op6_licenses,
+    "op7_langid": op7_langid,
     "op9_pii": op9_pii,
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
