@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, secrets, winnow
+from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, resample, secrets, vectors, winnow
 from pairforge.sources.tables import table
 
 
@@ -28,6 +28,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op2_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0")
+    return resample.resample(table(spark, sf_dir, "documents"), good).withColumnRenamed("id", "doc_id")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
@@ -53,6 +58,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                          {"n_assign": "assign", "n_access": "access", "n_hex": "hex"})
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     labels = F.transform("base", lambda x: x["label"])
@@ -99,6 +109,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+SQL_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 #: windows of 13 words of items and documents as lists of words, met by equality
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
@@ -135,8 +154,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_resample": op2_resample,
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
+    "op5_vectors": op5_vectors,
     "op6_licenses": op6_licenses,
     "op7_langid": op7_langid,
     "op9_pii": op9_pii,
@@ -147,5 +168,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": SQL_OP1,
     "op3_jaccard": SQL_OP3,
+    "op5_vectors": SQL_OP5,
     "op10_winnow": SQL_OP10,
 }
