@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pairforge.session import ensure_checkpoint_dir
 
@@ -35,31 +36,24 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
             yield b.slice(start, n - start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.Array, list], list[pa.Array]], schema: str, id_col: str,
+def schema_of(df: DataFrame, id_col: str, rest: str) -> StructType:
+    """``id`` with the type it has in ``df``, then the columns of a DDL string."""
+    return StructType([StructField("id", df.schema[id_col].dataType), *StructType.fromDDL(rest).fields])
+
+
+def map_texts(df: DataFrame, fn: Callable[[pa.Array], list[pa.Array]], rest: str, id_col: str,
               text_col: str, max_bytes: int = 4 << 20) -> DataFrame:
-    """One output row per input row: ``fn(texts)`` gives the columns that follow ``id`` in ``schema``."""
-    names = [p.strip().split()[0] for p in _split_schema(schema)]
+    """One output row per input row: ``id``, then the columns of ``rest`` as ``fn(texts)`` gives them."""
+    schema = schema_of(df, id_col, rest)
+    names = schema.names
 
     def run(batches):
         for b in pieces(batches, max_bytes):
-            cols = fn(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *fn(b.column("text"))], names=names)
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
 
 
-def _split_schema(schema: str) -> list[str]:
-    out, depth, cur = [], 0, ""
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += c
-    return [*out, cur]
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

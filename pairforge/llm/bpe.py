@@ -199,7 +199,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(_spec(path))
-    schema = "id " + df.schema[id_col].dataType.simpleString() + ", n_tokens bigint"
+    schema = "n_tokens bigint"
     schema += ", ids array<int>, decoded string" if keep else ""
     schema += ", ids_sha256 string, decoded_sha256 string" if digests else ""
 

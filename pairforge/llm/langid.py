@@ -335,5 +335,5 @@ def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
                 pa.array([min(1.0, float(s[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, spoken))], pa.float64()),
                 pa.array([list(zip(labels, x.tolist())) if ok else [] for x, ok in zip(s, spoken)], pa.map_(pa.string(), pa.float64()))]
 
-    return map_texts(df, run, f"id {df.schema[id_col].dataType.simpleString()}, lang string, score double, "
+    return map_texts(df, run, "lang string, score double, "
                      "shares map<string,double>", id_col, text_col)

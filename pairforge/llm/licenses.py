@@ -115,6 +115,6 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return [pa.array([r[c] for r in rows], kind) for c, kind in
                 (("n_words", pa.int64()), ("base", base), ("found", found), ("score", pa.float64()))]
 
-    return map_texts(df, run, f"id {df.schema[id_col].dataType.simpleString()}, n_words bigint, "
+    return map_texts(df, run, "n_words bigint, "
                      "base array<struct<word:bigint,label:string>>, "
                      "found array<struct<start:bigint,end:bigint,label:string,priority:int>>, score double", id_col, text_col)

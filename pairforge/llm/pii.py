@@ -386,7 +386,7 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols.append(pa.array([None if t is None else redacted(t, s) for t, s in zip(texts, found)], pa.string()))
         return cols
 
-    return map_texts(df, run, f"id {df.schema[id_col].dataType.simpleString()}, "
+    return map_texts(df, run, ""
                      "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>" + ", redacted string" * redact,
                      id_col, text_col)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import _words
-from pairforge.llm._arrow import id_and_text, map_texts, pieces, written
+from pairforge.llm._arrow import id_and_text, map_texts, pieces, schema_of, written
 from pairforge.operators.sampling import kth_smallest_many
 
 BUCKETS = 10_000
@@ -93,8 +93,7 @@ def resample(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
         row, bucket, n = bag(texts, buckets)
         return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(np.bincount(row, ratio.value[bucket], minlength=n).astype(np.float64))]
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    scored = map_texts(docs, run, f"id {id_type}, n_grams bigint, log_weight double", id_col, text_col, 1 << 20)
+    scored = map_texts(docs, run, "n_grams bigint, log_weight double", id_col, text_col, 1 << 20)
     # a uniform number strictly between 0 and 1 from 52 bits of a hash
     u = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     scored = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
@@ -103,7 +102,7 @@ def resample(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_descending(b.column("gumbel_key").to_numpy()))], [*b.schema.names, "key"])
 
-    scored = scored.mapInArrow(keyed, f"id {id_type}, n_grams bigint, log_weight double, gumbel_key double, key string") \
+    scored = scored.mapInArrow(keyed, schema_of(docs, id_col, "n_grams bigint, log_weight double, gumbel_key double, key string")) \
         .withColumn("key", F.concat("key", F.lpad(F.hex(F.xxhash64("id")), 16, "0")))
     scored = written(spark, scored, "weights")
     n = scored.count()

@@ -94,5 +94,5 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append([{"kind": k, "start": a, "end": b, "base": k != "opaque"} for a, b, k in both])
         return [pa.array(rows, span)]
 
-    return map_texts(df, run, f"id {df.schema[id_col].dataType.simpleString()}, "
+    return map_texts(df, run, ""
                      "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>", id_col, text_col)

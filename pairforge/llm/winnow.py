@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import _words
-from pairforge.llm._arrow import id_and_text, pieces
+from pairforge.llm._arrow import id_and_text, pieces, schema_of
 
 #: bytes of benchmark text in a broadcast shard
 SHARD_BYTES = 32 << 20
@@ -137,16 +137,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """Per row: ``id``, ``n_words``, ``n_hit`` (words inside any shared window), ``spans`` (their word ranges, end
     exclusive), ``items`` (ids as sorted strings) and ``contaminated`` (hit, and ``share * n_hit >= n_words``)."""
     sc = docs.sparkSession.sparkContext
-    id_type = docs.schema[id_col].dataType.simpleString()
     state = "spans array<struct<a:bigint,b:bigint>>, items array<string>"
     out = id_and_text(docs, id_col, text_col).withColumns({
         "spans": F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
         "items": F.expr("cast(array() as array<string>)")})
     shards = [sc.broadcast((ids, texts, window)) for ids, texts in _shards(bench, item_col, item_text_col, shard_bytes)]
     for shard in shards[:-1]:
-        out = out.mapInArrow(_pass(shard, None), f"id {id_type}, text string, {state}")
+        out = out.mapInArrow(_pass(shard, None), schema_of(docs, id_col, f"text string, {state}"))
     return out.mapInArrow(_pass(shards[-1] if shards else None, share),
-                          f"id {id_type}, n_words bigint, n_hit bigint, {state}, contaminated boolean")
+                          schema_of(docs, id_col, f"n_words bigint, n_hit bigint, {state}, contaminated boolean"))
 
 
 _SHARDS: dict = {}
