@@ -37,16 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import _words
-from pairforge.llm._arrow import id_and_text, pieces, written
+from pairforge.llm._arrow import id_and_text, pieces, schema_of, written
 from pairforge.llm._components import components
 
-#: coordinates of a document's whole point, and of one part of it
-GROUPS, PART_GROUPS = 256, 256
+#: coordinates of a document's whole point, and of one part of it (a part holds few shingles, so its leaves
+#: tell documents apart only with many coordinates; they are never laid out, only the filled ones are hashed)
+GROUPS, PART_GROUPS = 256, 1 << 32
 #: rows of one leaf that are compared at once; larger leaves are cut into blocks of this size
 BLOCK = 512
+#: rows of points (about 300 bytes) and of pairs (16 bytes) that are sent to all tasks; larger tables are shuffled
+SENT_POINTS, SENT_PAIRS = 100_000, 500_000
 #: ratio of the sizes in one band
 BAND = 1.5
-_WEIGHT = _words.mix(np.arange(1, PART_GROUPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +123,7 @@ def leaves(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, n
         new = np.ones(len(x), dtype=bool)
         new[1:] = (part[1:] != part[:-1]) | (r[1:] != r[:-1])
         starts = np.flatnonzero(new)
-        counts = np.add.reduceat(_WEIGHT[(x & np.uint64(PART_GROUPS - 1)).astype(np.int64)], starts)
+        counts = np.add.reduceat(_words.mix((x & np.uint64(PART_GROUPS - 1)) + np.uint64(0x452821E638D01377)), starts)
         place = _words.mix((band[r[starts]].astype(np.uint64) << np.uint64(40)) + part[starts] + np.uint64(1))
         rows_out.append(rows[r[starts]])
         keys_out.append(_words.mix(counts + place))
@@ -274,9 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = Bands(num, den)
     identities, keys, sets = _maps(docs, k, bands)
     text = id_and_text(docs, id_col, text_col)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    ids = written(spark, text.mapInArrow(identities, f"id {id_type}, n bigint, s1 bigint, s2 bigint"), "sets")
+    ids = written(spark, text.mapInArrow(identities, schema_of(docs, id_col, "n bigint, s1 bigint, s2 bigint")), "sets")
     classes = ids.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
 
     entered = text.mapInArrow(keys, "key bigint, s1 bigint").repartition("key").dropDuplicates(["key", "s1"])
@@ -284,47 +285,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "SELECT key, s1 AS s, lead, c FROM (SELECT key, s1, min(s1) OVER w AS lead, count(*) OVER w AS c FROM {e} "
         "WINDOW w AS (PARTITION BY key)) WHERE c > 1", e=entered), "leaves")
 
+    def sent(d: DataFrame, n: int, most: int) -> DataFrame:
+        """A table of counted size goes to all tasks while it is small; else the join shuffles it."""
+        return F.broadcast(d) if n <= most else d
+
     wanted = hits.select("s").distinct()
-    reps = classes.join(wanted, classes.s1 == wanted.s, "left_semi").select(F.col("rep").alias("id"))
-    held = written(spark, text.join(reps, "id", "left_semi")
-                   .mapInArrow(sets, "s bigint, n bigint, shingles array<bigint>, point binary")
-                   .dropDuplicates(["s"]), "shingles")
-
-    def tested(pairs: DataFrame, bounded: bool) -> DataFrame:
-        """Of pairs (a, b) those that link."""
-        def side(x: str, *cols: str) -> DataFrame:
-            return held.select(F.col("s").alias(x), *(F.col(c).alias(f"{c[0] if c != 'shingles' else 'x'}{x}") for c in cols))
-        if not bounded:
-            pairs = pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b") \
-                .mapInArrow(_bounded(num, den), "a bigint, b bigint")
-        return pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b") \
-            .mapInArrow(_exact(num, den), "a bigint, b bigint")
+    reps = written(spark, classes.join(wanted, classes.s1 == wanted.s, "left_semi").select(F.col("rep").alias("id")), "reps")
+    held = written(spark, text.join(sent(reps, reps.count(), SENT_PAIRS), "id", "left_semi")
+                   .mapInArrow(sets, "s bigint, n bigint, shingles array<bigint>, point binary"), "shingles")
+    n_held = held.count()
+    if n_held > held.select("s").distinct().count():  # repeated rows
+        held = written(spark, held.dropDuplicates(["s"]), "shingles")
+    few_held = n_held <= SENT_POINTS
+
+    def points_of(x: str) -> DataFrame:
+        d = held.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+        return F.broadcast(d) if few_held else d
+
+    def within(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that the bound on the points allows."""
+        return pairs.join(points_of("a"), "a").join(points_of("b"), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of written pairs (a, b) those that link: their sets are met and intersected."""
+        one = held.select(F.col("s").alias("a"), F.col("shingles").alias("xa")).join(sent(pairs, pairs.count(), SENT_PAIRS), "a")
+        two = held.select(F.col("s").alias("b"), F.col("shingles").alias("xb"))
+        return one.join(two, "b").mapInArrow(_exact(num, den), "a bigint, b bigint")
 
     stars = written(spark, hits.filter("s <> lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), "stars")
-    comp = written(spark, components(spark, tested(stars, False)), "components")
-    done = stars
+    close = written(spark, within(stars), "close")
+    comp = written(spark, components(spark, linked(close)), "components")
+    done, n_done = stars, stars.count()
     for best_only in (True, False):
-        labelled = hits.filter("c > 2").join(comp.withColumnRenamed("node", "s"), "s", "left") \
+        n_comp = comp.count()
+        labelled = hits.filter("c > 2").join(sent(comp.withColumnRenamed("node", "s"), n_comp, SENT_PAIRS), "s", "left") \
             .select("key", "s", "c", F.coalesce("comp", "s").alias("comp"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        blocks = labelled.join(mixed, "key").join(held.select("s", "n", "point"), "s") \
+        mixed = spark.sql("SELECT key, s, c, comp FROM (SELECT *, min(comp) OVER w AS x, max(comp) OVER w AS y FROM {l} "
+                          "WINDOW w AS (PARTITION BY key)) WHERE x <> y", l=labelled)
+        blocks = mixed.join(points_of("s"), "s") \
             .withColumn("m", F.ceil(F.col("c") / BLOCK).cast("int")) \
             .withColumn("own", F.pmod(F.xxhash64("s"), F.col("m")).cast("int")) \
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))) \
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", "n", "comp",
-                    F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "point")
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", F.col("ns").alias("n"), "comp",
+                    F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), F.col("ps").alias("point"))
         found = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s") \
             .mapInArrow(_search(num, den, best_only), "a bigint, b bigint").distinct()
-        found = written(spark, found.join(done, ["a", "b"], "left_anti"), "rest")
-        links = tested(found, True)
-        done = done.unionByName(found)
+        found = written(spark, found.join(sent(done, n_done, SENT_PAIRS), ["a", "b"], "left_anti"), "rest")
+        n_found = found.count()
+        if not n_found:
+            break  # and so no pair of different components is left
+        done, n_done = done.unionByName(found), n_done + n_found
         old = comp
-        of = lambda x: old.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-        merged = links.join(of("a"), "a", "left").join(of("b"), "b", "left") \
+        of = lambda x: sent(old.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), n_comp, SENT_PAIRS)
+        merged = linked(found).join(of("a"), "a", "left").join(of("b"), "b", "left") \
             .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         up = written(spark, components(spark, merged), "merged").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        comp = old.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")) \
-            .union(up.select(F.col("comp").alias("node"), F.col("top").alias("comp"))).distinct()
+        # nodes that are new, and old ones whose component has grown
+        comp = old.join(sent(up, up.count(), SENT_PAIRS), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")) \
+            .union(up.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(of("node").select("node"), "node", "left_anti"))
         comp = written(spark, comp, "components")
 
     grouped = classes.join(comp.withColumnRenamed("node", "s1"), "s1", "left") \
