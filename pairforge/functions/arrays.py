@@ -19,28 +19,30 @@ def clip(x, lo: float, hi: float) -> Column:
     return F.greatest(F.least(_c(x), F.lit(hi)), F.lit(lo))
 
 
-def clip_array(a, lo: float, hi: float) -> Column:
-    return F.transform(_c(a), lambda x: F.greatest(F.least(x, F.lit(hi)), F.lit(lo)))
+def bind(value, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row: Catalyst expands a plain reference wherever it stands,
+    inside a lambda once per element."""
+    return F.transform(F.array(_c(value)), fn)[0]
+
+
+def _total(a) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def logsumexp(a) -> Column:
     """log(sum(exp(x))) with the maximum subtracted first."""
-    a = _c(a)
-    m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return bind(a, lambda v: bind(F.array_max(v), lambda m: m + F.log(
+        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
 
 
 def softmax(a) -> Column:
-    a = _c(a)
-    lse = logsumexp(a)
-    return F.transform(a, lambda x: F.exp(x - lse))
+    return bind(a, lambda v: bind(logsumexp(v), lambda lse: F.transform(v, lambda x: F.exp(x - lse))))
 
 
 def entropy_from_logits(a) -> Column:
     """H = logsumexp(logits) - sum(p * logits)."""
-    a = _c(a)
-    p = softmax(a)
-    return logsumexp(a) - F.aggregate(F.zip_with(p, a, lambda pi, xi: pi * xi), F.lit(0.0), lambda acc, x: acc + x)
+    return bind(a, lambda v: bind(logsumexp(v), lambda lse: lse - F.aggregate(
+        v, F.lit(0.0), lambda acc, x: acc + F.exp(x - lse) * x)))
 
 
 def logprob_of_label(a, label) -> Column:
@@ -59,14 +61,14 @@ def argmax(a) -> Column:
 def whiten(a, shift_mean: bool = True) -> Column:
     """(x - mean) / sqrt(var + 1e-8) with the **sample** variance (NaN -> 1 for one
     element); the mean is added back unless ``shift_mean``."""
-    a = _c(a)
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
-    var = F.when(n > 1, F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / (n - 1)).otherwise(F.lit(1.0))
-    out = F.transform(a, lambda x: (x - mean) / F.sqrt(var + 1e-8))
-    if not shift_mean:
-        out = F.transform(out, lambda x: x + mean)
-    return out
+    def spread(v: Column, mean: Column) -> Column:
+        n = F.size(v)
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        var = F.when(n > 1, squares / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(1.0))
+        back = F.lit(0.0) if shift_mean else mean
+        return bind(F.sqrt(var + 1e-8), lambda sd: F.transform(v, lambda x: (x - mean) / sd + back))
+
+    return bind(a, lambda v: bind(F.try_divide(_total(v), F.size(v)), lambda mean: spread(v, mean)))
 
 
 # ---------------------------------------------------------------- H10-H15
@@ -76,21 +78,6 @@ def pad_truncate(ids, max_len: int, pad_id: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))))
 
 
-def encode_with_vocab(tokens, vocab_map, max_len: int, unk_id: int, pad_id: int = 0, bos_id: int | None = None,
-                      eos_id: int | None = None) -> Column:
-    """Tokens -> ids through a ``map<string,int>`` (unknown -> ``unk_id``), optional
-    BOS/EOS, truncated so that EOS survives, padded to ``max_len``."""
-    m = _c(vocab_map)
-    ids = F.transform(_c(tokens), lambda t: F.coalesce(F.element_at(m, t), F.lit(unk_id)))
-    room = max_len - (1 if bos_id is not None else 0) - (1 if eos_id is not None else 0)
-    ids = F.slice(ids, 1, room)
-    if bos_id is not None:
-        ids = F.concat(F.array(F.lit(bos_id)), ids)
-    if eos_id is not None:
-        ids = F.concat(ids, F.array(F.lit(eos_id)))
-    return pad_truncate(ids, max_len, pad_id)
-
-
 def mask_labels(ids, pad_id: int = 0, ignore: int = -100) -> Column:
     """Pad id -> -100."""
     return F.transform(_c(ids), lambda x: F.when(x == pad_id, F.lit(ignore)).otherwise(x))

@@ -107,8 +107,9 @@ def _smooth(method: int, nums: list[Column], dens: list[Column], hyp_total: Colu
         return out
     if method == 4:
         for i, (nm, dn) in enumerate(zip(nums, dens)):
-            inc = i + k / F.log(hyp_total)
-            out.append(F.when((nm == 0) & (hyp_total != 0), inc / dn).otherwise(nm / dn))
+            # ln of a one-token hypothesis is 0: it has no increment and stays unsmoothed
+            inc = i + F.try_divide(F.lit(float(k)), F.log(hyp_total))
+            out.append(F.when((nm == 0) & (hyp_total > 1), inc / dn).otherwise(nm / dn))
         return out
     raise ValueError("corpus-level smoothing supports methods 0-4; 5-7 look at one hypothesis (use sentence_bleu)")
 
@@ -151,7 +152,8 @@ def _bleu_terms(nums, dens, h, r, weights, smoothing, auto_reweigh):
         for L in (1, 2, 3):
             alt = F.when(h == L, sum((1.0 / L) * F.log(p) for p in ps[:L])).otherwise(alt)
         s = F.when(h < 4, alt).otherwise(s)
-    return F.when(nums[0] == 0, F.lit(0.0)).otherwise(bp * F.exp(s))
+    # a zero precision makes the geometric mean 0 (Spark's log(0) is null)
+    return F.when(nums[0] == 0, F.lit(0.0)).otherwise(F.coalesce(bp * F.exp(s), F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- D6

@@ -46,14 +46,18 @@ def perplexity(batch_losses: DataFrame, loss: str = "loss", group_cols: Sequence
 
 
 def masked_token_loss(df: DataFrame, logits: str, label: str, mask: Column) -> DataFrame:
-    """Cross entropy over positions with mask != 0: (loss, loss * n, n)."""
+    """Cross entropy over positions with mask != 0: (loss, loss * n, n); without such
+    positions the loss is null."""
     nll = -logprob_of_label(F.col(logits), F.col(label))
     g = df.agg(F.sum(nll * mask).alias("_s"), F.sum(mask).alias("n_tokens"))
-    return g.select((F.col("_s") / F.col("n_tokens")).alias("loss"), F.col("_s").alias("loss_x_n"), "n_tokens")
+    return g.select(F.try_divide("_s", "n_tokens").alias("loss"), F.col("_s").alias("loss_x_n"), "n_tokens")
 
 
 def metric_row(*one_row_frames: DataFrame, decimals: int = 4) -> DataFrame:
-    """Merge one-row metric frames into one row, every double rounded."""
+    """Merge one-row metric frames into one row, every double rounded; a name may occur once."""
+    names = [c for f in one_row_frames for c in f.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"metric names occur twice: {sorted({c for c in names if names.count(c) > 1})}")
     # union of the one-row frames (missing columns null) folded by one global aggregate
     out = one_row_frames[0]
     for f in one_row_frames[1:]:

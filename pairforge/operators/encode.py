@@ -31,19 +31,21 @@ def build_vocab(counts: DataFrame, first_id: int = N_SPECIAL) -> DataFrame:
     return v.select("token", "count", (F.col("_i") + first_id).alias("id"))
 
 
-def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int = 512, add_eos: bool = True) -> DataFrame:
-    """Ids (unknown -> UNK), cut to leave room for EOS, EOS appended, PAD to ``max_len``."""
+def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int | None = 512, add_eos: bool = True) -> DataFrame:
+    """Ids (unknown -> UNK), cut to leave room for EOS, EOS appended, PAD to ``max_len`` (None: neither cut nor pad).
+
+    Tokens beyond the room never reach the join."""
+    t = F.col(tokens) if max_len is None else F.slice(tokens, 1, max_len - (1 if add_eos else 0))
     # posexplode_outer keeps texts without tokens (one null row, not collected below)
-    t = texts.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    t = texts.select(key, F.posexplode_outer(t).alias("pos", "token"))
     j = t.join(vocab.select("token", F.col("id").alias("_vid")), "token", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_vid", F.lit(UNK)).alias("id")))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
     ids = F.transform("_s", lambda x: x["id"].cast("int"))
-    room = max_len - (1 if add_eos else 0)
-    ids = F.slice(ids, 1, room)
     if add_eos:
         ids = F.concat(ids, F.array(F.lit(EOS)))
-    ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids)))
+    if max_len is not None:
+        ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids)))
     return g.select(key, ids.alias("ids"))
 
 
@@ -63,8 +65,9 @@ def _merge_pair(syms, a: str, b: str):
 
 
 def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", count: str = "count",
-              checkpoint_every: int = 10) -> DataFrame:
-    """Learn ``num_merges`` merges from a (word, count) table.
+              checkpoint_every: int = 10, min_frequency: int = 3) -> DataFrame:
+    """Learn up to ``num_merges`` merges from a (word, count) table of all words; training ends when the best
+    pair occurs fewer than ``min_frequency`` times.
 
     Each round is one distributed aggregation over the distinct words: adjacent
     symbol pairs weighted by word frequency, the most frequent pair wins (ties:
@@ -87,7 +90,7 @@ def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", coun
                                                 lambda x, y: F.struct(x.alias("a"), y.alias("b")))).alias("p"), "c")
         best = (pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n"))
                 .orderBy(F.col("n").desc(), "a", "b").limit(1).collect())
-        if not best:
+        if not best or best[0]["n"] < min_frequency:
             break
         a, b, n = best[0]["a"], best[0]["b"], best[0]["n"]
         merges.append((r, a, b, int(n)))

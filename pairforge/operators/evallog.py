@@ -29,27 +29,62 @@ def _agg(how: str, c: Column) -> Column:
 
 
 def _order_num(df: DataFrame, order: str) -> Column:
+    """The order column as a number: microseconds, the integer itself, or a double (fractional steps keep their order)."""
     t = dict(df.dtypes)[order]
-    return F.unix_micros(F.col(order).cast("timestamp")) if t.startswith("timestamp") else F.col(order).cast("long")
-
-
-def running(df: DataFrame, key: str, order: str, scans: Sequence[Scan], slice_width: int | None = None,
-            num_partitions: int | None = None) -> DataFrame:
+    if t.startswith(("timestamp", "date")):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    return F.col(order).cast("long" if t in ("tinyint", "smallint", "int", "bigint") else "double")
+
+
+def _cell(x: Column, bounds: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
+    """Number of sorted ``bounds`` at or below x, as a binary search of comparisons."""
+    hi = len(bounds) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x < F.lit(bounds[mid]), _cell(x, bounds, lo, mid)).otherwise(_cell(x, bounds, mid + 1, hi))
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Cuts of the order axis: cells with about equally many rows (``bounds``), each cut again into equal widths."""
+    bounds: tuple
+    lo: float
+    hi: float
+
+    CELLS = 64
+    PARTS = 64
+
+    @staticmethod
+    def of(df: DataFrame, order: str) -> Slices:
+        """One aggregate job: a burst of rows gets as many cells as its share, whatever run it belongs to."""
+        x = _order_num(df, order)
+        shares = [i / Slices.CELLS for i in range(1, Slices.CELLS)]
+        row = df.agg(F.percentile_approx(x, shares, 10_000).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+        return Slices(tuple(sorted(set(row["q"] or ()))), row["lo"] or 0, row["hi"] or 0)
+
+    def id(self, x: Column) -> Column:
+        ends = [float(e) for e in (self.lo, *self.bounds, self.hi)]
+        starts = F.array(*(F.lit(a) for a in ends[:-1]))
+        widths = F.array(*(F.lit(max((b - a) / self.PARTS, 1e-12)) for a, b in zip(ends, ends[1:])))
+        cell = _cell(x, self.bounds)
+        part = F.floor((x.cast("double") - F.get(starts, cell)) / F.get(widths, cell))
+        return (cell * self.PARTS + F.greatest(F.least(part, F.lit(self.PARTS - 1)), F.lit(0))).cast("long")
+
+
+def running(df: DataFrame, key: str, order: str, scans: Sequence[Scan], slices: Slices | None = None) -> DataFrame:
     """Add one column per :class:`Scan`: the running sum / max over the run ``key``
     in ``order`` (unique within a run).
 
-    Each run is cut into slices of ``slice_width`` order units (default: the
-    global order range split into 16 slices per shuffle partition, one small
-    aggregate job).  Slices are scanned in parallel by a window over (run, slice);
-    slice totals (one row per slice) are prefix-aggregated per run and joined
-    back.  Slice ids come from the data, so every re-computation agrees.
+    Each run is cut into the given ``slices`` of the order axis (default: found by one
+    small aggregate job over the table; callers that scan twice find them once).  Slices
+    are scanned in parallel by a window over (run, slice); slice totals (one row per
+    slice) are prefix-aggregated per run and joined back.  Slice ids come from the data,
+    so every re-computation agrees.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     onum = _order_num(df, order)
-    if slice_width is None:
-        lo, hi = df.agg(F.min(onum), F.max(onum)).first()
-        slice_width = max(1, ((hi or 0) - (lo or 0) + 1) // (n * 16)) if lo is not None else 1
-    base = df.select("*", F.floor(onum / F.lit(slice_width)).cast("long").alias("_slice"),
+    slices = slices or Slices.of(df, order)
+    base = df.select("*", slices.id(onum).alias("_slice"),
                      *[s.value.alias(f"_v{i}") for i, s in enumerate(scans)])
     local_cols = []
     for i, s in enumerate(scans):
@@ -70,9 +105,9 @@ def running(df: DataFrame, key: str, order: str, scans: Sequence[Scan], slice_wi
 
 
 def running_error_rate(log: DataFrame, run: str, step: str, errors: Column, seen: Column, decimals: int = 5) -> DataFrame:
-    """Cumulative errors / cumulative samples seen, per run and step."""
+    """Cumulative errors / cumulative samples seen, per run and step (null while nothing was seen)."""
     out = running(log, run, step, [Scan("_err", errors), Scan("_seen", seen)])
-    return out.withColumn("error_rate", F.round(F.col("_err") / F.col("_seen"), decimals)).drop("_err", "_seen")
+    return out.withColumn("error_rate", F.round(F.try_divide("_err", "_seen"), decimals)).drop("_err", "_seen")
 
 
 def best_checkpoint(log: DataFrame, run: str, step: str, metric: str, mode: str = "max") -> DataFrame:
@@ -84,6 +119,32 @@ def best_checkpoint(log: DataFrame, run: str, step: str, metric: str, mode: str
     return g.select(run, "n_evals", best.alias("best_value"), (-F.col("_b.s")).alias("_bs"))
 
 
+def _streaks(log: DataFrame, run: str, step: str, slices: Slices, metrics: dict[str, tuple[str, float]]) -> DataFrame:
+    """For each ``out: (value, init)``: evaluations since the last strict improvement of ``value`` over the best so far
+    (at first ``init``), added as ``out``; two scans for all of them."""
+    best = [Scan(f"_p_{o}", F.col(v), "max", inclusive=False) for o, (v, _) in metrics.items()]
+    d = running(log, run, step, [Scan("_idx", F.lit(1)), *best], slices)
+    last = [Scan(f"_l_{o}", F.when(F.col(v) > F.greatest(F.coalesce(F.col(f"_p_{o}"), F.lit(i)), F.lit(i)), F.col("_idx")).otherwise(F.lit(0)), "max")
+            for o, (v, i) in metrics.items()]
+    d = running(d, run, step, last, slices)
+    return d.withColumns({o: F.col("_idx") - F.col(f"_l_{o}") for o in metrics}) \
+        .drop("_idx", *(f"_{x}_{o}" for o in metrics for x in "pl"))
+
+
+def joint_early_stop(log: DataFrame, run: str, step: str, loss: str, score: str, patience: int, init_loss: float = 1e6,
+                     init_score: float = -1.0) -> DataFrame:
+    """E4 for generation tasks: a run stops at the first step at which **both** counters, that of the loss
+    (perplexity, lower is better) and that of the score (bleu + em, higher is better), exceed ``patience``.
+
+    Returns ``run, n_evals, best_loss, best_score, stop_step`` (null when training would not stop)."""
+    slices = Slices.of(log, step)
+    d = _streaks(log.withColumn("_nl", -F.col(loss)), run, step, slices,
+                 {"_bad_loss": ("_nl", -init_loss), "_bad_score": (score, init_score)})
+    stop = (F.col("_bad_loss") > patience) & (F.col("_bad_score") > patience)
+    return d.groupBy(run).agg(F.count(F.lit(1)).alias("n_evals"), F.min(loss).alias("best_loss"), F.max(score).alias("best_score"),
+                              F.min(F.when(stop, F.col(step))).alias("stop_step"))
+
+
 def early_stop(log: DataFrame, run: str, step: str, metric: str, patience: int, mode: str = "max",
                init: float | None = None) -> DataFrame:
     """Per run, the first step at which the no-improvement counter exceeds ``patience``.
@@ -95,10 +156,8 @@ def early_stop(log: DataFrame, run: str, step: str, metric: str, patience: int,
     init = (-1.0 if mode == "max" else 1e6) if init is None else init
     m = F.col(metric) if mode == "max" else -F.col(metric)
     init_m = init if mode == "max" else -init
-    p1 = running(log.withColumn("_m", m), run, step, [Scan("_idx", F.lit(1)), Scan("_prev", F.col("_m"), "max", inclusive=False)])
-    p1 = p1.withColumn("_imp", F.col("_m") > F.greatest(F.coalesce(F.col("_prev"), F.lit(init_m)), F.lit(init_m)))
-    p2 = running(p1, run, step, [Scan("_last", F.when(F.col("_imp"), F.col("_idx")).otherwise(F.lit(0)), "max")])
-    p2 = p2.withColumn("_stop", (F.col("_idx") - F.col("_last")) > patience)
+    slices = Slices.of(log, step)
+    p2 = _streaks(log.withColumn("_m", m), run, step, slices, {"_streak": ("_m", init_m)}).withColumn("_stop", F.col("_streak") > patience)
     best = F.max(F.col("_m")) if mode == "max" else -F.max(F.col("_m"))
     return p2.groupBy(run).agg(F.count(F.lit(1)).alias("n_evals"), best.alias("best_value"),
                                F.min(F.when(F.col("_stop"), F.col(step))).alias("stop_step"))

@@ -1,6 +1,8 @@
 """Nested-record helpers."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,12 +33,12 @@ def add_suffix(df: DataFrame, suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns})
 
 
-def build_batch_requests(df: DataFrame, idx: str, system: Column, user: Column, model: str,
+def build_batch_requests(df: DataFrame, idx: str, messages: Sequence[tuple[str, Column]], model: str,
                          url: str = "/v1/chat/completions") -> DataFrame:
-    """One batch-API request per row as JSON text (``custom_id = request-{idx}``)."""
+    """One batch-API request per row as JSON text (``custom_id = request-{idx}``) with any number of
+    (role, content) messages."""
     body = F.struct(F.lit(model).alias("model"), F.array(
-        F.struct(F.lit("system").alias("role"), system.alias("content")),
-        F.struct(F.lit("user").alias("role"), user.alias("content"))).alias("messages"))
+        *(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in messages)).alias("messages"))
     req = F.struct(F.concat(F.lit("request-"), F.col(idx).cast("string")).alias("custom_id"), F.lit("POST").alias("method"),
                    F.lit(url).alias("url"), body.alias("body"))
     return df.select(F.col(idx), F.to_json(req).alias("request"))

@@ -17,7 +17,8 @@ Per pair (``key``):
 Two physical shapes:
 
 ``ngram_stats`` (references in an array column, the common case of a fixed
-number of reference files).  Pairs are hash-partitioned on the key once (a
+number of reference files).  With one reference a pair is counted by integer
+codes in an Arrow batch, without any exchange.  With several, pairs are hash-partitioned on the key once (a
 no-op when they come out of a join on that key), the grams of both sides are
 exploded from one array and three hash aggregates keyed by (key, ...) run in
 that same stage: no gram crosses the network.  Per-pair work is bounded by the
@@ -33,9 +34,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 
 def possible(length: Column, n: int) -> Column:
@@ -84,14 +89,14 @@ def ngram_stats(
 ) -> DataFrame:
     """Per-pair statistics; ``hyp`` is ``array<string>``, ``refs`` is ``array<array<string>>``.
 
-    ``single_ref=True`` (every pair has exactly one reference) skips the
-    per-reference level and counts both sides in one hash aggregate.
+    ``single_ref=True`` (every pair has exactly one reference; more are an error)
+    counts both sides in one vectorised pass per batch of pairs.
     """
     df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"))
-    if partition:
-        df = df.repartition(key)
     if single_ref:
         return _single_ref_stats(df, key, list(extra), max_n, keywords)
+    if partition:
+        df = df.repartition(key)
     hl = F.size("_hyp")
     lens = F.transform("_refs", lambda r: F.size(r))
     closest = F.array_min(F.transform(lens, lambda r: F.struct(F.abs(r - hl).alias("d"), r.alias("r"))))["r"]
@@ -128,35 +133,78 @@ def ngram_stats(
     return out.fillna(zeros).select(key, *meta_names, *_count_cols(max_n, keywords))
 
 
-def _single_ref_stats(df: DataFrame, key: str, extra: list[str], max_n: int, keywords) -> DataFrame:
-    """One reference per pair: everything, lengths included, comes out of one chain of
-    hash aggregates over the exploded grams - the pairs are read and shuffled once.
+#: tokens of both sides that are counted at once in a task
+_BATCH_TOKENS = 2_000_000
 
-    Every side also emits one sentinel row (order 0) so a pair with empty texts
-    still appears; per-pair columns (``extra``) ride along as grouping keys."""
-    sides = df.select(key, *extra, F.posexplode(F.concat(F.array(F.col("_hyp")), F.slice("_refs", 1, 1))).alias("_k", "_t"))
-    pos = sides.select(key, *extra, (F.col("_k") - 1).alias("k"), "_t", F.posexplode_outer("_t").alias("_i", "_w"))
-    size = F.size("_t")
-    grams = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.when(F.col("_i") + n <= size,
-                                              F.concat_ws(" ", *[F.col("_t")[F.col("_i") + j] for j in range(n)])).alias("g"))
-        for n in range(1, max_n + 1)])
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g")))
-    per_pos = F.when(F.col("_i").isNull(), sentinel).otherwise(grams)
-    ex = pos.select(key, *extra, "k", F.explode(per_pos).alias("_x")).select(
-        key, *extra, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"), "k").filter(F.col("g").isNotNull())
-    real = F.col("n") > 0
-    per_gram = ex.groupBy(key, *extra, "n", "g").agg(F.count_if(real & (F.col("k") < 0)).alias("hc"),
-                                                     F.count_if(real & (F.col("k") >= 0)).alias("rc"))
-    clip = F.least("hc", "rc")
-    aggs = [F.sum(F.when(F.col("n") == 1, F.col("hc")).otherwise(0)).cast("int").alias("hyp_len"),
-            F.sum(F.when(F.col("n") == 1, F.col("rc")).otherwise(0)).cast("int").alias("_rl")]
-    aggs += [F.sum(F.when(F.col("n") == n, clip).otherwise(0)).cast("long").alias(f"m{n}") for n in range(1, max_n + 1)]
-    if keywords is not None:
-        w = keyword_weight(F.col("g"), keywords)
-        aggs += [F.sum(F.when(F.col("n") == 1, clip * w).otherwise(0.0)).alias("wrm1"),
-                 F.sum(F.when(F.col("n") == 1, F.col("rc") * w).otherwise(0.0)).alias("_wr")]
-    out = per_gram.groupBy(key, *extra).agg(*aggs)
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths (a null list is empty) and all tokens of a list column."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, lists.flatten()
+
+
+def _count_pairs(hyp: pa.Array, ref: pa.Array, max_n: int, keywords) -> list[np.ndarray]:
+    """Lengths, clipped matches of every order and keyword-weighted sums of each row's two token lists.
+
+    Tokens are numbered once; a gram of order n is the pair (its first n - 1 tokens' number, last token), numbered again,
+    with the row in the first number, so all counts are exact and no gram is built as a string."""
+    (hl, ht), (rl, rt) = _flat(hyp), _flat(ref)
+    rows = len(hl)
+    both = pa.concat_arrays([ht.cast(pa.string()), rt.cast(pa.string())]).dictionary_encode()
+    token = pc.fill_null(both.indices, len(both.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = len(both.dictionary) + 1
+    row = np.concatenate([np.repeat(np.arange(rows), hl), np.repeat(np.arange(rows), rl)])
+    is_hyp = np.arange(len(token)) < len(ht)
+    text = row + rows * ~is_hyp
+    out = [hl, rl]
+    gram, weighted = row, None
+    for n in range(1, max_n + 1):
+        at = np.flatnonzero(text[:max(len(text) - n + 1, 0)] == text[n - 1:])
+        number, _ = pd.factorize(gram[at] * size + token[at + n - 1])
+        count = int(number.max()) + 1 if len(number) else 0
+        hc = np.bincount(number[is_hyp[at]], minlength=count)
+        rc = np.bincount(number[~is_hyp[at]], minlength=count)
+        of = np.zeros(count, np.int64)
+        of[number] = row[at]
+        clip = np.minimum(hc, rc)
+        out.append(np.bincount(of, clip, minlength=rows).astype(np.int64))
+        if n == 1 and keywords is not None:
+            w = np.append(np.where(np.isin(np.array(both.dictionary.to_pylist(), dtype=object), list(keywords)), 1.0, 0.2), 0.2)
+            weight = np.zeros(count)
+            weight[number] = w[token[at]]
+            weighted = [np.bincount(of, clip * weight, minlength=rows) + 0.0, np.bincount(of, rc * weight, minlength=rows) + 0.0]
+        gram = np.zeros(len(text), np.int64)
+        gram[at] = number
+    return out + (weighted or [])
+
+
+def _single_ref_stats(df: DataFrame, key: str, extra: list[str], max_n: int, keywords) -> DataFrame:
+    """One reference per pair: lengths and counts of a batch of pairs in one vectorised pass (no exchange, no string grams).
+
+    Pairs are independent rows, so a pair needs no more memory than its two texts."""
+    names = ["hyp_len", "_rl"] + [f"m{n}" for n in range(1, max_n + 1)] + (["wrm1", "_wr"] if keywords is not None else [])
+    types = [IntegerType(), IntegerType()] + [LongType()] * max_n + [DoubleType()] * (2 if keywords is not None else 0)
+    carried = [df.schema[c] for c in (key, *extra)]
+    schema = StructType([*carried, *(StructField(c, t) for c, t in zip(names, types))])
+    kept = [f.name for f in carried]
+
+    def run(batches):
+        for b in batches:
+            n_tokens = np.cumsum(sum(pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                                     for c in ("_hyp", "_ref")))
+            at = 0
+            while at < b.num_rows:
+                past = n_tokens[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(n_tokens, past + _BATCH_TOKENS, side="right")))
+                part = b.slice(at, end - at)
+                cols = _count_pairs(part.column("_hyp"), part.column("_ref"), max_n, keywords)
+                arrays = [pa.array(c.astype(np.int32)) for c in cols[:2]] + [pa.array(c) for c in cols[2:]]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *names])
+                at = end
+
+    one = F.when(F.size("_refs") <= 1, F.get("_refs", 0)).otherwise(
+        F.raise_error(F.lit("single_ref takes one reference a pair")).cast("array<string>"))
+    out = df.select(*kept, "_hyp", one.alias("_ref")).mapInArrow(run, schema)
     rl = F.col("_rl")
     cols = [key, *extra, "hyp_len", rl.alias("ref_min"), rl.alias("ref_closest"), F.lit(1).alias("n_refs")]
     cols += [F.greatest(F.lit(1), possible(rl, n)).cast("long").alias(f"rden{n}") for n in range(1, max_n + 1)]
@@ -176,7 +224,10 @@ def explode_grams(df: DataFrame, key: str, k: str, tokens: str, max_n: int, carr
     index access, so generators, ``GetArrayItem`` and ``ConcatWs`` all run inside
     whole-stage codegen (a higher-order lambda per gram would run interpreted).
     """
-    pos = df.select(key, *carry, F.col(k).alias("k"), F.col(tokens).alias("_t"), F.posexplode(tokens).alias("_i", "_w"))
+    # a blank inside a token must not look like the blank between two tokens
+    t = F.col(tokens)
+    t = F.when(F.contains(F.array_join(t, ""), F.lit(" ")), F.transform(t, lambda x: F.replace(x, F.lit(" "), F.lit("\x00")))).otherwise(t)
+    pos = df.select(key, *carry, F.col(k).alias("k"), t.alias("_t")).select("*", F.posexplode("_t").alias("_i", "_w"))
     size = F.size("_t")
     per_pos = F.array(*[
         F.struct(F.lit(n).alias("n"), F.when(F.col("_i") + n <= size,
@@ -223,16 +274,15 @@ def ngram_stats_long(
     across tasks like any other data.
     """
     h = hyps.select(key, F.col(hyp).alias("_t"))
-    r = refs.select(key, F.col(ref_id).cast("int").alias("_k"), F.col(ref).alias("_t"))
-    grams = explode_grams(h.select(key, F.lit(-1).alias("k"), "_t"), key, "k", "_t", max_n).unionByName(
-        explode_grams(r.select(key, F.col("_k").alias("k"), "_t"), key, "k", "_t", max_n))
-    lvl1 = grams.groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
+    r = refs.select(key, F.col(ref_id).alias("_k"), F.col(ref).alias("_t"))
     # Hypothesis counts are unique per (key, n, gram); each reference's count is
     # joined to them instead of gathering a gram's references into one list.  A
     # gram shared by very many references of one key is a skewed join key that
-    # AQE's skew-join splits.
-    hc = lvl1.filter(F.col("k") < 0).select(key, "n", "g", F.col("c").alias("hc"))
-    rc = lvl1.filter(F.col("k") >= 0).select(key, "n", "g", "c")
+    # AQE's skew-join splits.  Reference ids may be of any type and value.
+    hc = explode_grams(h.select(key, F.lit(0).alias("k"), "_t"), key, "k", "_t", max_n) \
+        .groupBy(key, "n", "g").agg(F.count(F.lit(1)).alias("hc"))
+    rc = explode_grams(r.select(key, F.col("_k").alias("k"), "_t"), key, "k", "_t", max_n) \
+        .groupBy(key, "n", "g", "k").agg(F.count(F.lit(1)).alias("c")).select(key, "n", "g", "c")
     j = rc.join(hc, [key, "n", "g"])
     per_gram = j.groupBy(key, "n", "g").agg(
         F.least(F.max("hc"), F.max("c")).alias("clip"), F.sum(F.least(F.col("c"), F.col("hc"))).alias("rmin"))

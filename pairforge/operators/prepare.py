@@ -157,8 +157,9 @@ def length_stats_collated(triples: DataFrame, tokenizer: Tokenizer, max_len: int
 
 
 def replace_literals(c) -> Column:
-    """Blank out string and char literals (kept as empty quotes) before structure checks."""
-    return F.regexp_replace(_c(c), r"\"(?:\\\\.|[^\\\\\"])*+\"|'(?:\\\\.|[^\\\\'])*+'", "\"\"")
+    """Blank out string and char literals (kept as empty quotes) before structure checks; comments must be gone
+    already, as an apostrophe in one would open a literal."""
+    return F.regexp_replace(_c(c), r"""\"(?:\\.|[^\\"])*+"|'(?:\\.|[^\\'])*+'""", '""')
 
 
 # ---------------------------------------------------------------- H24

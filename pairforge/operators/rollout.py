@@ -10,23 +10,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.arrays import whiten
+from pairforge.functions.arrays import bind, clip, entropy_from_logits, whiten
 
 # fixed values: trainer defaults of the reference PPO implementation
 PPO_DEFAULTS = {"init_kl_coef": 100.0, "target": 6.0, "horizon": 10000.0, "gamma": 1.0, "lam": 0.95,
                 "cliprange": 0.2, "cliprange_value": 0.2, "vf_coef": 0.1, "batch_size": 48}
 
+#: elements of one padded block of sequences in ``gae``
+_BATCH_ELEMENTS = 4_000_000
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def _mean(a) -> Column:
-    a = _c(a)
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+    """Mean of an array; null for an empty one."""
+    return bind(a, lambda v: F.try_divide(_sum(v), F.size(v)))
 
 
 def _sum(a) -> Column:
@@ -34,9 +39,9 @@ def _sum(a) -> Column:
 
 
 def _var_samp(a) -> Column:
-    a = _c(a)
-    m = _mean(a)
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / (F.size(a) - 1)
+    """Sample variance of an array; 1 for fewer than two elements (as in whitening)."""
+    return bind(a, lambda v: bind(_mean(v), lambda m: F.when(F.size(v) > 1, F.aggregate(
+        v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.greatest(F.size(v) - 1, F.lit(1))).otherwise(F.lit(1.0))))
 
 
 def kl_rewards(logprobs, ref_logprobs, scores, kl_coef: float) -> Column:
@@ -48,43 +53,78 @@ def kl_rewards(logprobs, ref_logprobs, scores, kl_coef: float) -> Column:
 
 def gae(rewards, values, gamma: float = 1.0, lam: float = 0.95) -> Column:
     """Generalised advantages, delta_t = r_t + gamma V_{t+1} - V_t (V past the end 0),
-    A_t = sum_{s >= t} (gamma lam)^(s - t) delta_s; returns ``struct(advantages, returns)``."""
-    r, v = _c(rewards), _c(values)
-    n = F.size(r)
-    delta = F.transform(r, lambda x, t: x + gamma * F.coalesce(F.get(v, t + 1), F.lit(0.0)) - F.get(v, t))
-    adv = F.transform(delta, lambda _, t: F.aggregate(
-        F.sequence(t, n - 1), F.lit(0.0), lambda acc, s: acc + F.pow(F.lit(gamma * lam), s - t) * F.get(delta, s)))
-    return F.struct(adv.alias("advantages"), F.zip_with(adv, v, lambda a, b: a + b).alias("returns"))
+    A_t = delta_t + gamma lam A_{t+1}; returns ``struct(advantages, returns)``.
+
+    One reverse pass over the tokens, for an Arrow batch of sequences at once (array expressions have no running
+    sum, so they would take the square of the length)."""
+    @F.pandas_udf("struct<advantages:array<double>,returns:array<double>>")
+    def run(r: pd.Series, v: pd.Series) -> pd.DataFrame:
+        adv: list = [None] * len(r)
+        ret: list = [None] * len(r)
+        rows = sorted((i for i in range(len(r)) if r.iloc[i] is not None and v.iloc[i] is not None), key=lambda i: len(r.iloc[i]))
+        while rows:  # sequences of like length side by side, a bounded number of elements at a time
+            n = len(r.iloc[rows[-1]])
+            take, rows = rows[-max(1, _BATCH_ELEMENTS // max(n, 1)):], rows[:-max(1, _BATCH_ELEMENTS // max(n, 1))]
+            delta, val = np.zeros((len(take), n)), np.zeros((len(take), n + 1))
+            for k, i in enumerate(take):
+                m = len(r.iloc[i])
+                val[k, :m] = v.iloc[i][:m]
+                delta[k, :m] = r.iloc[i] + gamma * val[k, 1:m + 1] - val[k, :m]
+            run = np.zeros(len(take))
+            for t in range(n - 1, -1, -1):
+                delta[:, t] = run = delta[:, t] + gamma * lam * run
+            for k, i in enumerate(take):
+                m = len(r.iloc[i])
+                adv[i], ret[i] = delta[k, :m], delta[k, :m] + val[k, :m]
+        return pd.DataFrame({"advantages": pd.Series(adv, dtype=object), "returns": pd.Series(ret, dtype=object)})
+    return run(_c(rewards), _c(values))
 
 
 def advantages(rewards, values, gamma: float = 1.0, lam: float = 0.95) -> Column:
     """GAE then whitening of the advantages (per sequence)."""
-    g = gae(rewards, values, gamma, lam)
-    return F.struct(whiten(g["advantages"]).alias("advantages"), g["returns"].alias("returns"))
+    return bind(gae(rewards, values, gamma, lam), lambda g: F.struct(
+        whiten(g["advantages"]).alias("advantages"), g["returns"].alias("returns")))
 
 
 def ppo_losses(old_logprobs, logprobs, values, vpred, adv, returns, cliprange: float = 0.2,
-               cliprange_value: float = 0.2, vf_coef: float = 0.1) -> Column:
-    """I3 + I4 per sequence: clipped value and policy losses, clip fractions and diagnostics."""
-    v, vp, ret, a = _c(values), _c(vpred), _c(returns), _c(adv)
-    vclip = F.zip_with(vp, v, lambda p, x: F.greatest(F.least(p, x + cliprange_value), x - cliprange_value))
-    l1 = F.zip_with(vp, ret, lambda p, r: (p - r) * (p - r))
-    l2 = F.zip_with(vclip, ret, lambda p, r: (p - r) * (p - r))
-    vf_loss = 0.5 * _mean(F.zip_with(l1, l2, lambda x, y: F.greatest(x, y)))
-    vf_clip = _mean(F.zip_with(l2, l1, lambda y, x: (y > x).cast("double")))
-    diff = F.zip_with(_c(logprobs), _c(old_logprobs), lambda x, y: x - y)
-    ratio = F.transform(diff, lambda d: F.exp(d))
-    pg1 = F.zip_with(a, ratio, lambda x, rr: -x * rr)
-    pg2 = F.zip_with(a, ratio, lambda x, rr: -x * F.greatest(F.least(rr, F.lit(1.0 + cliprange)), F.lit(1.0 - cliprange)))
-    pg_loss = _mean(F.zip_with(pg1, pg2, lambda x, y: F.greatest(x, y)))
-    pg_clip = _mean(F.zip_with(pg2, pg1, lambda y, x: (y > x).cast("double")))
-    return F.struct(
-        pg_loss.alias("pg_loss"), vf_loss.alias("vf_loss"), (pg_loss + vf_coef * vf_loss).alias("loss"),
-        pg_clip.alias("pg_clipfrac"), vf_clip.alias("vf_clipfrac"),
-        (0.5 * _mean(F.transform(diff, lambda d: d * d))).alias("approxkl"), _mean(diff).alias("policykl"),
-        _mean(ret).alias("return_mean"), _var_samp(ret).alias("return_var"),
-        _mean(v).alias("value_mean"), _var_samp(v).alias("value_var"),
-        _mean(vp).alias("vpred_mean"), _mean(l1).alias("val_error"), _mean(a).alias("adv_mean"))
+               cliprange_value: float = 0.2, vf_coef: float = 0.1, logits=None) -> Column:
+    """I3 + I4 per sequence: clipped value and policy losses, clip fractions and diagnostics.
+
+    ``logits`` (array of logit arrays, one per token) adds the mean ``entropy`` of the policy.  Means of an empty
+    sequence are null, variances of one element 1."""
+    inputs = F.struct(_c(old_logprobs).alias("old"), _c(logprobs).alias("new"), _c(values).alias("v"), _c(vpred).alias("vp"),
+                      _c(returns).alias("ret"), _c(adv).alias("a"))
+
+    def tokens(x: Column) -> Column:
+        v = F.zip_with(F.zip_with(x["vp"], x["v"], lambda p, q: F.struct(p.alias("p"), q.alias("v"))), x["ret"], lambda z, r: F.struct(
+            ((z["p"] - r) * (z["p"] - r)).alias("l1"), (_clamp(z["p"], z["v"], cliprange_value) - r).alias("c")))
+        d = F.zip_with(x["new"], x["old"], lambda p, q: p - q)
+        pg = F.zip_with(x["a"], d, lambda a, e: F.struct((-a * F.exp(e)).alias("p1"),
+                                                        (-a * clip(F.exp(e), 1.0 - cliprange, 1.0 + cliprange)).alias("p2")))
+        return F.struct(F.transform(v, lambda z: F.struct(z["l1"].alias("l1"), (z["c"] * z["c"]).alias("l2"))).alias("vl"),
+                        d.alias("diff"), pg.alias("pg"), x["v"].alias("v"), x["vp"].alias("vp"), x["ret"].alias("ret"), x["a"].alias("a"))
+
+    def losses(t: Column) -> Column:
+        pg_loss = _mean(F.transform(t["pg"], lambda z: F.greatest(z["p1"], z["p2"])))
+        vf_loss = 0.5 * _mean(F.transform(t["vl"], lambda z: F.greatest(z["l1"], z["l2"])))
+        fields = [
+            pg_loss.alias("pg_loss"), vf_loss.alias("vf_loss"), (pg_loss + vf_coef * vf_loss).alias("loss"),
+            _mean(F.transform(t["pg"], lambda z: (z["p2"] > z["p1"]).cast("double"))).alias("pg_clipfrac"),
+            _mean(F.transform(t["vl"], lambda z: (z["l2"] > z["l1"]).cast("double"))).alias("vf_clipfrac"),
+            (0.5 * _mean(F.transform(t["diff"], lambda d: d * d))).alias("approxkl"), _mean(t["diff"]).alias("policykl"),
+            _mean(t["ret"]).alias("return_mean"), _var_samp(t["ret"]).alias("return_var"),
+            _mean(t["v"]).alias("value_mean"), _var_samp(t["v"]).alias("value_var"),
+            _mean(t["vp"]).alias("vpred_mean"), _mean(F.transform(t["vl"], lambda z: z["l1"])).alias("val_error"),
+            _mean(t["a"]).alias("adv_mean")]
+        if logits is not None:
+            fields.append(_mean(F.transform(_c(logits), entropy_from_logits)).alias("entropy"))
+        return F.struct(*fields)
+
+    return bind(inputs, lambda x: bind(tokens(x), losses))
+
+
+def _clamp(p: Column, around: Column, width: float) -> Column:
+    return F.greatest(F.least(p, around + width), around - width)
 
 
 def batch_mean(df: DataFrame, per_seq: str, fields: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +144,7 @@ def step_stats(df: DataFrame, logprobs: str, ref_logprobs: str, non_score_reward
 
 def var_explained(val_error: Column, return_var: Column) -> Column:
     """1 - value error / return variance (both batch means)."""
-    return 1.0 - val_error / return_var
+    return 1.0 - F.try_divide(val_error, return_var)
 
 
 def mean_arrays(df: DataFrame, arr: str, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -153,11 +153,38 @@ def parse_error_counts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CB.parse_error_counts(nodes, "page_id")
 
 
-@query("structure_check_docs", "I10 H7")
+#: code put before every fourth document: literals with brackets and escaped quotes, comments with apostrophes,
+#: an unclosed and a crossed bracket
+PLANTS = ['x = "(\\" "; // it\'s\nf(y); // that\'s\n', "// it's\nf(x // that's\n", "m = '{'; g[0] = h(1); /* don't */\n", "a(b[c)d];\n"]
+
+
+def _sql_text(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+_CASES = " ".join(f"WHEN {i} THEN {_sql_text(t)}" for i, t in enumerate(PLANTS))
+_CODE_PIECES = r"""(?sm)//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|[^/'"]+|.""".replace("'", "''")
+_LITERAL = r"""\"(?:\\.|[^\\"])*"|'(?:\\.|[^\\'])*'""".replace("'", "''")
+_STRUCT_SQL = f"""WITH p AS (SELECT doc_id, (CASE doc_id % 4 {_CASES} END) || text AS t FROM documents),
+s AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(regexp_extract_all(t, '{_CODE_PIECES}'),
+        lambda x: CASE WHEN length(x) > 1 AND starts_with(x, '/') THEN ' ' ELSE x END), ''), '{_LITERAL}', '""', 'g') AS code FROM p),
+b AS (SELECT doc_id, unnest(regexp_extract_all(code, '[(){{}}\\[\\]]')) AS ch, generate_subscripts(regexp_extract_all(code, '[(){{}}\\[\\]]'), 1) AS pos FROM s),
+d AS (SELECT *, CASE WHEN ch IN ('(', '{{', '[') THEN 1 ELSE -1 END AS up FROM b),
+e AS (SELECT *, sum(up) OVER (PARTITION BY doc_id ORDER BY pos) AS depth FROM d),
+f AS (SELECT *, lag(ch) OVER (PARTITION BY doc_id, CASE WHEN up = 1 THEN depth ELSE depth + 1 END ORDER BY pos) AS opener FROM e),
+g AS (SELECT doc_id, min(depth) >= 0 AND sum(up) = 0
+             AND bool_and(up = 1 OR coalesce(opener || ch, '') IN ('()', '{{}}', '[]')) AS ok FROM f GROUP BY doc_id)
+SELECT s.doc_id, coalesce(g.ok, true) AS valid FROM s LEFT JOIN g USING (doc_id)"""
+
+
+@query("structure_check_docs", "I10 H7", _STRUCT_SQL)
 def structure_check_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracket balance of every document after comment stripping (rows-only: a stack
-    machine has no SQL twin; tests compare it with a Python loop)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.strip_comments(P.replace_literals(F.col("text"))).alias("code"))
+    """Bracket balance of every document (with planted code before it) after comments, then literals, are blanked."""
+    plant = F.lit(None).cast("string")
+    for i, t in enumerate(PLANTS):
+        plant = F.when(F.col("doc_id") % 4 == i, F.lit(t)).otherwise(plant)
+    code = P.replace_literals(T.strip_comments(F.concat(plant, F.col("text"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
     return d.select("doc_id", CB.structure_check("code").alias("valid"))
 
 

@@ -54,6 +54,25 @@ def early_stop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", "n_evals", "best_value", "stop_step")
 
 
+_JOINT_SQL = """WITH v AS (SELECT user_id, ts, value AS score, event_id % 7 + value / 2 AS loss FROM events),
+a AS (SELECT *, row_number() OVER w AS idx,
+         greatest(coalesce(max(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0), -1.0) AS ps,
+         least(coalesce(min(loss) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e6), 1e6) AS pl
+  FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, max(CASE WHEN score > ps THEN idx ELSE 0 END) OVER w AS ls, max(CASE WHEN loss < pl THEN idx ELSE 0 END) OVER w AS ll
+  FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id AS run, count(*) AS n_evals, round(min(loss), 6) AS best_loss, max(score) AS best_score,
+       min(ts) FILTER (WHERE idx - ls > 3 AND idx - ll > 3) AS stop_step FROM b GROUP BY user_id"""
+
+
+@query("joint_early_stop_events", "E4", _JOINT_SQL)
+def joint_early_stop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early stopping that waits for both counters (loss and score) to exceed patience 3."""
+    log = _log(spark, sf_dir).withColumn("loss", F.col("event_id") % 7 + F.col("value") / 2)
+    out = EV.joint_early_stop(log, "run", "step", "loss", "value", patience=3)
+    return out.withColumn("best_loss", F.round("best_loss", 6))
+
+
 _KL_SQL = """SELECT event_id, user_id AS run, round(100.0 * exp(coalesce(sum(ln(1.0 + greatest(least(value / 6.0 - 1.0, 0.2), -0.2) * 48 / 10000.0))
   OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)), 4) AS kl_coef
 FROM events"""

@@ -40,10 +40,24 @@ def binary_prf_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = "list_transform(embedding, lambda x: x::DOUBLE)"
-_LSE2 = f"(list_max(({_E})[1:2]) + ln(list_sum(list_transform(({_E})[1:2], lambda x: exp(x - list_max(({_E})[1:2]))))))"
+
+
+def _sql_fold(k: int) -> str:
+    """All values of an embedding folded into ``k`` logits: logit c sums the positions with the same remainder."""
+    return f"list_transform(range({k}), lambda c: list_sum(list_transform(range(c + 1, len(embedding) + 1, {k}), lambda i: embedding[i]::DOUBLE)))"
+
+
+def _fold(e, k: int):
+    def one(c):
+        return F.aggregate(F.filter(F.transform(e, lambda x, i: F.when(i % k == c, x)), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    return F.array(*(one(c) for c in range(k)))
+
+
+_HEAD2 = f"(SELECT label, {_sql_fold(2)} AS l FROM embeddings)"
+_LSE = "(list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))))"
 _THRESH_SQL = f"""WITH s AS (
   SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
-         CASE WHEN exp(({_E})[2] - {_LSE2}) > 0.5 THEN 1 ELSE 0 END AS p FROM embeddings),
+         CASE WHEN exp(l[2] - {_LSE}) > 0.5 THEN 1 ELSE 0 END AS p FROM {_HEAD2}),
 c AS (SELECT count(*) AS n, sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END)::BIGINT AS tp,
              sum(CASE WHEN y <> 1 AND p = 1 THEN 1 ELSE 0 END)::BIGINT AS fp,
              sum(CASE WHEN y = 1 AND p <> 1 THEN 1 ELSE 0 END)::BIGINT AS fn FROM s),
@@ -55,41 +69,43 @@ SELECT n, tp, fp, fn, round(pr, 6) AS precision, round(rc, 6) AS recall,
 
 @query("threshold_prf_embeddings", "H17 H26 B14 D14", _THRESH_SQL)
 def threshold_prf_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-class head: softmax of the first two values, class 1 when its probability > 0.5;
+    """Two-class head: softmax of the 64 values folded into two logits, class 1 when its probability > 0.5;
     truth is ``label >= 5``."""
-    e = _emb(spark, sf_dir)
-    p1 = F.get(A.softmax(F.slice("e", 1, 2)), 1)
-    df = e.select((F.col("label") >= 5).cast("int").alias("label"), C.threshold_predict(p1).alias("pred"))
+    e = _emb(spark, sf_dir).select("label", _fold(F.col("e"), 2).alias("l"))
+    p1 = F.get(A.softmax("l"), 1)
+    df = e.select((A.scalarize(F.col("label")) >= 5).cast("int").alias("label"), C.threshold_predict(p1).alias("pred"))
     return _r(C.binary_prf(df), ["n", "tp", "fp", "fn"], ["precision", "recall", "f1"])
 
 
-_L10 = f"({_E})[1:10]"
-_LSE10 = f"(list_max({_L10}) + ln(list_sum(list_transform({_L10}, lambda x: exp(x - list_max({_L10}))))))"
+_HEAD10 = f"(SELECT label, {_sql_fold(10)} AS l FROM embeddings)"
 _ACC_SQL = f"""SELECT count(*) AS n,
-  round(avg(CASE WHEN label = list_position({_L10}, list_max({_L10})) - 1 THEN 1.0 ELSE 0.0 END), 4) AS acc,
-  round(avg({_LSE10} - {_L10}[label + 1]), 6) AS eval_loss
-FROM embeddings"""
+  round(avg(CASE WHEN label = list_position(l, list_max(l)) - 1 THEN 1.0 ELSE 0.0 END), 4) AS acc,
+  round(avg({_LSE} - l[label + 1]), 6) AS eval_loss,
+  round(avg({_LSE} - list_sum(list_transform(l, lambda x: exp(x - {_LSE}) * x))), 6) AS entropy
+FROM {_HEAD10}"""
 
 
 @query("accuracy_embeddings", "H17 H18 D15", _ACC_SQL)
 def accuracy_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-class head over the first ten values: arg-max accuracy (4 decimals) and mean cross entropy."""
-    e = _emb(spark, sf_dir).select("label", F.slice("e", 1, 10).alias("logits"))
-    df = e.select("label", A.argmax("logits").alias("pred"), (-A.logprob_of_label("logits", "label")).alias("loss"))
-    out = C.accuracy(df, loss="loss")
-    return out.select("n", F.round("acc", 4).alias("acc"), F.round("eval_loss", R6).alias("eval_loss"))
+    """Ten-class head over the 64 values folded into ten logits: arg-max accuracy (4 decimals), mean cross entropy and
+    mean entropy."""
+    e = _emb(spark, sf_dir).select("label", _fold(F.col("e"), 10).alias("logits"))
+    df = e.select("label", A.argmax("logits").alias("pred"), (-A.logprob_of_label("logits", "label")).alias("loss"),
+                  A.entropy_from_logits("logits").alias("h"))
+    out = C.metric_row(C.accuracy(df, loss="loss"), df.agg(F.avg("h").alias("entropy")), decimals=12)
+    return out.select("n", F.round("acc", 4).alias("acc"), F.round("eval_loss", R6).alias("eval_loss"), F.round("entropy", R6).alias("entropy"))
 
 
-_MASK_SQL = f"""SELECT round(sum(CASE WHEN label <> 0 THEN {_LSE10} - {_L10}[label + 1] ELSE 0 END) / sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END), 6) AS loss,
-  round(sum(CASE WHEN label <> 0 THEN {_LSE10} - {_L10}[label + 1] ELSE 0 END), 6) AS loss_x_n,
+_MASK_SQL = f"""SELECT round(sum(CASE WHEN label <> 0 THEN {_LSE} - l[label + 1] ELSE 0 END) / sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END), 6) AS loss,
+  round(sum(CASE WHEN label <> 0 THEN {_LSE} - l[label + 1] ELSE 0 END), 6) AS loss_x_n,
   sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_tokens
-FROM embeddings"""
+FROM {_HEAD10}"""
 
 
 @query("masked_token_loss_embeddings", "H18 D17", _MASK_SQL)
 def masked_token_loss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross entropy over positions whose target is not the pad id 0."""
-    e = _emb(spark, sf_dir).select("label", F.slice("e", 1, 10).alias("logits"))
+    e = _emb(spark, sf_dir).select("label", _fold(F.col("e"), 10).alias("logits"))
     out = C.masked_token_loss(e, "logits", "label", (F.col("label") != 0).cast("long"))
     return out.select(F.round("loss", R6).alias("loss"), F.round("loss_x_n", R6).alias("loss_x_n"), "n_tokens")
 

@@ -50,8 +50,8 @@ r6 AS (SELECT *, list_transform(adv, lambda x: (x - am) / sqrt(avar + 1e-8)) AS
 
 
 _ADV_SQL = f"""WITH {ROLLOUT_CTES}
-SELECT vec_id, eos_pos::BIGINT AS eos_pos, round(list_sum(rew), 6) AS reward_sum, round(adv[1], 6) AS adv_first,
-       round(ret[1], 6) AS return_first, round(wadv[1], 6) AS whitened_first FROM r6"""
+SELECT vec_id, eos_pos::BIGINT AS eos_pos, round(list_sum(rew), 6) AS reward_sum, list_transform(adv, lambda x: round(x, 6)) AS advantages,
+       list_transform(ret, lambda x: round(x, 6)) AS returns, list_transform(wadv, lambda x: round(x, 6)) AS whitened FROM r6"""
 
 
 @query("rollout_advantages_embeddings", "I1 E3 I2 H19 H20 E5", _ADV_SQL)
@@ -59,8 +59,47 @@ def rollout_advantages_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame
     """KL-penalised rewards, GAE advantages and returns, whitened advantages per rollout."""
     r = rollouts(spark, sf_dir)
     return r.select("vec_id", "eos_pos", F.round(RL._sum("rewards"), R6).alias("reward_sum"),
-                    F.round(F.get("adv_raw", 0), R6).alias("adv_first"), F.round(F.get("returns", 0), R6).alias("return_first"),
-                    F.round(F.get("advantages", 0), R6).alias("whitened_first"))
+                    *(F.transform(c, lambda x: F.round(x, R6)).alias(n)
+                      for c, n in (("adv_raw", "advantages"), ("returns", "returns"), ("advantages", "whitened"))))
+
+
+#: tokens of a long rollout, taken from neighbouring rows of one 64-value embedding each
+LONG, ROWS = 512, 32
+
+_LONG_SQL = """WITH x AS (SELECT vec_id // 32 AS seq, vec_id % 32 AS r, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+l AS (SELECT seq, r // 8 AS part, list(v ORDER BY r, i) AS a FROM x GROUP BY ALL),
+p AS (SELECT seq, max(a) FILTER (part = 0) AS olp, max(a) FILTER (part = 1) AS ref, max(a) FILTER (part = 2) AS v, max(a) FILTER (part = 3) AS nlp
+      FROM l GROUP BY seq HAVING count(*) = 4 AND min(len(a)) = 512),
+d AS (SELECT *, list_transform(range(1, 513), lambda t: -100.0 * (olp[t] - ref[t]) + coalesce(v[t + 1], 0.0) - v[t]) AS delta FROM p),
+g AS (SELECT *, list_transform(range(1, 513), lambda t: list_sum(list_transform(range(t, 513), lambda s: pow(0.95, s - t) * delta[s]))) AS adv FROM d),
+w AS (SELECT *, list_avg(adv) AS am, list_aggregate(adv, 'var_samp') AS avar FROM g)
+SELECT seq, round(list_sum(adv), 4) AS adv_sum, round(list_sum(list_transform(range(1, 513), lambda t: t * (adv[t] - am) / sqrt(avar + 1e-8))), 4) AS whitened_moment,
+       round(list_avg(list_transform(range(1, 513), lambda t: greatest(-(adv[t] - am) / sqrt(avar + 1e-8) * exp(nlp[t] - olp[t]),
+             -(adv[t] - am) / sqrt(avar + 1e-8) * greatest(least(exp(nlp[t] - olp[t]), 1.2), 0.8)))), 6) AS pg_loss FROM w"""
+
+
+@query("long_rollouts_embeddings", "I1 E3 I2 H19 I3", _LONG_SQL)
+def long_rollouts_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """512-token rollouts (32 neighbouring rows: 8 each for old, reference, value and new streams)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    r = F.col("vec_id") % ROWS
+    g = e.groupBy(F.floor(F.col("vec_id") / ROWS).cast("long").alias("seq")).agg(
+        F.sort_array(F.collect_list(F.struct(r.alias("r"), "e"))).alias("rows"))  # at most 32 rows each
+    for k, name in enumerate(("old", "ref", "v", "new")):
+        part = F.filter("rows", _in_part(k))
+        g = g.withColumn(name, F.flatten(F.transform(part, lambda x: x["e"])))
+    g = g.filter((F.size("old") == LONG) & (F.size("ref") == LONG) & (F.size("v") == LONG) & (F.size("new") == LONG))
+    kr = RL.kl_rewards("old", "ref", F.array_repeat(F.lit(0.0), LONG), KL)
+    g = g.withColumn("adv", RL.gae(kr["rewards"], "v", RL.PPO_DEFAULTS["gamma"], RL.PPO_DEFAULTS["lam"]))
+    g = g.withColumn("white", A.whiten(F.col("adv.advantages")))
+    loss = RL.ppo_losses("old", "new", "v", "v", "white", F.col("adv.returns"))["pg_loss"]
+    moment = RL._sum(F.transform("white", lambda x, t: x * (t + 1)))
+    return g.select("seq", F.round(RL._sum(F.col("adv.advantages")), 4).alias("adv_sum"), F.round(moment, 4).alias("whitened_moment"),
+                    F.round(loss, R6).alias("pg_loss"))
+
+
+def _in_part(k: int):
+    return lambda x: F.floor(x["r"] / 8) == k
 
 
 _PPO_FIELDS = ["pg_loss", "vf_loss", "loss", "pg_clipfrac", "vf_clipfrac", "approxkl", "policykl", "return_mean",
@@ -111,14 +150,14 @@ def step_stats_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_seqs", *[F.round(c, R6).alias(c) for c in ("kl", "entropy", "mean_non_score_reward")], "kl_coef")
 
 
-_MEAN_SQL = """WITH b AS (SELECT label, unnest(embedding[1:8])::DOUBLE AS x, generate_subscripts(embedding[1:8], 1) - 1 AS pos FROM embeddings)
+_MEAN_SQL = """WITH b AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
 SELECT label, pos, round(avg(x), 6) AS mean FROM b GROUP BY label, pos"""
 
 
 @query("mean_arrays_embeddings", "D22", _MEAN_SQL)
 def mean_arrays_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element-wise mean of the first eight values per label (long form)."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("a"))
+    """Element-wise mean of the values per label (long form)."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("a"))
     out = RL.mean_arrays(e, "a", ["label"])
     return out.select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", R6).alias("mean"))
 

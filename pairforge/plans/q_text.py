@@ -29,17 +29,31 @@ def flatten_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.flatten_struct(nested)
 
 
-_REQ_SQL = """WITH r AS (SELECT doc_id, to_json({'custom_id': 'request-' || doc_id::VARCHAR, 'method': 'POST', 'url': '/v1/chat/completions',
-    'body': {'model': 'chat-model', 'messages': [{'role': 'system', 'content': 'Write unit tests for the method.'},
-                                               {'role': 'user', 'content': text}]}}) AS request FROM documents)
+# fixed values: the messages of a unit-test request
+SYSTEM = ("You are a helpful software engineer assistant. Your task is to create test cases for given methods. "
+          "Don't forget to include edge cases. Don't output anything else than the test cases. ")
+METHOD, CLASS = "Write Unit Test case for the following method:\n\n", "\n\n. The method is in the following class:\n\n"
+STRICT = "Make sure to output STRICTLY the test cases. Do not output anything else."
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_REQ_SQL = f"""WITH r AS (SELECT doc_id, to_json({{'custom_id': 'request-' || doc_id::VARCHAR, 'method': 'POST', 'url': '/v1/chat/completions',
+    'body': {{'model': 'chat-model', 'messages': [{{'role': 'system', 'content': {_quoted(SYSTEM)}}},
+        {{'role': 'user', 'content': {_quoted(METHOD)} || text || {_quoted(CLASS)} || 'public class Template {{' || chr(10) || text || chr(10) || '}}'}},
+        {{'role': 'user', 'content': {_quoted(STRICT)}}}]}}}}) AS request FROM documents)
 SELECT doc_id, length(request) AS request_len, md5(request) AS request_digest FROM r"""
 
 
-@query("batch_requests_docs", "B17 E6", _REQ_SQL)
+@query("batch_requests_docs", "B17 H23", _REQ_SQL)
 def batch_requests_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chat batch request per document (JSON text)."""
+    """One unit-test request per document (JSON text): system, method with its class, and a last reminder."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    r = J.build_batch_requests(d, "doc_id", F.lit("Write unit tests for the method."), F.col("text"), "chat-model")
+    user = F.concat(F.lit(METHOD), F.col("text"), F.lit(CLASS), T.wrap_class(F.col("text")))
+    messages = [("system", F.lit(SYSTEM)), ("user", user), ("user", F.lit(STRICT))]
+    r = J.build_batch_requests(d, "doc_id", messages, "chat-model")
     return r.select("doc_id", F.length("request").cast("long").alias("request_len"), F.md5("request").alias("request_digest"))
 
 
@@ -140,21 +154,44 @@ def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.md5(F.array_join("ids", ",")).alias("ids_digest"))
 
 
-def _bpe_merges(spark: SparkSession, sf_dir: str, num_merges: int = 20) -> DataFrame:
+NUM_MERGES = 20
+
+
+def _bpe_ctes(rounds: int) -> str:
+    """Training as one pair of CTEs a round: the most frequent neighbouring pair, and the words with it merged.
+    A word is a string of symbols between the marks chr(1) and chr(2), so replacing merges left to right."""
+    out = [f"""w0 AS MATERIALIZED (SELECT token, count(*) AS c,
+      array_to_string(list_transform(regexp_extract_all(token, '(?s).'), lambda x: chr(1) || x || chr(2)), '') AS s
+    FROM (SELECT unnest({O.split('text')}) AS token FROM documents) GROUP BY token)"""]
+    for r in range(rounds):
+        out.append(f"""y{r} AS (SELECT c, string_split(s[2:length(s) - 1], chr(2) || chr(1)) AS l FROM w{r}),
+p{r} AS MATERIALIZED (SELECT a, b, sum(c) AS n FROM (SELECT c, unnest(l[1:len(l) - 1]) AS a, unnest(l[2:len(l)]) AS b FROM y{r} WHERE len(l) > 1)
+      GROUP BY a, b ORDER BY n DESC, a, b LIMIT 1),
+w{r + 1} AS MATERIALIZED (SELECT token, c, coalesce(replace(s, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)), s) AS s
+      FROM w{r} LEFT JOIN (SELECT * FROM p{r} WHERE n >= 3) ON true)""")
+    return "WITH " + ",\n".join(out)
+
+
+_MERGES_SQL = _bpe_ctes(NUM_MERGES) + " " + " UNION ALL ".join(
+    f"SELECT {r}::INTEGER AS rank, a AS \"left\", b AS \"right\", n::BIGINT AS count FROM p{r} WHERE n >= 3" for r in range(NUM_MERGES))
+_PIECES_SQL = _bpe_ctes(NUM_MERGES) + f""" SELECT doc_id, count(*) AS n_tokens, sum(length(s) - length(replace(s, chr(1), '')))::BIGINT AS n_pieces
+FROM (SELECT doc_id, unnest({O.split('text')}) AS token FROM documents) JOIN w{NUM_MERGES} USING (token) GROUP BY doc_id"""
+
+
+def _bpe_merges(spark: SparkSession, sf_dir: str, num_merges: int = NUM_MERGES) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(T.py_split(F.col("text")).alias("t"))
-    return EN.bpe_train(EN.vocab_counts(d, "t", 3), num_merges)
+    return EN.bpe_train(EN.vocab_counts(d, "t", 1), num_merges)
 
 
-@query("bpe_merges_docs", "D26 D27")
+@query("bpe_merges_docs", "D26 D27", _MERGES_SQL)
 def bpe_merges_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 byte-pair merges learned from the corpus vocabulary (iterative:
-    rows-only; tests compare with a Python loop)."""
+    """The first 20 byte-pair merges learned from all words of the corpus."""
     return _bpe_merges(spark, sf_dir)
 
 
-@query("bpe_encode_docs", "D27 D28")
+@query("bpe_encode_docs", "D27 D28", _PIECES_SQL)
 def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents encoded with the learned merges: pieces per document (rows-only)."""
+    """Documents encoded with the learned merges: tokens and pieces per document."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.py_split(F.col("text")).alias("t"))
     enc = EN.bpe_encode(d, "doc_id", "t", _bpe_merges(spark, sf_dir))
     return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.size("pieces")).alias("n_pieces"))
@@ -186,7 +223,7 @@ def wrap_class_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COLLATE_SQL = f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) - 1 + 4 AS id FROM (
     SELECT token, count(*) AS c FROM (SELECT unnest({O.split('text')}) AS token FROM documents) GROUP BY token HAVING count(*) >= 3)),
-t AS (SELECT doc_id, unnest({O.split('text')}[1:64]) AS token, generate_subscripts({O.split('text')}[1:64], 1) AS pos FROM documents),
+t AS (SELECT doc_id, unnest({O.split('text')}) AS token FROM documents),
 e AS (SELECT t.doc_id, count(*) AS n FROM t GROUP BY t.doc_id),
 b AS (SELECT d.doc_id, d.doc_id // 8 AS batch, coalesce(e.n, 0) AS n FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id),
 m AS (SELECT batch, max(n) AS mx FROM b GROUP BY batch)
@@ -195,19 +232,19 @@ SELECT b.doc_id, b.batch, m.mx::BIGINT AS padded_len, b.n::BIGINT AS attention F
 
 @query("collate_batches_docs", "K8 H13 H12", _COLLATE_SQL)
 def collate_batches_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id arrays (first 64 tokens) padded to the longest of their batch of 8, with attention masks."""
+    """Id arrays of whole texts padded to the longest of their batch of 8, with attention masks."""
     from pairforge.registry import collate_batch
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(T.py_split(F.col("text")), 1, 64).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.py_split(F.col("text")).alias("t"))
     vocab = EN.build_vocab(EN.vocab_counts(table(spark, sf_dir, "documents").select(T.py_split(F.col("text")).alias("t")), "t", 3))
-    enc = EN.encode(d, "doc_id", "t", vocab, 64, add_eos=False)
-    enc = enc.select("doc_id", F.filter("ids", lambda x: x != EN.PAD).alias("ids"), (F.col("doc_id") / 8).cast("long").alias("batch"))
+    enc = EN.encode(d, "doc_id", "t", vocab, None, add_eos=False)
+    enc = enc.select("doc_id", "ids", (F.col("doc_id") / 8).cast("long").alias("batch"))
     out = collate_batch(enc, "batch", "ids", EN.PAD)
     return out.select("doc_id", "batch", F.size("ids").cast("long").alias("padded_len"),
                       F.aggregate(A.attention_mask("ids"), F.lit(0).cast("long"), lambda a, x: a + x).alias("attention"))
 
 
-_CLONE_SQL = """WITH i AS (SELECT doc_id AS url1, doc_id + 1 AS url2, quality AS label FROM labels)
-SELECT i.url1, i.url2, md5(a.text) AS source_digest, md5(b.text) AS target_digest, i.label
+_CLONE_SQL = f"""WITH i AS (SELECT doc_id AS url1, doc_id + 1 AS url2, quality AS label FROM labels)
+SELECT i.url1, i.url2, md5({O.collapse('a.text')}) AS source_digest, md5({O.collapse('b.text')}) AS target_digest, i.label
 FROM i JOIN documents a ON a.doc_id = i.url1 JOIN documents b ON b.doc_id = i.url2"""
 
 

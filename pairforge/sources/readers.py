@@ -2,9 +2,9 @@
 
 All are lazy DataFrame readers with explicit schemas (column pruning and
 permissive parsing: a malformed record lands in ``_corrupt_record`` instead of
-failing the job).  Line numbers, where a format is positional, come from the
-file order itself: per-partition counts plus offsets, never a single-task
-window.
+failing the job).  Line numbers, where a format is positional, follow the files'
+paths and offsets: rows are numbered within their file split and the splits' row
+counts (one row per split) give the offsets.
 """
 from __future__ import annotations
 
@@ -43,13 +43,24 @@ def read_catalog(spark: SparkSession, path: str, num_partitions: int | None = No
 
 
 def with_line_index(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """0-based line number in file order (files in path order, lines in offset order)."""
-    d = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
+    """0-based line number of a freshly read file table: files in path order, lines in file order.
+
+    Spark deals file splits out by size, so partition order is not line order.  Rows are numbered within their split
+    (file path, block start) and the splits' row counts, one row per split, give each split its offset.
+    """
     from pyspark.sql import Window
-    off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = d.join(F.broadcast(off.select("_pid", "_off", "_base")), "_pid")  # one row per partition
-    return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_base")).drop("_pid", "_mid", "_off", "_base")
+    split = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    d = df.select("*", *split, F.monotonically_increasing_id().alias("_mid"))
+    counts = d.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    off = counts.select("_path", "_start", "_base", F.coalesce(before, F.lit(0)).alias("_off"))
+    out = d.join(off, ["_path", "_start"])
+    return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_base")).drop("_path", "_start", "_mid", "_off", "_base")
+
+
+def first_n(df: DataFrame, data_num: int, index: str = "idx") -> DataFrame:
+    """The first ``data_num`` examples by line number (-1: all)."""
+    return df.filter(F.col(index) < data_num) if data_num >= 0 else df
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,32 +87,32 @@ def merge(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_parallel(spark: SparkSession, src: str, trg: str, limit: int = -1) -> DataFrame:
-    """Two files zipped by line number (shorter wins), stripped, first ``limit``."""
+    """Two files (or folders of part files) zipped by line number (shorter wins), stripped, first ``limit``."""
     a = read_lines(spark, src).select(F.col("line_no").alias("idx"), py_strip(F.col("line")).alias("source"))
     b = read_lines(spark, trg).select(F.col("line_no").alias("idx"), py_strip(F.col("line")).alias("target"))
-    j = a.join(b, "idx")
-    return j.filter(F.col("idx") < limit) if limit >= 0 else j
+    return first_n(a, limit).join(first_n(b, limit), "idx")
 
 
-def read_concode(spark: SparkSession, path: str) -> DataFrame:
+def read_concode(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
     """``nl`` and ``code`` stripped; idx = line number."""
     d = with_line_index(read_jsonl(spark, path, CONCODE_SCHEMA, keep_corrupt=False), "idx")
-    return d.select("idx", py_strip(F.col("nl")).alias("source"), py_strip(F.col("code")).alias("target"))
+    return first_n(d.select("idx", py_strip(F.col("nl")).alias("source"), py_strip(F.col("code")).alias("target")), data_num)
 
 
-def read_summarize(spark: SparkSession, path: str) -> DataFrame:
-    """Code tokens joined (newlines -> space), docstring tokens joined (newlines removed), both collapsed."""
-    d = read_jsonl(spark, path, SUMMARIZE_SCHEMA, keep_corrupt=False)
+def read_summarize(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
+    """Code tokens joined (newlines -> space), docstring tokens joined (newlines removed), both collapsed;
+    idx = line number."""
+    d = with_line_index(read_jsonl(spark, path, SUMMARIZE_SCHEMA, keep_corrupt=False).drop("idx"), "idx")
     code = collapse_ws(F.replace(F.array_join("code_tokens", " "), F.lit("\n"), F.lit(" ")))
     nl = collapse_ws(F.replace(F.array_join("docstring_tokens", " "), F.lit("\n"), F.lit("")))
-    d = with_line_index(d, "line_no")
-    return d.select(F.coalesce("idx", "line_no").alias("idx"), code.alias("source"), nl.alias("target"))
+    return first_n(d.select("idx", code.alias("source"), nl.alias("target")), data_num)
 
 
-def read_refactoring(spark: SparkSession, path: str) -> DataFrame:
+def read_refactoring(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
     """source = collapsed smelly sample, target = collapsed **extracted method** only."""
     d = with_line_index(read_jsonl(spark, path, TRIPLE_SCHEMA, keep_corrupt=False), "idx")
-    return d.select("idx", collapse_ws(F.col("`Smelly Sample`")).alias("source"), collapse_ws(F.col("`Extracted Method`")).alias("target"))
+    d = d.select("idx", collapse_ws(F.col("`Smelly Sample`")).alias("source"), collapse_ws(F.col("`Extracted Method`")).alias("target"))
+    return first_n(d, data_num)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -111,18 +122,21 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
                     F.col("`Extracted Method`").alias("extracted"), CORRUPT)
 
 
-def read_defect(spark: SparkSession, path: str) -> DataFrame:
-    """Collapsed function text with its id and 0/1 target."""
-    d = read_jsonl(spark, path, DEFECT_SCHEMA, keep_corrupt=False)
-    return d.select("idx", collapse_ws(F.col("func")).alias("source"), F.col("target"))
+def read_defect(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
+    """Collapsed function text with its id and 0/1 target (the first ``data_num`` lines)."""
+    d = with_line_index(read_jsonl(spark, path, DEFECT_SCHEMA, keep_corrupt=False))
+    return first_n(d, data_num, "line_no").select("idx", collapse_ws(F.col("func")).alias("source"), F.col("target"))
 
 
-def read_clone_pairs(spark: SparkSession, index_path: str, data_path: str, limit: int = -1) -> DataFrame:
-    """TSV (url1, url2, label) looked up twice in the code table; a pair is
-    kept only if both ids exist; ``limit`` applies after that filter."""
-    idx = spark.read.option("sep", "\t").schema("url1 string, url2 string, label string").csv(index_path)
-    idx = idx.select("url1", "url2", text_to_label(F.col("label")).alias("label"))
-    return clone_pairs(idx, read_jsonl(spark, data_path, CLONE_DATA_SCHEMA, keep_corrupt=False), limit)
+def read_clone_pairs(spark: SparkSession, index_path: str, data_path: str | None = None, data_num: int = -1) -> DataFrame:
+    """Lines ``url1 \\t url2 \\t label`` looked up twice in the code table (``data.jsonl`` beside the index
+    unless named); a pair is kept only if both ids exist; ``data_num`` counts kept pairs in line order."""
+    c = F.split(py_strip(F.col("line")), "\t")
+    idx = read_lines(spark, index_path).select("line_no", F.get(c, 0).alias("url1"), F.get(c, 1).alias("url2"),
+                                               text_to_label(F.get(c, 2)).alias("label"))
+    data_path = data_path or index_path.rpartition("/")[0] + "/data.jsonl"
+    data = with_line_index(read_jsonl(spark, data_path, CLONE_DATA_SCHEMA, keep_corrupt=False), "data_line")
+    return clone_pairs(idx, data, data_num, order="line_no", data_order="data_line")
 
 
 def read_pred_gold(spark: SparkSession, pred_path: str, gold_path: str) -> tuple[DataFrame, DataFrame]:
@@ -144,46 +158,55 @@ def join_predictions(examples: DataFrame, predictions: DataFrame, key: str = "ex
 
 
 # ---------------------------------------------------------------- A12
+# fixed values: folder and file names of each task's splits (train, dev, test)
 TASK_FILES = {
-    # task -> (folder, train, dev, test)
-    "summarize": ("{root}/{task}/{sub}", "train.jsonl", "valid.jsonl", "test.jsonl"),
-    "refine": ("{root}/{task}/{sub}", "train.buggy-fixed.buggy,{d}/train.buggy-fixed.fixed",
-               "valid.buggy-fixed.buggy,{d}/valid.buggy-fixed.fixed", "test.buggy-fixed.buggy,{d}/test.buggy-fixed.fixed"),
-    "translate": ("{root}/{task}", "train.java-cs.txt.{a},{d}/train.java-cs.txt.{b}", "valid.java-cs.txt.{a},{d}/valid.java-cs.txt.{b}",
-                  "test.java-cs.txt.{a},{d}/test.java-cs.txt.{b}"),
-    "concode": ("{root}/{task}", "train.json", "dev.json", "test.json"),
-    "defect": ("{root}/{task}", "train.jsonl", "valid.jsonl", "test.jsonl"),
-    "clone": ("{root}/{task}", "train.txt", "valid.txt", "test.txt"),
-    "refactoring": ("{root}/{task}", "train.jsonl", "valid.jsonl", "test.jsonl"),
+    "concode": ("{root}/concode", "train.json", "dev.json", "test.json"),
+    "refactoring": ("{root}/refactoring/{context}", "train.jsonl", "val.jsonl", "test.jsonl"),
+    "summarize": ("{root}/summarize/{sub}", "train.jsonl", "valid.jsonl", "test.jsonl"),
+    "refine": ("{root}/refine/{sub}", "train.buggy-fixed.buggy,train.buggy-fixed.fixed",
+               "valid.buggy-fixed.buggy,valid.buggy-fixed.fixed", "test.buggy-fixed.buggy,test.buggy-fixed.fixed"),
+    "translate cs-java": ("{root}/translate", "train.java-cs.txt.cs,train.java-cs.txt.java",
+                          "valid.java-cs.txt.cs,valid.java-cs.txt.java", "test.java-cs.txt.cs,test.java-cs.txt.java"),
+    "translate": ("{root}/translate", "train.java-cs.txt.java,train.java-cs.txt.cs",
+                  "valid.java-cs.txt.java,valid.java-cs.txt.cs", "test.java-cs.txt.java,test.java-cs.txt.cs"),
+    "clone": ("{root}/clone", "train.txt", "valid.txt", "test.txt"),
+    "defect": ("{root}/defect", "train.jsonl", "valid.jsonl", "test.jsonl"),
 }
 
 
-def task_files(root: str, task: str, sub_task: str = "none", split: str = "") -> dict[str, str] | str:
-    """File names of a task's splits (one split when ``split`` is given)."""
-    folder, *names = TASK_FILES[task]
-    a, b = ("java", "cs") if sub_task == "java-cs" else ("cs", "java")
-    d = folder.format(root=root, task=task, sub=sub_task)
-    files = {s: f"{d}/" + n.format(d=d, a=a, b=b) for s, n in zip(("train", "dev", "test"), names)}
+def task_files(root: str, task: str, sub_task: str = "none", split: str = "", context: str = "context") -> dict[str, str] | str:
+    """File names of a task's splits (one split when ``split`` is given); two files are joined by a comma."""
+    key = f"{task} {sub_task}"
+    folder, *names = TASK_FILES[key if key in TASK_FILES else task]
+    d = folder.format(root=root, sub=sub_task, context=context)
+    files = {s: ",".join(f"{d}/{x}" for x in n.split(",")) for s, n in zip(("train", "dev", "test"), names)}
     return files[split] if split else files
 
 
 def reader_for(task: str) -> Callable[..., DataFrame]:
-    """Reader dispatch by task."""
-    def parallel(spark, files, limit=-1):
+    """Reader dispatch by task; every reader takes (spark, files, data_num)."""
+    def parallel(spark, files, data_num=-1):
         src, trg = files.split(",")
-        return read_parallel(spark, src, trg, limit)
-    return {"summarize": read_summarize, "refine": parallel, "translate": parallel, "concode": read_concode,
-            "defect": read_defect, "refactoring": read_refactoring}[task]
+        return read_parallel(spark, src, trg, data_num)
 
-
-def fixed_label(c) -> Column:
-    return text_to_label(c)
-
-
-def clone_pairs(index: DataFrame, data: DataFrame, limit: int = -1, id_col: str = "idx", code: str = "func") -> DataFrame:
-    """C2 on DataFrames: (url1, url2, label) looked up twice in (id, code); kept only when
-    both ids exist; ``limit`` (in id order) after that filter."""
-    a = data.select(F.col(id_col).alias("url1"), F.col(code).alias("source"))
-    b = data.select(F.col(id_col).alias("url2"), F.col(code).alias("target"))
-    j = index.join(a, "url1").join(b, "url2").select("url1", "url2", "source", "target", "label")
-    return j.orderBy("url1", "url2").limit(limit) if limit >= 0 else j
+    def clone(spark, files, data_num=-1):
+        return read_clone_pairs(spark, files, None, data_num)
+    return {"summarize": read_summarize, "refine": parallel, "translate": parallel, "concode": read_concode,
+            "clone": clone, "defect": read_defect, "refactoring": read_refactoring}[task]
+
+
+def clone_pairs(index: DataFrame, data: DataFrame, limit: int = -1, id_col: str = "idx", code: str = "func",
+                order: str | None = None, data_order: str | None = None) -> DataFrame:
+    """C2 on DataFrames: (url1, url2, label) looked up twice in (id, code) with the code's white space collapsed; kept
+    only when both ids exist.  Of a repeated id the last row by ``data_order`` counts (without one, the largest text);
+    the first ``limit`` kept pairs in the order of ``order`` (without one, of the ids)."""
+    text = collapse_ws(F.col(code))
+    last = F.max_by(text, F.col(data_order)) if data_order else F.max(text)
+    table = data.groupBy(F.col(id_col).alias("id")).agg(last.alias("text"))
+    a = table.select(F.col("id").alias("url1"), F.col("text").alias("source"))
+    b = table.select(F.col("id").alias("url2"), F.col("text").alias("target"))
+    j = index.join(a, "url1").join(b, "url2")
+    if limit >= 0:
+        j = j.orderBy(order, "url1", "url2") if order else j.orderBy("url1", "url2")
+        j = j.limit(limit)
+    return j.select("url1", "url2", "source", "target", "label")

@@ -6,7 +6,9 @@ partitioned output replaces the reference's per-repository file naming
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import py_strip, tabs_to_spaces
@@ -23,8 +25,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append", partition_by: st
 def write_predictions(df: DataFrame, path: str, with_id: bool = False, id_col: str = "idx", pred: str = "pred",
                       gold: str = "gold", src: str = "source", mode: str = "overwrite") -> None:
     """Aligned ``.output`` / ``.gold`` / ``.src`` texts (``id \\t text`` when ``with_id``),
-    each stripped; rows keep the id order."""
-    d = df.orderBy(id_col)
+    each stripped.  All three are sorted by the id and then by the whole row, so lines stay aligned when ids repeat
+    (and however the sorts cut their part files)."""
+    d = df.orderBy(id_col, src, gold, pred)
     for suffix, c in (("output", pred), ("gold", gold), ("src", src)):
         line = F.concat_ws("\t", F.col(id_col).cast("string"), py_strip(F.col(c))) if with_id else py_strip(F.col(c))
         d.select(line.alias("value")).write.mode(mode).text(f"{path}.{suffix}")
@@ -53,15 +56,24 @@ def write_job_results(df: DataFrame, path: str) -> DataFrame:
 
 def materialize_features(df: DataFrame, path: str, sampled: bool = False) -> DataFrame:
     """Write encoded features once and read them back afterwards; sampled data is
-    never cached."""
+    never cached.  The cache appears under its name only when it is whole."""
     spark = df.sparkSession
     if sampled:
         return df
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent cache
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not _exists(spark, path):
+        part = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        jvm = spark.sparkContext._jvm
+        old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (part, path))
+        if not old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new):
+            raise OSError(f"cannot rename {part} to {path}")
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Is the path there?  Asked of its own file system; errors other than absence come out."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def feature_cache_key(split: str, only_src: bool = False, all_data: bool = True, n: int | None = None) -> str:

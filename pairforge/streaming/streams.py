@@ -27,12 +27,24 @@ def stream_collate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
 def running_error_stream(batches: DataFrame, run: str = "run", errors: str = "errors", seen: str = "seen") -> DataFrame:
     """Per run, cumulative errors / cumulative samples as new batches arrive."""
     g = batches.groupBy(run).agg(F.sum(errors).alias("total_errors"), F.sum(seen).alias("total_seen"))
-    return g.withColumn("error_rate", F.round(F.col("total_errors") / F.col("total_seen"), 5))
+    return g.withColumn("error_rate", F.round(F.try_divide("total_errors", "total_seen"), 5))
 
 
-def start_running_error(spark: SparkSession, in_dir: str, schema: str, sink_table: str, checkpoint: str) -> StreamingQuery:
-    """J2 end to end: Parquet batch logs -> update-mode aggregate -> in-memory table."""
+def start_running_error(spark: SparkSession, in_dir: str, schema: str, out_path: str, checkpoint: str) -> StreamingQuery:
+    """J2 end to end: Parquet batch logs -> update-mode aggregate -> Parquet table at ``out_path``.
+
+    Every micro-batch's changed rows are written to their own folder ``batch_id=n`` (a batch that is repeated after a
+    failure overwrites its folder); ``latest_error_rates`` reads the newest row of each run."""
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+
     src = spark.readStream.schema(schema).parquet(in_dir)
-    q = (running_error_stream(src).writeStream.outputMode("update").format("memory").queryName(sink_table)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    return q.start()
+    return (running_error_stream(src).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_error_rates(spark: SparkSession, out_path: str, run: str = "run") -> DataFrame:
+    """The newest state of each run written by ``start_running_error``."""
+    t = spark.read.parquet(out_path)
+    rest = [c for c in t.columns if c not in (run, "batch_id")]
+    return t.groupBy(run).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("s")).select(run, "s.*")

@@ -35,7 +35,7 @@ def _log(spark, n=300, runs=3, seed=1):
 def test_sliced_running_sum_and_max(spark):
     df, data = _log(spark)
     out = EV.running(df, "run", "step", [EV.Scan("s", F.col("v")), EV.Scan("m", F.col("v"), "max", inclusive=False)],
-                     slice_width=7).collect()
+                     EV.Slices((20, 21, 200), 0, 299)).collect()
     got = {(r.run, r.step): (r.s, r.m) for r in out}
     for run in range(3):
         acc, mx = 0.0, None

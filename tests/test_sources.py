@@ -83,9 +83,10 @@ def test_stream_collate_exactly_once(spark, tmp):
 def test_running_error_stream(spark, tmp):
     src, ck = os.path.join(tmp, "logs"), os.path.join(tmp, "ck2")
     spark.createDataFrame([("r1", 2, 10), ("r2", 0, 5)], "run string, errors long, seen long").write.parquet(os.path.join(src, "b1"))
-    q = ST.start_running_error(spark, os.path.join(src, "*"), "run string, errors long, seen long", "err_rates", ck)
+    out = os.path.join(tmp, "rates")
+    q = ST.start_running_error(spark, os.path.join(src, "*"), "run string, errors long, seen long", out, ck)
     q.awaitTermination(120)
-    got = {r.run: r.error_rate for r in spark.table("err_rates").collect()}
+    got = {r.run: r.error_rate for r in ST.latest_error_rates(spark, out).collect()}
     assert got == {"r1": 0.2, "r2": 0.0}
 
 
