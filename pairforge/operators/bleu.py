@@ -40,22 +40,39 @@ def corpus_bleu(stats: DataFrame, group_cols: Sequence[str] = (), max_n: int = 4
 
     Returns ``group_cols, n_pairs, bleu`` where bleu is on the 0-100 scale.
     """
-    aggs = [F.count(F.lit(1)).alias("n_pairs"),
-            F.sum("hyp_len").alias("_tl"),
-            F.sum("ref_min").alias("_rl")]
+    g = _group(stats, group_cols, rollup).agg(F.count(F.lit(1)).alias("n_pairs"), *_corpus_sums(max_n))
+    return g.select(*group_cols, "n_pairs", _corpus_score(max_n, smooth).alias("bleu"))
+
+
+def _corpus_sums(max_n: int) -> list[Column]:
+    aggs = [F.sum("hyp_len").alias("_tl"), F.sum("ref_min").alias("_rl")]
     for n in range(1, max_n + 1):
         aggs += [F.sum(f"m{n}").alias(f"_m{n}"), F.sum(possible(F.col("hyp_len"), n)).alias(f"_p{n}")]
-    g = _group(stats, group_cols, rollup).agg(*aggs)
+    return aggs
+
+
+def _corpus_score(max_n: int, smooth: bool) -> Column:
     precs = []
     for n in range(1, max_n + 1):
         m, p = F.col(f"_m{n}"), F.col(f"_p{n}")
         precs.append(((m + 1.0) / (p + 1.0)) if smooth else F.when(p > 0, m / p).otherwise(F.lit(0.0)))
     geo = F.when(F.least(*precs) > 0, F.exp(sum(F.log(x) for x in precs) / max_n)).otherwise(F.lit(0.0)) if max_n > 1 else \
         F.when(precs[0] > 0, precs[0]).otherwise(F.lit(0.0))
-    ratio = F.col("_tl") / F.col("_rl")
+    ratio = F.try_divide("_tl", "_rl")
     bp = F.when(ratio > 1.0, F.lit(1.0)).when(ratio > 0, F.exp(1.0 - 1.0 / ratio)).otherwise(F.lit(0.0))
-    bleu = F.when(F.col("_rl") > 0, geo * bp * 100.0)
-    return g.select(*group_cols, "n_pairs", bleu.alias("bleu"))
+    return F.when(F.col("_rl") > 0, geo * bp * 100.0)
+
+
+def pair_scores(stats: DataFrame, weighted: bool = False, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """D3, D5 and, with ``weighted``, D6 of all pairs out of one aggregate over the statistics:
+    ``n_pairs, bleu, ngram_match[, weighted_ngram_match]``."""
+    n = len(weights)
+    aggs = [F.count(F.lit(1)).alias("n_pairs"), *_corpus_sums(n), *_match_sums(n), *(_weighted_sums(n, True) if weighted else [])]
+    g = stats.agg(*aggs)
+    out = [F.col("n_pairs"), _corpus_score(n, True).alias("bleu"), _bleu_from_sums(g, n, weights, 1, False).alias("ngram_match")]
+    if weighted:
+        out.append(_bleu_from_sums(g, n, weights, 1, False, "_wn", "_wd", "_wh", "_wr").alias("weighted_ngram_match"))
+    return g.select(*out)
 
 
 # ---------------------------------------------------------------- D4
@@ -124,21 +141,32 @@ def ngram_match(stats: DataFrame, group_cols: Sequence[str] = (), weights: Seque
     all from the same single aggregation.
     """
     max_n = len(weights)
-    aggs = [F.count(F.lit(1)).alias("n_pairs"), F.sum("hyp_len").alias("_h"),
-            F.sum("ref_closest").alias("_r")]
-    for n in range(1, max_n + 1):
-        aggs += [F.sum(f"m{n}").alias(f"_n{n}"), F.sum(F.greatest(F.lit(1), possible(F.col("hyp_len"), n))).alias(f"_d{n}")]
-    g = _group(stats, group_cols, rollup).agg(*aggs)
+    g = _group(stats, group_cols, rollup).agg(F.count(F.lit(1)).alias("n_pairs"), *_match_sums(max_n))
     if isinstance(smoothing, int):
         return g.select(*group_cols, "n_pairs", _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh).alias("score"))
     return g.select(*group_cols, "n_pairs",
                     *[_bleu_from_sums(g, max_n, weights, m, auto_reweigh).alias(f"score_m{m}") for m in smoothing])
 
 
-def _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh, num_prefix="_n", den_prefix="_d"):
+def _match_sums(max_n: int) -> list[Column]:
+    aggs = [F.sum("hyp_len").alias("_h"), F.sum("ref_closest").alias("_r")]
+    for n in range(1, max_n + 1):
+        aggs += [F.sum(f"m{n}").alias(f"_n{n}"), F.sum(F.greatest(F.lit(1), possible(F.col("hyp_len"), n))).alias(f"_d{n}")]
+    return aggs
+
+
+def _weighted_sums(max_n: int, compat_bp: bool) -> list[Column]:
+    aggs = [F.sum("hyp_len").alias("_wh"), F.sum(F.lit(2) if compat_bp else F.col("ref_closest")).alias("_wr"),
+            F.sum("wrm1").alias("_wn1"), F.sum("wden1").alias("_wd1")]
+    for n in range(2, max_n + 1):
+        aggs += [F.sum(f"rm{n}").alias(f"_wn{n}"), F.sum(f"rden{n}").alias(f"_wd{n}")]
+    return aggs
+
+
+def _bleu_from_sums(g, max_n, weights, smoothing, auto_reweigh, num_prefix="_n", den_prefix="_d", hyp="_h", ref="_r"):
     nums = [F.col(f"{num_prefix}{n}").cast("double") for n in range(1, max_n + 1)]
     dens = [F.col(f"{den_prefix}{n}").cast("double") for n in range(1, max_n + 1)]
-    return _bleu_terms(nums, dens, F.col("_h"), F.col("_r"), weights, smoothing, auto_reweigh)
+    return _bleu_terms(nums, dens, F.col(hyp), F.col(ref), weights, smoothing, auto_reweigh)
 
 
 def _bleu_terms(nums, dens, h, r, weights, smoothing, auto_reweigh):
@@ -166,13 +194,9 @@ def weighted_ngram_match(stats: DataFrame, group_cols: Sequence[str] = (), weigh
     penalty is 2 per pair.
     """
     max_n = len(weights)
-    ref_len = F.lit(2) if compat_bp else F.col("ref_closest")
-    aggs = [F.count(F.lit(1)).alias("n_pairs"), F.sum("hyp_len").alias("_h"), F.sum(ref_len).alias("_r"),
-            F.sum("wrm1").alias("_n1"), F.sum("wden1").alias("_d1")]
-    for n in range(2, max_n + 1):
-        aggs += [F.sum(f"rm{n}").alias(f"_n{n}"), F.sum(f"rden{n}").alias(f"_d{n}")]
-    g = _group(stats, group_cols, rollup).agg(*aggs)
-    return g.select(*group_cols, "n_pairs", _bleu_from_sums(g, max_n, weights, 1, False).alias("score"))
+    g = _group(stats, group_cols, rollup).agg(F.count(F.lit(1)).alias("n_pairs"), *_weighted_sums(max_n, compat_bp))
+    score = _bleu_from_sums(g, max_n, weights, 1, False, "_wn", "_wd", "_wh", "_wr")
+    return g.select(*group_cols, "n_pairs", score.alias("score"))
 
 
 # ---------------------------------------------------------------- D8 + D7 methods 5-7

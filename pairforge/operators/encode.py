@@ -7,6 +7,8 @@ is not).  Ids are put back in order per text - one text's own tokens.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,19 +138,21 @@ def bpe_word(word: str, ranks: dict) -> list[str]:
 MAX_MERGES_BROADCAST = 1_000_000
 
 
-def bpe_encode(texts: DataFrame, key: str, tokens: str, merges: DataFrame) -> DataFrame:
+def bpe_encode(texts: DataFrame, key: str, tokens: str, merges: DataFrame, special: Sequence[str] = ()) -> DataFrame:
     """BPE pieces of every token.  Each **distinct** word is encoded once by an
     Arrow UDF holding the merge table (its size is the merge count, checked), and
-    the pieces are joined back to the token occurrences.  Returns ``key, pos, token, pieces``."""
+    the pieces are joined back to the token occurrences.  ``special`` tokens stay
+    whole.  Returns ``key, pos, token, pieces``."""
     rows = merges.orderBy("rank").limit(MAX_MERGES_BROADCAST + 1).collect()
     if len(rows) > MAX_MERGES_BROADCAST:
         raise ValueError("merge table too large to ship to the executors")
     ranks = {(r["left"], r["right"]): r["rank"] for r in rows}
+    keep = frozenset(special)
     bc = texts.sparkSession.sparkContext.broadcast(ranks)
 
     def enc(words: pd.Series) -> pd.Series:
         table = bc.value
-        return pd.Series([bpe_word(w, table) for w in words])
+        return pd.Series([[w] if w in keep else bpe_word(w, table) for w in words])
 
     udf = pandas_udf(enc, "array<string>")
     occ = texts.select(key, F.posexplode(tokens).alias("pos", "token"))

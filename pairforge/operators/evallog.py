@@ -173,3 +173,18 @@ def kl_coef_path(log: DataFrame, run: str, step: str, kl: str, init_coef: float
     ln_mult = F.log(1.0 + err * n_steps / horizon)
     out = running(log, run, step, [Scan("_lm", ln_mult, "sum", inclusive=False)])
     return out.withColumn("kl_coef", init_coef * F.exp(F.col("_lm"))).drop("_lm")
+
+
+def stopped_schedule(draws: DataFrame, draw: str, task: str, stops: DataFrame, max_skips: int = 50) -> DataFrame:
+    """F7 with early stopping: draws (in the order of ``draw``) of a task from its ``stop_at`` on are skipped; more than
+    ``max_skips`` skips in a row end the schedule.  Returns the steps that are taken: ``draw, task, step``.
+
+    ``stops(task, stop_at)`` has a row per task; the counters are sliced prefix scans over the draws."""
+    d = draws.join(stops.select(task, "stop_at"), task, "left") \
+        .select(draw, task, F.coalesce(F.col(draw) >= F.col("stop_at"), F.lit(False)).alias("_skip"), F.lit(0).alias("_all"))
+    slices = Slices.of(d, draw)
+    d = running(d, "_all", draw, [Scan("_i", F.lit(1)), Scan("step", F.when(F.col("_skip"), 0).otherwise(1))], slices)
+    d = running(d, "_all", draw, [Scan("_last", F.when(F.col("_skip"), 0).otherwise(F.col("_i")), "max")], slices)
+    end = d.filter(F.col("_i") - F.col("_last") > max_skips).agg(F.min("_i")).first()[0]
+    taken = d.filter(~F.col("_skip"))
+    return (taken if end is None else taken.filter(F.col("_i") < end)).select(draw, task, "step")

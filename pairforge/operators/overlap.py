@@ -17,12 +17,9 @@ Per pair (``key``):
 Two physical shapes:
 
 ``ngram_stats`` (references in an array column, the common case of a fixed
-number of reference files).  With one reference a pair is counted by integer
-codes in an Arrow batch, without any exchange.  With several, pairs are hash-partitioned on the key once (a
-no-op when they come out of a join on that key), the grams of both sides are
-exploded from one array and three hash aggregates keyed by (key, ...) run in
-that same stage: no gram crosses the network.  Per-pair work is bounded by the
-pair's own text and pair keys are unique.
+number of reference files).  Tokens and grams are counted as integer codes, a
+batch of pairs at a time in Arrow batches: no exchange, no gram as a string.
+Per-pair work is bounded by the pair's own texts and pair keys are unique.
 
 ``ngram_stats_long`` (references as rows, e.g. a gold file whose ids repeat).
 A key may carry any number of references, so nothing is gathered per key:
@@ -84,137 +81,104 @@ def ngram_stats(
     max_n: int = 4,
     extra: Sequence[str] = (),
     keywords: Sequence[str] | None = None,
-    partition: bool = True,
     single_ref: bool = False,
 ) -> DataFrame:
     """Per-pair statistics; ``hyp`` is ``array<string>``, ``refs`` is ``array<array<string>>``.
 
-    ``single_ref=True`` (every pair has exactly one reference; more are an error)
-    counts both sides in one vectorised pass per batch of pairs.
+    ``single_ref=True`` states that every pair has at most one reference; more are an error.
     """
-    df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"))
+    many = F.col(refs)
     if single_ref:
-        return _single_ref_stats(df, key, list(extra), max_n, keywords)
-    if partition:
-        df = df.repartition(key)
-    hl = F.size("_hyp")
-    lens = F.transform("_refs", lambda r: F.size(r))
+        kind = pairs.schema[refs].dataType.simpleString()
+        many = F.when(F.size(refs) <= 1, many).otherwise(F.raise_error(F.lit("single_ref takes one reference a pair")).cast(kind))
+    df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), many.alias("_refs"))
+    df = df.withColumn("_lens", F.transform("_refs", lambda r: F.coalesce(F.size(r), F.lit(0))))
+    counts = _count_cols(max_n, keywords) + (["wden1"] if keywords is not None else [])
+    carried = [df.schema[c] for c in (key, *extra, "_lens")]
+    types = [DoubleType() if c.startswith("w") else LongType() for c in counts]
+    schema = StructType([*carried, StructField("hyp_len", IntegerType()), *(StructField(c, t) for c, t in zip(counts, types))])
+    kept = [f.name for f in carried]
+
+    def run(batches):
+        for b in batches:
+            sizes = _lengths(b.column("_hyp")) + np.array([sum(x or ()) for x in b.column("_lens").to_pylist()], dtype=np.int64)
+            total, at = np.cumsum(sizes), 0
+            while at < b.num_rows:  # a bounded number of tokens at a time, or one longer pair
+                past = total[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(total, past + _BATCH_TOKENS, side="right")))
+                part = b.slice(at, end - at)
+                cols = _count_pairs(part.column("_hyp"), part.column("_refs"), max_n, keywords)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(cols[c]) for c in ("hyp_len", *counts))],
+                                                 names=schema.names)
+                at = end
+
+    out = df.select(*kept, "_hyp", "_refs").mapInArrow(run, schema)
+    hl, lens = F.col("hyp_len"), F.coalesce("_lens", F.array().cast("array<int>"))
     closest = F.array_min(F.transform(lens, lambda r: F.struct(F.abs(r - hl).alias("d"), r.alias("r"))))["r"]
-    meta_fields = [F.col(c) for c in extra] + [
-        hl.alias("hyp_len"),
-        F.coalesce(F.array_min(lens), F.lit(0)).alias("ref_min"),
-        F.coalesce(closest, F.lit(0)).alias("ref_closest"),
-        F.size("_refs").alias("n_refs"),
-    ]
-    for n in range(1, max_n + 1):
-        meta_fields.append(F.aggregate(lens, F.lit(0).cast("long"), _den(n)).alias(f"rden{n}"))
-    for n in range(1, max_n + 1):
-        meta_fields.append(F.aggregate(lens, F.lit(0).cast("long"), _poss(n)).alias(f"rposs{n}"))
-    if keywords is not None:
-        meta_fields.append(F.aggregate("_refs", F.lit(0.0),
-                                       lambda a, r: a + F.greatest(F.lit(1.0), weighted_total(r, keywords))).alias("wden1"))
-    # Side k = -1 is the hypothesis, k >= 0 the references.
-    # The per-pair columns ride along in the gram branch too, so both branches read
-    # the same columns of the same repartitioned pairs and the exchange is reused.
-    sides = df.select(key, *extra, (F.posexplode(F.concat(F.array(F.col("_hyp")), F.col("_refs")))).alias("_k", "_t"))
-    ex = explode_grams(sides.select(key, *extra, (F.col("_k") - 1).alias("k"), "_t"), key, "k", "_t", max_n, carry=extra)
-    lvl1 = ex.groupBy(key, *extra, "n", "g", "k").agg(F.count(F.lit(1)).alias("c"))
-    per_gram = _reduce_refs(lvl1.groupBy(key, *extra, "n", "g"), key, extra)
-    counts = per_gram.groupBy(key, *extra).agg(*_gram_aggs(max_n, keywords)).drop(*extra)
-    meta_names = list(extra) + ["hyp_len", "ref_min", "ref_closest", "n_refs"] + [f"rden{n}" for n in range(1, max_n + 1)] + \
-        [f"rposs{n}" for n in range(1, max_n + 1)] + \
-        (["wden1"] if keywords is not None else [])
-    # both sides stay hash-partitioned on the key: the join adds no exchange
-    meta = df.select(key, F.struct(*meta_fields).alias("_meta")).select(key, *[F.col("_meta")[c].alias(c) for c in meta_names])
-    out = meta.join(counts, key, "left")
-    zeros = {c: 0 for c in _count_cols(max_n, None)}
-    if keywords is not None:
-        zeros["wrm1"] = 0.0
-    return out.fillna(zeros).select(key, *meta_names, *_count_cols(max_n, keywords))
+    per_ref = [F.aggregate(lens, F.lit(0).cast("long"), f(n)).alias(f"{name}{n}") for f, name in ((_den, "rden"), (_poss, "rposs"))
+               for n in range(1, max_n + 1)]
+    return out.select(key, *extra, "hyp_len", F.coalesce(F.array_min(lens), F.lit(0)).alias("ref_min"),
+                      F.coalesce(closest, F.lit(0)).alias("ref_closest"), F.size(lens).alias("n_refs"), *per_ref,
+                      *(["wden1"] if keywords is not None else []), *_count_cols(max_n, keywords))
 
 
 #: tokens of both sides that are counted at once in a task
 _BATCH_TOKENS = 2_000_000
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Lengths (a null list is empty) and all tokens of a list column."""
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return sizes, lists.flatten()
+def _lengths(lists: pa.Array) -> np.ndarray:
+    """Lengths of a list column (a null list is empty)."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _count_pairs(hyp: pa.Array, ref: pa.Array, max_n: int, keywords) -> list[np.ndarray]:
-    """Lengths, clipped matches of every order and keyword-weighted sums of each row's two token lists.
+def _count_pairs(hyp: pa.Array, refs: pa.Array, max_n: int, keywords) -> dict[str, np.ndarray]:
+    """Clipped matches of every order (and keyword-weighted sums) of each row's token list and reference lists.
 
     Tokens are numbered once; a gram of order n is the pair (its first n - 1 tokens' number, last token), numbered again,
     with the row in the first number, so all counts are exact and no gram is built as a string."""
-    (hl, ht), (rl, rt) = _flat(hyp), _flat(ref)
-    rows = len(hl)
-    both = pa.concat_arrays([ht.cast(pa.string()), rt.cast(pa.string())]).dictionary_encode()
+    hl, per_row = _lengths(hyp), _lengths(refs)
+    rows, inner = len(hl), refs.flatten()
+    rl = _lengths(inner)
+    text = lambda x: x.flatten().cast(pa.string())
+    both = pa.concat_arrays([text(hyp), text(inner)]).dictionary_encode()
     token = pc.fill_null(both.indices, len(both.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
     size = len(both.dictionary) + 1
-    row = np.concatenate([np.repeat(np.arange(rows), hl), np.repeat(np.arange(rows), rl)])
-    is_hyp = np.arange(len(token)) < len(ht)
-    text = row + rows * ~is_hyp
-    out = [hl, rl]
-    gram, weighted = row, None
+    ref_row = np.repeat(np.arange(rows), per_row)
+    of_list = np.concatenate([np.repeat(np.arange(rows), hl), rows + np.repeat(np.arange(len(rl)), rl)])
+    row_of = np.concatenate([np.arange(rows), ref_row])
+    out: dict[str, np.ndarray] = {"hyp_len": hl.astype(np.int32)}
+    gram = row_of[of_list]
     for n in range(1, max_n + 1):
-        at = np.flatnonzero(text[:max(len(text) - n + 1, 0)] == text[n - 1:])
+        at = np.flatnonzero(of_list[:max(len(of_list) - n + 1, 0)] == of_list[n - 1:])
         number, _ = pd.factorize(gram[at] * size + token[at + n - 1])
         count = int(number.max()) + 1 if len(number) else 0
-        hc = np.bincount(number[is_hyp[at]], minlength=count)
-        rc = np.bincount(number[~is_hyp[at]], minlength=count)
+        lists = of_list[at]
+        is_hyp = lists < rows
+        hc = np.bincount(number[is_hyp], minlength=count)
         of = np.zeros(count, np.int64)
-        of[number] = row[at]
-        clip = np.minimum(hc, rc)
-        out.append(np.bincount(of, clip, minlength=rows).astype(np.int64))
+        of[number] = row_of[lists]
+        if len(rl) <= rows and (per_row <= 1).all():  # one reference a row: its counts are the gram's
+            rgram, rc = np.arange(count), np.bincount(number[~is_hyp], minlength=count)
+        else:
+            code, seen = pd.factorize(number[~is_hyp] * (len(rl) + 1) + (lists[~is_hyp] - rows))
+            rgram, rc = (seen // (len(rl) + 1)).astype(np.int64), np.bincount(code, minlength=len(seen))
+        most = np.zeros(count, np.int64)
+        np.maximum.at(most, rgram, rc)
+        shared = np.minimum(rc, hc[rgram])
+        out[f"m{n}"] = np.bincount(of, np.minimum(hc, most), minlength=rows).astype(np.int64)
+        out[f"rm{n}"] = np.bincount(of[rgram], shared, minlength=rows).astype(np.int64)
         if n == 1 and keywords is not None:
-            w = np.append(np.where(np.isin(np.array(both.dictionary.to_pylist(), dtype=object), list(keywords)), 1.0, 0.2), 0.2)
+            known = np.isin(np.array(both.dictionary.to_pylist(), dtype=object), list(keywords))
+            w = np.append(np.where(known, 1.0, 0.2), 0.2)  # the last: null tokens
             weight = np.zeros(count)
             weight[number] = w[token[at]]
-            weighted = [np.bincount(of, clip * weight, minlength=rows) + 0.0, np.bincount(of, rc * weight, minlength=rows) + 0.0]
-        gram = np.zeros(len(text), np.int64)
+            out["wrm1"] = np.bincount(of[rgram], shared * weight[rgram], minlength=rows) + 0.0
+            of_ref = of_list[len(of_list) - int(rl.sum()):] - rows
+            each = np.maximum(1.0, np.bincount(of_ref, w[token[len(token) - len(of_ref):]], minlength=len(rl)))
+            out["wden1"] = np.bincount(ref_row, each, minlength=rows) + 0.0
+        gram = np.zeros(len(of_list), np.int64)
         gram[at] = number
-    return out + (weighted or [])
-
-
-def _single_ref_stats(df: DataFrame, key: str, extra: list[str], max_n: int, keywords) -> DataFrame:
-    """One reference per pair: lengths and counts of a batch of pairs in one vectorised pass (no exchange, no string grams).
-
-    Pairs are independent rows, so a pair needs no more memory than its two texts."""
-    names = ["hyp_len", "_rl"] + [f"m{n}" for n in range(1, max_n + 1)] + (["wrm1", "_wr"] if keywords is not None else [])
-    types = [IntegerType(), IntegerType()] + [LongType()] * max_n + [DoubleType()] * (2 if keywords is not None else 0)
-    carried = [df.schema[c] for c in (key, *extra)]
-    schema = StructType([*carried, *(StructField(c, t) for c, t in zip(names, types))])
-    kept = [f.name for f in carried]
-
-    def run(batches):
-        for b in batches:
-            n_tokens = np.cumsum(sum(pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                                     for c in ("_hyp", "_ref")))
-            at = 0
-            while at < b.num_rows:
-                past = n_tokens[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(n_tokens, past + _BATCH_TOKENS, side="right")))
-                part = b.slice(at, end - at)
-                cols = _count_pairs(part.column("_hyp"), part.column("_ref"), max_n, keywords)
-                arrays = [pa.array(c.astype(np.int32)) for c in cols[:2]] + [pa.array(c) for c in cols[2:]]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *names])
-                at = end
-
-    one = F.when(F.size("_refs") <= 1, F.get("_refs", 0)).otherwise(
-        F.raise_error(F.lit("single_ref takes one reference a pair")).cast("array<string>"))
-    out = df.select(*kept, "_hyp", one.alias("_ref")).mapInArrow(run, schema)
-    rl = F.col("_rl")
-    cols = [key, *extra, "hyp_len", rl.alias("ref_min"), rl.alias("ref_closest"), F.lit(1).alias("n_refs")]
-    cols += [F.greatest(F.lit(1), possible(rl, n)).cast("long").alias(f"rden{n}") for n in range(1, max_n + 1)]
-    cols += [possible(rl, n).cast("long").alias(f"rposs{n}") for n in range(1, max_n + 1)]
-    if keywords is not None:
-        cols.append(F.greatest(F.lit(1.0), F.col("_wr")).alias("wden1"))
-    cols += [f"m{n}" for n in range(1, max_n + 1)] + [F.col(f"m{n}").alias(f"rm{n}") for n in range(1, max_n + 1)]
-    if keywords is not None:
-        cols.append("wrm1")
-    return out.select(*cols)
+    return out
 
 
 def explode_grams(df: DataFrame, key: str, k: str, tokens: str, max_n: int, carry: Sequence[str] = ()) -> DataFrame:
@@ -245,18 +209,6 @@ def _poss(n):
     return lambda a, x: a + possible(x, n)
 
 
-def _reduce_refs(grouped, key, carry: Sequence[str] = ()):
-    # references per pair are an array column here, so a gram's list is bounded by it
-    aggs = [F.coalesce(F.max(F.when(F.col("k") < 0, F.col("c"))), F.lit(0)).alias("hc"),
-            F.collect_list(F.when(F.col("k") >= 0, F.col("c"))).alias("rc")]
-    lvl2 = grouped.agg(*aggs)
-    return lvl2.select(
-        key, *carry, "n", "g",
-        F.least(F.col("hc"), F.coalesce(F.array_max("rc"), F.lit(0))).alias("clip"),
-        F.aggregate("rc", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("hc"))).alias("rmin"),
-    )
-
-
 def ngram_stats_long(
     hyps: DataFrame,
     refs: DataFrame,

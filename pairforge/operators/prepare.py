@@ -44,16 +44,14 @@ def triple_layout(method: Column, class_text: Column, with_context: bool, smelly
     return F.concat(class_text, F.lit("\n"), method) if smelly else F.concat(class_text, method)
 
 
-def build_pairs(triples: DataFrame, style: str, smelly: str = "smelly", after: str = "after",
-                extracted: str = "extracted") -> DataFrame:
-    """(source, target) in one of the six reference styles.
+def pair_style(style: str, s: Column, a: Column, e: Column) -> Column:
+    """``struct(source, target)`` in one of the six reference styles.
 
     a: after + newline + extracted (null -> "None");  b: after + extracted;
     c: extracted only;  d: one training text "Refactor this method: ...";
     e: instruction prompt around the smelly method (target empty);
     f: "Perform extract method ..." prompt with tabs as spaces (target empty).
     """
-    s, a, e = _c(smelly), _c(after), _c(extracted)
     if style == "a":
         src, tgt = _py_str(s), F.concat(_py_str(a), F.lit("\n"), _py_str(e))
     elif style == "b":
@@ -61,9 +59,7 @@ def build_pairs(triples: DataFrame, style: str, smelly: str = "smelly", after: s
     elif style == "c":
         src, tgt = s, e
     elif style == "d":
-        tgt0 = F.concat(a, e)
-        src = F.concat(F.lit("Refactor this method: "), s, F.lit("\n Refactored code: "), tgt0)
-        tgt = F.lit("")
+        src, tgt = F.concat(F.lit("Refactor this method: "), s, F.lit("\n Refactored code: "), a, e), F.lit("")
     elif style == "e":
         head, tail = INSTRUCTION_PROMPT.split("{src}")
         src, tgt = F.concat(F.lit(head), s, F.lit(tail)), F.lit("")
@@ -71,8 +67,17 @@ def build_pairs(triples: DataFrame, style: str, smelly: str = "smelly", after: s
         src, tgt = F.concat(F.lit(PERFORM_PROMPT), tabs_to_spaces(s)), F.lit("")
     else:
         raise ValueError(style)
+    return F.struct(src.alias("source"), tgt.alias("target"))
+
+
+def build_pairs(triples: DataFrame, style: str, smelly: str = "smelly", after: str = "after",
+                extracted: str = "extracted") -> DataFrame:
+    """(source, target) of every triple in a style; with several letters, one row per style and a ``style`` column
+    (the triples are read once)."""
     others = [c for c in triples.columns if c not in (smelly, after, extracted)]
-    return triples.select(*others, src.alias("source"), tgt.alias("target"))
+    pairs = [F.struct(F.lit(x).alias("style"), pair_style(x, _c(smelly), _c(after), _c(extracted)).alias("p")) for x in style]
+    out = triples.select(*others, F.explode(F.array(*pairs)).alias("_x"))
+    return out.select(*others, *([F.col("_x.style")] if len(style) > 1 else []), "_x.p.source", "_x.p.target")
 
 
 def length_filter(triples: DataFrame, tokenizer: Tokenizer = py_split, max_len: int = 512, smelly: str = "smelly",

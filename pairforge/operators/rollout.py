@@ -176,8 +176,26 @@ def dense_reward(length, eos_pos, compiled, ast_match, dfg_match) -> Column:
     return one_hot_reward(length, eos_pos, val)
 
 
-def batch_reward_stats(df: DataFrame, batch: str, compiled: str, ast_match: str, dfg_match: str) -> DataFrame:
-    """Per batch, mean compile reward (+-1), mean AST and data-flow match."""
+def batch_reward_stats(df: DataFrame, batch: str, compiled: str, ast_match: str, dfg_match: str, reward: str | None = None,
+                       counts: Sequence[str] = ()) -> DataFrame:
+    """Per batch, mean compile reward (+-1), mean AST and data-flow match, optionally the mean ``reward``, and the
+    sums of ``counts`` (error and node counts of both sides)."""
+    more = [F.avg(reward).alias("mean_reward")] if reward else []
     return df.groupBy(batch).agg(F.count(F.lit(1)).alias("n"),
                                  F.avg(F.when(F.col(compiled), 1.0).otherwise(-1.0)).alias("compile_rate"),
-                                 F.avg(ast_match).alias("ast_match"), F.avg(dfg_match).alias("dfg_match"))
+                                 F.avg(ast_match).alias("ast_match"), F.avg(dfg_match).alias("dfg_match"),
+                                 *more, *(F.sum(c).cast("long").alias(c) for c in counts))
+
+
+# fixed values: the columns of a training-log row, in order
+TRAINING_FIELDS = ("time", "run", "train_batch_size", "max_source_length", "max_target_length", "lr", "epoch", "step", "reward",
+                   "errors", "errors_ref", "nodes", "nodes_ref", "kl", "entropy", "loss", "pg_loss", "vf_loss", "advantage_mean",
+                   "return_mean", "value_mean", "compile_rate", "ast_match", "dfg_match")
+
+
+def training_rows(samples: DataFrame, steps: DataFrame, key: Sequence[str] = ("run", "step")) -> DataFrame:
+    """One 24-field row per step: ``samples`` (one row per generated sample with reward, error and node counts) gives
+    five per-sample means rounded to 4 decimals, ``steps`` (one row per step) everything else."""
+    means = ("reward", "errors", "errors_ref", "nodes", "nodes_ref")
+    m = samples.groupBy(*key).agg(*(F.round(F.avg(c), 4).alias(c) for c in means))
+    return steps.join(m, list(key)).select(*TRAINING_FIELDS)

@@ -120,14 +120,12 @@ def codebleu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pp = page_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("cand_html")).alias("hyp"),
                                           F.array(T.py_split(F.col("ref_html"))).alias("refs"))
     st = ngram_stats(pp, keywords=JAVA, single_ref=True)
-    ng = B.ngram_match(st).select(F.col("score").alias("ngram_match"))
-    wt = B.weighted_ngram_match(st).select(F.col("score").alias("weighted_ngram_match"))
+    both = B.pair_scores(st, weighted=True).select("ngram_match", "weighted_ngram_match")
     sy = CB.syntax_match(page_subtrees(spark, sf_dir)).select(F.col("score").alias("syntax_match"))
     df_ = CB.dataflow_match(CB.normalize_dataflow(CB.prune_merge_dataflow(page_dataflow(spark, sf_dir)))).select(
         F.col("score").alias("dataflow_match"))
-    # four one-row results folded by a union and one global aggregate
-    u = ng.unionByName(wt, allowMissingColumns=True).unionByName(sy, allowMissingColumns=True).unionByName(
-        df_, allowMissingColumns=True)
+    # three one-row results folded by a union and one global aggregate
+    u = both.unionByName(sy, allowMissingColumns=True).unionByName(df_, allowMissingColumns=True)
     cols = ["ngram_match", "weighted_ngram_match", "syntax_match", "dataflow_match"]
     # the combined score is taken from the four reported (rounded) components
     row = u.agg(*[F.round(F.first(c, ignorenulls=True), R6).alias(c) for c in cols])
@@ -188,10 +186,10 @@ def structure_check_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", CB.structure_check("code").alias("valid"))
 
 
-_REWARD_SQL = """WITH s AS (SELECT l.doc_id // 8 AS batch, (l.quality = 1) AS compiled, l.toxic AS ast_match,
+_REWARD_SQL = """WITH s AS (SELECT l.doc_id, l.doc_id // 8 AS batch, (l.quality = 1) AS compiled, l.toxic AS ast_match,
        CASE WHEN l.toxic = 1 THEN 'true' ELSE 'false' END AS detected FROM labels l)
-SELECT batch, count(*) AS n,
-       round(avg(CASE WHEN compiled THEN 1.0 ELSE -1.0 END), 6) AS compile_rate, round(avg(ast_match), 6) AS ast_match,
+SELECT batch, count(*) AS n, sum(doc_id % 3)::BIGINT AS errors, sum(doc_id % 2)::BIGINT AS errors_ref, sum(doc_id % 11)::BIGINT AS nodes,
+       round(avg(ast_match), 6) AS dfg_match, round(avg(CASE WHEN compiled THEN 1.0 ELSE -1.0 END), 6) AS compile_rate, round(avg(ast_match), 6) AS ast_match,
        round(avg((CASE WHEN compiled THEN 1 ELSE 0 END) + (CASE WHEN detected = 'true' THEN 1 ELSE 0 END) + 1), 6) AS mean_reward
 FROM s GROUP BY batch"""
 
@@ -201,10 +199,11 @@ def reward_stats_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite 0-3 rewards and per-batch reward statistics from boolean signals of ``labels``."""
     from pairforge.operators import rollout as RL
     lab = table(spark, sf_dir, "labels")
-    s = lab.select((F.col("doc_id") / 8).cast("long").alias("batch"), (F.col("quality") == 1).alias("compiled"),
+    s = lab.select("doc_id", (F.col("doc_id") / 8).cast("long").alias("batch"), (F.col("quality") == 1).alias("compiled"),
                    F.col("toxic").cast("double").alias("ast_match"), F.col("toxic").cast("double").alias("dfg_match"),
                    F.when(F.col("toxic") == 1, "true").otherwise("false").alias("detected"))
-    s = s.withColumn("reward", RL.composite_reward(F.lit(True), F.col("compiled"), F.col("detected")))
-    st = RL.batch_reward_stats(s, "batch", "compiled", "ast_match", "dfg_match")
-    mr = s.groupBy("batch").agg(F.avg("reward").alias("mean_reward"))
-    return st.join(mr, "batch").select("batch", "n", *[F.round(c, R6).alias(c) for c in ("compile_rate", "ast_match", "mean_reward")])
+    s = s.withColumns({"reward": RL.composite_reward(F.lit(True), F.col("compiled"), F.col("detected")),
+                       "errors": F.col("doc_id") % 3, "errors_ref": F.col("doc_id") % 2, "nodes": F.col("doc_id") % 11})
+    st = RL.batch_reward_stats(s, "batch", "compiled", "ast_match", "dfg_match", "reward", ["errors", "errors_ref", "nodes"])
+    return st.select("batch", "n", "errors", "errors_ref", "nodes",
+                     *[F.round(c, R6).alias(c) for c in ("compile_rate", "ast_match", "dfg_match", "mean_reward")])

@@ -147,3 +147,30 @@ def metric_callbacks_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     K.register_metric("accuracy", lambda d: C.accuracy(d))
     K.register_metric("mean_chars", lambda d: d.agg(F.avg(F.length("text")).alias("mean_chars")))
     return K.compute_metrics(R.join_predictions(examples, preds), ["accuracy", "mean_chars"])
+
+
+_TRAIN_SQL = """WITH s AS (SELECT doc_id // 32 AS run, doc_id // 8 AS step, quality + toxic AS reward, doc_id % 3 AS errors, doc_id % 2 AS errors_ref,
+         doc_id % 11 AS nodes, doc_id % 13 AS nodes_ref FROM labels),
+m AS (SELECT run, step, round(avg(reward), 4) AS reward, round(avg(errors), 4) AS errors, round(avg(errors_ref), 4) AS errors_ref,
+        round(avg(nodes), 4) AS nodes, round(avg(nodes_ref), 4) AS nodes_ref, count(*) AS n FROM s GROUP BY run, step)
+SELECT 't' || step AS time, run, 8 AS train_batch_size, 512 AS max_source_length, 256 AS max_target_length, 0.001::DOUBLE AS lr, 1 AS epoch, step, reward,
+  errors, errors_ref, nodes, nodes_ref, n / 2 AS kl, n / 4 AS entropy, n * 1.0::DOUBLE AS loss, n * 0.5::DOUBLE AS pg_loss, n * 0.25::DOUBLE AS vf_loss,
+  0.0::DOUBLE AS advantage_mean, 0.0::DOUBLE AS return_mean, 0.0::DOUBLE AS value_mean, 1.0::DOUBLE AS compile_rate, 0.5::DOUBLE AS ast_match,
+  0.5::DOUBLE AS dfg_match FROM m"""
+
+
+@query("training_rows_labels", "A16", _TRAIN_SQL)
+def training_rows_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 24-field training log: labelled documents as generated samples, eight to a step; appended and read back."""
+    d = F.col("doc_id")
+    s = table(spark, sf_dir, "labels").select(
+        F.floor(d / 32).alias("run"), F.floor(d / 8).alias("step"), (F.col("quality") + F.col("toxic")).alias("reward"), (d % 3).alias("errors"),
+        (d % 2).alias("errors_ref"), (d % 11).alias("nodes"), (d % 13).alias("nodes_ref"))
+    steps = s.groupBy("run", "step").agg(F.count(F.lit(1)).alias("n"))
+    fixed = {"train_batch_size": F.lit(8), "max_source_length": F.lit(512), "max_target_length": F.lit(256), "lr": F.lit(0.001), "epoch": F.lit(1),
+             "kl": F.col("n") / 2, "entropy": F.col("n") / 4, "loss": F.col("n") * 1.0, "pg_loss": F.col("n") * 0.5, "vf_loss": F.col("n") * 0.25,
+             "advantage_mean": F.lit(0.0), "return_mean": F.lit(0.0), "value_mean": F.lit(0.0), "compile_rate": F.lit(1.0),
+             "ast_match": F.lit(0.5), "dfg_match": F.lit(0.5), "time": F.concat(F.lit("t"), F.col("step").cast("string"))}
+    path = _scratch(spark, "training-log")
+    W.append_table(RL.training_rows(s, steps.withColumns(fixed)), path)
+    return spark.read.parquet(path)

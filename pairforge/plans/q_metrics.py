@@ -269,7 +269,4 @@ def two_reference_bleu_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = j.select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
                      F.array(T.py_split(F.col("r0")), T.py_split(F.col("r1"))).alias("refs"))
     st = ngram_stats(pairs)
-    b = B.corpus_bleu(st).select("n_pairs", F.round("bleu", R6).alias("bleu"))
-    n = B.ngram_match(st).select(F.round("score", R6).alias("ngram_match"))
-    from pairforge.operators.classify import metric_row
-    return metric_row(b, n, decimals=6)
+    return B.pair_scores(st).select("n_pairs", F.round("bleu", R6).alias("bleu"), F.round("ngram_match", R6).alias("ngram_match"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import text as T
 from pairforge.functions.keywords import JAVA
+from pairforge.operators import evallog as EV
 from pairforge.operators import prepare as P
 from pairforge.operators import sampling as S
 from pairforge.plans import oracle as O
@@ -56,17 +57,9 @@ SELECT conv_id, turn, style, length(source) AS source_len, length(target) AS tar
 @query("pair_styles_turns", "B5 B6 H22 K3", _STYLES_SQL)
 def pair_styles_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six (source, target) formatting styles over (user, assistant, user) turn triples."""
-    tr = turn_triples(spark, sf_dir)
-    parts = []
-    for style in "abcdef":
-        p = P.build_pairs(tr, style)
-        parts.append(p.select("conv_id", "turn", F.lit(style).alias("style"), F.length("source").cast("long").alias("source_len"),
-                              F.length("target").cast("long").alias("target_len"),
-                              F.md5(F.concat("source", F.lit("\u0001"), "target")).alias("digest")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    p = P.build_pairs(turn_triples(spark, sf_dir), "abcdef")
+    return p.select("conv_id", "turn", "style", F.length("source").cast("long").alias("source_len"),
+                    F.length("target").cast("long").alias("target_len"), F.md5(F.concat("source", F.lit("\u0001"), "target")).alias("digest"))
 
 
 _FILTER_SQL = f"""WITH {TRIPLES}
@@ -320,6 +313,25 @@ def task_schedule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.task_schedule(steps, "event_id", probs, "lang", seed="1234")
 
 
+_STOPPED_SQL = f"""WITH d AS ({_SCHED_SQL}),
+s AS (SELECT task, max(event_id) FILTER (WHERE event_id % 3 = 0) * (1 + length(task) % 2) // 4 AS stop_at FROM d GROUP BY task),
+k AS (SELECT d.event_id, d.task, CASE WHEN s.stop_at IS NOT NULL AND d.event_id >= s.stop_at THEN 1 ELSE 0 END AS skip FROM d JOIN s USING (task)),
+r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM k),
+l AS (SELECT *, max(CASE WHEN skip = 0 THEN i ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM r),
+e AS (SELECT min(i) AS stop FROM l WHERE i - last > 50)
+SELECT event_id, task, row_number() OVER (ORDER BY event_id) AS step FROM l, e WHERE skip = 0 AND i < coalesce(stop, 1e18)"""
+
+
+@query("stopped_schedule_events", "F7", _STOPPED_SQL)
+def stopped_schedule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn schedule when tasks stop early: draws of stopped tasks are skipped, over 50 skips in a row end training."""
+    probs = S.task_sampling_probs(table(spark, sf_dir, "documents").select("lang"), "lang")
+    drawn = S.task_schedule(table(spark, sf_dir, "events").select("event_id"), "event_id", probs, "lang", seed="1234")
+    stops = drawn.groupBy("task").agg(F.max(F.when(F.col("event_id") % 3 == 0, F.col("event_id"))).alias("m")) \
+        .select("task", F.floor(F.col("m") * (1 + F.length("task") % 2) / 4).alias("stop_at"))
+    return EV.stopped_schedule(drawn, "event_id", "task", stops)
+
+
 # ------------------------------------------------------------------ B1
 _REPO_SQL = """SELECT page_id, split_part(string_split(url, '/')[-1], '.', 1) AS repo_name,
        'https://github.com/' || split_part(string_split(url, '/')[-1], '.', 1) || '.git' AS repo_url FROM pages"""
