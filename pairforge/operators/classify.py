@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.arrays import logprob_of_label
+from pairforge.functions.arrays import bind, logprob_of_label
 from pairforge.operators.bleu import _group
 
 
@@ -53,6 +53,20 @@ def masked_token_loss(df: DataFrame, logits: str, label: str, mask: Column) -> D
     return g.select(F.try_divide("_s", "n_tokens").alias("loss"), F.col("_s").alias("loss_x_n"), "n_tokens")
 
 
+def sequence_token_loss(df: DataFrame, logits: str, targets: str, mask: str) -> DataFrame:
+    """D17 over sequences: the logits at position t are scored against the target at t + 1 wherever the target mask there
+    is not 0; ``logits`` is an array of logit arrays.  Returns (loss, loss * n, n) over all sequences."""
+    def scored(row: Column) -> Column:
+        steps = F.slice(row["l"], 1, F.greatest(F.size(row["l"]) - 1, F.lit(0)))
+        nll = F.transform(steps, lambda x, t: F.when(F.get(row["m"], t + 1) != 0, -logprob_of_label(x, F.get(row["y"], t + 1))))
+        kept = F.filter(nll, lambda x: x.isNotNull())
+        return F.struct(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x).alias("s"), F.size(kept).alias("n"))
+
+    row = F.struct(F.col(logits).alias("l"), F.col(targets).alias("y"), F.col(mask).alias("m"))
+    g = df.select(bind(row, scored).alias("_x")).agg(F.sum("_x.s").alias("loss_x_n"), F.sum("_x.n").alias("n_tokens"))
+    return g.select(F.try_divide("loss_x_n", "n_tokens").alias("loss"), "loss_x_n", "n_tokens")
+
+
 def metric_row(*one_row_frames: DataFrame, decimals: int = 4) -> DataFrame:
     """Merge one-row metric frames into one row, every double rounded; a name may occur once."""
     names = [c for f in one_row_frames for c in f.columns]

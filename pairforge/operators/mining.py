@@ -5,8 +5,9 @@ refactoring events are tables, and every step is a join, filter or window.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +118,8 @@ def refactorings_per_commit(events: DataFrame, commit: str) -> DataFrame:
     """Refactorings per commit and whether a commit has any."""
     return events.groupBy(commit).agg(F.count(F.lit(1)).alias("n_refactorings")).withColumn(
         "has_refactoring", F.col("n_refactorings") > 0)
+
+
+def handle_commits(events: DataFrame, commit: str, handler: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """K5: a user's handler called once per commit with the commit's refactorings (bounded by one commit's size)."""
+    return events.groupBy(commit).applyInPandas(handler, schema)

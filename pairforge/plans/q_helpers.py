@@ -174,3 +174,19 @@ def training_rows_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "training-log")
     W.append_table(RL.training_rows(s, steps.withColumns(fixed)), path)
     return spark.read.parquet(path)
+
+
+_HANDLER_SQL = """SELECT doc_id % 97 AS commit, count(*) AS n, count(DISTINCT lang) AS n_langs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ALL"""
+
+
+@query("commit_handler_docs", "K5", _HANDLER_SQL)
+def commit_handler_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's handler per commit (documents dealt to 97 commits): counts and sums of its rows."""
+    import pandas as pd
+
+    def handler(rows):
+        return pd.DataFrame({"commit": [rows["commit"].iloc[0]], "n": [len(rows)], "n_langs": [rows["lang"].nunique()],
+                             "n_chars": [int(rows["n_chars"].sum())]})
+
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("commit"), "lang", "n_chars")
+    return M.handle_commits(d, "commit", handler, "commit bigint, n bigint, n_langs bigint, n_chars bigint")

@@ -110,6 +110,23 @@ def masked_token_loss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("loss", R6).alias("loss"), F.round("loss_x_n", R6).alias("loss_x_n"), "n_tokens")
 
 
+_SEQ_SQL = """WITH t AS (SELECT vec_id, p, list_transform(embedding[8 * p + 1:8 * p + 8], lambda x: x::DOUBLE) AS l,
+         (floor(abs(embedding[8 * p + 9]) * 1000)::BIGINT % 8)::INTEGER AS y FROM embeddings, (SELECT unnest(range(7)) AS p)),
+s AS (SELECT list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[y + 1] AS nll FROM t WHERE y <> 0)
+SELECT round(avg(nll), 6) AS loss, round(sum(nll), 4) AS loss_x_n, count(*) AS n_tokens FROM s"""
+
+
+@query("sequence_loss_embeddings", "H18 D17", _SEQ_SQL)
+def sequence_loss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted, masked cross entropy: eight tokens a row with eight logits each, targets from the values, 0 is padding."""
+    e = _emb(spark, sf_dir)
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice("e", p * 8 + 1, 8))
+    d = e.select(tokens.alias("logits"))
+    d = d.withColumn("targets", F.transform("logits", lambda x: (F.floor(F.abs(F.get(x, 0)) * 1000) % 8).cast("int")))
+    out = C.sequence_token_loss(d, "logits", "targets", "targets")
+    return out.select(F.round("loss", R6).alias("loss"), F.round("loss_x_n", 4).alias("loss_x_n"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 _PPL_SQL = """SELECT event_type AS task, count(*) AS n_batches, round(exp(avg(ln(1 + value))), 5) AS ppl
 FROM events GROUP BY event_type"""
 

@@ -54,7 +54,7 @@ SELECT conv_id, turn, style, length(source) AS source_len, length(target) AS tar
        md5(source || chr(1) || target) AS digest FROM styles"""
 
 
-@query("pair_styles_turns", "B5 B6 H22 K3", _STYLES_SQL)
+@query("pair_styles_turns", "B6 H22 K3", _STYLES_SQL)
 def pair_styles_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six (source, target) formatting styles over (user, assistant, user) turn triples."""
     p = P.build_pairs(turn_triples(spark, sf_dir), "abcdef")

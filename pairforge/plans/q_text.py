@@ -20,7 +20,7 @@ _FLAT_SQL = """SELECT event_id, json_extract(props, '$.k')::BIGINT AS "stats/k",
        event_type AS "meta/type", user_id AS "meta/run" FROM events"""
 
 
-@query("flatten_stats_events", "B15 B16", _FLAT_SQL)
+@query("flatten_stats_events", "B15", _FLAT_SQL)
 def flatten_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested step statistics (parsed JSON props + value) flattened to ``a/b`` columns."""
     e = table(spark, sf_dir, "events")
@@ -265,7 +265,7 @@ _UNION_SQL = """WITH u AS (SELECT 0 AS file_no, text FROM documents UNION ALL SE
 SELECT file_no, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM u GROUP BY file_no"""
 
 
-@query("merged_corpus", "G1 A4", _UNION_SQL)
+@query("merged_corpus", "G1", _UNION_SQL)
 def merged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three text sources concatenated (UNION ALL, source number kept) and summarised."""
     parts = [table(spark, sf_dir, t).select(F.lit(i).alias("file_no"), "text")

@@ -224,6 +224,15 @@ def test_structure_of_code_with_comments_and_literals(spark):
     assert got == {i: ok for i, (_, ok) in enumerate(cases)}
 
 
+def test_comments_by_language(spark):
+    py = '"""doc"""\nimport os  # c\n\ndef f(a):\n    """d\n    e"""\n    x = "# no"  # yes\n    return x\n'
+    want = 'import os  \ndef f(a):\n    x = "# no"  \n    return x'
+    df = spark.createDataFrame([(py,), (None,), ("def (:\n  '",)], "c string")
+    got = [x.c for x in df.select(T.strip_comments("c", "python").alias("c")).collect()]
+    assert got == [want, None, "def (:\n  '"]
+    assert df.select(T.strip_comments("c", "ruby").alias("c")).first().c == py
+
+
 def test_metric_names_may_not_repeat(spark):
     one = spark.range(1).select(F.lit(1).alias("n"))
     with pytest.raises(ValueError, match="twice"):
