@@ -54,6 +54,21 @@ def map_texts(df: DataFrame, fn: Callable[[pa.Array], list[pa.Array]], rest: str
     return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
 
 
+_HELD: dict = {}
+
+
+def held(kind: str, value, build: Callable):
+    """What a worker keeps between batches and tasks: ``build(value)``, made once for each broadcast ``value``.
+
+    Workers outlive the stages they serve, so what another operator held is let go first (two values of one are kept)."""
+    key = (kind, id(value))
+    if key not in _HELD:
+        if len(_HELD) > 1 or any(k != kind for k, _ in _HELD):
+            _HELD.clear()
+        _HELD[key] = (value, build(value))  # with the value, so that its id stays its own
+    return _HELD[key][1]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

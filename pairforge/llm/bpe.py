@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pairforge.llm._arrow import map_texts
+from pairforge.llm._arrow import held, map_texts
 
 #: words held by a worker between texts (an entry takes about 250 bytes); full, it is emptied.
 CACHE_WORDS = 300_000
@@ -180,11 +179,6 @@ class BytePairCodec:
         return self.decode(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _codec(spec: str) -> BytePairCodec:
-    return BytePairCodec(spec)
-
-
 def _spec(path: str | None) -> str:
     with open(path or default_path(), encoding="utf-8") as f:
         return f.read()
@@ -204,7 +198,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     schema += ", ids_sha256 string, decoded_sha256 string" if digests else ""
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        codec = _codec(spec.value)
+        codec = held("bpe", spec.value, BytePairCodec)
         raw = [codec.encode(t or "") for t in texts.to_pylist()]
         ids = [np.frombuffer(r, dtype="<u4") for r in raw]
         texts_out = [codec.decode_text(i) for i in ids]

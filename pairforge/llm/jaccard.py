@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import _words
-from pairforge.llm._arrow import id_and_text, pieces, schema_of, written
+from pairforge.llm._arrow import held, id_and_text, pieces, schema_of, written
 from pairforge.llm._components import components
 
 #: coordinates of a document's whole point, and of one part of it (a part holds few shingles, so its leaves
@@ -46,7 +46,7 @@ GROUPS, PART_GROUPS = 256, 1 << 32
 #: rows of one leaf that are compared at once; larger leaves are cut into blocks of this size
 BLOCK = 512
 #: rows of points (about 300 bytes) and of pairs (16 bytes) that are sent to all tasks; larger tables are shuffled
-SENT_POINTS, SENT_PAIRS = 100_000, 500_000
+SENT_POINTS, SENT_PAIRS = 50_000, 250_000
 #: ratio of the sizes in one band
 BAND = 1.5
 
@@ -160,6 +160,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _maps(docs: DataFrame, k: int, bands: Bands):
     """The three passes over texts: set identities, leaf keys, and sets with their points."""
     def identities(batches):
+        held("jaccard", None, lambda _: None)
         for b in pieces(batches, 1 << 20):
             h, offs = shingle_sets(b.column("text"), k)
             s1, s2 = set_ids(h, offs)
@@ -167,6 +168,7 @@ def _maps(docs: DataFrame, k: int, bands: Bands):
                                              ["id", "n", "s1", "s2"])
 
     def keys(batches):
+        held("jaccard", None, lambda _: None)  # nothing but this task's own
         seen: set[int] = set()  # copies in one task enter once
         for b in pieces(batches, 1 << 20):
             h, offs = shingle_sets(b.column("text"), k)
@@ -291,16 +293,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = hits.select("s").distinct()
     reps = written(spark, classes.join(wanted, classes.s1 == wanted.s, "left_semi").select(F.col("rep").alias("id")), "reps")
-    held = written(spark, text.join(sent(reps, reps.count(), SENT_PAIRS), "id", "left_semi")
+    stored = written(spark, text.join(sent(reps, reps.count(), SENT_PAIRS), "id", "left_semi")
                    .mapInArrow(sets, "s bigint, n bigint, shingles array<bigint>, point binary"), "shingles")
-    n_held = held.count()
-    if n_held > held.select("s").distinct().count():  # repeated rows
-        held = written(spark, held.dropDuplicates(["s"]), "shingles")
-    few_held = n_held <= SENT_POINTS
+    n_stored = stored.count()
+    if n_stored > stored.select("s").distinct().count():  # repeated rows
+        stored = written(spark, stored.dropDuplicates(["s"]), "shingles")
+    few_stored = n_stored <= SENT_POINTS
 
     def points_of(x: str) -> DataFrame:
-        d = held.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-        return F.broadcast(d) if few_held else d
+        d = stored.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+        return F.broadcast(d) if few_stored else d
 
     def within(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that the bound on the points allows."""
@@ -308,8 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of written pairs (a, b) those that link: their sets are met and intersected."""
-        one = held.select(F.col("s").alias("a"), F.col("shingles").alias("xa")).join(sent(pairs, pairs.count(), SENT_PAIRS), "a")
-        two = held.select(F.col("s").alias("b"), F.col("shingles").alias("xb"))
+        one = stored.select(F.col("s").alias("a"), F.col("shingles").alias("xa")).join(sent(pairs, pairs.count(), SENT_PAIRS), "a")
+        two = stored.select(F.col("s").alias("b"), F.col("shingles").alias("xb"))
         return one.join(two, "b").mapInArrow(_exact(num, den), "a bigint, b bigint")
 
     stars = written(spark, hits.filter("s <> lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), "stars")

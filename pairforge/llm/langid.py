@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm._arrow import id_and_text, map_texts
+from pairforge.llm._arrow import held, id_and_text, map_texts
 from pairforge.llm._words import mix
 
 ROWS_PER_LANG = 300
@@ -36,7 +36,7 @@ MAX_SAMPLE = 6000
 MAX_CHARS = 20_000
 SEGMENT = 512
 #: words whose emissions a worker holds between texts; full, they are dropped
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 BITS = 15
 
 _KEEP = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -310,19 +310,13 @@ class Labeller:
         return (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
 
 
-_LABELLERS: dict[int, tuple] = {}
-
-
 def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``lang``, ``score`` and ``shares map<string,double>`` (of each learned language) per row."""
     sent = df.sparkSession.sparkContext.broadcast(field)
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        value = sent.value
-        if id(value) not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[id(value)] = (value, Labeller(value))
-        labeller, labels = _LABELLERS[id(value)][1], value.labels
+        labeller = held("langid", sent.value, Labeller)
+        labels = labeller.field.labels
         texts = texts.to_pylist()
         words = [words_of(t) if t else [] for t in texts]
         spoken = [has_letter(t, w) for t, w in zip(texts, words)]
@@ -336,4 +330,4 @@ def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
                 pa.array([list(zip(labels, x.tolist())) if ok else [] for x, ok in zip(s, spoken)], pa.map_(pa.string(), pa.float64()))]
 
     return map_texts(df, run, "lang string, score double, "
-                     "shares map<string,double>", id_col, text_col)
+                     "shares map<string,double>", id_col, text_col, 2 << 20)

@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairforge.llm._arrow import map_texts
+from pairforge.llm._arrow import held, map_texts
 from pairforge.llm.license_rules import Rule, build
 
 #: phrases and their labels (fixed values)
@@ -99,9 +99,6 @@ class Scanner:
         return out
 
 
-_SCANNER: list[Scanner] = []
-
-
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_words``, ``base array<struct<word,label>>`` (places of the fixed phrases), ``found
     array<struct<start,end,label,priority>>`` (detections, in words) and ``score`` per row."""
@@ -109,9 +106,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int32())]))
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        if not _SCANNER:
-            _SCANNER.append(Scanner())
-        rows = [_SCANNER[0].scan(t or "") for t in texts.to_pylist()]
+        scanner = held("licenses", None, lambda _: Scanner())
+        rows = [scanner.scan(t or "") for t in texts.to_pylist()]
         return [pa.array([r[c] for r in rows], kind) for c, kind in
                 (("n_words", pa.int64()), ("base", base), ("found", found), ("score", pa.float64()))]
 

@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairforge.llm._arrow import map_texts
+from pairforge.llm._arrow import held, map_texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -41,7 +40,6 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PIECE = 256
 
 
-@lru_cache(maxsize=2)
 def _vocabulary(ranks: bytes, pattern: str):
     import tiktoken
     table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}
@@ -84,7 +82,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        vocabulary = _vocabulary(*ranks.value)
+        vocabulary = held("secrets", ranks.value, lambda v: _vocabulary(*v))
         rows = []
         for t in texts.to_pylist():
             t = t or ""

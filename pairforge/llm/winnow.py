@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import _words
-from pairforge.llm._arrow import id_and_text, pieces, schema_of
+from pairforge.llm._arrow import held, id_and_text, pieces, schema_of
 
 #: bytes of benchmark text in a broadcast shard
 SHARD_BYTES = 32 << 20
@@ -148,25 +148,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                           schema_of(docs, id_col, f"n_words bigint, n_hit bigint, {state}, contaminated boolean"))
 
 
-_SHARDS: dict = {}
-
-
-def _shard_of(value) -> Shard:
-    """The shard's tables, built once in a worker for each broadcast it meets (two are kept)."""
-    key = id(value)
-    if key not in _SHARDS:
-        if len(_SHARDS) > 1:
-            _SHARDS.clear()
-        _SHARDS[key] = (value, Shard(*value))
-    return _SHARDS[key][1]
-
-
 def _pass(shard, share):
     """One shard's hits added to the rows' spans and items; with ``share``, the last pass, which judges them."""
     pair, strings = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
 
     def run(batches):
-        index = _shard_of(shard.value) if shard is not None else None
+        index = held("winnow", shard.value, lambda v: Shard(*v)) if shard is not None else None
         for b in pieces(batches, 1 << 20):
             row, words, _, _, counts = _words.split(b.column("text"), _words.ALNUM)
             spans, items = b.column("spans").to_pylist(), b.column("items").to_pylist()

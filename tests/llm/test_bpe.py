@@ -13,7 +13,7 @@ LETTERS = "abethis  \n\t'sllre0129é漢字😀.,-_=A\x00"
 @pytest.fixture(scope="module")
 def both():
     path = bpe.default_path()
-    return bpe._codec(bpe._spec(path)), tokenizers.Tokenizer.from_file(path)
+    return bpe.BytePairCodec(bpe._spec(path)), tokenizers.Tokenizer.from_file(path)
 
 
 def check(both, text):
