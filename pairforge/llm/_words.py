@@ -24,9 +24,9 @@ _VALUE = _lowered()
 
 
 def _class(separators) -> np.ndarray:
-    t = np.ones(256, dtype=bool)
+    t = np.ones(256, dtype=np.uint8)
     for a, b in separators:
-        t[a:b + 1] = False
+        t[a:b + 1] = 0
     return t
 
 
@@ -36,6 +36,11 @@ SPACED = _class([(0x20, 0x20), (0x09, 0x0D)])
 ALNUM = _class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
+#: words and runs of punctuation: ``[A-Za-z0-9_\x80-\xFF]+|[^A-Za-z0-9_\s\x80-\xFF]+`` over bytes
+WORDS_AND_MARKS = np.where(ALNUM, 1, np.where(SPACED, 2, 0)).astype(np.uint8)
+WORDS_AND_MARKS[ord("_")] = 1
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, grown to the longest run of texts seen."""
     global _powers, _inverse
@@ -70,25 +75,20 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def split(texts: pa.Array, is_word: np.ndarray):
-    """(row of each word, hash of each word, start byte, end byte, words per row)."""
+def split(texts: pa.Array, kinds: np.ndarray):
+    """Words are runs of bytes of one kind above 0.  (row of each word, hash of each word, start byte, end byte, words per row)."""
     data, offsets = raw(texts)
     rows = len(offsets) - 1
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
         return none, np.empty(0, np.uint64), none, none, np.zeros(rows, np.int64)
-    inside = is_word[data]
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[offsets] = True
-    before = np.empty(n, dtype=bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | cut[:n]))
-    after = np.empty(n, dtype=bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
+    kind = kinds[data]
+    edge = np.ones(n + 1, dtype=bool)
+    edge[1:n] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    starts = np.flatnonzero(edge[:n] & (kind > 0))
+    ends = np.flatnonzero(edge[1:] & (kind > 0)) + 1
     powers, inverse = _tables(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_VALUE[data] * powers[:n], out=sums[1:])

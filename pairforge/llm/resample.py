@@ -1,6 +1,6 @@
 r"""Quality selection by importance resampling (operator 2).
 
-A text is the bag of its hashed words and word pairs.  Two generative models
+A text is the bag of its hashed tokens (words and runs of punctuation) and token pairs.  Two generative models
 over the hash buckets are counted, one of target text and one of raw text
 (every row); a row's log weight is the sum over its bag of the log ratio of the
 two.  Adding Gumbel noise to the log weights and taking the k largest draws k
@@ -12,7 +12,7 @@ by sorting rows; the raw model's counts cover all rows.  The target model is fit
 on a bounded sample of labelled rows: the texts of at most ``target_rows``
 target ids, smallest hash first, sent as one broadcast of ids of that size.
 
-Defined results: null, empty and wordless texts have log weight 0; rows of equal
+Defined results: null, empty and blank texts have log weight 0; rows of equal
 id and text (repeated rows) are selected together; rows without id take noise
 of the null id; without target rows all weights are 0 (a uniform draw); an
 empty table gives no rows; other columns are not read.
@@ -34,8 +34,8 @@ FRACTION = 0.5
 
 
 def bag(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(row, bucket) of every word and word pair; the number of rows."""
-    row, words, _, _, counts = _words.split(texts, _words.ALNUM)
+    """(row, bucket) of every token and token pair; the number of rows."""
+    row, words, _, _, counts = _words.split(texts, _words.WORDS_AND_MARKS)
     pairs = _words.grams(words, 2)
     inside = row[:len(pairs)] == row[1:1 + len(pairs)]
     b = np.concatenate([words, pairs[inside]]) % np.uint64(buckets)

@@ -11,7 +11,7 @@ from pairforge.llm import resample
 
 
 def words(t):
-    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    return re.findall(r"[a-z0-9_\x80-\U0010ffff]+|[^a-z0-9_\x80-\U0010ffff\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 
 
 def grams(t):
