@@ -27,6 +27,8 @@ from pairforge.llm._arrow import held, map_texts
 
 #: words held by a worker between texts (an entry takes about 250 bytes); full, it is emptied.
 CACHE_WORDS = 300_000
+#: checked token pairs held by a worker (an entry takes about 150 bytes); full, they are dropped.
+PAIRS = 400_000
 #: longer words are encoded each time
 CACHE_CHARS = 48
 
@@ -126,7 +128,7 @@ class BytePairCodec:
                         break
                     ok = fits.get((last, token))
                     if ok is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) > PAIRS:
                             fits.clear()
                         ok = fits[last, token] = self._compatible(last, token)
                     if ok:
