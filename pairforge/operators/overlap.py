@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 
 def possible(length: Column, n: int) -> Column:
@@ -82,38 +82,44 @@ def ngram_stats(
     extra: Sequence[str] = (),
     keywords: Sequence[str] | None = None,
     single_ref: bool = False,
+    texts: bool = False,
 ) -> DataFrame:
     """Per-pair statistics; ``hyp`` is ``array<string>``, ``refs`` is ``array<array<string>>``.
 
-    ``single_ref=True`` states that every pair has at most one reference; more are an error.
+    ``single_ref=True`` states that every pair has at most one reference; more are an error.  ``texts=True`` takes whole
+    texts (``hyp string``, ``refs array<string>``) and splits them at white space where they are counted.
     """
     many = F.col(refs)
     if single_ref:
         kind = pairs.schema[refs].dataType.simpleString()
         many = F.when(F.size(refs) <= 1, many).otherwise(F.raise_error(F.lit("single_ref takes one reference a pair")).cast(kind))
     df = pairs.select(key, *extra, F.col(hyp).alias("_hyp"), many.alias("_refs"))
-    df = df.withColumn("_lens", F.transform("_refs", lambda r: F.coalesce(F.size(r), F.lit(0))))
     counts = _count_cols(max_n, keywords) + (["wden1"] if keywords is not None else [])
-    carried = [df.schema[c] for c in (key, *extra, "_lens")]
+    carried = [df.schema[c] for c in (key, *extra)]
     types = [DoubleType() if c.startswith("w") else LongType() for c in counts]
-    schema = StructType([*carried, StructField("hyp_len", IntegerType()), *(StructField(c, t) for c, t in zip(counts, types))])
+    schema = StructType([*carried, StructField("_lens", ArrayType(IntegerType())), StructField("hyp_len", IntegerType()), *(StructField(c, t) for c, t in zip(counts, types))])
     kept = [f.name for f in carried]
 
     def run(batches):
         for b in batches:
-            sizes = _lengths(b.column("_hyp")) + np.array([sum(x or ()) for x in b.column("_lens").to_pylist()], dtype=np.int64)
-            total, at = np.cumsum(sizes), 0
+            hyps, all_refs = b.column("_hyp"), b.column("_refs")
+            if texts:
+                hyps, all_refs = _split(hyps), _relist(all_refs, _split(all_refs.flatten()))
+            inner = np.concatenate([[0], np.cumsum(_lengths(all_refs.flatten()))])
+            ends = np.cumsum(_lengths(all_refs))
+            total, at = np.cumsum(_lengths(hyps)) + inner[ends], 0
             while at < b.num_rows:  # a bounded number of tokens at a time, or one longer pair
                 past = total[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(total, past + _BATCH_TOKENS, side="right")))
-                part = b.slice(at, end - at)
-                cols = _count_pairs(part.column("_hyp"), part.column("_refs"), max_n, keywords)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(cols[c]) for c in ("hyp_len", *counts))],
-                                                 names=schema.names)
+                some = all_refs.slice(at, end - at)
+                cols = _count_pairs(hyps.slice(at, end - at), some, max_n, keywords)
+                lens = _relist(some, pa.array(_lengths(some.flatten()).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in kept), lens,
+                                                  *(pa.array(cols[c]) for c in ("hyp_len", *counts))], names=schema.names)
                 at = end
 
     out = df.select(*kept, "_hyp", "_refs").mapInArrow(run, schema)
-    hl, lens = F.col("hyp_len"), F.coalesce("_lens", F.array().cast("array<int>"))
+    hl, lens = F.col("hyp_len"), F.col("_lens")
     closest = F.array_min(F.transform(lens, lambda r: F.struct(F.abs(r - hl).alias("d"), r.alias("r"))))["r"]
     per_ref = [F.aggregate(lens, F.lit(0).cast("long"), f(n)).alias(f"{name}{n}") for f, name in ((_den, "rden"), (_poss, "rposs"))
                for n in range(1, max_n + 1)]
@@ -131,6 +137,19 @@ def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _relist(like: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` in lists of the lengths of another list column."""
+    ends = np.concatenate([[0], np.cumsum(_lengths(like))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """White-space tokens of each text (``str.split``); a null text has none."""
+    words = [t.split() if t else [] for t in texts.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for w in words for x in w], pa.string()))
+
+
 def _count_pairs(hyp: pa.Array, refs: pa.Array, max_n: int, keywords) -> dict[str, np.ndarray]:
     """Clipped matches of every order (and keyword-weighted sums) of each row's token list and reference lists.
 

@@ -117,9 +117,8 @@ SELECT *, round(0.25 * ngram_match + 0.25 * weighted_ngram_match + 0.25 * syntax
 @query("codebleu_pages", "D9 D5 D6 C8 C9", _CB_SQL)
 def codebleu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CodeBLEU = 0.25 each of n-gram match, keyword-weighted match, syntax match and data-flow match."""
-    pp = page_pairs(spark, sf_dir).select("pair_id", T.py_split(F.col("cand_html")).alias("hyp"),
-                                          F.array(T.py_split(F.col("ref_html"))).alias("refs"))
-    st = ngram_stats(pp, keywords=JAVA, single_ref=True)
+    pp = page_pairs(spark, sf_dir).select("pair_id", F.col("cand_html").alias("hyp"), F.array("ref_html").alias("refs"))
+    st = ngram_stats(pp, keywords=JAVA, single_ref=True, texts=True)
     both = B.pair_scores(st, weighted=True).select("ngram_match", "weighted_ngram_match")
     sy = CB.syntax_match(page_subtrees(spark, sf_dir)).select(F.col("score").alias("syntax_match"))
     df_ = CB.dataflow_match(CB.normalize_dataflow(CB.prune_merge_dataflow(page_dataflow(spark, sf_dir)))).select(

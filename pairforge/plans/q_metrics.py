@@ -18,8 +18,8 @@ R6 = 6  # decimals kept in float outputs of registered queries
 
 def doc_bleu_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = doc_pairs(spark, sf_dir).select(
-        "pair_id", "lang", T.py_split(F.col("pred")).alias("hyp"), F.array(T.py_split(F.col("gold"))).alias("refs"))
-    return ngram_stats(p, extra=["lang"], single_ref=True)
+        "pair_id", "lang", F.col("pred").alias("hyp"), F.array("gold").alias("refs"))
+    return ngram_stats(p, extra=["lang"], single_ref=True, texts=True)
 
 
 # ------------------------------------------------------------------ D3 (flagship)
@@ -125,8 +125,8 @@ _SQL_WEIGHTED = f"""WITH {O.DOC_PAIRS},
 def weighted_ngram_match_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-weighted n-gram recall (Java keyword list) per language and in total."""
     p = doc_pairs(spark, sf_dir).select(
-        "pair_id", "lang", T.py_split(F.col("pred")).alias("hyp"), F.array(T.py_split(F.col("gold"))).alias("refs"))
-    out = B.weighted_ngram_match(ngram_stats(p, extra=["lang"], keywords=JAVA, single_ref=True), ["lang"], rollup=True)
+        "pair_id", "lang", F.col("pred").alias("hyp"), F.array("gold").alias("refs"))
+    out = B.weighted_ngram_match(ngram_stats(p, extra=["lang"], keywords=JAVA, single_ref=True, texts=True), ["lang"], rollup=True)
     return _r(out, ["lang", "n_pairs"], ["score"])
 
 
@@ -266,7 +266,5 @@ def two_reference_bleu_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = d.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("pred"))
     g2 = d.select((F.col("doc_id") - 2).alias("pair_id"), F.col("text").alias("r1"))
     j = g.join(p, "pair_id").join(g2, "pair_id")
-    pairs = j.select("pair_id", T.py_split(F.col("pred")).alias("hyp"),
-                     F.array(T.py_split(F.col("r0")), T.py_split(F.col("r1"))).alias("refs"))
-    st = ngram_stats(pairs)
+    st = ngram_stats(j.select("pair_id", F.col("pred").alias("hyp"), F.array("r0", "r1").alias("refs")), texts=True)
     return B.pair_scores(st).select("n_pairs", F.round("bleu", R6).alias("bleu"), F.round("ngram_match", R6).alias("ngram_match"))

@@ -177,6 +177,11 @@ def test_single_reference_counts_equal_the_general_form(spark):
         a, b = x.asDict(), many[i].asDict()
         assert all(a[c] == pytest.approx(b[c]) for c in b), (a, b)
     assert one[99].m2 == 0 and many[99].m2 == 0
+    plain = [(i, None if i == 7 else " ".join(h), [" ".join(x) for x in r] + ["\u2003a\x1fb a", None]) for i, h, r in rows[:-1]]
+    t = spark.createDataFrame(plain, "pair_id int, hyp string, refs array<string>")
+    split = t.select("pair_id", T.py_split("hyp").alias("hyp"), F.transform("refs", T.py_split).alias("refs"))
+    a = sorted(map(tuple, OV.ngram_stats(t, texts=True).collect()))
+    assert a == sorted(map(tuple, OV.ngram_stats(split).collect())) and a[0][-1] >= 0
     with pytest.raises(Exception, match="one reference"):
         OV.ngram_stats(spark.createDataFrame([(1, ["a"], [["b"], ["a"]])], df.schema), single_ref=True).collect()
 
