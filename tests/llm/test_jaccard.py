@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from pairforge.llm import jaccard
+from pairforge.llm import _components, jaccard
 
 
 def shingles(t, k=4):
@@ -54,8 +55,13 @@ def edited(r, words, edits):
     return w
 
 
-def test_groups_at_the_threshold_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small", [True, False])
+def test_groups_at_the_threshold_match_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "BLOCK", 5)  # blocks within leaves are exercised too
+    if not small:  # the ways beyond the bounds of broadcast and one-task tables
+        monkeypatch.setattr(jaccard, "SENT_POINTS", -1)
+        monkeypatch.setattr(jaccard, "SENT_PAIRS", -1)
+        monkeypatch.setattr(_components, "ONE_TASK", -1)
     r = random.Random(11)
     docs = []
     for g, size in enumerate([6, 7, 9, 12, 14, 20, 30, 45, 60, 90, 200, 400]):
@@ -105,3 +111,14 @@ def test_bound_is_never_below_the_overlap():
             o = len(np.intersect1d(h[offs[i]:offs[i + 1]], h[offs[j]:offs[j + 1]]))
             assert np.minimum(p[i], p[j]).sum() >= o
     assert list(np.diff(offs)) == [len(shingles(x.as_py())) for x in t]
+
+
+@pytest.mark.parametrize("one_task", [200_000, -1])
+def test_components_of_chains_stars_and_rings(spark, monkeypatch, one_task):
+    monkeypatch.setattr(_components, "ONE_TASK", one_task)
+    links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(5, 5), (300, 299)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    got = {x.node: x.comp for x in _components.components(spark, df).collect()}
+    want = {i: 0 for i in range(41)} | {x: 100 for x in range(100, 130)} | {x: 200 for x in range(200, 209)} | {299: 299, 300: 299}
+    assert got == want
+    assert _components.components(spark, df.limit(0)).count() == 0
