@@ -188,3 +188,15 @@ def stopped_schedule(draws: DataFrame, draw: str, task: str, stops: DataFrame, m
     end = d.filter(F.col("_i") - F.col("_last") > max_skips).agg(F.min("_i")).first()[0]
     taken = d.filter(~F.col("_skip"))
     return (taken if end is None else taken.filter(F.col("_i") < end)).select(draw, task, "step")
+
+
+def best_changes(log: DataFrame, run: str, step: str, metric: str, mode: str = "max", decimals: int = 4,
+                 label: str | None = None) -> DataFrame:
+    """The evaluations at which a run's best value changed (the first counts), with the line that is logged:
+    ``run, step, criteria, metric, value, line``."""
+    m = F.col(metric) if mode == "max" else -F.col(metric)
+    d = running(log.withColumn("_m", m), run, step, [Scan("_prev", F.col("_m"), "max", inclusive=False)])
+    d = d.filter(F.col("_prev").isNull() | (F.col("_m") > F.col("_prev")))
+    name = label or metric
+    line = F.format_string(f"[%s] Best {name} changed into %.{decimals}f", F.col(step).cast("string"), F.col(metric).cast("double"))
+    return d.select(run, step, F.lit("best changed").alias("criteria"), F.lit(name).alias("metric"), F.col(metric).alias("value"), line.alias("line"))

@@ -85,3 +85,22 @@ def kl_coef_path_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = EV.kl_coef_path(_log(spark, sf_dir), "run", "step", "value")
     # products of thousands of factors: 4 decimals keep engines' summation order out of the digits
     return out.select("event_id", "run", F.round("kl_coef", 4).alias("kl_coef"))
+
+
+_CHANGED_SQL = """WITH p AS (SELECT user_id AS run, event_id AS step, value,
+    max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM events)
+SELECT run, step, 'best changed' AS criteria, 'bleu+em' AS metric, value, printf('[%d] Best bleu+em changed into %.2f', step, value) AS line
+FROM p WHERE prev IS NULL OR value > prev"""
+
+
+@query("best_changes_events", "A20", _CHANGED_SQL)
+def best_changes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a run's best value as an evaluation-log row, appended to a table and read back."""
+    import uuid
+
+    from pairforge.session import ensure_checkpoint_dir
+    from pairforge.sources.sinks import append_table
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/eval-log-{uuid.uuid4().hex}"
+    append_table(EV.best_changes(log, "run", "step", "value", decimals=2, label="bleu+em"), path)
+    return spark.read.parquet(path)

@@ -190,3 +190,20 @@ def commit_handler_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("commit"), "lang", "n_chars")
     return M.handle_commits(d, "commit", handler, "commit bigint, n bigint, n_langs bigint, n_chars bigint")
+
+
+_BLOCKS_SQL = """WITH p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS r, length(a.text) % 4 AS w FROM conversations u
+    JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')
+SELECT conv_id, turn, md5(chr(10) || 'Smelly Code:' || chr(10) || q || chr(10) || 'Refactored Code:' || chr(10) || r || chr(10) || 'Reward:' || chr(10) || w
+  || CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN chr(10) || '============End of batch================' || chr(10) ELSE '' END) AS digest
+FROM p"""
+
+
+@query("reward_blocks_turns", "A18", _BLOCKS_SQL)
+def reward_blocks_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reward-log blocks of turn pairs (a conversation is a batch), appended to a table and read back."""
+    p = turn_pairs(spark, sf_dir).select("conv_id", "turn", F.col("gold").alias("query"), F.col("pred").alias("response"),
+                                         (F.length("pred") % 4).alias("reward"))
+    path = _scratch(spark, "reward-log")
+    W.append_table(W.reward_blocks(p, "conv_id", "turn"), path)
+    return spark.read.parquet(path).select("conv_id", "turn", F.md5("block").alias("digest"))

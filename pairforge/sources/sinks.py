@@ -48,6 +48,16 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def reward_blocks(samples: DataFrame, batch: str, order: str, query: str = "query", response: str = "response", reward: str = "reward") -> DataFrame:
+    """The log text of each generated sample, in a table ``(batch, order, query, response, reward, block)``; the last
+    sample of a batch ends it."""
+    from pyspark.sql import Window
+    last = F.row_number().over(Window.partitionBy(batch).orderBy(F.col(order).desc())) == 1  # one batch's samples
+    block = F.concat(F.lit("\nSmelly Code:\n"), F.col(query), F.lit("\nRefactored Code:\n"), F.col(response), F.lit("\nReward:\n"),
+                     F.col(reward).cast("string"), F.when(last, "\n============End of batch================\n").otherwise(""))
+    return samples.select(batch, order, query, response, reward, block.alias("block"))
+
+
 def write_job_results(df: DataFrame, path: str) -> DataFrame:
     """``{result, name}`` records; returns the summary by result."""
     df.select("result", "name").write.mode("overwrite").json(path)
