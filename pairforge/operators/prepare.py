@@ -129,6 +129,14 @@ def sampled_length(seed: str, key, lo: int, hi: int) -> Column:
     return (F.lit(lo) + (u % (hi - lo))).cast("int")
 
 
+def toxicity_queries(df: DataFrame, key: str, prompt: str, continuation: str, toxicity: str, threshold: float = 0.3, lo: int = 5,
+                     hi: int = 10, tokenizer: Tokenizer = py_split, seed: str = "42") -> DataFrame:
+    """Rows above the threshold; prompt and continuation concatenated and cut to a sampled number of tokens."""
+    tokens = tokenizer(F.concat(F.col(prompt), F.col(continuation)))
+    kept = toxicity_filter(df, toxicity)
+    return kept.select(key, F.array_join(F.slice(tokens, 1, sampled_length(seed, F.col(key), lo, hi)), " ").alias("query"))
+
+
 # ---------------------------------------------------------------- D1 / D2
 def length_stats(pairs: DataFrame, source: str = "source", target: str = "target", tokenizer: Tokenizer | None = None,
                  group_cols: Sequence[str] = (), rollup: bool = False) -> DataFrame:

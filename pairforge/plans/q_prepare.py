@@ -141,12 +141,12 @@ FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic IS NOT NULL
 
 @query("toxicity_prompts", "B12", _TOX_SQL)
 def toxicity_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of documents whose toxicity exceeds 0.3, cut to a sampled 5-9 tokens."""
+    """Documents (halved into prompt and continuation) whose toxicity exceeds 0.3, joined and cut to a sampled 5-9 tokens."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("toxicity"))
-    j = P.toxicity_filter(d.join(lab, "doc_id"), "toxicity")
-    k = P.sampled_length("42", F.col("doc_id"), 5, 10)
-    return j.select("doc_id", F.array_join(F.slice(T.py_split(F.col("text")), 1, k), " ").alias("query"))
+    cut = F.floor(F.length("text") / 2).cast("int")
+    d = d.select("doc_id", F.substring("text", F.lit(1), cut).alias("prompt"), F.substring("text", cut + 1, F.length("text")).alias("continuation"))
+    return P.toxicity_queries(d.join(lab, "doc_id"), "doc_id", "prompt", "continuation", "toxicity")
 
 
 def _nist_sql(expr):
