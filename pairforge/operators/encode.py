@@ -52,54 +52,87 @@ def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: i
 
 
 # ---------------------------------------------------------------- D27 / D28 (re-aimed BPE)
-def _merge_pair(syms, a: str, b: str):
-    """Merge every non-overlapping (a, b) occurrence, left to right, into ``a + b``."""
+def _merge_pairs(syms, pairs: Sequence[tuple[str, str]]):
+    """Merge every non-overlapping occurrence of the pairs, left to right, in one pass (the pairs share no symbol)."""
     n = F.size(syms)
 
     def step(st, i):
-        hit = (~st["skip"]) & (i < n - 1) & (F.get(syms, i) == a) & (F.get(syms, i + 1) == b)
-        out = F.when(st["skip"], st["out"]).when(hit, F.concat(st["out"], F.array(F.lit(a + b)))).otherwise(
-            F.concat(st["out"], F.array(F.get(syms, i))))
+        here, after = F.get(syms, i), F.get(syms, i + 1)
+        found = F.lit(False)
+        for a, b in pairs:
+            found = found | ((here == a) & (after == b))
+        hit = (~st["skip"]) & (i < n - 1) & found
+        out = F.when(st["skip"], st["out"]).when(hit, F.concat(st["out"], F.array(F.concat(here, after)))).otherwise(
+            F.concat(st["out"], F.array(here)))
         return F.struct(out.alias("out"), hit.alias("skip"))
 
     init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
     return F.aggregate(F.sequence(F.lit(0), n - 1), init, step)["out"]
 
 
+#: most frequent pairs looked at in a round
+_LOOK = 200
+#: merges taken in one round at most
+_PER_ROUND = 32
+
+
+def _independent(top: list, min_frequency: int) -> list:
+    """The leading pairs of a frequency list that can be merged together with the same result as one after the other.
+
+    A merge changes only counts of pairs that hold one of its symbols, and pairs that it creates are no more frequent than
+    those.  So pairs without a common symbol stay in order as long as they are more frequent than every pair that does
+    share a symbol with one of them."""
+    chosen, used, bar = [], set(), top[-1]["n"] if len(top) == _LOOK else 0
+    for r in top:
+        if {r["a"], r["b"]} & used:
+            bar = r["n"]
+            break
+        chosen.append(r)
+        used |= {r["a"], r["b"]}
+    return chosen[:1] + [r for r in chosen[1:_PER_ROUND] if r["n"] > bar and r["n"] >= min_frequency]
+
+
 def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", count: str = "count",
               checkpoint_every: int = 10, min_frequency: int = 3) -> DataFrame:
     """Learn up to ``num_merges`` merges from a (word, count) table of all words; training ends when the best
     pair occurs fewer than ``min_frequency`` times.
 
-    Each round is one distributed aggregation over the distinct words: adjacent
-    symbol pairs weighted by word frequency, the most frequent pair wins (ties:
-    smallest pair), and it is merged in every word containing it.  Only the
-    winning pair (one row) reaches the driver.  The word table is cached per
-    round and checkpointed into the shared checkpoint folder every
-    ``checkpoint_every`` rounds to cut lineage.
-    Returns ``rank, left, right, count``.
+    Each round is one distributed aggregation over the distinct words: adjacent symbol pairs weighted by word
+    frequency (ties: smallest pair).  All leading pairs that don't influence each other are merged in one round; the
+    result is that of one merge at a time.  Only the leading pairs (at most 200 rows) reach the driver.  The word table is
+    cached per round and checkpointed into the shared checkpoint folder every ``checkpoint_every`` rounds to cut
+    lineage.  Returns ``rank, left, right, count``.
     """
     spark = word_counts.sparkSession
     from pairforge.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     sym = word_counts.select(F.filter(F.split(F.col(word), ""), lambda x: x != "").alias("syms"), F.col(count).alias("c"))
     sym = sym.filter(F.size("syms") > 0).persist()
-    prev = None
-    merges = []
-    for r in range(num_merges):
+    prev, rounds = None, 0
+    merges: list[tuple] = []
+    while len(merges) < num_merges:
         pairs = sym.select(F.explode(F.zip_with(F.slice("syms", 1, F.greatest(F.size("syms") - 1, F.lit(0))),
                                                 F.slice("syms", 2, F.size("syms")),
                                                 lambda x, y: F.struct(x.alias("a"), y.alias("b")))).alias("p"), "c")
-        best = (pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n"))
-                .orderBy(F.col("n").desc(), "a", "b").limit(1).collect())
-        if not best or best[0]["n"] < min_frequency:
+        top = (pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n"))
+               .orderBy(F.col("n").desc(), "a", "b").limit(_LOOK).collect())
+        if not top or top[0]["n"] < min_frequency:
             break
-        a, b, n = best[0]["a"], best[0]["b"], best[0]["n"]
-        merges.append((r, a, b, int(n)))
+        chosen = _independent(top, min_frequency)[:num_merges - len(merges)]
+        if len(chosen) > 1:
+            # a merge into a symbol that exists already adds to that symbol's pairs: nothing may follow it in the round
+            made = [r["a"] + r["b"] for r in chosen]
+            there = {x["s"] for x in sym.select(F.explode(F.array_distinct("syms")).alias("s")).filter(F.col("s").isin(made)).distinct().collect()}
+            ends = next((i + 1 for i, m in enumerate(made) if m in there or m in made[i + 1:]), len(made))
+            chosen = chosen[:ends]
+        picked = [(r["a"], r["b"]) for r in chosen]
+        merges += [(len(merges) + i, r["a"], r["b"], int(r["n"])) for i, r in enumerate(chosen)]
+        rounds += 1
         contains = F.exists(F.zip_with(F.slice("syms", 1, F.greatest(F.size("syms") - 1, F.lit(0))), F.slice("syms", 2, F.size("syms")),
-                                       lambda x, y: (x == a) & (y == b)), lambda z: z)
-        nxt = sym.select(F.when(contains, _merge_pair(F.col("syms"), a, b)).otherwise(F.col("syms")).alias("syms"), "c")
-        if (r + 1) % checkpoint_every == 0:
+                                       lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
+                            lambda z: F.array_contains(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in picked)), z))
+        nxt = sym.select(F.when(contains, _merge_pairs(F.col("syms"), picked)).otherwise(F.col("syms")).alias("syms"), "c")
+        if rounds % checkpoint_every == 0:
             nxt = nxt.checkpoint()  # reliable: written to the shared checkpoint folder
         else:
             nxt = nxt.persist()  # filled by the next round's aggregation

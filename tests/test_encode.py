@@ -49,3 +49,17 @@ def test_encode_ids(spark):
     vocab = EN.build_vocab(EN.vocab_counts(texts, "t", 1))
     got = {r.id: r.ids for r in EN.encode(texts, "id", "t", vocab, 6).collect()}
     assert got[1] == [4, 5, 4, 2, 0, 0] and got[2] == [2, 0, 0, 0, 0, 0]
+
+
+def test_bpe_many_merges_a_round_match_one_at_a_time(spark, monkeypatch):
+    import random
+    r = random.Random(9)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "ab", "abc", "bc"]
+    counts = {"".join(r.choice(parts) for _ in range(r.randint(1, 5))): r.randint(1, 60) for _ in range(400)}
+    df = spark.createDataFrame(list(counts.items()), "token string, count long")
+    rounds = []
+    one_round = EN._independent
+    monkeypatch.setattr(EN, "_independent", lambda top, least: rounds.append(1) or one_round(top, least))
+    got = [tuple(x) for x in EN.bpe_train(df, 40).orderBy("rank").collect()]
+    assert got == [m for m in _py_bpe(counts, 40) if m[3] >= 3]
+    assert len(rounds) < len(got)
