@@ -16,7 +16,8 @@ from pairforge.sources.tables import table
 
 #: a document whose best language has a smaller mean word probability is no text of one language
 MIN_LANGUAGE_SCORE = 0.5
-
+#: near copies share four fifths or more of their runs of five words (op3's own contract has 4 words and 0.85)
+NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, once; rows without id pass."""
-    kept = jaccard.near_duplicates(docs.select("doc_id", "text")).filter("id = component_id").select("component_id").distinct()
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"), k=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    kept = found.filter("id = component_id").select("component_id").distinct()
     first = docs.join(kept, docs["doc_id"] == kept["component_id"], "left_semi")
     # a repeated row is its own copy
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))

@@ -75,3 +75,34 @@ def test_empty_documents(spark, tmp):
     _, _, docs = make(spark, tmp)
     out = staged(spark, tmp, docs.limit(0))
     assert out["tokens"].count() == 0 and out["redact"].columns == docs.columns
+
+
+def test_near_duplicates_stage_links_from_five_words_and_four_fifths(spark, tmp):
+    def runs(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    r = random.Random(8)
+    texts = []
+    for g, n in enumerate([8, 20, 40, 80, 150, 300, 300, 600]):
+        base = [f"w{g}x{i}" for i in range(n)]
+        texts.append(" ".join(base))
+        texts += [" ".join(base + [f"a{g}x{len(texts)}x{i}" for i in range(round(n * x))]) for x in (0.12, 0.18, 0.22, 0.3)]
+        for edits in (n // 50, n // 46, n // 40):
+            w = list(base)
+            for p in r.sample(range(5, n - 5, 5), edits) if edits else []:
+                w[p] = f"e{len(texts)}x{p}"
+            texts.append(" ".join(w))
+    texts.append(" ".join(f"w5x{i}" for i in range(300)) + " " + " ".join(f"m{i}" for i in range(55)))
+    sets = [runs(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            if 100 * o >= 80 * (len(sets[i]) + len(sets[j]) - o) and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert sorted(x.doc_id for x in cp.near_duplicates(spark, docs, tmp).collect()) == sorted(set(group))
+    least = {d for d, _, c in test_jaccard.brute(list(enumerate(texts))) if d == c}
+    assert set(group) < least  # four words and 0.85 leave near copies
