@@ -9,7 +9,10 @@ subword vocabulary can hardly shorten.  Words, names and paths are made of long
 tokens; random strings are not, so few characters per token expose them.  Runs
 that are known digests (hex of a digest's length) or identifiers (UUIDs, plain numbers),
 and runs inside a fixed span, are left out.  Tokens are counted in pieces of
-256 characters, so a long run costs linear time.
+256 characters, so a long run costs linear time.  A run whose mean is inconspicuous as a whole (a key
+in a path, a URL or a dashed name) is tested part by part between ``/``, ``_``, ``+``
+and ``-``: neighbouring parts that each fail are reported together from 16 characters on,
+if one of them has 8 or more (dates and versions are made of shorter ones).
 
 Defined results: null and empty texts have no spans; places count code points,
 ends are exclusive; rows are independent (ties, repeated rows and further
@@ -38,6 +41,10 @@ KINDS = ("assign", "access", "hex", "opaque")
 RATIO, WORD_RATIO = 1.9, 1.4
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PIECE = 256
+PART = re.compile(r"[A-Za-z0-9]+={0,2}")
+UUID = re.compile(r"(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])", re.I)
+#: characters of an opaque span at least, and of its longest part where it is not a whole run
+LEAST, LEAST_PART = 16, 8
 
 
 def _vocabulary(ranks: bytes, pattern: str):
@@ -60,17 +67,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def opaque_spans(text: str, base: list[tuple[int, int, str]], vocabulary, ratio: float = RATIO,
                  word_ratio: float = WORD_RATIO) -> list[tuple[int, int, str]]:
+    def opaque(run: str) -> bool:
+        tokens = sum(len(vocabulary.encode_ordinary(run[i:i + PIECE])) for i in range(0, len(run), PIECE))
+        return len(run) < (word_ratio if WORD.fullmatch(run) else ratio) * tokens
+
     out = []
     for m in RUN.finditer(text):
         run, (a, b) = m.group(), m.span()
         if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run) or any(x <= a and b <= y for x, y, _ in base):
             continue
-        tokens = sum(len(vocabulary.encode_ordinary(run[i:i + PIECE])) for i in range(0, len(run), PIECE))
-        if len(run) < (word_ratio if WORD.fullmatch(run) else ratio) * tokens:
-            out.append((a, b, "opaque"))
+        spans = [(a, b)] if opaque(run) else [(a + x, a + y) for x, y in _opaque_parts(run, opaque)]
+        out += [(x, y, "opaque") for x, y in spans if not any(p <= x and y <= q for p, q, _ in base)]
     return out
 
 
+def _opaque_parts(run: str, opaque) -> list[tuple[int, int]]:
+    """Neighbouring parts of a run that are opaque each, from ``LEAST`` characters on."""
+    uuids = [m.span() for m in UUID.finditer(run)]
+    groups: list[list[int]] = []  # start, end, longest part
+    at = 0
+    for m in PART.finditer(run):
+        part, (a, b) = m.group(), m.span()
+        while at < len(uuids) and uuids[at][1] <= a:
+            at += 1
+        if (at < len(uuids) and uuids[at][0] <= a) or DIGEST.fullmatch(part) or IDENTIFIER.fullmatch(part) or not opaque(part):
+            continue
+        if groups and a == groups[-1][1] + 1:
+            groups[-1][1:] = [b, max(groups[-1][2], b - a)]
+        else:
+            groups.append([a, b, b - a])
+    return [(a, b) for a, b, longest in groups if b - a >= LEAST and longest >= LEAST_PART]
+
+
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
                  ratio: float = RATIO, word_ratio: float = WORD_RATIO) -> DataFrame:
     """``id`` and ``spans array<struct<kind,start,end,base>>`` (all kinds, by start, then kind as listed).

@@ -57,3 +57,31 @@ def test_query_matches_definition_on_whole_table(spark):
         assert x.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [x.n_assign, x.n_access, x.n_hex] == [sum(s[2] == k for s in want) for k in KINDS]
         assert set(said.split(",")) - {""} <= set(x.spans.split(","))
+
+
+def test_random_strings_behind_paths_and_names_are_found():
+    import string
+
+    import public_tokenizers
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        vocabulary = secrets._vocabulary(f.read(), public_tokenizers.PATTERN)
+    r = random.Random(12)
+
+    def found(t):
+        return [x[:2] for x in secrets.opaque_spans(t, secrets.base_spans(t), vocabulary)]
+
+    paths = ["/home/service/application/settings/credentials/", "my-service-production-account-", "snake_case_setting_name_"]
+    for path in paths:
+        assert found(f"see {path}readme now") == []
+        for n in (24, 32, 40):
+            hit = 0
+            for _ in range(200):
+                key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+                t = f"see {path}{key}/latest-version now"
+                a = t.index(key)
+                hit += any(x <= a and a + n <= y for x, y in found(t))
+            assert hit >= 196, (path, n, hit)
+    uuid, sha = "123e4567-e89b-12d3-a456-426614174000", hashlib.sha256(b"x").hexdigest()
+    for t in (f"/home/users/{uuid}/settings", f"/objects/store/{sha.upper()}/readme", "backup-of-production-2024-01-15T10-30-00",
+              "linux-headers-x86_64-generic-5-15-0", "https://example/articles/internationalization-of-software/page-12"):
+        assert found(t) == [], t
