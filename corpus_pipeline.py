@@ -21,8 +21,12 @@ NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those in which no language prevails; a missing ``lang`` is filled in."""
+    """Rejects documents without letters and those in which no language prevails; a missing ``lang`` is filled in.
+
+    Where no language could be learned, all documents with letters stay as they are."""
     field = langid.fit(docs.select("doc_id", "text", "lang"))
+    if not field.learned():
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     keyed = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
     found = langid.identify(keyed.select("_row", "text"), field, id_col="_row")
     kept = found.filter((F.col("lang") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))

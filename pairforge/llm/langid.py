@@ -7,8 +7,9 @@ forward-backward recursion gives each word's label probabilities, and a
 text's language is the one with the largest mean, which is also its score.
 
 The field is fitted on a bounded sample of labelled rows (``rows_per_lang`` of
-each language and ``MAX_SAMPLE`` in all, in the order of a hash, texts of at most
-``MAX_CHARS``), from which code-switched sequences are put together: pieces of
+each language and ``MAX_SAMPLE`` in all, in the order of a hash; of longer texts a
+piece of ``max_chars`` at a hashed place, or less where ``total_chars`` would be
+passed), from which code-switched sequences are put together: pieces of
 texts of random languages in a row, every word labelled with its text's
 language.  Prediction reads the text alone.
 
@@ -33,7 +34,8 @@ from pairforge.llm._words import mix
 
 ROWS_PER_LANG = 300
 MAX_SAMPLE = 6000
-MAX_CHARS = 20_000
+#: characters taken of a sampled row, and of all sampled rows
+MAX_CHARS, TOTAL_CHARS = 20_000, 30_000_000
 SEGMENT = 512
 #: words whose emissions a worker holds between texts; full, they are dropped
 CACHE_WORDS = 200_000
@@ -95,6 +97,10 @@ class Field:
         self.start = np.zeros(k)
         self.lexicon = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
+    def learned(self) -> bool:
+        """Can languages be told apart (or is there a single one)?"""
+        return len(self.labels) == 1 or bool(self.weights.any())
+
     def _lexicon_feature(self, words: list[bytes]) -> np.ndarray:
         known, label = self.lexicon
         h = word_hashes(words)
@@ -243,19 +249,22 @@ def fit_field(rows: list[tuple[str, str]], rounds: int = 25, sequences: int = 15
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        rows_per_lang: int = ROWS_PER_LANG) -> Field:
+        rows_per_lang: int = ROWS_PER_LANG, max_chars: int = MAX_CHARS, total_chars: int = TOTAL_CHARS) -> Field:
     """Fit on a bounded sample of the labelled rows (see the module's text for the bounds)."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
         .filter("lang IS NOT NULL AND text IS NOT NULL")
-    fit_rows = rows.filter(F.length("text") <= MAX_CHARS)
-    names = [x["lang"] for x in rows.select("lang").distinct().collect()]
-    counts = {x["lang"]: x["count"] for x in fit_rows.groupBy("lang").count().collect()}
+    counts = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().collect()}
+    names = list(counts)
     each = max(1, min(rows_per_lang, MAX_SAMPLE // max(1, len(names))))
     top = 1 << 40
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, int(min(1.0, each / n) * top)).otherwise(share)
-    sample = fit_rows.filter(F.pmod(F.xxhash64("id", "lang"), F.lit(top)) < share).select("text", "lang")
+    size = max(1, min(max_chars, total_chars // max(1, each * len(names))))
+    # a longer text gives the piece that starts at a hashed place
+    first = F.pmod(F.xxhash64("lang", "id", F.length("text")), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
+    piece = F.col("text").substr(first.cast("int"), F.lit(size)).alias("text")
+    sample = rows.filter(F.pmod(F.xxhash64("id", "lang"), F.lit(top)) < share).select(piece, "lang")
     got = sample.orderBy(F.xxhash64("text", "lang")).limit(2 * MAX_SAMPLE).toArrow().to_pydict() if counts else {"text": [], "lang": []}
     pairs = list(zip(got["text"], got["lang"]))
     return fit_field(pairs + [("", x) for x in names])

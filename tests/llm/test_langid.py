@@ -86,3 +86,14 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(lang) and all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in rows)
     held = [x for x in rows if x.held_out]
     assert len(held) > 200 and np.mean([x.lang_pred == lang[x.doc_id] for x in held]) > 0.96
+
+
+def test_a_language_of_long_rows_only_is_learned(spark):
+    r = random.Random(6)
+    rows = [(i, say(r, x, 60 if x != "fr" else 9000), x) for i, x in enumerate(["en", "de"] * 20 + ["fr"] * 6)]
+    assert all((len(t) > langid.MAX_CHARS) == (x == "fr") for _, t, x in rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    d = spark.createDataFrame([(i, say(r, x, 40), x) for i, x in enumerate(list(VOC) * 5)], "doc_id bigint, text string, lang string")
+    want = {x.doc_id: x.lang for x in d.collect()}
+    for field in (langid.fit(df), langid.fit(df, max_chars=500), langid.fit(df, total_chars=200_000)):
+        assert {x.id: x.lang for x in langid.identify(d, field).collect()} == want

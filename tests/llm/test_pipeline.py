@@ -106,3 +106,13 @@ def test_near_duplicates_stage_links_from_five_words_and_four_fifths(spark, tmp)
     assert sorted(x.doc_id for x in cp.near_duplicates(spark, docs, tmp).collect()) == sorted(set(group))
     least = {d for d, _, c in test_jaccard.brute(list(enumerate(texts))) if d == c}
     assert set(group) < least  # four words and 0.85 leave near copies
+
+
+def test_language_stage_keeps_lettered_documents_when_nothing_was_learned(spark, tmp):
+    rows = [(1, "the river and the stone", None), (2, "12 34", None), (3, None, None), (4, "日本", None), (None, "été", None), (1, "the river and the stone", None)]
+    schema = "doc_id bigint, text string, lang string"
+    got = cp.language(spark, spark.createDataFrame(rows, schema), tmp).collect()
+    assert sorted(str(tuple(x)) for x in got) == sorted(str(x) for x in rows if x[1] in ("the river and the stone", "日本", "été"))
+    # labels without a word teach nothing either
+    named = rows + [(9, "1 2 3", x) for x in ("de", "en", "fr")]
+    assert sorted(str(tuple(x)) for x in cp.language(spark, spark.createDataFrame(named, schema), tmp).collect()) == sorted(str(tuple(x)) for x in got)
