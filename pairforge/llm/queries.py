@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, resample, secrets, vectors, winnow
+from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, repair, resample, secrets, vectors, winnow
 from pairforge.sources.tables import table
 
 
@@ -95,6 +95,14 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damage(table(spark, sf_dir, "conversations"))
+    found, turns = repair.repair(turns, copies=F.col("copies"))
+    return found.join(repair.digests(turns).withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select(
+        F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.col("sha256").alias("repaired_sha256"))
+
+
 SQL_OP1 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -152,6 +160,75 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
+
+
+def _sql_crc32(key: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    return ("xor(4294967295, list_reduce(list_transform(string_split(" + key + ", ''), lambda x: ascii(x)::BIGINT), lambda acc, b: "
+            "list_reduce(range(8), lambda a, i: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END), xor(acc, b)), 4294967295::BIGINT))")
+
+
+def _sql_best(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _sql_way(state: str, cost: str, edit: str, line: str, when: str = "") -> str:
+    way = f"{{'c': {state}.c + {cost}, 'e': {state}.e || '{edit}', 'r': {line}}}"
+    return f"CASE WHEN {state} IS NOT NULL{' AND ' + when if when else ''} THEN {way} END"
+
+
+def _sql_inserted(acc: str) -> str:
+    """States (before all, after s, u, a) once turns may have been inserted."""
+    def put(state, role):
+        return _sql_way(state, "3", "I", f"list_append({state}.r, '{role}:')")
+    user = f"list_transform({acc}, lambda a: [a[1], a[2], {_sql_best('a[3]', *(put(f'a[{k}]', 'user') for k in (1, 2, 4)))}, a[4]])"
+    return f"list_transform({user}, lambda a: [a[1], a[2], a[3], {_sql_best('a[4]', put('a[3]', 'assistant'))}])"
+
+
+def _sql_op11() -> str:
+    """The cheapest edits as a fold over the turns that keeps the least (cost, edits) for each role reached."""
+    def stay(state, kind):  # keep, or give the role that must follow
+        more = "CASE WHEN t.f = 2 THEN 3 ELSE 0 END"
+        if kind in ("s", "u", "a"):
+            return _sql_way(state, more, "K", f"list_append({state}.r, t.role || ':' || t.text)", f"t.f <> 1 AND t.q = '{kind}'")
+        return _sql_way(state, f"3 + {more}", "R", f"list_append({state}.r, '{kind}:' || t.text)", "t.f <> 1")
+
+    def gone(state):
+        return _sql_way(state, "4", "D", f"{state}.r")
+    after_user = [x for k in (1, 2, 4) for x in (stay(f"b[{k}]", "u"), stay(f"b[{k}]", "user"))]
+    step = ", ".join([_sql_best(gone("b[1]")), _sql_best(gone("b[2]"), stay("b[1]", "s")), _sql_best(gone("b[3]"), *after_user),
+                      _sql_best(gone("b[4]"), stay("b[3]", "a"), stay("b[3]", "assistant"))])
+    none = "NULL::STRUCT(c BIGINT, e VARCHAR, r VARCHAR[])"
+    start = f"[{{'c': 0::BIGINT, 'e': '', 'r': []::VARCHAR[]}}, {none}, {none}, {none}]"
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_sql_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, coalesce(nullif(left(role, 1), ''), ' ') AS q,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+             regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM d),
+t AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS kind,
+             lag(q) OVER (PARTITION BY conv_id ORDER BY i) || q AS pair FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (kind = 'b') AS blank, count(*) FILTER (kind = 'd') AS duplicate, count(*) FILTER (kind = 't') AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, 0::BIGINT AS i, {_sql_inserted(f'[{start}]')}[1] AS st FROM c
+      UNION ALL
+      SELECT s.conv_id, t.i, {_sql_inserted(f"list_transform([s.st], lambda b: [{step}])")}[1]
+      FROM s JOIN (SELECT *, CASE kind WHEN '' THEN 0 WHEN 't' THEN 2 ELSE 1 END AS f FROM t) t
+        ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = s.i + 1),
+e AS (SELECT c.*, {_sql_best('st[1]', 'st[4]')} AS b FROM c JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.e, '') AS audit,
+       sha256(coalesce(array_to_string(b.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_resample": op2_resample,
@@ -163,6 +240,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
+    "op11_repair": op11_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -170,4 +248,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": SQL_OP3,
     "op5_vectors": SQL_OP5,
     "op10_winnow": SQL_OP10,
+    "op11_repair": _sql_op11(),
 }
