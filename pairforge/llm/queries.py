@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, repair, resample, secrets, vectors, winnow
+from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, repair, resample, secrets, trie, vectors, winnow
 from pairforge.sources.tables import table
 
 
@@ -103,6 +103,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("sha256").alias("repaired_sha256"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(*trie.rebuild(table(spark, sf_dir, "conversations")))
+    return nodes.select(F.col("id").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+                        F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 SQL_OP1 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -210,7 +216,9 @@ d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
 o AS (SELECT *, coalesce(nullif(left(role, 1), ''), ' ') AS q,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
              row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
-             regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM d),
+             regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM d),
 t AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS kind,
              lag(q) OVER (PARTITION BY conv_id ORDER BY i) || q AS pair FROM o),
 c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
@@ -229,6 +237,31 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS
 """
 
 
+def _sql_op12() -> str:
+    """Prefixes as lists of turns; a node's ancestors are the nodes of its smallest member at smaller depths."""
+    return f"""
+WITH t AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                  ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, {_sql_crc32("c::VARCHAR")} % 6 AS h FROM t),
+r AS (SELECT h.c, list_concat(coalesce(t.l[1:h], []), h.l[h + 1:]) AS l FROM h LEFT JOIN t ON t.c = h.c - h.c % 100),
+p AS (SELECT c, d, len(l) AS n, l[1:d] AS prefix FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM r)),
+g AS MATERIALIZED (
+  SELECT prefix, d, min(c) AS node, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends
+  FROM p GROUP BY prefix, d),
+m AS MATERIALIZED (SELECT p.c, p.d, g.node FROM p JOIN g ON p.d = g.d AND p.prefix = g.prefix),
+k AS (SELECT g.*, m.node AS parent, CASE WHEN g.d = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[g.d].text) END AS w
+      FROM g LEFT JOIN m ON m.c = g.node AND m.d = g.d - 1),
+n AS (SELECT parent, d - 1 AS d, count(*) AS n FROM k WHERE d > 0 GROUP BY ALL),
+f AS (SELECT k.*, coalesce(n.n, 0) AS n_children FROM k LEFT JOIN n ON n.parent = k.node AND n.d = k.d),
+s AS (SELECT m.node, m.d, sum(w)::BIGINT AS saved, count(*) FILTER (n_children = 0) AS leaves
+      FROM f JOIN m ON m.c = f.node AND m.d <= f.d GROUP BY ALL)
+SELECT f.node AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.leaves AS n_leaves,
+       s.saved AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s ON s.node = f.node AND s.d = f.d
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_resample": op2_resample,
@@ -241,6 +274,7 @@ QUERIES = {
     "op10_winnow": op10_winnow,
     "op8_bpe": op8_bpe,
     "op11_repair": op11_repair,
+    "op12_trie": op12_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -249,4 +283,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_vectors": SQL_OP5,
     "op10_winnow": SQL_OP10,
     "op11_repair": _sql_op11(),
+    "op12_trie": _sql_op12(),
 }
