@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, chat, jaccard, langid, licenses, pii, repair, resample, secrets, trie, vectors, winnow
+from pairforge.llm import bpe, chat, extract, jaccard, langid, licenses, pii, repair, resample, secrets, trie, vectors, winnow
 from pairforge.sources.tables import table
 
 
@@ -109,6 +109,11 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
+    return extract.extract(pages, id_col="page").select("id.page_id", "id.url", "text", "n_chars")
+
+
 SQL_OP1 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -275,6 +280,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op11_repair": op11_repair,
     "op12_trie": op12_trie,
+    "op13_extract": op13_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -61,7 +61,7 @@ def some(seed, convs, longest):
     return rows + r.sample(rows, min(20, len(rows)))
 
 
-@pytest.mark.parametrize("seed,convs,longest", [(1, 60, 9), (2, 40, 33), (3, 25, 1), (4, 120, 4)])
+@pytest.mark.parametrize("seed,convs,longest", [(2, 40, 33), (4, 90, 4)])
 def test_matches_brute_force(spark, tmp, seed, convs, longest):
     rows = some(seed, convs, longest)
     assert table_of(spark, tmp, rows) == brute(rebuilt(rows))
