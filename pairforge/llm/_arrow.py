@@ -1,6 +1,8 @@
 """Small helpers to run a function over Arrow batches of (id, text) rows."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,14 +44,14 @@ def schema_of(df: DataFrame, id_col: str, rest: str) -> StructType:
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.Array], list[pa.Array]], rest: str, id_col: str,
-              text_col: str, max_bytes: int = 4 << 20) -> DataFrame:
-    """One output row per input row: ``id``, then the columns of ``rest`` as ``fn(texts)`` gives them."""
-    schema = schema_of(df, id_col, rest)
+              text_col: str, max_bytes: int = 4 << 20, keep_text: bool = False) -> DataFrame:
+    """One output row per input row: ``id`` (and ``text``), then the columns of ``rest`` as ``fn(texts)`` gives them."""
+    schema = schema_of(df, id_col, "text string, " * keep_text + rest)
     names = schema.names
 
     def run(batches):
         for b in pieces(batches, max_bytes):
-            yield pa.RecordBatch.from_arrays([b.column("id"), *fn(b.column("text"))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *([b.column("text")] * keep_text), *fn(b.column("text"))], names=names)
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -65,10 +67,21 @@ def held(kind: str, value, build: Callable):
     if key not in _HELD:
         if len(_HELD) > 1 or any(k != kind for k, _ in _HELD):
             _HELD.clear()
+            _give_back()
         _HELD[key] = (value, build(value))  # with the value, so that its id stays its own
     return _HELD[key][1]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system; a worker that idles between stages would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # no such call in this C library
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,24 +10,28 @@ tree over the whole points can't prune (hundreds of evenly filled
 coordinates), therefore the index has one leaf per (size band, part, counts of
 the part): a leaf is a hash key, looking a document up is an equi-join, and
 long passages that many documents share don't fill a leaf, because a leaf holds
-whole parts.  Then, in rounds:
+whole parts.  Then:
 
-1. each leaf's smallest class is tested against its other members,
+1. each leaf's smallest class is tested against its other members: the bound on
+   the points first, then the exact intersection of the shingle sets,
 2. leaves that still hold several components are searched in blocks of bounded
-   size for pairs of different components whose summed coordinate minima allow
-   the threshold; first the best pair of two components in a leaf is tested,
-3. then all such pairs that are left.
+   size: members of different components whose summed coordinate minima allow
+   the threshold are tied to clusters (a block gives no more rows than it has;
+   clusters that several leaves give are one),
+3. each cluster's sets are met in one task, all its pairs of different components
+   are tested exactly, and of the links those that join two parts are given.
 
-A test is the bound on the points first, then the exact intersection of the
-shingle sets.  Links inside a known component are not enumerated (a group of g
+Links inside a known component are not enumerated (a group of g
 copies would have g*g of them); every link between different components is
 found, so the components are exact.  Documents with equal sets are one class
 from the start; the class is represented by its smallest id.
 
 Defined results: null, empty and wordless texts have no shingles and are linked
 with nothing (their own component); a text of fewer than k words is one
-shingle; repeated rows belong to one class; rows without id get the component
-of their class; further columns are not read.
+shingle; texts of any length are read whole; repeated rows belong to one class, and
+ties need no rule, as a component's name is its smallest id; rows without id
+get the component of their class and link others; an empty table gives no rows;
+further columns are not read.
 """
 from __future__ import annotations
 
@@ -221,50 +225,84 @@ def _exact(num: int, den: int):
     return run
 
 
-def _search(num: int, den: int, best_only: bool):
-    """Pairs of different components in each block (rows sorted by block) that the bound allows."""
+def _runs(batches, keys: tuple[str, ...], columns: tuple[str, ...]):
+    """Lists of neighbouring rows of equal keys."""
+    held, of = [], None
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in keys), *(b.column(c) if c == "shingles" else b.column(c).to_pylist() for c in columns)):
+            if r[:len(keys)] != of:
+                if len(held) > 1:
+                    yield of, held
+                held, of = [], r[:len(keys)]
+            held.append(r[len(keys):])
+    if len(held) > 1:
+        yield of, held
+
+
+def _search(num: int, den: int):
+    """Clusters of each block (rows sorted by block): rows of different components are tied where the bound allows a link.
+
+    A row is in one cluster at most, so a block gives no more rows than it has; clusters of equal rows get one name."""
     def block(rows) -> np.ndarray:
-        s, n, comp, side, point = rows
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != -1)
+        s, n, comp, side = (np.array(x) for x in zip(*(r[:4] for r in rows)))
+        point = np.stack([_point(r[4]) for r in rows])
         # side 0: the block is compared with itself; -1 and 1: two blocks of one leaf
-        if side.any():
-            left, right = np.flatnonzero(side == -1), np.flatnonzero(side == 1)
-        out = []
+        two = bool(side.any())
+        left, right = (np.flatnonzero(side == -1), np.flatnonzero(side == 1)) if two else (np.arange(len(s)), np.arange(len(s)))
+        tied = np.arange(len(s))
         for i in left.tolist():
-            js = right[(comp[right] != comp[i])] if side.any() else right[(right > i) & (comp[right] != comp[i])]
+            js = right[(comp[right] != comp[i]) & (tied[right] != tied[i]) & (two | (right > i))]
             if len(js):
-                o = np.minimum(point[js], point[i]).sum(axis=1)
-                ok = _enough(o, n[i], n[js], num, den)
-                js, o = js[ok], o[ok]
-                out.append((np.full(len(js), i), js, o / (n[i] + n[js])))
-        if not out:
-            return np.empty((2, 0), np.int64)
-        i, j, score = (np.concatenate(x) for x in zip(*out))
-        if best_only and len(i):
-            lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-            order = np.lexsort((-score, hi, lo))
-            lo, hi = lo[order], hi[order]
-            first = np.ones(len(lo), dtype=bool)
-            first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            i, j = i[order][first], j[order][first]
-        return np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])])
-
-    def emit(rows):
-        pairs = block((np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows]),
-                       np.array([r[6] for r in rows]), np.stack([_point(r[7]) for r in rows])))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                js = js[_enough(np.minimum(point[js], point[i]).sum(axis=1), n[i], n[js], num, den)]
+                if len(js):
+                    tied[np.isin(tied, tied[js])] = tied[i]
+        return tied
 
     def run(batches):
-        held, of = [], None
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "s", "n", "comp", "side", "point"))):
-                if r[:3] != of:
-                    if len(held) > 1:
-                        yield emit(held)
-                    held, of = [], r[:3]
-                held.append(r)
-        if len(held) > 1:
-            yield emit(held)
+        for _, rows in _runs(batches, ("key", "i", "j"), ("s", "n", "comp", "side", "point")):
+            tied = block(rows)
+            s = np.array([r[0] for r in rows])
+            names, members = [], []
+            for t in np.unique(tied):
+                mine = np.sort(s[tied == t])
+                if len(mine) > 1:
+                    name = _words.mix(np.bitwise_xor.reduce(_words.mix(mine.view(np.uint64))) + _words.mix(np.uint64(len(mine)) + mine[:1].view(np.uint64)))
+                    names.append(np.full(len(mine), name.view(np.int64)))
+                    members.append(mine)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["cluster", "s"])
+    return run
+
+
+def _joined(num: int, den: int):
+    """Links within each cluster (rows sorted by cluster) that join two of its components, by exact tests: fewer than it has rows."""
+    def links(rows):
+        s, comp, sets = zip(*rows)
+        values = [x.values.to_numpy() for x in sets]
+        n = np.array([len(v) for v in values])
+        offs = np.concatenate([[0], np.cumsum(n)])
+        _, ids = np.unique(np.concatenate(values), return_inverse=True)
+        part = np.unique(comp, return_inverse=True)[1]
+        mark = np.zeros(int(ids.max()) + 1, np.int64)
+        for i in range(len(s) - 1):
+            js = np.arange(i + 1, len(s))
+            js = js[(part[js] != part[i]) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
+            if not len(js):
+                continue
+            mark[ids[offs[i]:offs[i + 1]]] = 1
+            shared = np.array([mark[ids[offs[j]:offs[j + 1]]].sum() for j in js.tolist()])
+            mark[ids[offs[i]:offs[i + 1]]] = 0
+            for j in js[_enough(shared, n[i], n[js], num, den)].tolist():
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    yield s[i], s[j]
+
+    def run(batches):
+        for _, rows in _runs(batches, ("cluster",), ("s", "comp", "shingles")):
+            found = list(links(rows))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
@@ -293,8 +331,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = hits.select("s").distinct()
     reps = written(spark, classes.join(wanted, classes.s1 == wanted.s, "left_semi").select(F.col("rep").alias("id")), "reps")
-    stored = written(spark, text.join(sent(reps, reps.count(), SENT_PAIRS), "id", "left_semi")
-                   .mapInArrow(sets, "s bigint, n bigint, shingles array<bigint>, point binary"), "shingles")
+    kinds = "s bigint, n bigint, shingles array<bigint>, point binary"
+    stored = text.join(sent(reps, reps.count(), SENT_PAIRS), "id", "left_semi").mapInArrow(sets, kinds)
+    # classes whose rows all lack an id
+    nameless = text.filter("id IS NULL").mapInArrow(sets, kinds).join(
+        classes.filter("rep IS NULL").select(F.col("s1").alias("s")).join(wanted, "s", "left_semi"), "s", "left_semi")
+    stored = written(spark, stored.unionByName(nameless), "shingles")
     n_stored = stored.count()
     if n_stored > stored.select("s").distinct().count():  # repeated rows
         stored = written(spark, stored.dropDuplicates(["s"]), "shingles")
@@ -317,35 +359,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = written(spark, hits.filter("s <> lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), "stars")
     close = written(spark, within(stars), "close")
     comp = written(spark, components(spark, linked(close)), "components")
-    done, n_done = stars, stars.count()
-    for best_only in (True, False):
-        n_comp = comp.count()
-        labelled = hits.filter("c > 2").join(sent(comp.withColumnRenamed("node", "s"), n_comp, SENT_PAIRS), "s", "left") \
-            .select("key", "s", "c", F.coalesce("comp", "s").alias("comp"))
-        mixed = spark.sql("SELECT key, s, c, comp FROM (SELECT *, min(comp) OVER w AS x, max(comp) OVER w AS y FROM {l} "
-                          "WINDOW w AS (PARTITION BY key)) WHERE x <> y", l=labelled)
-        blocks = mixed.join(points_of("s"), "s") \
-            .withColumn("m", F.ceil(F.col("c") / BLOCK).cast("int")) \
-            .withColumn("own", F.pmod(F.xxhash64("s"), F.col("m")).cast("int")) \
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))) \
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", F.col("ns").alias("n"), "comp",
-                    F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), F.col("ps").alias("point"))
-        found = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s") \
-            .mapInArrow(_search(num, den, best_only), "a bigint, b bigint").distinct()
-        found = written(spark, found.join(sent(done, n_done, SENT_PAIRS), ["a", "b"], "left_anti"), "rest")
-        n_found = found.count()
-        if not n_found:
-            break  # and so no pair of different components is left
-        done, n_done = done.unionByName(found), n_done + n_found
-        old = comp
-        of = lambda x: sent(old.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), n_comp, SENT_PAIRS)
-        merged = linked(found).join(of("a"), "a", "left").join(of("b"), "b", "left") \
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        up = written(spark, components(spark, merged), "merged").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        # nodes that are new, and old ones whose component has grown
-        comp = old.join(sent(up, up.count(), SENT_PAIRS), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")) \
-            .union(up.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(of("node").select("node"), "node", "left_anti"))
-        comp = written(spark, comp, "components")
+    n_comp = comp.count()
+
+    def labels(x: str) -> DataFrame:
+        return sent(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), n_comp, SENT_PAIRS)
+
+    labelled = hits.filter("c > 2").join(labels("s"), "s", "left").select("key", "s", "c", F.coalesce("cs", "s").alias("comp"))
+    mixed = spark.sql("SELECT key, s, c, comp FROM (SELECT *, min(comp) OVER w AS x, max(comp) OVER w AS y FROM {l} "
+                      "WINDOW w AS (PARTITION BY key)) WHERE x <> y", l=labelled)
+    blocks = mixed.join(points_of("s"), "s") \
+        .withColumn("m", F.ceil(F.col("c") / BLOCK).cast("int")) \
+        .withColumn("own", F.pmod(F.xxhash64("s"), F.col("m")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))) \
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", F.col("ns").alias("n"), "comp",
+                F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), F.col("ps").alias("point"))
+    clusters = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s") \
+        .mapInArrow(_search(num, den), "cluster bigint, s bigint").distinct()
+    clusters = written(spark, clusters, "clusters")
+    members = clusters.join(labels("s"), "s", "left").select("cluster", "s", F.coalesce("cs", "s").alias("comp"))
+    links = members.join(stored.select("s", "shingles"), "s").repartition("cluster").sortWithinPartitions("cluster", "s") \
+        .mapInArrow(_joined(num, den), "a bigint, b bigint")
+    merged = links.join(labels("a"), "a", "left").join(labels("b"), "b", "left") \
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = written(spark, components(spark, merged), "merged").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    # nodes that are new, and old ones whose component has grown
+    grown = comp.join(sent(up, up.count(), SENT_PAIRS), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")) \
+        .union(up.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(labels("node").select("node"), "node", "left_anti"))
+    comp = written(spark, grown, "components")
 
     grouped = classes.join(comp.withColumnRenamed("node", "s1"), "s1", "left") \
         .select("n", "s1", "s2", "rep", F.coalesce("comp", "s1").alias("comp"), F.col("comp").isNotNull().alias("linked"))

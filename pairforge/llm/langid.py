@@ -264,7 +264,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # a longer text gives the piece that starts at a hashed place
     first = F.pmod(F.xxhash64("lang", "id", F.length("text")), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
     piece = F.col("text").substr(first.cast("int"), F.lit(size)).alias("text")
-    sample = rows.filter(F.pmod(F.xxhash64("id", "lang"), F.lit(top)) < share).select(piece, "lang")
+    sample = rows.filter(F.pmod(F.xxhash64("id", "lang", "text"), F.lit(top)) < share).select(piece, "lang")
     got = sample.orderBy(F.xxhash64("text", "lang")).limit(2 * MAX_SAMPLE).toArrow().to_pydict() if counts else {"text": [], "lang": []}
     pairs = list(zip(got["text"], got["lang"]))
     return fit_field(pairs + [("", x) for x in names])
@@ -319,8 +319,9 @@ class Labeller:
         return (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
 
 
-def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``lang``, ``score`` and ``shares map<string,double>`` (of each learned language) per row."""
+def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", shares: bool = True,
+             keep_text: bool = False) -> DataFrame:
+    """``id``, ``lang``, ``score`` and, with ``shares``, ``shares map<string,double>`` (of each learned language) per row."""
     sent = df.sparkSession.sparkContext.broadcast(field)
 
     def run(texts: pa.Array) -> list[pa.Array]:
@@ -328,15 +329,13 @@ def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
         labels = labeller.field.labels
         texts = texts.to_pylist()
         words = [words_of(t) if t else [] for t in texts]
-        spoken = [has_letter(t, w) for t, w in zip(texts, words)]
-        if not labels:
-            return [pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)),
-                    pa.array([[]] * len(texts), pa.map_(pa.string(), pa.float64()))]
-        s = labeller.shares(words)
+        spoken = [has_letter(t, w) and bool(labels) for t, w in zip(texts, words)]
+        s = labeller.shares(words) if labels else np.zeros((len(texts), 1))
         best = s.argmax(axis=1)
-        return [pa.array([labels[b] if ok else "und" for b, ok in zip(best, spoken)], pa.string()),
-                pa.array([min(1.0, float(s[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, spoken))], pa.float64()),
-                pa.array([list(zip(labels, x.tolist())) if ok else [] for x, ok in zip(s, spoken)], pa.map_(pa.string(), pa.float64()))]
+        out = [pa.array([labels[b] if ok else "und" for b, ok in zip(best, spoken)], pa.string()),
+               pa.array([min(1.0, float(s[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, spoken))], pa.float64())]
+        if shares:
+            out.append(pa.array([list(zip(labels, x.tolist())) if ok else [] for x, ok in zip(s, spoken)], pa.map_(pa.string(), pa.float64())))
+        return out
 
-    return map_texts(df, run, "lang string, score double, "
-                     "shares map<string,double>", id_col, text_col, 2 << 20)
+    return map_texts(df, run, "lang string, score double" + ", shares map<string,double>" * shares, id_col, text_col, 1 << 20, keep_text)

@@ -133,7 +133,7 @@ def _shards(bench: DataFrame, item_col: str, text_col: str, shard_bytes: int) ->
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = 13,
-                  share: int = 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                  share: int = 20, shard_bytes: int = SHARD_BYTES, keep_text: bool = False) -> DataFrame:
     """Per row: ``id``, ``n_words``, ``n_hit`` (words inside any shared window), ``spans`` (their word ranges, end
     exclusive), ``items`` (ids as sorted strings) and ``contaminated`` (hit, and ``share * n_hit >= n_words``)."""
     sc = docs.sparkSession.sparkContext
@@ -144,11 +144,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     shards = [sc.broadcast((ids, texts, window)) for ids, texts in _shards(bench, item_col, item_text_col, shard_bytes)]
     for shard in shards[:-1]:
         out = out.mapInArrow(_pass(shard, None), schema_of(docs, id_col, f"text string, {state}"))
-    return out.mapInArrow(_pass(shards[-1] if shards else None, share),
-                          schema_of(docs, id_col, f"n_words bigint, n_hit bigint, {state}, contaminated boolean"))
+    return out.mapInArrow(_pass(shards[-1] if shards else None, share, keep_text),
+                          schema_of(docs, id_col, "text string, " * keep_text + f"n_words bigint, n_hit bigint, {state}, contaminated boolean"))
 
 
-def _pass(shard, share):
+def _pass(shard, share, keep_text=False):
     """One shard's hits added to the rows' spans and items; with ``share``, the last pass, which judges them."""
     pair, strings = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
 
@@ -174,6 +174,6 @@ def _pass(shard, share):
                 hit = np.array([sum(s["b"] - s["a"] for s in x) for x in spans], dtype=np.int64)
                 judged = (hit > 0) & (share * hit >= counts)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(counts), pa.array(hit), *cols, pa.array(judged)],
-                    ["id", "n_words", "n_hit", *names, "contaminated"])
+                    [b.column("id"), *([b.column("text")] * keep_text), pa.array(counts), pa.array(hit), *cols, pa.array(judged)],
+                    ["id", *(["text"] * keep_text), "n_words", "n_hit", *names, "contaminated"])
     return run

@@ -122,3 +122,39 @@ def test_components_of_chains_stars_and_rings(spark, monkeypatch, one_task):
     want = {i: 0 for i in range(41)} | {x: 100 for x in range(100, 130)} | {x: 200 for x in range(200, 209)} | {299: 299, 300: 299}
     assert got == want
     assert _components.components(spark, df.limit(0)).count() == 0
+
+
+def test_a_refused_best_pair_hides_no_link(spark, monkeypatch):
+    """P-Q link and L-Q do not, though L-Q's bound is no lower: in every order of the hashes all three are one component."""
+    for seed in range(3):
+        long = [f"l{seed}x{i}" for i in range(599)]
+        more = long + [f"p{seed}"]
+        edited_more = list(more)
+        for i in range(12):
+            edited_more[20 + 45 * i] = f"q{seed}x{i}"
+        docs = [(0, " ".join(long)), (1, " ".join(more)), (2, " ".join(edited_more))]
+        want = brute(docs)
+        assert [x[2] for x in want] == [0, 0, 0]
+        assert ran(spark, docs) == want
+
+
+def test_a_leaf_of_unlinked_near_copies(spark):
+    """Thousands of texts that share a leaf but don't link: nothing links, and no table grows with their pairs."""
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(1500):
+        w = list(base)
+        for p in r.sample(range(4, 56, 8), 3):
+            w[p] = f"z{i}x{p}"
+        docs.append((i, " ".join(w)))
+    docs += [(5000 + i, docs[i][1]) for i in range(0, 60, 2)]
+    assert ran(spark, docs) == brute(docs)
+
+
+def test_texts_without_ids_link_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(base), " ".join(base + ["x1"]), " ".join(base[10:] + [f"y{i}" for i in range(4)])
+    df = spark.createDataFrame([(7, a), (None, b), (None, b), (9, c), (None, "alone in this world here")], "doc_id bigint, text string")
+    got = sorted(((r.id, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=str)
+    assert (7, 7) in got and got.count((None, 7)) == 2 and got.count((None, None)) == 1
