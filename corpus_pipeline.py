@@ -7,7 +7,7 @@ columns of ``documents``.  Every stage accepts nulls in any column, repeated row
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm import bpe, jaccard, langid, pii, winnow
@@ -20,6 +20,15 @@ MIN_LANGUAGE_SCORE = 0.5
 NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
 
 
+def _rest(docs: DataFrame) -> Column:
+    """All columns but the text, as one."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")
+
+
+def _back(c: str) -> Column:
+    return F.col("text") if c == "text" else F.col(f"id.`{c}`").alias(c)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those in which no language prevails; a missing ``lang`` is filled in.
 
@@ -27,30 +36,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = langid.fit(docs.select("doc_id", "text", "lang"))
     if not field.learned():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    keyed = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    found = langid.identify(keyed.select("_row", "text"), field, id_col="_row")
+    found = langid.identify(docs.select(_rest(docs), "text"), field, id_col="_row", shares=False, keep_text=True)
     kept = found.filter((F.col("lang") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    lang = F.coalesce(F.col("id.lang"), F.col("lang"))
-    return kept.select(*(lang.alias(c) if c == "lang" else F.col(f"id.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.coalesce(F.col("id.lang"), F.col("lang")).alias(c) if c == "lang" else _back(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once; rows without id pass."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), k=NEAR_WORDS, threshold=NEAR_THRESHOLD)
-    kept = found.filter("id = component_id").select("component_id").distinct()
-    first = docs.join(kept, docs["doc_id"] == kept["component_id"], "left_semi")
+    """Of each group of near copies the row with the smallest id (then the smallest digest of its text) stays, once.
+
+    A row without id comes after all that have one, so it stays only where no near copy has an id."""
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+                   F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))).alias("text"))
+    keyed = docs.withColumn("_key", key)
+    found = jaccard.near_duplicates(keyed.select("_key", "text"), id_col="_key", k=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    kept = found.filter("id = component_id").select(F.col("id").alias("_key")).distinct()
     # a repeated row is its own copy
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    once = first.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), nth.alias("nth")) \
-        .filter("nth = 1").select("row.*")
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark passages are a twentieth of the words or more."""
-    keyed = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    found = winnow.decontaminate(keyed.select("_row", "text"), table(spark, sf_dir, "benchmark"), id_col="_row")
-    return found.filter("NOT contaminated").select(*(F.col(f"id.`{c}`").alias(c) for c in docs.columns))
+    found = winnow.decontaminate(docs.select(_rest(docs), "text"), table(spark, sf_dir, "benchmark"), id_col="_row", keep_text=True)
+    return found.filter("NOT contaminated").select(*(_back(c) for c in docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
