@@ -44,11 +44,13 @@ from pairforge.llm import _words
 from pairforge.llm._arrow import held, id_and_text, pieces, schema_of, written
 from pairforge.llm._components import components
 
-#: coordinates of a document's whole point, and of one part of it (a part holds few shingles, so its leaves
+#: coordinates of a document's whole point (larger sets: one for PER_GROUP shingles), and of one part of it (a part holds few shingles, so its leaves
 #: tell documents apart only with many coordinates; they are never laid out, only the filled ones are hashed)
-GROUPS, PART_GROUPS = 256, 1 << 32
+GROUPS, PER_GROUP, PART_GROUPS = 256, 2, 1 << 32
 #: rows of one leaf that are compared at once; larger leaves are cut into blocks of this size
 BLOCK = 512
+#: sets that clusters tie together are met in one task up to this number; beyond it, cluster by cluster
+FAMILY = 2048
 #: rows of points (about 300 bytes) and of pairs (16 bytes) that are sent to all tasks; larger tables are shuffled
 SENT_POINTS, SENT_PAIRS = 50_000, 250_000
 #: ratio of the sizes in one band
@@ -144,17 +146,31 @@ def leaves(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, n
 
 
 def points(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """Group counts of each row, in the narrowest of 1, 2 or 4 bytes a count that holds them all."""
-    rows = len(offs) - 1
-    g = ((h >> np.uint64(8)) & np.uint64(GROUPS - 1)).astype(np.int64)
-    c = np.bincount(np.repeat(np.arange(rows), np.diff(offs)) * GROUPS + g, minlength=rows * GROUPS)
-    c = c.reshape(rows, GROUPS)
-    top = c.max(axis=1) if rows else []
-    return [x.astype("<u1" if t < 256 else "<u2" if t < 65536 else "<u4").tobytes() for x, t in zip(c, top)]
+    """Group counts of each row: the bytes of a count (1, 2 or 4, the fewest that hold them all), then the counts.
+
+    Larger sets have more groups (a power of two, so that points of two sizes can be met), or the bound would see few differences."""
+    g, out = (h >> np.uint64(8)).astype(np.int64), []
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+        groups = max(GROUPS, 1 << ((b - a) // PER_GROUP).bit_length())
+        c = np.bincount(g[a:b] & (groups - 1), minlength=groups)
+        top = int(c.max())
+        size = 1 if top < 256 else 2 if top < 65536 else 4
+        out.append(bytes([size]) + c.astype(f"<u{size}").tobytes())
+    return out
 
 
 def _point(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype={GROUPS: "<u1", 2 * GROUPS: "<u2"}.get(len(b), "<u4")).astype(np.int32)
+    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int32)
+
+
+def _folded(p: np.ndarray, groups: int) -> np.ndarray:
+    return p if len(p) == groups else p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed coordinate minima of two points, at the coarser one's groups."""
+    groups = min(len(x), len(y))
+    return int(np.minimum(_folded(x, groups), _folded(y, groups)).sum())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -206,7 +222,7 @@ def _bounded(num: int, den: int):
     def run(batches):
         for b in batches:
             a, c, na, nc = (b.column(x).to_pylist() for x in ("pa", "pb", "na", "nb"))
-            o = [int(np.minimum(_point(x), _point(y)).sum()) for x, y in zip(a, c)]
+            o = [_overlap(_point(x), _point(y)) for x, y in zip(a, c)]
             keep = _enough(np.array(o, dtype=np.int64), np.array(na, dtype=np.int64), np.array(nc, dtype=np.int64), num, den)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
@@ -245,7 +261,9 @@ def _search(num: int, den: int):
     A row is in one cluster at most, so a block gives no more rows than it has; clusters of equal rows get one name."""
     def block(rows) -> np.ndarray:
         s, n, comp, side = (np.array(x) for x in zip(*(r[:4] for r in rows)))
-        point = np.stack([_point(r[4]) for r in rows])
+        point = [_point(r[4]) for r in rows]
+        least = min(len(p) for p in point)
+        point = np.stack([_folded(p, least) for p in point])
         # side 0: the block is compared with itself; -1 and 1: two blocks of one leaf
         two = bool(side.any())
         left, right = (np.flatnonzero(side == -1), np.flatnonzero(side == 1)) if two else (np.arange(len(s)), np.arange(len(s)))
@@ -376,6 +394,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s") \
         .mapInArrow(_search(num, den), "cluster bigint, s bigint").distinct()
     clusters = written(spark, clusters, "clusters")
+    # leaves give many clusters of the same few sets: where all sets that clusters tie together are few, they are one cluster
+    least = clusters.groupBy("cluster").agg(F.min("s").alias("b"))
+    family = components(spark, clusters.join(least, "cluster").select(F.col("s").alias("a"), "b"))
+    few = family.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= FAMILY).select("comp")
+    one = written(spark, family.join(few, "comp", "left_semi").select(F.col("comp").alias("cluster"), F.col("node").alias("s")), "families")
+    clusters = one.union(clusters.join(one.select("s"), "s", "left_anti").select("cluster", "s"))
     members = clusters.join(labels("s"), "s", "left").select("cluster", "s", F.coalesce("cs", "s").alias("comp"))
     links = members.join(stored.select("s", "shingles"), "s").repartition("cluster").sortWithinPartitions("cluster", "s") \
         .mapInArrow(_joined(num, den), "a bigint, b bigint")
