@@ -132,7 +132,8 @@ def prefix_trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
         size = 1 << (k - 1)
         reach = rows.filter(F.col("len") >= F.col("lo") + size).withColumn("j", F.shiftright("lo", k - 1)) \
             .join(blocks[k - 1].select("id", "j", "d"), ["id", "j"])
-        names = reach.groupBy("lo", "root", "d").agg(F.min("id").alias("name"), F.sum("m").alias("members"))
+        # dealt anew, so that the join has a shuffle of its own on both sides and a hot name's rows can be split
+        names = reach.groupBy("lo", "root", "d").agg(F.min("id").alias("name"), F.sum("m").alias("members")).repartition("name")
         named = written(spark, reach.join(names, ["lo", "root", "d"]).select("id", "len", "m", "lo", "root", "name", "members"), "cuts")
         cuts[k] = named
         at = F.col("lo") + size
