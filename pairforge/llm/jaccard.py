@@ -46,7 +46,7 @@ from pairforge.llm._components import components
 
 #: coordinates of a document's whole point (larger sets: one for PER_GROUP shingles), and of one part of it (a part holds few shingles, so its leaves
 #: tell documents apart only with many coordinates; they are never laid out, only the filled ones are hashed)
-GROUPS, PER_GROUP, PART_GROUPS = 256, 2, 1 << 32
+GROUPS, PER_GROUP, PART_GROUPS = 256, 4, 1 << 32
 #: rows of one leaf that are compared at once; larger leaves are cut into blocks of this size
 BLOCK = 512
 #: sets that clusters tie together are met in one task up to this number; beyond it, cluster by cluster
@@ -146,7 +146,7 @@ def leaves(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, n
 
 
 def points(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """Group counts of each row: the bytes of a count (1, 2 or 4, the fewest that hold them all), then the counts.
+    """Group counts of each row: the bytes of a count (0 for half a byte, 1, 2 or 4, the fewest that hold them all), then the counts.
 
     Larger sets have more groups (a power of two, so that points of two sizes can be met), or the bound would see few differences."""
     g, out = (h >> np.uint64(8)).astype(np.int64), []
@@ -154,12 +154,18 @@ def points(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
         groups = max(GROUPS, 1 << ((b - a) // PER_GROUP).bit_length())
         c = np.bincount(g[a:b] & (groups - 1), minlength=groups)
         top = int(c.max())
+        if top < 16:
+            out.append(b"\0" + (c[::2] | c[1::2] << 4).astype(np.uint8).tobytes())
+            continue
         size = 1 if top < 256 else 2 if top < 65536 else 4
         out.append(bytes([size]) + c.astype(f"<u{size}").tobytes())
     return out
 
 
 def _point(b: bytes) -> np.ndarray:
+    if not b[0]:
+        half = np.frombuffer(b, dtype=np.uint8, offset=1)
+        return np.stack([half & 15, half >> 4], axis=1).ravel().astype(np.int32)
     return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int32)
 
 
@@ -178,7 +184,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _maps(docs: DataFrame, k: int, bands: Bands):
-    """The three passes over texts: set identities, leaf keys, and sets with their points."""
+    """The passes over texts: set identities, leaf keys, points and sets."""
     def identities(batches):
         held("jaccard", None, lambda _: None)
         for b in pieces(batches, 1 << 20):
@@ -202,15 +208,19 @@ def _maps(docs: DataFrame, k: int, bands: Bands):
             mine = fresh[row]
             yield pa.RecordBatch.from_arrays([_signed(key[mine]), _signed(s1[row[mine]])], ["key", "s1"])
 
+    def located(batches):
+        for b in pieces(batches, 1 << 20):
+            h, offs = shingle_sets(b.column("text"), k)
+            s1, _ = set_ids(h, offs)
+            yield pa.RecordBatch.from_arrays([_signed(s1), pa.array(np.diff(offs)), pa.array(points(h, offs), pa.binary())], ["s", "n", "point"])
+
     def sets(batches):
         for b in pieces(batches, 1 << 20):
             h, offs = shingle_sets(b.column("text"), k)
             s1, _ = set_ids(h, offs)
-            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _signed(h))
-            yield pa.RecordBatch.from_arrays([_signed(s1), pa.array(np.diff(offs)), lists,
-                                              pa.array(points(h, offs), pa.binary())], ["s", "n", "shingles", "point"])
+            yield pa.RecordBatch.from_arrays([_signed(s1), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _signed(h))], ["s", "shingles"])
 
-    return identities, keys, sets
+    return identities, keys, located, sets
 
 
 def _enough(bound: np.ndarray, na, nb, num: int, den: int) -> np.ndarray:
@@ -332,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     num, den = threshold
     bands = Bands(num, den)
-    identities, keys, sets = _maps(docs, k, bands)
+    identities, keys, located, sets = _maps(docs, k, bands)
     text = id_and_text(docs, id_col, text_col)
 
     ids = written(spark, text.mapInArrow(identities, schema_of(docs, id_col, "n bigint, s1 bigint, s2 bigint")), "sets")
@@ -347,22 +357,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """A table of counted size goes to all tasks while it is small; else the join shuffles it."""
         return F.broadcast(d) if n <= most else d
 
-    wanted = hits.select("s").distinct()
-    reps = written(spark, classes.join(wanted, classes.s1 == wanted.s, "left_semi").select(F.col("rep").alias("id")), "reps")
-    kinds = "s bigint, n bigint, shingles array<bigint>, point binary"
-    stored = text.join(sent(reps, reps.count(), SENT_PAIRS), "id", "left_semi").mapInArrow(sets, kinds)
-    # classes whose rows all lack an id
-    nameless = text.filter("id IS NULL").mapInArrow(sets, kinds).join(
-        classes.filter("rep IS NULL").select(F.col("s1").alias("s")).join(wanted, "s", "left_semi"), "s", "left_semi")
-    stored = written(spark, stored.unionByName(nameless), "shingles")
-    n_stored = stored.count()
-    if n_stored > stored.select("s").distinct().count():  # repeated rows
-        stored = written(spark, stored.dropDuplicates(["s"]), "shingles")
-    few_stored = n_stored <= SENT_POINTS
+    def stored(wanted: DataFrame, found, kinds: str, name: str) -> DataFrame:
+        """What ``found`` gives for the wanted classes ``s``, from a text of each."""
+        of = written(spark, classes.join(wanted, classes.s1 == wanted.s, "left_semi").select(F.col("rep").alias("id"), F.col("s1").alias("s")), "reps")
+        out = text.join(sent(of.select("id"), of.count(), SENT_PAIRS), "id", "left_semi").mapInArrow(found, kinds)
+        # classes whose rows all lack an id
+        nameless = text.filter("id IS NULL").mapInArrow(found, kinds).join(of.filter("id IS NULL").select("s"), "s", "left_semi")
+        out = written(spark, out.unionByName(nameless), name)
+        if out.count() > out.select("s").distinct().count():  # repeated rows
+            out = written(spark, out.dropDuplicates(["s"]), name)
+        return out
+
+    placed = stored(hits.select("s").distinct(), located, "s bigint, n bigint, point binary", "points")
+    few_placed = placed.count() <= SENT_POINTS
+    kinds = "s bigint, shingles array<bigint>"
 
     def points_of(x: str) -> DataFrame:
-        d = stored.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-        return F.broadcast(d) if few_stored else d
+        d = placed.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+        return F.broadcast(d) if few_placed else d
 
     def within(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that the bound on the points allows."""
@@ -370,8 +382,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of written pairs (a, b) those that link: their sets are met and intersected."""
-        one = stored.select(F.col("s").alias("a"), F.col("shingles").alias("xa")).join(sent(pairs, pairs.count(), SENT_PAIRS), "a")
-        two = stored.select(F.col("s").alias("b"), F.col("shingles").alias("xb"))
+        known = stored(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), sets, kinds, "sets")
+        one = known.select(F.col("s").alias("a"), F.col("shingles").alias("xa")).join(sent(pairs, pairs.count(), SENT_PAIRS), "a")
+        two = known.select(F.col("s").alias("b"), F.col("shingles").alias("xb"))
         return one.join(two, "b").mapInArrow(_exact(num, den), "a bigint, b bigint")
 
     stars = written(spark, hits.filter("s <> lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), "stars")
@@ -401,7 +414,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = written(spark, family.join(few, "comp", "left_semi").select(F.col("comp").alias("cluster"), F.col("node").alias("s")), "families")
     clusters = one.union(clusters.join(one.select("s"), "s", "left_anti").select("cluster", "s"))
     members = clusters.join(labels("s"), "s", "left").select("cluster", "s", F.coalesce("cs", "s").alias("comp"))
-    links = members.join(stored.select("s", "shingles"), "s").repartition("cluster").sortWithinPartitions("cluster", "s") \
+    known = stored(clusters.select("s").distinct(), sets, kinds, "sets")
+    links = members.join(known, "s").repartition("cluster").sortWithinPartitions("cluster", "s") \
         .mapInArrow(_joined(num, den), "a bigint, b bigint")
     merged = links.join(labels("a"), "a", "left").join(labels("b"), "b", "left") \
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
