@@ -7,6 +7,7 @@ is not).  Ids are put back in order per text - one text's own tokens.
 """
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -146,40 +147,48 @@ def bpe_train(word_counts: DataFrame, num_merges: int, word: str = "token", coun
 
 
 def bpe_word(word: str, ranks: dict) -> list[str]:
-    """Apply merges (lowest rank first) to one word."""
-    syms = list(word)
-    while len(syms) > 1:
-        best, best_rank = None, None
-        for x, y in zip(syms, syms[1:]):
-            rk = ranks.get((x, y))
-            if rk is not None and (best_rank is None or rk < best_rank):
-                best, best_rank = (x, y), rk
-        if best is None:
-            break
-        out, i = [], 0
-        while i < len(syms):
-            if i < len(syms) - 1 and (syms[i], syms[i + 1]) == best:
-                out.append(syms[i] + syms[i + 1])
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
-
-
-MAX_MERGES_BROADCAST = 1_000_000
+    """Apply merges (lowest rank first, all its places from left to right) to one word.
+
+    Symbols are linked and candidate merges wait in a heap, so a word of n characters takes n log n steps."""
+    syms: list = list(word)
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rk, i) for i, p in enumerate(zip(syms, syms[1:])) if (rk := ranks.get(p)) is not None]
+    heapq.heapify(heap)
+
+    def rank(i: int):
+        j = after[i] if i >= 0 else n
+        return ranks.get((syms[i], syms[j])) if j < n else None
+
+    while heap:
+        rk, here = heap[0][0], []
+        while heap and heap[0][0] == rk:
+            here.append(heapq.heappop(heap)[1])
+        touched = []
+        for i in here:  # places rise; one that an earlier merge has used up no longer has this rank
+            if syms[i] is None or rank(i) != rk:
+                continue
+            j = after[i]
+            syms[i], syms[j] = syms[i] + syms[j], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            touched += [before[i], i]
+        for i in touched:
+            if i >= 0 and syms[i] is not None and (r := rank(i)) is not None:
+                heapq.heappush(heap, (r, i))
+    return [x for x in syms if x is not None]
 
 
 def bpe_encode(texts: DataFrame, key: str, tokens: str, merges: DataFrame, special: Sequence[str] = ()) -> DataFrame:
     """BPE pieces of every token.  Each **distinct** word is encoded once by an
-    Arrow UDF holding the merge table (its size is the merge count, checked), and
-    the pieces are joined back to the token occurrences.  ``special`` tokens stay
+    Arrow UDF holding the merge table (as long as the vocabulary that training was asked
+    for), and the pieces are joined back to the token occurrences.  ``special`` tokens stay
     whole.  Returns ``key, pos, token, pieces``."""
-    rows = merges.orderBy("rank").limit(MAX_MERGES_BROADCAST + 1).collect()
-    if len(rows) > MAX_MERGES_BROADCAST:
-        raise ValueError("merge table too large to ship to the executors")
-    ranks = {(r["left"], r["right"]): r["rank"] for r in rows}
+    t = merges.select("rank", "left", "right").toArrow().to_pydict()
+    ranks = {}
+    for rank, pair in sorted(zip(t["rank"], zip(t["left"], t["right"])), reverse=True):
+        ranks[pair] = rank  # of a repeated pair the first rank counts
     keep = frozenset(special)
     bc = texts.sparkSession.sparkContext.broadcast(ranks)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import arrays as A
 from pairforge.functions import text as T
+from pairforge.operators import bpe_rounds as BR
 from pairforge.operators import encode as EN
 from pairforge.operators import evallog as EV
 from pairforge.operators import jsonops as J
@@ -197,6 +198,25 @@ def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.size("pieces")).alias("n_pieces"))
 
 
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(T.py_split(F.col("text")).alias("t"))
+    return BR.vocabulary(EN.vocab_counts(d, "t", 1), vocab_size=32_000, min_frequency=3)
+
+
+@query("bpe_vocabulary_docs", "D26 D27")
+def bpe_vocabulary_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merges of a whole vocabulary (32,000 entries, pairs from three occurrences on) learned from all words of the corpus."""
+    return _vocabulary(spark, sf_dir)
+
+
+@query("bpe_pieces_docs", "D27 D28")
+def bpe_pieces_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded with the whole vocabulary: tokens and pieces per document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.py_split(F.col("text")).alias("t"))
+    enc = EN.bpe_encode(d, "doc_id", "t", _vocabulary(spark, sf_dir))
+    return enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.size("pieces")).alias("n_pieces"))
+
+
 _ELAPSED_SQL = """WITH s AS (SELECT user_id AS run, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs FROM events GROUP BY user_id)
 SELECT run, CASE WHEN secs > 3600 THEN floor(secs / 3600)::BIGINT::VARCHAR || 'h' || floor((secs % 3600) / 60)::BIGINT::VARCHAR || 'm'
                  ELSE floor((secs % 3600) / 60)::BIGINT::VARCHAR || 'm' END AS elapsed FROM s"""

@@ -63,3 +63,69 @@ def test_bpe_many_merges_a_round_match_one_at_a_time(spark, monkeypatch):
     got = [tuple(x) for x in EN.bpe_train(df, 40).orderBy("rank").collect()]
     assert got == [m for m in _py_bpe(counts, 40) if m[3] >= 3]
     assert len(rounds) < len(got)
+
+
+def _counts(seed, n):
+    import random
+    r = random.Random(seed)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "ab", "abc", "bc", "aa", "é"]
+    return {"".join(r.choice(parts) for _ in range(r.randint(1, 5))): r.randint(1, 30) for _ in range(n)}
+
+
+def test_rounds_learn_the_whole_vocabulary_like_one_merge_at_a_time(spark):
+    from pairforge.operators import bpe_rounds as BR
+    counts = _counts(4, 300)
+    want = [m for m in _py_bpe(counts, 2000) if m[3] >= 3]
+    df = spark.createDataFrame(list(counts.items()), "token string, count long")
+    for bounds in ({}, {"words": 60, "pairs": 40}, {"words": 150, "pairs": 1000}):
+        log = []
+        got = [tuple(x) for x in BR.learn(df, 2000, log=log, **bounds).orderBy("rank").collect()]
+        assert got == want, bounds
+        assert all(n <= bounds.get("words", 10 ** 6) for _, n in log) and (not bounds or len(log) > 3)
+    assert len(want) > 200
+
+
+def test_vocabulary_size_counts_characters_and_special_tokens(spark):
+    from pairforge.operators import bpe_rounds as BR
+    counts = _counts(5, 50)
+    df = spark.createDataFrame(list(counts.items()) + [("", 3)], "token string, count long")
+    letters = len({x for w in counts for x in w})
+    assert BR.vocabulary(df, vocab_size=5 + letters + 7, min_frequency=1).count() == 7
+    assert BR.vocabulary(df, vocab_size=3).count() == 0
+    assert BR.learn(df.limit(0), 5).count() == 0
+
+
+def _loop_word(word, ranks):
+    syms = list(word)
+    while True:
+        known = [ranks[p] for p in zip(syms, syms[1:]) if p in ranks]
+        if not known:
+            return syms
+        best, out, i = min(known), [], 0
+        while i < len(syms):
+            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == best:
+                out.append(syms[i] + syms[i + 1])
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+
+
+def test_bpe_word_is_the_plain_loop_in_less_steps():
+    import random
+    import time
+    r = random.Random(3)
+    for _ in range(300):
+        symbols = list("abc")
+        ranks = {}
+        for k in range(r.randint(1, 25)):
+            a, b = r.choice(symbols), r.choice(symbols)
+            ranks.setdefault((a, b), k)
+            symbols.append(a + b)
+        word = "".join(r.choice("abc") for _ in range(r.randint(0, 40)))
+        assert EN.bpe_word(word, ranks) == _loop_word(word, ranks)
+    ranks = {("a" * 2 ** k, "a" * 2 ** k): k for k in range(14)} | {("a", "b"): 20}
+    t = time.perf_counter()
+    assert "".join(EN.bpe_word("ab" * 50_000 + "a" * 50_000, ranks)) == "ab" * 50_000 + "a" * 50_000
+    assert time.perf_counter() - t < 5
