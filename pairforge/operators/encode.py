@@ -1,19 +1,22 @@
 """Vocabulary and id encoding.
 
-Token -> id lookup is a join of the exploded tokens with the vocabulary table
-(the vocabulary grows with the corpus, so it is not assumed to fit a broadcast;
-AQE broadcasts it when it is small and splits a hot token's partition when it
-is not).  Ids are put back in order per text - one text's own tokens.
+The most frequent tokens' ids (a stated number) travel to the tasks as a lookup and
+are found in place; the vocabulary grows with the corpus, so beyond that number the
+rest of it is joined, by tokens none of which is frequent.
 """
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pairforge.operators.sampling import with_row_index
 
@@ -34,22 +37,66 @@ def build_vocab(counts: DataFrame, first_id: int = N_SPECIAL) -> DataFrame:
     return v.select("token", "count", (F.col("_i") + first_id).alias("id"))
 
 
-def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int | None = 512, add_eos: bool = True) -> DataFrame:
+#: leading tokens (the most frequent ones have the smallest ids) whose ids travel to the tasks as a lookup; the rest is joined
+LEADING = 1 << 18
+
+
+def _looked_up(batches, sent, max_len: int | None, add_eos: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Ids of token lists from the leading tokens; others are UNK or, unless these are all tokens (``last``), -1 and listed."""
+    known, ids = sent.value
+    unknown = UNK if last else -1
+    for b in batches:
+        lists = b.column("tokens")
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        at = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+        found = np.where(at >= 0, ids[at] if len(ids) else UNK, unknown).astype(np.int32)
+        row = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        full = size + (1 if add_eos else 0)
+        width = np.full(len(size), max_len) if max_len is not None else full
+        first = np.cumsum(width) - width
+        out = np.full(int(width.sum()), PAD, np.int32)
+        out[first[row] + pos] = found
+        if add_eos:
+            out[first + size] = EOS
+        offs = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+        cols = [b.column("key"), pa.ListArray.from_arrays(pa.array(offs), pa.array(out))]
+        if not last:
+            rare = np.flatnonzero((at < 0) & pc.is_valid(flat).to_numpy(zero_copy_only=False))
+            items = pa.StructArray.from_arrays([pa.array(pos[rare].astype(np.int32)), flat.take(pa.array(rare))], ["pos", "token"])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=len(size)))]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(cuts), items))
+        yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "rare"][:len(cols)])
+
+
+def encode(texts: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int | None = 512, add_eos: bool = True,
+           leading: int = LEADING) -> DataFrame:
     """Ids (unknown -> UNK), cut to leave room for EOS, EOS appended, PAD to ``max_len`` (None: neither cut nor pad).
 
-    Tokens beyond the room never reach the join."""
-    t = F.col(tokens) if max_len is None else F.slice(tokens, 1, max_len - (1 if add_eos else 0))
-    # posexplode_outer keeps texts without tokens (one null row, not collected below)
-    t = texts.select(key, F.posexplode_outer(t).alias("pos", "token"))
-    j = t.join(vocab.select("token", F.col("id").alias("_vid")), "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_vid", F.lit(UNK)).alias("id")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    ids = F.transform("_s", lambda x: x["id"].cast("int"))
-    if add_eos:
-        ids = F.concat(ids, F.array(F.lit(EOS)))
-    if max_len is not None:
-        ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids)))
-    return g.select(key, ids.alias("ids"))
+    Tokens beyond the room are not looked at.  The ``leading`` tokens of the vocabulary (``build_vocab`` numbers them by frequency)
+    are looked up in place from a table of that many rows, so no frequent token is ever a join key.  Only if the vocabulary has more, the
+    rest of the tokens are exploded and joined with the rest of it, and put in place by their positions."""
+    spark = texts.sparkSession
+    room = None if max_len is None else max_len - (1 if add_eos else 0)
+    d = texts.select(F.col(key).alias("key"), (F.col(tokens) if room is None else F.slice(tokens, 1, room)).alias("tokens"))
+    first = F.col("id") < N_SPECIAL + leading
+    lead = vocab.filter(first).select("token", "id").toArrow()
+    rest = vocab.filter(~first).select("token", F.col("id").alias("_vid"))
+    last = rest.isEmpty()
+    tokens_sent = lead.column("token").combine_chunks() if lead.num_rows else pa.array([], pa.string())
+    sent = spark.sparkContext.broadcast((tokens_sent, lead.column("id").to_numpy().astype(np.int64)))
+    fields = [StructField("key", texts.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))]
+    if not last:
+        fields.append(StructField("rare", ArrayType(StructType.fromDDL("pos int, token string"))))
+    out = d.mapInArrow(lambda batches: _looked_up(batches, sent, max_len, add_eos, last), StructType(fields))
+    if last:
+        return out.select(F.col("key").alias(key), "ids")
+    rare = out.select("key", F.explode("rare").alias("r")).select("key", "r.pos", "r.token").join(rest, "token", "left") \
+        .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("_vid", F.lit(UNK)).cast("int").alias("id")))).alias("found"))
+    out = out.select("key", "ids").join(rare.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left")
+    put = F.transform("ids", lambda x, i: F.when(x >= 0, x).otherwise(F.coalesce(F.col("found")[i], F.lit(UNK))))
+    return out.select(F.col("key").alias(key), put.alias("ids"))
 
 
 # ---------------------------------------------------------------- D27 / D28 (re-aimed BPE)

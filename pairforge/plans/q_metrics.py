@@ -179,7 +179,18 @@ def rouge_n_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D12 (rows-only: LCS has no SQL twin)
-@query("rouge_l_turns", "D12")
+# the longest common subsequence by thresholds: t[k] is the first place in the reference at which a common subsequence of length k
+# can end; a token's places improve every threshold once
+_ROUGE_L_SQL = f"""WITH {O.TURN_PAIRS},
+s AS (SELECT {O.split('pred')} AS hyp, {O.split('gold')} AS ref FROM turn_pairs),
+p AS (SELECT ref, list_transform(hyp, lambda y: list_filter(range(1, len(ref) + 1), lambda i: ref[i] = y)) AS places FROM s),
+l AS (SELECT len(ref) AS n, len(list_reduce(places, lambda t, p: list_filter(list_transform(range(1, len(t) + 2), lambda k:
+        list_min(list_append(list_filter(p, lambda x: x > CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END), t[k]))), lambda x: x IS NOT NULL),
+        []::BIGINT[])) AS lcs FROM p)
+SELECT count(*) AS n_pairs, sum(lcs)::BIGINT AS lcs, sum(n)::BIGINT AS ref_tokens, round((sum(lcs) + 1.0) / (sum(n) + 1.0), 6) AS rouge_l FROM l"""
+
+
+@query("rouge_l_turns", "D12", _ROUGE_L_SQL)
 def rouge_l_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROUGE-L (smoothed micro LCS recall) of assistant turn t+1 against user turn t."""
     p = turn_pairs(spark, sf_dir).select(T.py_split(F.col("pred")).alias("hyp"), T.py_split(F.col("gold")).alias("ref"))

@@ -129,3 +129,23 @@ def test_bpe_word_is_the_plain_loop_in_less_steps():
     t = time.perf_counter()
     assert "".join(EN.bpe_word("ab" * 50_000 + "a" * 50_000, ranks)) == "ab" * 50_000 + "a" * 50_000
     assert time.perf_counter() - t < 5
+
+
+def test_encode_beyond_the_leading_tokens(spark):
+    import random
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, [r.choice(words[:r.randint(1, 60)]) if r.random() < 0.95 else None for _ in range(r.randint(0, 30))]) for i in range(50)]
+    rows += [(50, None), (None, ["w1", "w59"]), (51, ["not known"])]
+    texts = spark.createDataFrame(rows, "id int, t array<string>")
+    vocab = EN.build_vocab(EN.vocab_counts(texts.filter("id < 40"), "t", 2)).filter("token IS NOT NULL").cache()
+    ids = {x.token: x.id for x in vocab.collect()}
+
+    def plain(t, n, eos):
+        out = [ids.get(w, EN.UNK) for w in (t or [])][:None if n is None else n - eos] + [EN.EOS] * eos
+        return out + [EN.PAD] * ((n or 0) - len(out))
+    for max_len, eos in ((12, True), (None, False), (None, True), (9, False)):
+        want = sorted(((i, plain(t, max_len, eos)) for i, t in rows), key=str)
+        for leading in (1000, 5, 0):
+            got = EN.encode(texts, "id", "t", vocab, max_len, eos, leading=leading)
+            assert sorted(((x.id, x.ids) for x in got.collect()), key=str) == want
