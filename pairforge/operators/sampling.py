@@ -17,8 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 KEY_HEX = 32  # md5 hex digits
 
@@ -170,24 +174,25 @@ def uniform(seed, id_col) -> Column:
     return F.conv(F.substring(hash_key(seed, id_col), 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
-MAX_TASKS = 10_000
-
-
 def task_schedule(steps: DataFrame, step_col: str, probs: DataFrame, task: str, seed="1234") -> DataFrame:
     """draw one task per step with the given probabilities.
 
-    The task table is a dimension (one row per task, checked <= 10,000): its
-    cumulative bounds become one CASE expression, so the steps are labelled by a
-    projection with no join.
-    """
-    rows = probs.orderBy(task).select(task, "prob").limit(MAX_TASKS + 1).collect()
-    if len(rows) > MAX_TASKS:
-        raise ValueError("too many tasks for an in-plan schedule")
-    u = uniform(seed, step_col)
-    expr, cum = None, 0.0
-    for r in rows:
-        cum += r["prob"]
-        cond = u < F.lit(cum)
-        expr = F.when(cond, F.lit(r[task])) if expr is None else expr.when(cond, F.lit(r[task]))
-    expr = expr.otherwise(F.lit(rows[-1][task]))
-    return steps.select(step_col, expr.alias("task"))
+    The tasks' cumulative bounds (one row per task) go to the workers, which find a step's draw by
+    binary search, a batch at a time, so the steps are labelled without a join."""
+    t = probs.select(task, "prob").toArrow()
+    if not t.num_rows:
+        raise ValueError("no task to draw from")
+    t = t.take(pc.sort_indices(t, sort_keys=[(task, "ascending")]))
+    names, bounds = t.column(task).combine_chunks(), np.cumsum(t.column("prob").to_numpy())
+    sent = steps.sparkSession.sparkContext.broadcast((names, bounds))
+    drawn = steps.select(F.col(step_col).alias("step"), uniform(seed, step_col).alias("u"))
+
+    def draw(batches):
+        names, bounds = sent.value
+        for b in batches:
+            at = np.searchsorted(bounds, b.column("u").to_numpy(zero_copy_only=False), side="right")
+            picked = names.take(pa.array(np.minimum(at, len(names) - 1)))  # rounding may leave the last bound below 1
+            yield pa.RecordBatch.from_arrays([b.column("step"), picked], ["step", "task"])
+
+    kinds = StructType([StructField("step", steps.schema[step_col].dataType), StructField("task", probs.schema[task].dataType)])
+    return drawn.mapInArrow(draw, kinds).withColumnRenamed("step", step_col)

@@ -33,7 +33,7 @@ def query(name: str, ids: str, sql: str | None = None):
 def _load_all():
     # importing the modules registers their queries
     from pairforge.plans import (  # noqa: F401
-        q_text, q_metrics, q_prepare, q_evallog, q_rollout, q_codebleu, q_misc, q_helpers)
+        q_text, q_metrics, q_prepare, q_evallog, q_rollout, q_codebleu, q_misc, q_helpers, q_readers)
 
 
 def registry() -> dict[str, Registered]:

@@ -63,43 +63,48 @@ def rollout_advantages_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame
                       for c, n in (("adv_raw", "advantages"), ("returns", "returns"), ("advantages", "whitened"))))
 
 
-#: tokens of a long rollout, taken from neighbouring rows of one 64-value embedding each
-LONG, ROWS = 512, 32
+#: neighbouring rows (one 64-value embedding each) that make one long rollout
+ROWS = 32
 
 _LONG_SQL = """WITH x AS (SELECT vec_id // 32 AS seq, vec_id % 32 AS r, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
-l AS (SELECT seq, r // 8 AS part, list(v ORDER BY r, i) AS a FROM x GROUP BY ALL),
-p AS (SELECT seq, max(a) FILTER (part = 0) AS olp, max(a) FILTER (part = 1) AS ref, max(a) FILTER (part = 2) AS v, max(a) FILTER (part = 3) AS nlp
-      FROM l GROUP BY seq HAVING count(*) = 4 AND min(len(a)) = 512),
-d AS (SELECT *, list_transform(range(1, 513), lambda t: -100.0 * (olp[t] - ref[t]) + coalesce(v[t + 1], 0.0) - v[t]) AS delta FROM p),
-g AS (SELECT *, list_transform(range(1, 513), lambda t: list_sum(list_transform(range(t, 513), lambda s: pow(0.95, s - t) * delta[s]))) AS adv FROM d),
+l AS (SELECT seq, r % 4 AS part, list(v ORDER BY r, i) AS a FROM x GROUP BY ALL),
+p AS (SELECT seq, min(len(a)) AS n, max(a) FILTER (part = 0) AS olp, max(a) FILTER (part = 1) AS ref, max(a) FILTER (part = 2) AS val,
+             max(a) FILTER (part = 3) AS nlp FROM l GROUP BY seq HAVING count(*) = 4),
+c AS (SELECT seq, n, olp[1:n] AS olp, ref[1:n] AS ref, val[1:n] AS v, nlp[1:n] AS nlp FROM p),
+d AS (SELECT *, list_transform(range(1, n + 1), lambda t: -100.0 * (olp[t] - ref[t]) + coalesce(v[t + 1], 0.0) - v[t]) AS delta FROM c),
+g AS (SELECT *, list_transform(range(1, n + 1), lambda t: list_sum(list_transform(range(t, n + 1), lambda s: pow(0.95, s - t) * delta[s]))) AS adv FROM d),
 w AS (SELECT *, list_avg(adv) AS am, list_aggregate(adv, 'var_samp') AS avar FROM g)
-SELECT seq, round(list_sum(adv), 4) AS adv_sum, round(list_sum(list_transform(range(1, 513), lambda t: t * (adv[t] - am) / sqrt(avar + 1e-8))), 4) AS whitened_moment,
-       round(list_avg(list_transform(range(1, 513), lambda t: greatest(-(adv[t] - am) / sqrt(avar + 1e-8) * exp(nlp[t] - olp[t]),
+SELECT seq, n AS n_tokens, round(list_sum(adv), 4) AS adv_sum,
+       round(list_sum(list_transform(range(1, n + 1), lambda t: t * (adv[t] - am) / sqrt(avar + 1e-8))), 4) AS whitened_moment,
+       round(list_avg(list_transform(range(1, n + 1), lambda t: greatest(-(adv[t] - am) / sqrt(avar + 1e-8) * exp(nlp[t] - olp[t]),
              -(adv[t] - am) / sqrt(avar + 1e-8) * greatest(least(exp(nlp[t] - olp[t]), 1.2), 0.8)))), 6) AS pg_loss FROM w"""
 
 
 @query("long_rollouts_embeddings", "I1 E3 I2 H19 I3", _LONG_SQL)
 def long_rollouts_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """512-token rollouts (32 neighbouring rows: 8 each for old, reference, value and new streams)."""
+    """Rollouts of up to 512 tokens: 32 neighbouring rows, dealt in turn to the old, reference, value and new streams.
+
+    The last rows make a shorter rollout, as long as its shortest stream."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     r = F.col("vec_id") % ROWS
     g = e.groupBy(F.floor(F.col("vec_id") / ROWS).cast("long").alias("seq")).agg(
         F.sort_array(F.collect_list(F.struct(r.alias("r"), "e"))).alias("rows"))  # at most 32 rows each
-    for k, name in enumerate(("old", "ref", "v", "new")):
-        part = F.filter("rows", _in_part(k))
-        g = g.withColumn(name, F.flatten(F.transform(part, lambda x: x["e"])))
-    g = g.filter((F.size("old") == LONG) & (F.size("ref") == LONG) & (F.size("v") == LONG) & (F.size("new") == LONG))
-    kr = RL.kl_rewards("old", "ref", F.array_repeat(F.lit(0.0), LONG), KL)
+    names = ("old", "ref", "v", "new")
+    for k, name in enumerate(names):
+        g = g.withColumn(name, F.flatten(F.transform(F.filter("rows", _in_part(k)), lambda x: x["e"])))
+    g = g.withColumn("n", F.least(*(F.size(c) for c in names))).filter("n > 0")
+    g = g.withColumns({c: F.slice(c, F.lit(1), F.col("n")) for c in names})
+    kr = RL.kl_rewards("old", "ref", F.transform("old", lambda _: F.lit(0.0)), KL)
     g = g.withColumn("adv", RL.gae(kr["rewards"], "v", RL.PPO_DEFAULTS["gamma"], RL.PPO_DEFAULTS["lam"]))
     g = g.withColumn("white", A.whiten(F.col("adv.advantages")))
     loss = RL.ppo_losses("old", "new", "v", "v", "white", F.col("adv.returns"))["pg_loss"]
     moment = RL._sum(F.transform("white", lambda x, t: x * (t + 1)))
-    return g.select("seq", F.round(RL._sum(F.col("adv.advantages")), 4).alias("adv_sum"), F.round(moment, 4).alias("whitened_moment"),
-                    F.round(loss, R6).alias("pg_loss"))
+    return g.select("seq", F.col("n").cast("long").alias("n_tokens"), F.round(RL._sum(F.col("adv.advantages")), 4).alias("adv_sum"),
+                    F.round(moment, 4).alias("whitened_moment"), F.round(loss, R6).alias("pg_loss"))
 
 
 def _in_part(k: int):
-    return lambda x: F.floor(x["r"] / 8) == k
+    return lambda x: x["r"] % 4 == k
 
 
 _PPO_FIELDS = ["pg_loss", "vf_loss", "loss", "pg_clipfrac", "vf_clipfrac", "approxkl", "policykl", "return_mean",
