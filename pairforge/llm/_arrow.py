@@ -69,6 +69,7 @@ def held(kind: str, value, build: Callable):
             _HELD.clear()
             _give_back()
         _HELD[key] = (value, build(value))  # with the value, so that its id stays its own
+        _give_back()  # what building it left
     return _HELD[key][1]
 
 
