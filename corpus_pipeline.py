@@ -20,6 +20,16 @@ MIN_LANGUAGE_SCORE = 0.5
 NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
 
 
+#: bytes of rows that cross into Python at once, unless the session has a setting of its own (Spark's default is 64 MB a task)
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH, "") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def _rest(docs: DataFrame) -> Column:
     """All columns but the text, as one."""
     return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")
@@ -33,6 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those in which no language prevails; a missing ``lang`` is filled in.
 
     Where no language could be learned, all documents with letters stay as they are."""
+    _small_batches(spark)
     field = langid.fit(docs.select("doc_id", "text", "lang"))
     if not field.learned():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -45,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies the row with the smallest id (then the smallest digest of its text) stays, once.
 
     A row without id comes after all that have one, so it stays only where no near copy has an id."""
+    _small_batches(spark)
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
                    F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))).alias("text"))
     keyed = docs.withColumn("_key", key)
@@ -56,12 +68,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark passages are a twentieth of the words or more."""
+    _small_batches(spark)
     found = winnow.decontaminate(docs.select(_rest(docs), "text"), table(spark, sf_dir, "benchmark"), id_col="_row", keep_text=True)
     return found.filter("NOT contaminated").select(*(_back(c) for c in docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; ``n_chars`` counts the new text."""
+    _small_batches(spark)
     trees = pii.fit(docs.select("doc_id", "text"))
     rest = [c for c in docs.columns if c != "text"]
     keyed = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in rest)))
@@ -80,6 +94,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the text decoded from them."""
+    _small_batches(spark)
     out = bpe.encode(docs.select("doc_id", "text"), digests=True)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
