@@ -26,7 +26,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_BATCH, "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(_BATCH, "64m") in ("64m", "64MB", "67108864b"):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
