@@ -8,7 +8,8 @@ the pair fails, and steps back one token when none is left.  Places from which
 no way leads on are remembered, so each is given up once and the time is
 linear.  Decoding gathers every id's bytes from one blob through a table of offsets.
 
-Defined results: a null text is the empty text (no ids, empty decoding); the
+Defined results: texts of any length are read whole; an empty table gives no
+rows; a null text is the empty text (no ids, empty decoding); the
 special token's own string in a text becomes its id; ids and decodings are per
 row, so ties, repeated rows and further columns don't matter.
 """

@@ -13,7 +13,8 @@ is always the template's own; ``parse`` reads the turns back.
 The loss mask is a list of spans (start from 0, length; code points of the
 formatted string) over the texts of the roles that are learned.
 
-Defined results: null roles and texts are empty; turns are ordered by
+Defined results: texts of any length are read whole; an empty table gives no
+rows; null roles and texts are empty; turns are ordered by
 (turn, role, text), nulls first, so ties and repeated rows have one order and
 stay; rows without id are one conversation; other columns are not read; an
 empty table gives no rows.  One conversation is one row by the task's nature:

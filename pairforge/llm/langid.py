@@ -18,7 +18,8 @@ segment's transfer matrix is taken first, the segments' border vectors follow
 from the matrices, and then all segments run with their true borders, so the result is
 that of one long recursion and no loop is longer than a segment.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0;
+Defined results: texts of any length are read whole; an empty table gives no
+rows; null texts and texts without a letter are ``und`` with score 0;
 ties go to the smaller name; rows are independent (repeated rows and further columns
 don't matter); without labelled rows every text is ``und``.
 """

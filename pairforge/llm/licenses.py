@@ -9,7 +9,8 @@ best priority the score.
 
 Fixed phrases (``PHRASES``) are all reported, whatever the rules say.
 
-Defined results: null, empty and wordless texts have no words, no labels and
+Defined results: texts of any length are read whole; an empty table gives no
+rows; null, empty and wordless texts have no words, no labels and
 score 0; rows are independent (ties, repeated rows, further columns don't matter).
 """
 from __future__ import annotations

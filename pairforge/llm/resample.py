@@ -12,7 +12,8 @@ by sorting rows; the raw model's counts cover all rows.  The target model is fit
 on a bounded sample of labelled rows: the texts of at most ``target_rows``
 target ids, smallest hash first, sent as one broadcast of ids of that size.
 
-Defined results: null, empty and blank texts have log weight 0; rows of equal
+Defined results: texts of any length are read whole; an empty table gives no
+rows; null, empty and blank texts have log weight 0; rows of equal
 id and text (repeated rows) are selected together; rows without id take noise
 of the null id; without target rows all weights are 0 (a uniform draw); an
 empty table gives no rows; other columns are not read.

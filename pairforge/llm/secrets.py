@@ -14,7 +14,8 @@ in a path, a URL or a dashed name) is tested part by part between ``/``, ``_``,
 and ``-``: neighbouring parts that each fail are reported together from 16 characters on,
 if one of them has 8 or more (dates and versions are made of shorter ones).
 
-Defined results: null and empty texts have no spans; places count code points,
+Defined results: texts of any length are read whole; an empty table gives no
+rows; null and empty texts have no spans; places count code points,
 ends are exclusive; rows are independent (ties, repeated rows and further
 columns don't matter).
 """

@@ -12,7 +12,8 @@ The benchmark is read in shards of bounded text size; each shard's fingerprints
 are broadcast and every shard is one further pass over the rows, so nothing is
 shuffled and no broadcast grows with the benchmark.
 
-Defined results: null, empty and wordless texts have no words and no hits, and
+Defined results: ties need no rule, as rows are judged one by one; texts of any length are read whole; an empty table gives no
+rows; null, empty and wordless texts have no words and no hits, and
 wordless items no windows; repeated items and rows count as often as distinct
 ids (items) or rows (documents); items without id hit words but aren't listed;
 an empty benchmark hits nothing; other columns are not read.
