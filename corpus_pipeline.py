@@ -2,8 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), works on all of ``docs`` and returns
 a DataFrame, which is written as Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.  Every stage accepts nulls in any column, repeated rows, empty tables and further columns
-(which it passes on).
+columns of ``documents``.  Every stage accepts nulls in any column, repeated rows, empty tables (an empty result), texts of
+any length (read whole) and further columns (which it passes on).  Ties between near copies go to the smallest id, then to the
+smallest digest of the text.
 """
 from __future__ import annotations
 
