@@ -1,12 +1,13 @@
 """Writers for the reference's outputs.
 
-Each is a DataFrame writer call; appends are atomic per Spark job and
+Each is a DataFrame writer call; appends are atomic per Spark job (exactly once with a batch id) and
 partitioned output replaces the reference's per-repository file naming
 (full ``owner/name`` partitions, so two owners' repositories never collide).
 """
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,15 @@ def write_comparison_csv(df: DataFrame, path: str, cols=("ss", "gt", "ft")) -> N
     df.select(*[tabs_to_spaces(F.col(c)).alias(c) for c in cols]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    """Typed append (training log, reward log, eval log)."""
-    df.write.mode("append").parquet(path)
+def append_table(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Typed append (training log, reward log, eval log).
+
+    With ``batch`` the rows are appended exactly once: they are written aside and appear whole, under ``batch=...`` (a column when
+    the table is read), and a batch that is there already is left as it is.  A table takes batches always or never."""
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        _publish(df, f"{path.rstrip('/')}/batch={quote(str(batch), safe='')}")
 
 
 def reward_blocks(samples: DataFrame, batch: str, order: str, query: str = "query", response: str = "response", reward: str = "reward") -> DataFrame:
@@ -70,16 +77,27 @@ def materialize_features(df: DataFrame, path: str, sampled: bool = False) -> Dat
     spark = df.sparkSession
     if sampled:
         return df
-    if not _exists(spark, path):
-        part = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-        df.write.parquet(part)
-        jvm = spark.sparkContext._jvm
-        old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (part, path))
-        if not old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new):
-            raise OSError(f"cannot rename {part} to {path}")
+    _publish(df, path)
     return spark.read.parquet(path)
 
 
+def _publish(df: DataFrame, path: str) -> None:
+    """Write a folder that appears under its name only when it is whole; one that is there is left as it is.
+
+    The rows are staged beside it in a hidden folder.  Where two writers meet, the later one's rename puts its folder inside the
+    other's, where readers pass over it, so the rows are there once."""
+    spark = df.sparkSession
+    if _exists(spark, path):
+        return
+    parent, _, name = path.rstrip("/").rpartition("/")
+    part = f"{parent}/_{name}.tmp-{uuid.uuid4().hex}"
+    df.write.parquet(part)
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (part, path))
+    if not old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new) and not _exists(spark, path):
+        raise OSError(f"cannot rename {part} to {path}")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Is the path there?  Asked of its own file system; errors other than absence come out."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -124,3 +124,26 @@ def test_line_numbers_across_file_splits(spark, tmp):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert all(r.line == f"line {r.line_no:05d}" for r in rows) and len(rows) == 5000
+
+
+def test_a_repeated_batch_is_appended_once(spark, tmp):
+    from pairforge.sources import sinks as W
+    path = f"{tmp}/log"
+    first, second = spark.range(5).withColumnRenamed("id", "step"), spark.range(5, 7).withColumnRenamed("id", "step")
+    W.append_table(first, path, batch="run 1/0")
+    W.append_table(second, path, batch="run 1/1")
+    W.append_table(first, path, batch="run 1/0")  # a retried batch
+    got = sorted((r.step, r.batch) for r in spark.read.parquet(path).collect())
+    assert [x[0] for x in got] == list(range(7)) and {x[1] for x in got} == {"run 1/0", "run 1/1"}
+
+
+def test_two_writers_of_one_folder_leave_its_rows_once(spark, tmp, monkeypatch):
+    from pairforge.sources import sinks as W
+    path = f"{tmp}/features"
+    W.materialize_features(spark.range(4), path)
+    monkeypatch.setattr(W, "_exists", lambda *_: False)  # the second writer has looked before the first was done
+    try:
+        W._publish(spark.range(4), path)
+    except OSError:
+        pass  # or the rename is refused
+    assert spark.read.parquet(path).count() == 4
