@@ -5,11 +5,17 @@ refactoring events are tables, and every step is a join, filter or window.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairforge.functions.text import java_tokens
 
@@ -120,6 +126,86 @@ def refactorings_per_commit(events: DataFrame, commit: str) -> DataFrame:
         "has_refactoring", F.col("n_refactorings") > 0)
 
 
-def handle_commits(events: DataFrame, commit: str, handler: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """K5: a user's handler called once per commit with the commit's refactorings (bounded by one commit's size)."""
-    return events.groupBy(commit).applyInPandas(handler, schema)
+@dataclass(frozen=True)
+class Handler:
+    """A commit handler whose states can be merged, so that a commit's rows may lie in any number of tasks.
+
+    ``init() -> state``; ``update(state, rows) -> state`` with some of a commit's rows as a pandas frame; ``merge(state, state) -> state``;
+    ``finish(state)`` -> the values of a result row.  States are pickled between tasks; results must not depend on how rows are dealt."""
+    init: Callable[[], object]
+    update: Callable[[object, pd.DataFrame], object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], Sequence]
+
+
+STATES_HELD = 10_000  # commits of one task whose states are open at a time; the rest are closed early and merged later
+
+
+def _partial_states(handler: Handler):
+    def run(batches):
+        held, salt = {}, TaskContext.get().partitionId()
+
+        def close():
+            return pa.RecordBatch.from_pydict({"_k": list(held), "_salt": [salt] * len(held), "_state": [pickle.dumps(s) for s in held.values()]},
+                                              schema=_STATE)
+        for b in batches:
+            rows = b.to_pandas()
+            for k, part in rows.groupby("_k", sort=False):
+                held[k] = handler.update(held[k] if k in held else handler.init(), part.drop(columns="_k"))
+            if len(held) > STATES_HELD:
+                yield close()
+                held.clear()
+        yield close()
+    return run
+
+
+def _merge_states(handler: Handler):
+    """States of one commit lie together: one is held at a time."""
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            done = []
+            for k, x in zip(b.column("_k").to_pylist(), b.column("_state").to_pylist()):
+                if k == key:
+                    state = handler.merge(state, pickle.loads(x))
+                else:
+                    if key is not None:
+                        done.append((key, state))
+                    key, state = k, pickle.loads(x)
+            yield _states(done)
+        if key is not None:
+            yield _states([(key, state)])
+    return run
+
+
+_STATE = pa.schema([("_k", pa.string()), ("_salt", pa.int32()), ("_state", pa.binary())])
+_STATE_SQL = "_k string, _salt int, _state binary"
+
+
+def _states(done: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"_k": [k for k, _ in done], "_salt": [0] * len(done), "_state": [pickle.dumps(s) for _, s in done]}, schema=_STATE)
+
+
+def handle_commits(events: DataFrame, commit: str, handler: Handler, schema: str, salts: int = 64) -> DataFrame:
+    """K5: a user's handler over each commit's refactorings (rows without a commit are one commit more).
+
+    A task folds its rows into a state per commit before anything is shuffled; states of a commit are merged in up to ``salts`` tasks and
+    then in one, which reads at most ``salts`` states, so no task sees all rows of a commit.  Returns ``commit`` and the columns of
+    ``schema``, one row per commit."""
+    key = F.to_json(F.struct(commit))
+    states = events.select(key.alias("_k"), *events.columns).mapInArrow(_partial_states(handler), _STATE_SQL)
+    few = states.withColumn("_salt", F.col("_salt") % salts)
+    for deal in (["_k", "_salt"], ["_k"]):
+        few = few.repartition(*deal).sortWithinPartitions(*deal)
+        few = few.mapInArrow(_merge_states(handler), _STATE_SQL)
+    kind = StructType([StructField("_k", StringType()), *StructType.fromDDL(schema)])
+
+    def finish(batches):
+        out = to_arrow_schema(kind)
+        for b in batches:
+            rows = [(k, *handler.finish(pickle.loads(x))) for k, x in zip(b.column("_k").to_pylist(), b.column("_state").to_pylist())]
+            yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(out)}, schema=out)
+
+    back = F.from_json("_k", StructType([StructField(commit, events.schema[commit].dataType)]))
+    out = few.mapInArrow(finish, kind)
+    return out.select(back[commit].alias(commit), *[c for c in out.columns if c != "_k"])

@@ -176,20 +176,21 @@ def training_rows_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_HANDLER_SQL = """SELECT doc_id % 97 AS commit, count(*) AS n, count(DISTINCT lang) AS n_langs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ALL"""
+_HANDLER_SQL = """SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id // 32 END AS commit, count(*) AS n, count(DISTINCT lang) AS n_langs,
+  sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ALL"""
 
 
 @query("commit_handler_docs", "K5", _HANDLER_SQL)
 def commit_handler_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's handler per commit (documents dealt to 97 commits): counts and sums of its rows."""
-    import pandas as pd
-
-    def handler(rows):
-        return pd.DataFrame({"commit": [rows["commit"].iloc[0]], "n": [len(rows)], "n_langs": [rows["lang"].nunique()],
-                             "n_chars": [int(rows["n_chars"].sum())]})
-
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("commit"), "lang", "n_chars")
-    return M.handle_commits(d, "commit", handler, "commit bigint, n bigint, n_langs bigint, n_chars bigint")
+    """A user's handler over commits of at most 32 documents and one that holds a third of all: counts and sums of a commit's rows."""
+    handler = M.Handler(
+        init=lambda: (0, frozenset(), 0),
+        update=lambda s, rows: (s[0] + len(rows), s[1] | set(rows["lang"].dropna()), s[2] + int(rows["n_chars"].sum())),
+        merge=lambda a, b: (a[0] + b[0], a[1] | b[1], a[2] + b[2]),
+        finish=lambda s: (s[0], len(s[1]), s[2]))
+    commit = F.when(F.col("doc_id") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.col("doc_id") / 32)).cast("bigint")
+    d = table(spark, sf_dir, "documents").select(commit.alias("commit"), "lang", "n_chars")
+    return M.handle_commits(d, "commit", handler, "n bigint, n_langs bigint, n_chars bigint")
 
 
 _BLOCKS_SQL = """WITH p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS r, length(a.text) % 4 AS w FROM conversations u

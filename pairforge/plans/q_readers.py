@@ -45,6 +45,23 @@ def task_readers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_CATALOG_SQL = """SELECT doc_id::VARCHAR AS name, md5(text) AS branch_digest, count(*) AS n FROM documents GROUP BY ALL"""
+
+
+@query("catalog_docs", "A1", _CATALOG_SQL)
+def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as catalogs (one JSON document of at most 512 elements a file, whole texts in them) and read back piece by piece."""
+    path = _scratch(spark, "catalogs")
+    d = table(spark, sf_dir, "documents").select(
+        F.shiftright(F.monotonically_increasing_id(), 9).alias("catalog"),
+        F.struct(F.col("doc_id").cast("string").alias("name"), F.array("lang", "source").alias("topics"), F.col("text").alias("defaultBranch")).alias("item"))
+    docs = d.groupBy("catalog").agg(F.collect_list("item").alias("items"))
+    docs.select("catalog", F.to_json(F.struct(F.size("items").alias("count"), "items")).alias("value")) \
+        .write.partitionBy("catalog").text(path)
+    back = R.read_catalog(spark, f"{path}/*")
+    return back.groupBy("name", F.md5("defaultBranch").alias("branch_digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _CLONES_SQL = f"""SELECT a.doc_id::VARCHAR AS url1, b.doc_id::VARCHAR AS url2, l.quality AS label, md5({O.collapse('a.text')}) AS source_digest,
   md5({O.collapse('b.text')}) AS target_digest
 FROM labels l JOIN documents a ON a.doc_id = l.doc_id JOIN documents b ON b.doc_id = l.doc_id + 3"""

@@ -105,3 +105,24 @@ def test_small_joins_and_lookups(spark, tmp_path):
     assert r.c == [1, 2, 3] and (r.pp.pred, r.pp.refs) == ("p", ["g"])
     files = task_files("/data", "translate", "java-cs")
     assert files["train"] == "/data/translate/train.java-cs.txt.java,/data/translate/train.java-cs.txt.cs"
+
+
+def test_a_hot_commit_is_handled_in_parts(spark):
+    import pandas as pd
+
+    rows = [(None if i % 10 == 9 else "hot" if i % 2 else f"c{i % 7}", f"k{i % 4}", i) for i in range(1000)]
+    events = spark.createDataFrame(rows, "sha string, kind string, n long").repartition(8)
+    handler = M.Handler(init=lambda: {}, update=lambda s, part: {**s, **{k: s.get(k, 0) + int(v) for k, v in part.groupby("kind")["n"].sum().items()}},
+                        merge=lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()},
+                        finish=lambda s: (sum(s.values()), sorted(s)))
+    want = {k: (int(g["n"].sum()), sorted(set(g["kind"]))) for k, g in pd.DataFrame(rows, columns=["sha", "kind", "n"]).fillna({"sha": ""}).groupby("sha")}
+    for salts in (1, 3, 64):
+        got = M.handle_commits(events, "sha", handler, "total long, kinds array<string>", salts)
+        assert got.columns == ["sha", "total", "kinds"]
+        assert {r.sha or "": (r.total, r.kinds) for r in got.collect()} == want
+    assert M.handle_commits(events.limit(0), "sha", handler, "total long, kinds array<string>").count() == 0
+    old, M.STATES_HELD = M.STATES_HELD, 1
+    try:
+        assert M.handle_commits(events, "sha", handler, "total long, kinds array<string>").count() == len(want)
+    finally:
+        M.STATES_HELD = old

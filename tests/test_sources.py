@@ -31,6 +31,48 @@ def test_catalog(spark, tmp):
     assert sorted(r.name for r in R.read_catalog(spark, p).collect()) == ["o/a", "o/b"]
 
 
+def _catalog_rows(spark, path, size="64"):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        return R.read_catalog(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_large_catalog_is_read_by_many_tasks(spark, tmp):
+    p = os.path.join(tmp, "large.json")
+    hard = ['plain', 'a,b', '{"x": [1, 2]}', '\\\\', '"', '\\\\"],{', ']}', '', 'é ü,', '\\n\\t,\\u2028', ',,,', '[[[[{{{{']
+    items = [{"name": f"o/{i},{hard[i % len(hard)]}", "labels": [{"k": hard[i % 5], "v": [i, [i]]}], "defaultBranch": hard[i % len(hard)] * (i % 7)}
+             for i in range(300)]
+    doc = {"total": 300, "before": [{"items": [{"name": "no"}]}, [1, 2]], "it}ems": "\"items\": [", "items": items, "after": [{"name": "no"}, "x,y"]}
+    with open(p, "w") as f:
+        json.dump(doc, f)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert spark.read.option("lineSep", ",").text(p).rdd.getNumPartitions() > 20
+        got = [(r.name, r.defaultBranch, r._corrupt_record) for r in R.read_catalog(spark, p).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == sorted((x["name"], x["defaultBranch"], None) for x in items)
+
+
+def test_catalog_edges(spark, tmp):
+    cases = {
+        '{"items": []}': [], '{"count": 0}': [], '{"items": null, "x": [{"name": "n"}]}': [], "{}": [], "": [],
+        '{"items": [{"name": "a"}], "n": 1}\n': [("a", False)], ' {\n "n" : {"items": [{"name": "n"}]},\n "items" : [ {"name" : "a"} ,\n {"name": "b"} ]\n}\n': [("a", False), ("b", False)],
+        '{"items": [{"name": "a"}, {"name": oops}, null, {"name": "c"}]}': [("a", False), (None, True), (None, True), ("c", False)],
+    }
+    for i, (text, want) in enumerate(cases.items()):
+        p = os.path.join(tmp, f"c{i}.json")
+        with open(p, "w") as f:
+            f.write(text)
+        for size in ("16", "1m") if want else ("16",):
+            got = [(r.name, r._corrupt_record is not None) for r in _catalog_rows(spark, p, size)]
+            assert sorted(got, key=str) == sorted(want, key=str), (text, size)
+
+
 def test_parallel_and_merge(spark, tmp):
     a, b = os.path.join(tmp, "a.txt"), os.path.join(tmp, "b.txt")
     _write(a, [f" src {i} " for i in range(10)])
@@ -90,6 +132,31 @@ def test_running_error_stream(spark, tmp):
     assert got == {"r1": 0.2, "r2": 0.0}
 
 
+def test_running_errors_read_one_snapshot_after_a_restart(spark, tmp):
+    src, ck, out = (os.path.join(tmp, x) for x in ("logs", "ck", "rates"))
+    schema, want = "run string, errors long, seen long", {}
+
+    def feed(first, last):
+        for i in range(first, last):
+            spark.createDataFrame([(f"r{i % 3}", i, 10)], schema).coalesce(1).write.parquet(os.path.join(src, f"b{i:02d}"))
+            e, n = want.get(f"r{i % 3}", (0, 0))
+            want[f"r{i % 3}"] = (e + i, n + 10)
+        q = ST.start_running_error(spark, os.path.join(src, "*"), schema, out, ck, snapshot_every=3, max_files_per_trigger=1)
+        assert q.awaitTermination(300)
+
+    for first, last in ((0, 4), (4, 11)):
+        feed(first, last)
+        got = {r.run: (r.total_errors, r.total_seen) for r in ST.latest_error_rates(spark, out).collect()}
+        assert got == want
+    names = sorted(x for x in os.listdir(out) if "=" in x)
+    assert len([x for x in names if x.startswith("snapshot")]) <= 2 and len([x for x in names if x.startswith("batch_id")]) <= 6
+    snapshots, batches = ST._written(spark, out)
+    # a batch that was being written when the stream stopped is passed over, a repeated one changes nothing
+    os.makedirs(os.path.join(out, "batch_id=999"))
+    assert {r.run: (r.total_errors, r.total_seen) for r in ST.latest_error_rates(spark, out).collect()} == want
+    assert len([n for n in batches if n > max(snapshots)]) < 3
+
+
 def test_other_sinks(spark, tmp):
     df = spark.createDataFrame([("a\tb", "g", "f"), ("x", "y", "z")], "ss string, gt string, ft string")
     W.write_comparison_csv(df, os.path.join(tmp, "cmp"))
