@@ -121,14 +121,26 @@ def best_checkpoint(log: DataFrame, run: str, step: str, metric: str, mode: str
 
 def _streaks(log: DataFrame, run: str, step: str, slices: Slices, metrics: dict[str, tuple[str, float]]) -> DataFrame:
     """For each ``out: (value, init)``: evaluations since the last strict improvement of ``value`` over the best so far
-    (at first ``init``), added as ``out``; two scans for all of them."""
-    best = [Scan(f"_p_{o}", F.col(v), "max", inclusive=False) for o, (v, _) in metrics.items()]
-    d = running(log, run, step, [Scan("_idx", F.lit(1)), *best], slices)
-    last = [Scan(f"_l_{o}", F.when(F.col(v) > F.greatest(F.coalesce(F.col(f"_p_{o}"), F.lit(i)), F.lit(i)), F.col("_idx")).otherwise(F.lit(0)), "max")
-            for o, (v, i) in metrics.items()]
-    d = running(d, run, step, last, slices)
-    return d.withColumns({o: F.col("_idx") - F.col(f"_l_{o}") for o in metrics}) \
-        .drop("_idx", *(f"_{x}_{o}" for o in metrics for x in "pl"))
+    (at first ``init``), added as ``out``.
+
+    The best before a slice comes from an aggregate of one row per slice, so the rows are dealt and sorted once: both windows run over
+    (run, slice), and the last improvement before a slice is again an aggregate of rows that lie together already."""
+    cell = [run, "_slice"]
+    base = log.withColumn("_slice", slices.id(_order_num(log, step)))
+    slice_rows = Window.partitionBy(run).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    tot = base.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), *[F.max(v).alias(f"_b_{o}") for o, (v, _) in metrics.items()])
+    before = tot.select(*cell, F.coalesce(F.sum("_n").over(slice_rows), F.lit(0)).alias("_n"),
+                        *[F.max(f"_b_{o}").over(slice_rows).alias(f"_b_{o}") for o in metrics])
+    w = Window.partitionBy(*cell).orderBy(step)
+    so_far, earlier = (w.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    d = base.join(before, cell).withColumns({"_idx": F.col("_n") + F.row_number().over(w),
+                                             **{f"_p_{o}": F.max(v).over(earlier) for o, (v, _) in metrics.items()}})
+    d = d.withColumns({f"_at_{o}": F.when(F.col(v) > F.greatest(f"_p_{o}", f"_b_{o}", F.lit(i)), F.col("_idx")) for o, (v, i) in metrics.items()})
+    d = d.withColumns({f"_l_{o}": F.max(f"_at_{o}").over(so_far) for o in metrics})
+    last = d.groupBy(*cell).agg(*[F.max(f"_at_{o}").alias(f"_o_{o}") for o in metrics])
+    last = last.select(*cell, *[F.max(f"_o_{o}").over(slice_rows).alias(f"_o_{o}") for o in metrics])
+    d = d.join(last, cell).withColumns({o: F.col("_idx") - F.coalesce(f"_l_{o}", f"_o_{o}", F.lit(0)) for o in metrics})
+    return d.drop("_slice", "_n", "_idx", *(f"_{x}_{o}" for o in metrics for x in ("b", "p", "at", "l", "o")))
 
 
 def joint_early_stop(log: DataFrame, run: str, step: str, loss: str, score: str, patience: int, init_loss: float = 1e6,

@@ -129,8 +129,23 @@ def sample_frac(df: DataFrame, id_col: str, fraction: float = 0.1, seed="1234")
 
 
 def head(df: DataFrame, order_col: str, n: int) -> DataFrame:
-    """the first ``n`` examples in order (-1 = all)."""
-    return df if n < 0 else df.orderBy(order_col).limit(n)
+    """the first ``n`` examples in order (-1 = all); rows without an order value come first.
+
+    By an integer column the n-th smallest value is found by counting and the rows are compared with it where they lie, so a large ``n``
+    is neither sorted nor gathered; only rows that share that value are limited.  Other columns are sorted."""
+    if n < 0:
+        return df
+    if dict(df.dtypes)[order_col] not in ("tinyint", "smallint", "int", "bigint"):
+        return df.orderBy(order_col).limit(n)
+    d = df.withColumn("_key", F.coalesce(order_key(order_col), F.lit("")))
+    bar = kth_smallest(d, "_key", n) if n else ""
+    if bar is None:  # fewer rows than n
+        return df
+    first = d.filter(F.col("_key") < F.lit(bar)).drop("_key")
+    if not n:
+        return first
+    tied = d.filter(F.col("_key") == F.lit(bar)).drop("_key")
+    return first.unionByName(tied.limit(n - first.count()))
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx", num_partitions: int | None = None) -> DataFrame:

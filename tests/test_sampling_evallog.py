@@ -85,3 +85,36 @@ def test_elapsed_text_boundaries(spark):
     from pairforge.functions.text import elapsed_text
     df = spark.createDataFrame([(59.0,), (3600.0,), (3661.0,), (7325.0,)], "s double")
     assert [r.t for r in df.select(elapsed_text("s").alias("t")).collect()] == ["0m", "0m", "1h1m", "2h2m"]
+
+
+def test_head_by_threshold_equals_the_sorted_rows(spark):
+    vals = [5, -3, None, 5, 0, 5, -(1 << 62), 1 << 62, None, 5, 7]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(vals)], "k long, i int").repartition(3)
+    ordered = sorted(vals, key=lambda v: (v is not None, v or 0))
+    for n in (-1, 0, 1, 2, 3, 6, 8, 10, 11, 50):
+        got = sorted([r.k for r in S.head(df, "k", n).collect()], key=lambda v: (v is not None, v or 0))
+        assert got == (ordered if n < 0 else ordered[:n]), n
+    assert S.head(df.limit(0), "k", 4).count() == 0
+    assert [r.s for r in S.head(df.select(F.col("i").cast("string").alias("s")), "s", 3).orderBy("s").collect()] == ["0", "1", "10"]
+
+
+def test_early_stops_of_random_runs_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"r{rng.choice([0, 0, 0, 0, 1, 2, 3])}", i, float(rng.randint(0, 12 + i // 40)), float(rng.randint(1, 30))) for i in range(600)]
+    rows += [("flat", i, 1.0, 2.0) for i in range(9)] + [("worse", i, -2.0, 2e6) for i in range(6)]
+    log = spark.createDataFrame(rows, "run string, step long, score double, loss double").repartition(5)
+    for patience in (2, 6, 11):
+        want, joint = {}, {}
+        for run in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == run), key=lambda r: r[1])
+            best, low, bad, bad_low, stop, both = -1.0, 1e6, 0, 0, None, None
+            for _, step, score, loss in mine:
+                best, bad = (score, 0) if score > best else (best, bad + 1)
+                low, bad_low = (loss, 0) if loss < low else (low, bad_low + 1)
+                stop = step if stop is None and bad > patience else stop
+                both = step if both is None and bad > patience and bad_low > patience else both
+            want[run], joint[run] = (len(mine), max(r[2] for r in mine), stop), (len(mine), min(r[3] for r in mine), max(r[2] for r in mine), both)
+        assert {r.run: tuple(r)[1:] for r in EV.early_stop(log, "run", "step", "score", patience).collect()} == want
+        assert {r.run: tuple(r)[1:] for r in EV.joint_early_stop(log, "run", "step", "loss", "score", patience).collect()} == joint
