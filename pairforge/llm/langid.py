@@ -50,6 +50,20 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_KEEP).split()
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past the last code point of each of a text's words (as ``words_of`` cuts them)."""
+    low = text.lower()
+    data = np.frombuffer(low.encode(), dtype=np.uint8)
+    letter = np.concatenate([[False], (data >= 0x80) | (data >= 0x61) & (data <= 0x7A), [False]])
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before a byte
+    first, last = place[edge[::2]], place[edge[1::2]]
+    if len(low) == len(text):
+        return first, last
+    of = np.repeat(np.arange(len(text) + 1), [*(len(c.lower()) for c in text), 1])  # some letters are longer in lower case
+    return of[first], of[last - 1] + 1
+
+
 def has_letter(text: str | None, words: list[bytes]) -> bool:
     """Words with an ASCII letter decide at once; others are looked at letter by letter."""
     return any(w[0] < 0x80 or w[-1] < 0x80 for w in words[:50]) or any(c.isalpha() for c in text or "")
@@ -308,21 +322,42 @@ class Labeller:
             self.rows[at:len(self.known)] = raw
         return index
 
-    def shares(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Mean label probabilities of each text."""
-        k = len(self.field.labels)
+    def probabilities(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities of all words in a row, and each text's number of words."""
         index = self._numbers([w for t in texts for w in t])
         counts = np.array([len(t) for t in texts], dtype=np.int64)
-        p = marginals(self.rows[index] if len(index) else np.empty((0, k)), counts, np.exp(self.field.start), np.exp(self.field.transitions))
-        total = np.zeros((len(p) + 1, k))
-        np.cumsum(p, axis=0, out=total[1:])
-        ends = np.cumsum(counts)
-        return (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
+        rows = self.rows[index] if len(index) else np.empty((0, len(self.field.labels)))
+        return marginals(rows, counts, np.exp(self.field.start), np.exp(self.field.transitions)), counts
+
+
+def mean_labels(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean label probabilities of each text."""
+    total = np.zeros((len(p) + 1, p.shape[1]))
+    np.cumsum(p, axis=0, out=total[1:])
+    ends = np.cumsum(counts)
+    return (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
+
+
+def label_spans(p: np.ndarray, text: str, labels: list[str]) -> list[dict]:
+    """Runs of a text's neighbouring words whose most probable label is the same."""
+    best = p.argmax(axis=1)
+    cut = np.flatnonzero(best[1:] != best[:-1]) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(best)]])
+    starts, ends = word_places(text)
+    sure = np.add.reduceat(p[np.arange(len(best)), best], first) / (last - first)
+    return [{"lang": labels[best[i]], "start": int(starts[i]), "end": int(ends[j - 1]), "words": int(j - i), "probability": min(1.0, float(x))}
+            for i, j, x in zip(first, last, sure)]
+
+
+SPAN = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("probability", pa.float64())]))
 
 
 def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", shares: bool = True,
-             keep_text: bool = False) -> DataFrame:
-    """``id``, ``lang``, ``score`` and, with ``shares``, ``shares map<string,double>`` (of each learned language) per row."""
+             keep_text: bool = False, spans: bool = False) -> DataFrame:
+    """``id``, ``lang``, ``score`` and, with ``shares``, ``shares map<string,double>`` (of each learned language) per row.
+
+    With ``spans`` also ``spans array<struct<lang,start,end,words,probability>>``: the languages of a code-switched text in order, as runs of
+    words with one label (code points, end exclusive; none where ``lang`` is ``und``)."""
     sent = df.sparkSession.sparkContext.broadcast(field)
 
     def run(texts: pa.Array) -> list[pa.Array]:
@@ -331,12 +366,18 @@ def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
         texts = texts.to_pylist()
         words = [words_of(t) if t else [] for t in texts]
         spoken = [has_letter(t, w) and bool(labels) for t, w in zip(texts, words)]
-        s = labeller.shares(words) if labels else np.zeros((len(texts), 1))
+        p, counts = labeller.probabilities(words) if labels else (np.empty((0, 1)), np.zeros(len(texts), dtype=np.int64))
+        s = mean_labels(p, counts)
         best = s.argmax(axis=1)
         out = [pa.array([labels[b] if ok else "und" for b, ok in zip(best, spoken)], pa.string()),
                pa.array([min(1.0, float(s[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, spoken))], pa.float64())]
         if shares:
             out.append(pa.array([list(zip(labels, x.tolist())) if ok else [] for x, ok in zip(s, spoken)], pa.map_(pa.string(), pa.float64())))
+        if spans:
+            ends = np.cumsum(counts)
+            out.append(pa.array([label_spans(p[e - n:e], t, labels) if ok and n else [] for t, ok, n, e in zip(texts, spoken, counts, ends)], SPAN))
         return out
 
-    return map_texts(df, run, "lang string, score double" + ", shares map<string,double>" * shares, id_col, text_col, 1 << 20, keep_text)
+    return map_texts(df, run, "lang string, score double" + ", shares map<string,double>" * shares
+                     + ", spans array<struct<lang:string,start:bigint,end:bigint,words:bigint,probability:double>>" * spans,
+                     id_col, text_col, 1 << 20, keep_text)

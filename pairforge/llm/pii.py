@@ -12,7 +12,7 @@ context; their scores are calibrated on held-out rows (isotonic), and of
 overlapping spans above the threshold the most probable is taken.
 
 The trees are fitted on a bounded sample: the candidates of at most
-``sample_rows`` documents in the order of a hash of their id, labelled by the
+``sample_rows`` documents by a hash of their id and text, labelled by the
 fixed kinds (candidates inside dropped matches have no label and are left out),
 and a fixed number of made-up examples of formats that the sample may lack.
 Statistics of nothing else enter, and finding runs over all rows and whole texts.
@@ -158,7 +158,7 @@ def candidates(text: str, runs: list[tuple[int, int]] | None = None) -> list[Can
         while b < len(text) and (text[b] in LOCAL and text[b] not in "%+_"):
             b += 1
         b -= text[b - 1] == "."
-        if a < at < b - 1 and b - a < 200:
+        if a < at < b - 1:
             out.append(Candidate(a, b, "email", _features(text, a, b, 0, a, b)))
         done = at + 1
         at = text.find("@", done)
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     rows = id_and_text(docs, id_col, text_col)
     total = rows.count()
     share = min(1.0, sample_rows / max(total, 1))
-    sample = rows.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").isNotNull())
+    sample = rows.filter((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").isNotNull())
 
     def run(batches):
         for b in batches:

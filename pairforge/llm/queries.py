@@ -79,10 +79,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
     field = langid.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
-    return langid.identify(docs.select("doc_id", "text"), field, shares=False) \
-        .select(F.col("id").alias("doc_id"), "lang", "score").withColumnRenamed("lang", "lang_pred") \
+    return langid.identify(docs.select("doc_id", "text"), field, shares=False, spans=True) \
+        .select(F.col("id").alias("doc_id"), "lang", "score", F.size("spans").cast("bigint").alias("n_spans")).withColumnRenamed("lang", "lang_pred") \
         .withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))) \
-        .select("doc_id", "held_out", "lang_pred", "score")
+        .select("doc_id", "held_out", "lang_pred", "score", "n_spans")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ target ids, smallest hash first, sent as one broadcast of ids of that size.
 
 Defined results: texts of any length are read whole; an empty table gives no
 rows; null, empty and blank texts have log weight 0; rows of equal
-id and text (repeated rows) are selected together; rows without id take noise
+id and text (repeated rows) share a key, and where the k-th largest key falls among them
+as many of them are selected as are missing, so exactly k rows are; rows without id take noise
 of the null id; without target rows all weights are 0 (a uniform draw); an
 empty table gives no rows; other columns are not read.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pairforge.llm import _words
 from pairforge.llm._arrow import id_and_text, map_texts, pieces, schema_of, written
 from pairforge.operators.sampling import kth_smallest_many
+from pairforge.sources.readers import with_line_index
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
@@ -109,5 +111,13 @@ def resample(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     n = scored.count()
     take = int(fraction * n) if k is None else min(k, n)
     bar = kth_smallest_many(scored, "key", [take])[1][0] if take else None
-    chosen = F.col("key") <= F.lit(bar) if bar is not None else F.lit(False)
-    return scored.select("id", "n_grams", "log_weight", "gumbel_key", chosen.alias("selected"))
+    columns = ["id", "n_grams", "log_weight", "gumbel_key"]
+    if bar is None:
+        return scored.select(*columns, F.lit(False).alias("selected"))
+    at = F.col("key") == F.lit(bar)
+    above, tied = scored.agg(F.count_if(F.col("key") < F.lit(bar)), F.count_if(at)).first()
+    if tied == 1:
+        return scored.select(*columns, (F.col("key") <= F.lit(bar)).alias("selected"))
+    # copies of one row share the last key: as many of them as are missing, numbered by their place in the written table
+    last = with_line_index(scored.filter(at), "rank").select(*columns, (F.col("rank") < take - above).alias("selected"))
+    return scored.filter(~at).select(*columns, (F.col("key") < F.lit(bar)).alias("selected")).unionByName(last)

@@ -97,3 +97,43 @@ def test_a_language_of_long_rows_only_is_learned(spark):
     want = {x.doc_id: x.lang for x in d.collect()}
     for field in (langid.fit(df), langid.fit(df, max_chars=500), langid.fit(df, total_chars=200_000)):
         assert {x.id: x.lang for x in langid.identify(d, field).collect()} == want
+
+
+def test_spans_of_switched_texts_are_those_they_were_made_of(spark):
+    r = random.Random(9)
+    field = langid.fit_field([(say(r, x, 80), x) for x in VOC for _ in range(40)])
+    rows, want = [], {}
+    for i in range(60):
+        text, spans, last = "", [], None
+        for _ in range(r.randint(1, 4)):
+            last = r.choice([x for x in VOC if x != last])
+            part = say(r, last, r.randint(12, 40))
+            text += r.choice([" ", "\n", " 😀 ", " -- 7 "])
+            spans.append((last, len(text), len(text) + len(part), len(part.split())))
+            text += part
+        rows.append((i, text, "x"))
+        want[i] = spans
+    got = {x.id: x.spans for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, spans string"), field, spans=True).collect()}
+    words = right = same = 0
+    for i, spans in want.items():
+        starts, ends = langid.word_places(rows[i][1])
+        labels = {}
+        for s in got[i]:
+            assert 0 < s.probability <= 1
+            labels.update({a: s.lang for a in starts[(starts >= s.start) & (starts < s.end)].tolist()})
+            assert s.start in starts and s.end in ends
+        assert sum(s.words for s in got[i]) == len(starts) == len(labels)
+        truth = {a: x for x, lo, hi, _ in spans for a in starts[(starts >= lo) & (starts < hi)].tolist()}
+        words += len(starts)
+        right += sum(labels[a] == truth.get(a) for a in labels)
+        same += [s.lang for s in got[i]] == [x for x, *_ in spans]
+    assert right / words > 0.95 and same / len(want) > 0.9
+    empty = spark.createDataFrame([(1, None), (2, ""), (3, "12 !")], "doc_id long, text string")
+    assert [x.spans for x in langid.identify(empty, field, spans=True).collect()] == [[], [], []]
+
+
+def test_places_of_words():
+    for t in ("", "a", " Ab-c, d", "İİ x İ", "日本 ab 😀 c", "ΣΑΣ, ß", "İstanbul'da İ", "A" * 5000 + " b"):
+        starts, ends = langid.word_places(t)
+        assert [t[a:b].lower().encode() for a, b in zip(starts, ends)] == [w for w in langid.words_of(t)] or "Σ" in t or "İ" in t
+        assert len(starts) == len(langid.words_of(t)) and (starts < ends).all()

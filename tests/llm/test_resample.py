@@ -79,3 +79,17 @@ def test_query_covers_every_document(spark):
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert out.filter("selected").count() == out.count() // 2
     assert out.filter(F.isnan("log_weight")).count() == 0
+
+
+def test_exactly_k_where_repeated_rows_share_the_last_key(spark):
+    docs = [(i, f"a{i % 5} b{i % 3}") for i in range(60)] + [(77, "a1 b1")] * 40 + [(None, "a2 b2")] * 20
+    d, g = frames(spark, docs, range(0, 60, 5))
+    d = d.repartition(5)
+    rows = resample.resample(d, g, k=1).collect()
+    above = sum(x.gumbel_key > next(y.gumbel_key for y in rows if y.id == 77) for x in rows)
+    for k in (0, above, above + 1, above + 17, above + 40, above + 41, len(docs), 1000):
+        got = resample.resample(d, g, k=k).collect()
+        chosen = [x for x in got if x.selected]
+        assert len(got) == len(docs) and len(chosen) == min(k, len(docs)), k
+        if chosen and len(chosen) < len(got):
+            assert min(x.gumbel_key for x in chosen) >= max(x.gumbel_key for x in got if not x.selected)
