@@ -8,7 +8,6 @@ counts (one row per split) give the offsets.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import collapse_ws, py_strip
 from pairforge.operators.prepare import text_to_label
+from pairforge.session import ensure_checkpoint_dir
+from pairforge.sources import catalog
 
 CORRUPT = "_corrupt_record"
 
@@ -36,56 +37,43 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, keep_corrupt: bool =
 def read_catalog(spark: SparkSession, path: str, member: str = "items", schema: str = ITEM_SCHEMA) -> DataFrame:
     """A1: JSON documents ``{items: [...]}``, one per file -> one row per element (a missing or empty array gives none).
 
-    A document of any size is read by many tasks.  It is cut at its commas, so its pieces follow the file splits.  Whether a piece starts
-    inside a string depends on the quotes before it and its depth on the brackets outside strings; within a split both are running
-    sums, kept for both states the split may start in, and one row per split gives the state it does start in.  A piece that starts
-    outside strings two brackets deep begins an element; an element's pieces (wherever splits cut it) are put together and parsed.
+    A document of any size is read by many tasks, and its text is never shuffled.  It is cut at its commas, so its pieces follow the file
+    splits (``catalog.py``).  Files of several splits take two passes more: one counts quotes and brackets of each split for both
+    states it may start in, and one row per split, summed up in order, gives the state it does start in; the other takes the pieces
+    of elements that a split's border cuts, at most two a split, which are put together by a join of neighbours.
 
     An element that isn't JSON of ``schema`` lands in ``_corrupt_record``; one without text (between two commas) is left out.  Where an
     element's quotes or brackets don't balance, the rest of its document can't be told apart and lands in its elements as it is cut."""
-    split = ["_path", "_start"]
-    d = spark.read.option("lineSep", ",").text(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid"))
-    plain = F.regexp_replace("value", r"(?s)\\.", "")  # no escape spans a comma
-
-    def depth(text):  # brackets opened less closed outside strings
-        bare = F.regexp_replace(text, '"[^"]*"?', "")
-        return F.length(F.translate(bare, "]}", "")) - F.length(F.translate(bare, "[{", ""))
-
-    d = d.select("*", (F.length(plain) - F.length(F.translate(plain, '"', ""))).alias("_q"), depth(plain).alias("_out"),
-                 depth(F.concat(F.lit('"'), plain)).alias("_in"))
-    earlier = Window.partitionBy(*split).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-
-    def before(c, w):
-        return F.coalesce(F.sum(c).over(w), F.lit(0))
-
-    d = d.withColumn("_qb", before("_q", earlier))
-    even = F.col("_qb") % 2 == 0
-    d = d.withColumns({"_d0": F.when(even, F.col("_out")).otherwise(F.col("_in")), "_d1": F.when(even, F.col("_in")).otherwise(F.col("_out"))})
-    files = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
-    s = d.groupBy(*split).agg(*[F.sum(c).alias(c) for c in ("_q", "_d0", "_d1")]).withColumn("_s", before("_q", files) % 2)
-    s = s.withColumn("_off", before(F.when(F.col("_s") == 0, F.col("_d0")).otherwise(F.col("_d1")), files)).select(*split, "_s", "_off")
-
-    d = d.withColumns({"_b0": before("_d0", earlier), "_b1": before("_d1", earlier)}).join(s, split)
-    own = F.col("_s") == 0
-    d = d.select(*split, "_mid", "value", ((F.col("_qb") + F.col("_s")) % 2 == 0).alias("_bare"),
-                 (F.col("_off") + F.when(own, F.col("_b0")).otherwise(F.col("_b1"))).alias("_depth"),
-                 F.when(own, F.col("_d0")).otherwise(F.col("_d1")).alias("_delta"))
-    head = r'(?s)^[\s\uFEFF]*\{?\s*"' + re.escape(member) + r'"\s*:\s*\['
-    opens = F.col("_bare") & (F.col("_depth") < 2)  # a member of the document
-    d = d.withColumns({"_opens": F.when(opens, F.col("value").rlike(head)),
-                       "_elem": F.when(opens | F.col("_bare") & (F.col("_depth") == 2), F.col("_mid"))})
-    w = Window.partitionBy(*split).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    known = d.groupBy(*split).agg(F.max("_elem").alias("_e"), F.max_by("_opens", F.when(F.col("_opens").isNotNull(), F.col("_mid"))).alias("_o"))
-    known = known.select(*split, F.max("_e").over(files).alias("_e"), F.last("_o", ignorenulls=True).over(files).alias("_o"))
-    text = F.when(F.col("_opens"), F.regexp_replace("value", head, "")).otherwise(F.col("value"))
-    text = F.when(F.col("_depth") + F.col("_delta") < 2, F.regexp_replace(text, r"(?s)\s*\]\s*\}?\s*$", "")).otherwise(text)
-    d = d.withColumns({"_e0": F.max("_elem").over(w), "_o0": F.last("_opens", ignorenulls=True).over(w)}).join(known, split)
-    d = d.filter(F.coalesce("_o0", "_o")).select(F.coalesce("_e0", "_e").alias("_elem"), "_mid", text.alias("text"))
-    whole = d.groupBy("_elem").agg(F.array_sort(F.collect_list(F.struct("_mid", "text"))).alias("p"))  # bounded by one element
-    whole = whole.select(F.array_join(F.transform("p", lambda x: x["text"]), ",").alias("t")).filter(F.trim(F.translate("t", "\t\r\n", "")) != "")
-    return whole.select(F.from_json("t", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("it")).select("it.*")
+    ensure_checkpoint_dir(spark)
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("single"))
+    cut, key = pieces.filter("NOT single"), ["file", "start"]
+    before, upto = (Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, x) for x in (-1, 0))
+
+    def total(c):
+        return F.coalesce(F.sum(c).over(before), F.lit(0))
+
+    # one row per split, as all tables that are sent to the tasks here
+    t = cut.select(*key, "value").mapInArrow(catalog.totals, catalog.TOTALS).withColumn("inside", (total("quotes") % 2).cast("int"))
+    t = t.withColumn("depth", total(F.when(F.col("inside") == 0, F.col("outer")).otherwise(F.col("inner"))))
+    known = cut.join(F.broadcast(t.select(*key, "inside", "depth")), key)
+    ends = known.select(*key, "value", "inside", "depth").mapInArrow(catalog.ends(member), catalog.ENDS).checkpoint()
+    runs = ends.select(*key, "inside", "depth", F.last("opens", ignorenulls=True).over(before).alias("opens"),
+                       F.last("opens", ignorenulls=True).over(upto).alias("kept"),
+                       F.last(F.when(F.col("tail").isNotNull(), F.col("start")), ignorenulls=True).over(before).alias("origin"))
+    whole = pieces.join(F.broadcast(runs.select(*key, "inside", "depth", "opens")), key, "left") \
+        .select(*key, "value", "single", "inside", "depth", "opens").mapInArrow(catalog.elements(member), "text string")
+
+    parts = ends.select(*key, "head", "tail").join(runs.select(*key, "origin", "kept"), key)
+    parts = parts.select("file", F.explode(F.array(
+        F.struct(F.col("start").alias("origin"), F.col("start").alias("part"), F.col("tail").alias("text"), F.col("kept").alias("kept")),
+        F.struct(F.col("origin").alias("origin"), F.col("start").alias("part"), F.col("head").alias("text"), F.lit(None).cast("boolean").alias("kept")))).alias("x"))
+    parts = parts.select("file", "x.*").filter("text IS NOT NULL").groupBy("file", "origin") \
+        .agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"), F.max("kept").alias("kept"))  # one element
+    joined = parts.filter("kept").select(F.array_join(F.transform("p", lambda x: x["text"]), ",").alias("text"))
+    out = whole.unionByName(joined).filter(F.trim(F.translate("text", "\t\r\n", "")) != "")
+    return out.select(F.from_json("text", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("it")).select("it.*")
 
 
 def with_line_index(df: DataFrame, name: str = "line_no") -> DataFrame:
