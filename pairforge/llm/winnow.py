@@ -4,8 +4,11 @@ A text's k-grams of words are hashed; of every ``w`` neighbouring k-grams the
 (leftmost) smallest hash is a fingerprint.  Two texts that share a run of
 ``w + k - 1`` words share all k-grams of a window there and so a fingerprint of
 it.  With ``w + k - 1`` equal to the contract's window of words, joining the
-fingerprints of documents and benchmark items and extending each meeting to its
-longest common run therefore finds every shared window.  Items shorter than a
+fingerprints of documents and benchmark items and extending each meeting to the
+windows around it therefore finds every shared window.  A window is looked up among
+the items' distinct windows and compared word by word with one of them, so texts and
+items that repeat themselves cost no more than others; neighbouring windows
+make up the shared runs.  Items shorter than a
 window are one window of their own length and are fingerprinted at that length.
 
 The benchmark is read in shards of bounded text size; each shard's fingerprints
@@ -58,58 +61,77 @@ def fingerprints(words: np.ndarray, row: np.ndarray, length: int) -> tuple[np.nd
 
 
 class Shard:
-    """Fingerprints of some benchmark items, by window length."""
+    """Fingerprints and distinct windows of some benchmark items, by window length."""
 
     def __init__(self, ids: list, texts: list, window: int):
         self.window = window
         self.ids = np.array([None if i is None else str(i) for i in ids], dtype=object)
         row, self.words, _, _, counts = _words.split(pa.array(texts, pa.string()), _words.ALNUM)
-        self.row = row
-        self.first = np.cumsum(counts) - counts
-        self.counts = counts
         self.by_length = []
         for length in sorted({min(int(c), window) for c in counts if c}):
             mine = counts >= window if length == window else counts == length
-            keep = mine[row]
-            places, hashes = fingerprints(self.words[keep], row[keep], length)
-            places = np.flatnonzero(keep)[places]
-            order = np.argsort(hashes, kind="stable")
-            distinct, begin, times = np.unique(hashes[order], return_index=True, return_counts=True)
-            self.by_length.append((length, distinct, begin, times, places[order]))
-
-    def hits(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, first word, end, item) of each maximal common run that holds a window."""
-        found = []
-        for length, distinct, begin, times, item_places in self.by_length:
+            here = np.flatnonzero(mine[row])
+            words, of = self.words[here], row[here]
+            _, prints = fingerprints(words, of, length)
+            h = _words.grams(words, length)
+            start = np.flatnonzero(of[:len(h)] == of[length - 1:length - 1 + len(h)])
+            distinct, first, number = np.unique(h[start], return_index=True, return_inverse=True)
+            # each window's items, every item once
+            item = of[start]
+            order = np.lexsort((item, number))
+            number, item = number[order], item[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (number[1:] != number[:-1]) | (item[1:] != item[:-1])
+            items = item[new].astype(np.int32)
+            begin = np.searchsorted(number[new], np.arange(len(distinct) + 1))
+            self.by_length.append((length, np.unique(prints), distinct, here[start[first]], begin, items))
+
+    def hits(self, words: np.ndarray, row: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """(row, first word, end) of the runs covered by shared windows, and each row's items, (row, item).
+
+        A meeting of fingerprints is extended to the windows around it; each of them is looked up once, however often the item or
+        the text repeats it, so the work is linear in the text."""
+        cover = np.zeros(len(words) + 1, dtype=np.int32)
+        rows, items = [], []
+        for length, prints, distinct, first, begin, of in self.by_length:
             places, hashes = fingerprints(words, row, length)
-            i = np.minimum(np.searchsorted(distinct, hashes), max(len(distinct) - 1, 0))
-            met = distinct[i] == hashes
-            places, i = places[met], i[met]
-            reps = times[i]
-            p = np.repeat(places, reps)
-            nth = np.arange(len(p)) - np.repeat(np.cumsum(reps) - reps, reps)
-            q = item_places[np.repeat(begin[i], reps) + nth]
-            lo, hi = self._extend(words, row, p, q, -1), self._extend(words, row, p, q, 1)
-            enough = lo + hi + 1 >= length
-            p, q, lo, hi = p[enough], q[enough], lo[enough], hi[enough]
-            found.append(np.stack([p - lo, p + hi + 1, self.row[q]]))
-        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((3, 0), np.int64)
-        return row[out[0]], out[0], out[1], out[2]
-
-    def _extend(self, words, row, p, q, way) -> np.ndarray:
-        """Equal neighbouring words on one side of each meeting, within the text and the item."""
-        far = np.zeros(len(p), np.int64)
-        live = np.arange(len(p))
-        step = 0
-        while len(live):
-            step += way
-            a, b = p[live] + step, q[live] + step
-            ok = (a >= 0) & (a < len(words)) & (b >= 0) & (b < len(self.words))
-            live, a, b = live[ok], a[ok], b[ok]
-            ok = (row[a] == row[p[live]]) & (self.row[b] == self.row[q[live]]) & (words[a] == self.words[b])
-            live = live[ok]
-            far[live] += 1
-        return far
+            places = places[_member(prints, hashes)[1]]
+            if not len(places):
+                continue
+            k = min(K, length)
+            near = np.zeros(len(words) + 1, dtype=np.int32)
+            np.add.at(near, np.maximum(places - (length - k), 0), 1)
+            np.add.at(near, places + 1, -1)
+            h = _words.grams(words, length)
+            start = np.flatnonzero((np.cumsum(near)[:len(h)] > 0) & (row[:len(h)] == row[length - 1:length - 1 + len(h)]))
+            at, met = _member(distinct, h[start])
+            start, at = start[met], at[met]
+            for j in range(length):  # the words themselves decide
+                same = words[start + j] == self.words[first[at] + j]
+                start, at = start[same], at[same]
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + length, -1)
+            pair = np.unique(np.stack([row[start], at]), axis=1)  # a text's distinct windows
+            n = begin[pair[1] + 1] - begin[pair[1]]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows.append(np.repeat(pair[0], n))
+            items.append(of[np.repeat(begin[pair[1]], n) + nth])
+        inside = np.cumsum(cover[:-1]) > 0
+        edge = np.ones(len(words), dtype=bool)
+        edge[1:] = (inside[1:] != inside[:-1]) | (row[1:] != row[:-1])
+        edge = np.flatnonzero(edge)
+        end = np.append(edge[1:], len(words))
+        hit = inside[edge]
+        both = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1) if rows else np.empty((2, 0), np.int64)
+        return (row[edge[hit]], edge[hit], end[hit]), (both[0], both[1])
+
+
+def _member(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,16 +180,20 @@ def _pass(shard, share, keep_text=False):
         for b in pieces(batches, 1 << 20):
             row, words, _, _, counts = _words.split(b.column("text"), _words.ALNUM)
             spans, items = b.column("spans").to_pylist(), b.column("items").to_pylist()
-            new: dict[int, list] = {}
             if index is not None:
-                for r, a, z, i in zip(*(x.tolist() for x in index.hits(words, row))):
-                    new.setdefault(r, []).append((a, z, i))
-            base = np.cumsum(counts) - counts
-            for r, found in new.items():
-                o = int(base[r])
-                old = [(s["a"], s["b"]) for s in spans[r]]
-                spans[r] = [{"a": a, "b": z} for a, z in _merge(old + [(a - o, z - o) for a, z, _ in found])]
-                items[r] = sorted({*items[r], *(index.ids[i] for _, _, i in found if index.ids[i] is not None)})
+                base = np.cumsum(counts) - counts
+                runs, met = index.hits(words, row)
+                new: dict[int, list] = {}
+                for r, a, z in zip(*(x.tolist() for x in runs)):
+                    new.setdefault(r, []).append((a - int(base[r]), z - int(base[r])))
+                for r, found in new.items():
+                    spans[r] = [{"a": a, "b": z} for a, z in _merge([(s["a"], s["b"]) for s in spans[r]] + found)]
+                named: dict[int, set] = {}
+                for r, i in zip(*(x.tolist() for x in met)):
+                    if index.ids[i] is not None:
+                        named.setdefault(r, set(items[r])).add(index.ids[i])
+                for r, found in named.items():
+                    items[r] = sorted(found)
             cols, names = [pa.array(spans, pair), pa.array(items, strings)], ["spans", "items"]
             if share is None:
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), *cols], ["id", "text", *names])

@@ -85,3 +85,29 @@ def test_spans_are_word_ranges(spark):
     b = spark.createDataFrame([(5, "A b C")], "item_id bigint, text string")
     row = winnow.decontaminate(d, b).select(F.transform("spans", lambda s: F.concat_ws("-", s.a, s.b)).alias("s")).first()
     assert row.s == ["2-5", "6-9"]
+
+
+def test_items_of_one_word_and_repeated_items(spark):
+    r = random.Random(8)
+    voc = [f"v{i}" for i in range(300)]
+    text = lambda n: " ".join(r.choice(voc) for _ in range(n))
+    items = [(1, "v7"), (2, "V7."), (3, "v8 v9"), (4, text(13)), (None, "v11"), (5, "v8"), (6, "zz zz"), (7, "zz " * 20)]
+    docs = [(i, text(r.randint(0, 80))) for i in range(40)] + [(50, "v8 v9 v7"), (51, "zz " * 30), (52, "zz"), (53, items[3][1] + " " + items[3][1])]
+    for size in (1 << 20, 60):
+        assert ran(spark, docs, items, shard_bytes=size) == brute(docs, items)
+
+
+def test_texts_that_repeat_themselves_take_linear_time():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    period = " ".join(f"p{i % 7}" for i in range(20_000))
+    shard = winnow.Shard([1, 2], [period, "one two"], 13)
+    row, words_, _, _, _ = winnow._words.split(pa.array([" ".join(f"p{i % 7}" for i in range(200_000)), "x one two", None]), winnow._words.ALNUM)
+    t = time.time()
+    (r, a, z), (rows, items) = shard.hits(words_, row)
+    assert time.time() - t < 10
+    assert list(zip(r.tolist(), a.tolist(), z.tolist())) == [(0, 0, 200_000), (1, 200_001, 200_003)]
+    assert list(zip(rows.tolist(), items.tolist())) == [(0, 0), (1, 1)] and np.all(shard.ids == np.array(["1", "2"], dtype=object))
