@@ -102,21 +102,14 @@ def ngram_stats(
 
     def run(batches):
         for b in batches:
-            hyps, all_refs = b.column("_hyp"), b.column("_refs")
-            if texts:
-                hyps, all_refs = _split(hyps), _relist(all_refs, _split(all_refs.flatten()))
-            inner = np.concatenate([[0], np.cumsum(_lengths(all_refs.flatten()))])
-            ends = np.cumsum(_lengths(all_refs))
-            total, at = np.cumsum(_lengths(hyps)) + inner[ends], 0
-            while at < b.num_rows:  # a bounded number of tokens at a time, or one longer pair
-                past = total[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(total, past + _BATCH_TOKENS, side="right")))
-                some = all_refs.slice(at, end - at)
-                cols = _count_pairs(hyps.slice(at, end - at), some, max_n, keywords)
-                lens = _relist(some, pa.array(_lengths(some.flatten()).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in kept), lens,
+            for some in _runs(b, texts):
+                hyps, many = some.column("_hyp"), some.column("_refs")
+                if texts:
+                    hyps, many = _split(hyps), _relist(many, _split(many.flatten()))
+                cols = _count_pairs(hyps, many, max_n, keywords)
+                lens = _relist(many, pa.array(_lengths(many.flatten()).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), lens,
                                                   *(pa.array(cols[c]) for c in ("hyp_len", *counts))], names=schema.names)
-                at = end
 
     out = df.select(*kept, "_hyp", "_refs").mapInArrow(run, schema)
     hl, lens = F.col("hyp_len"), F.col("_lens")
@@ -128,8 +121,20 @@ def ngram_stats(
                       *(["wden1"] if keywords is not None else []), *_count_cols(max_n, keywords))
 
 
-#: tokens of both sides that are counted at once in a task
-_BATCH_TOKENS = 2_000_000
+#: tokens, or bytes of text, of both sides that are split and counted at once in a task: a worker's memory doesn't grow with its batch
+_RUN_TOKENS, _RUN_BYTES = 1 << 17, 1 << 20
+
+
+def _runs(batch: pa.RecordBatch, texts: bool):
+    """Runs of a batch's rows that hold a bounded number of tokens or bytes of text, or one longer pair."""
+    hyps, refs = batch.column("_hyp"), batch.column("_refs")
+    size = (lambda x: pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if texts else _lengths
+    inner = np.concatenate([[0], np.cumsum(size(refs.flatten()))])
+    total, most, at = np.cumsum(size(hyps)) + inner[np.cumsum(_lengths(refs))], _RUN_BYTES if texts else _RUN_TOKENS, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
@@ -154,7 +159,8 @@ def _count_pairs(hyp: pa.Array, refs: pa.Array, max_n: int, keywords) -> dict[st
     """Clipped matches of every order (and keyword-weighted sums) of each row's token list and reference lists.
 
     Tokens are numbered once; a gram of order n is the pair (its first n - 1 tokens' number, last token), numbered again,
-    with the row in the first number, so all counts are exact and no gram is built as a string."""
+    with the row in the first number, so all counts are exact and no gram is built as a string.  A gram that both sides
+    have consists of two shorter ones that both have, so only places of these are looked at from order 2 on."""
     hl, per_row = _lengths(hyp), _lengths(refs)
     rows, inner = len(hl), refs.flatten()
     rl = _lengths(inner)
@@ -167,8 +173,8 @@ def _count_pairs(hyp: pa.Array, refs: pa.Array, max_n: int, keywords) -> dict[st
     row_of = np.concatenate([np.arange(rows), ref_row])
     out: dict[str, np.ndarray] = {"hyp_len": hl.astype(np.int32)}
     gram = row_of[of_list]
+    at = np.arange(len(of_list))
     for n in range(1, max_n + 1):
-        at = np.flatnonzero(of_list[:max(len(of_list) - n + 1, 0)] == of_list[n - 1:])
         number, _ = pd.factorize(gram[at] * size + token[at + n - 1])
         count = int(number.max()) + 1 if len(number) else 0
         lists = of_list[at]
@@ -197,6 +203,11 @@ def _count_pairs(hyp: pa.Array, refs: pa.Array, max_n: int, keywords) -> dict[st
             out["wden1"] = np.bincount(ref_row, each, minlength=rows) + 0.0
         gram = np.zeros(len(of_list), np.int64)
         gram[at] = number
+        both_have = np.zeros(len(of_list), bool)
+        both_have[at] = ((hc > 0) & (most > 0))[number]
+        at = np.flatnonzero(both_have[:-1] & both_have[1:])
+        at = at[at + n < len(of_list)]
+        at = at[of_list[at] == of_list[at + n]]
     return out
 
 
