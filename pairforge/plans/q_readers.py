@@ -11,6 +11,7 @@ from pairforge.plans.catalog import query
 from pairforge.plans.pairs import turn_pairs
 from pairforge.plans.q_codebleu import LINK_RE, PAGE_PAIRS, page_pairs
 from pairforge.plans.q_helpers import _one_line, _scratch
+from pairforge.session import ensure_checkpoint_dir
 from pairforge.sources import readers as R
 from pairforge.sources import sinks as W
 from pairforge.sources.tables import table
@@ -26,7 +27,8 @@ SELECT task, idx, md5(s) AS source_digest, md5(t) AS target_digest FROM r"""
 @query("task_readers_docs", "A2 A6 A7 A8 A9 A13", _TASKS_SQL)
 def task_readers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as the JSON lines of four tasks, in id order, and read back by their readers."""
-    d = table(spark, sf_dir, "documents").orderBy("doc_id")
+    ensure_checkpoint_dir(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id").checkpoint()  # sorted once for the four
     made = {
         "concode": d.select(F.col("text").alias("nl"), F.concat("lang", F.lit(" ")).alias("code")),
         "summarize": d.select(F.split("text", " ").alias("code_tokens"), F.array("lang", "source").alias("docstring_tokens")),

@@ -87,7 +87,7 @@ def with_line_index(df: DataFrame, name: str = "line_no") -> DataFrame:
     counts = d.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     before = F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1))
     off = counts.select("_path", "_start", "_base", F.coalesce(before, F.lit(0)).alias("_off"))
-    out = d.join(off, ["_path", "_start"])
+    out = d.join(F.broadcast(off), ["_path", "_start"])  # one row per split: the rows aren't shuffled
     return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_base")).drop("_path", "_start", "_mid", "_off", "_base")
 
 
