@@ -1,20 +1,16 @@
-"""Prefix trie of conversations by van Emde Boas recursion (operator 12).
+"""Prefix trie of conversations by digests of prefixes (operator 12).
 
-A sequence of depths 0..H is cut at half depth.  Prefixes that reach the cut are
-named (by their smallest member), the upper trie is built from one
-sequence per name and a lower forest hangs below every name; both are cut again
-in the same way.  All blocks of one size are cut at once, so H turns take log H
-rounds, each a few joins and aggregations over rows (sequence, block), and a row
-names the node its block hangs from.  At size one a row is a node.
+A sequence is cut into blocks of 64 turns, blocks into blocks of 64, and so on; a block's content is compared by
+the digest of its parts.  Downwards, a prefix's digest is that of the prefix before its block and of the block's parts
+up to it, so all prefixes of H turns take log H (to the base 64) rounds and no step holds more of a sequence than a
+block.  A prefix is named by its smallest member: a node is a length and a name.
 
-A block's content is compared by a digest built from its halves' (log H rounds
-before).  Totals are grafted upward in two sweeps of log H rounds: first every
-node that starts a block gets the sum of its block's nodes below it from those of
-the two halves, then nodes at the cuts add what hangs from their block's end.
+A node's names along a sequence rise with the depth, so a sequence names the nodes from some depth to its end; the
+parent of the first of them has the next smaller name.  Totals over subtrees are sums, over the sequences that pass a
+node, of what the sequence names from there on; these are running sums within blocks and over blocks.
 
-Equal sequences are one row from the start.  No step holds a sequence or a
-subtree: rows are turns, blocks and nodes, sums are combined before they are
-shuffled, and a name that very many sequences share is one row of a join.
+Equal sequences are one row from the start.  No step holds a subtree: rows are turns, blocks and nodes, sums are
+combined before they are shuffled, and a name that very many sequences share is one row of a join.
 
 Defined results: see ``rebuild`` for nulls, ties and repeated rows; texts of any
 length are read whole and compared by SHA-256; sequences without turns are
@@ -25,11 +21,14 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.llm._arrow import written
 
+#: turns or blocks in a block, as a power of two
+BLOCK = 6
+
 
 def numbered(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
              text_col: str = "text") -> DataFrame:
@@ -108,77 +107,61 @@ def prefix_trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
     and ``saved`` (over the subtree), ``ends`` (SHA-256 of the comma-joined ids that end here, null if none)."""
     spark = ids.sparkSession
     total = ids.agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("root"), F.max("len").alias("len")).first()
-    rounds = max(0, ((total["len"] or 0) - 1).bit_length())
-    both = ("saved", "leaves")
+    size, zero = 1 << BLOCK, F.lit(0).cast("bigint")
+    rounds = 1
+    while (1 << (BLOCK * rounds)) < (total["len"] or 0):
+        rounds += 1
 
-    # digests of blocks of 1, 2, 4, .. turns
-    blocks = [turns.select("id", F.col("pos").alias("j"), F.col("sym").alias("d"))]
+    # blocks of 64 turns, of 64 blocks, ..: their parts' digests, 64 digits each, in order
+    blocks, parts = [], turns.select("id", F.col("pos").alias("j"), F.col("sym").alias("d"), "n")
     for k in range(rounds):
-        def half(side: int) -> Column:
-            return F.max(F.when(F.col("j") % 2 == side, F.col("d")))
-        pair = F.concat(half(0), F.coalesce(half(1), F.lit("").cast("binary")))
-        up = blocks[-1].groupBy("id", F.shiftright("j", 1).alias("j")).agg(F.unhex(F.sha2(pair, 256)).alias("d"))
-        blocks.append(written(spark, up, "blocks"))
-    top = ids.join(blocks[-1].select("id", "d"), "id", "left").withColumn("d", F.coalesce("d", F.lit("").cast("binary")))
+        items = F.array_sort(F.collect_list(F.struct("j", F.lower(F.hex("d")).alias("d"), "n")))
+        up = parts.groupBy("id", F.shiftright("j", BLOCK).alias("j")).agg(items.alias("x")) \
+            .select("id", "j", F.array_join(F.col("x")["d"], "").alias("s"), F.col("x")["n"].alias("ns"))
+        blocks.append(written(spark, up if not k else up.drop("ns"), "blocks"))
+        parts = blocks[-1].select("id", "j", F.unhex(F.sha2("s", 256)).alias("d"), zero.alias("n"))
+    top = ids.join(parts.select("id", "d"), "id", "left").withColumn("d", F.coalesce("d", F.lit("").cast("binary")))
     classes = written(spark, _classes(top), "classes")
 
-    # names of the cuts, all blocks of one size at a time; a row is a distinct content of a block below a node
-    rows = classes.filter("len > 0").select("id", "len", "m", F.lit(0).cast("bigint").alias("lo"), F.lit(total["root"]).cast("bigint").alias("root"))
-    ends = [classes.filter(F.col("len") == F.lit(1 << rounds) if total["len"] else F.lit(False)).select("id", F.col("len").alias("depth"), "ends"),
-            classes.filter("len = 0").select(F.lit(total["root"]).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("depth"), "ends")]
-    ended = classes.select(F.col("id").alias("class"), "ends")
-    cuts = {}  # block size as a power of two -> named rows
-    for k in range(rounds, 0, -1):
-        size = 1 << (k - 1)
-        reach = rows.filter(F.col("len") >= F.col("lo") + size).withColumn("j", F.shiftright("lo", k - 1)) \
-            .join(blocks[k - 1].select("id", "j", "d"), ["id", "j"])
-        # dealt anew, so that the join has a shuffle of its own on both sides and a hot name's rows can be split
-        names = reach.groupBy("lo", "root", "d").agg(F.min("id").alias("name"), F.sum("m").alias("members")).repartition("name")
-        named = written(spark, reach.join(names, ["lo", "root", "d"]).select("id", "len", "m", "lo", "root", "name", "members"), "cuts")
-        cuts[k] = named
-        at = F.col("lo") + size
-        ends.append(named.filter(F.col("len") == at).select(F.col("id").alias("class"), F.col("name").alias("id"), at.alias("depth"))
-                    .join(ended, "class").select("id", "depth", "ends"))
-        upper = named.filter("id = name").select("id", "len", F.col("members").alias("m"), "lo", "root")
-        lower = named.filter(F.col("len") > at).select("id", "len", "m", at.alias("lo"), F.col("name").alias("root"))
-        short = rows.filter(F.col("len") < at)
-        rows = short.union(upper).union(lower)
-
-    nodes = rows.join(turns.select("id", F.col("pos").alias("lo"), "n"), ["id", "lo"]).select(
-        "id", (F.col("lo") + 1).alias("depth"), F.col("root").alias("parent"), F.col("m").alias("n_convs"),
-        ((F.col("m") - 1) * F.col("n")).alias("saved"))
+    # a digest for every prefix of every distinct sequence
+    rows = classes.filter("len > 0").select("id", "len", "m", "ends", zero.alias("j"), F.lit("").alias("seed"))
+    for k in range(rounds - 1, -1, -1):
+        after = F.transform(F.sequence(F.lit(1), (F.length("s") / 64).cast("int")), lambda i: F.sha2(F.concat(F.col("seed"), F.substring("s", F.lit(1), i * 64)), 256))
+        rows = rows.join(blocks[k], ["id", "j"]).withColumn("after", after)
+        if k:
+            seeds = F.concat(F.array("seed"), F.slice("after", F.lit(1), F.size("after") - 1))
+            rows = rows.select("id", "len", "m", "ends", "j", F.posexplode(seeds).alias("i", "seed")) \
+                .select("id", "len", "m", "ends", (F.col("j") * size + F.col("i")).alias("j"), "seed")
+    rows = rows.select("id", "len", "m", "ends", "j", F.posexplode(F.arrays_zip("after", "ns")).alias("i", "x")) \
+        .withColumn("depth", F.col("j") * size + F.col("i") + 1).select(
+            "id", "depth", F.unhex(F.col("x.after")).alias("d"), F.col("x.ns").alias("n"), "m",
+            (F.col("depth") == F.col("len")).alias("last"), F.when(F.col("depth") == F.col("len"), F.col("ends")).alias("ends"))
+    rows = written(spark, rows, "prefixes")
+    # dealt anew, so that the join has a shuffle of its own on both sides and a hot name's rows can be split
+    names = rows.groupBy("depth", "d").agg(F.min("id").alias("name"), F.sum("m").alias("members")).repartition("name")
+    named = rows.join(names, ["depth", "d"]).select("id", "depth", "name", "members", "n", "m", "last", "ends")
+    root = classes.select("id", zero.alias("depth"), F.lit(total["root"]).cast("bigint").alias("name"), F.lit(total["m"]).cast("bigint").alias("members"),
+                          zero.alias("n"), "m", (F.col("len") == 0).alias("last"), F.when(F.col("len") == 0, F.col("ends")).alias("ends"))
+    named = named.unionByName(root).withColumns({
+        "block": F.shiftright("depth", BLOCK), "saved": F.when(F.col("id") == F.col("name"), (F.col("members") - 1) * F.col("n")).otherwise(0),
+        "leaves": (F.col("last") & (F.col("members") == F.col("m"))).cast("bigint")}).drop("n", "m", "last")
+    named = written(spark, named, "named")
+
+    # what a sequence names from a depth on: within the block, and in later blocks
+    both = ("saved", "leaves")
+    here = Window.partitionBy("id", "block").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a sequence has a row for each block
+    after = Window.partitionBy("id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = named.groupBy("id", "block").agg(*(F.sum(c).alias(c) for c in both)) \
+        .select("id", "block", *(F.sum(c).over(after).alias(f"_{c}") for c in both)).filter("_saved > 0 or _leaves > 0")
+    sums = named.select("id", "block", "depth", "name", "members", "ends", *(F.sum(c).over(here).alias(c) for c in both)) \
+        .join(later, ["id", "block"], "left").groupBy("depth", "name") \
+        .agg(F.max("members").alias("n_convs"), F.max("ends").alias("ends"), *(F.sum(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in both))
+    firsts = named.groupBy("id").agg(F.min(F.when(F.col("name") == F.col("id"), F.col("depth"))).alias("first"),
+                                     F.max(F.when(F.col("name") < F.col("id"), F.col("name"))).alias("above"))
+    parent = F.when(F.col("depth") > F.col("first"), F.col("id")).otherwise(F.col("above"))
+    nodes = sums.withColumnRenamed("name", "id").join(firsts, "id").select("id", "depth", parent.alias("parent"), "n_convs", "leaves", "saved", "ends")
     nodes = written(spark, nodes, "nodes")
-    root = ids.limit(0).select("id", F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("parent"), F.col("id").alias("n_convs"), F.col("id").alias("saved"))
-    if total["m"]:
-        root = spark.createDataFrame([(total["root"], 0, None, total["m"], 0)], root.schema)
-    children = nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = nodes.union(root).join(children, ["depth", "id"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    nodes = written(spark, nodes.withColumn("leaves", (F.col("n_children") == 0).cast("bigint")), "nodes")
-
-    def summed(d: DataFrame) -> DataFrame:
-        return d.groupBy("depth", "id").agg(*(F.sum(c).alias(c) for c in both))
-
-    # what lies below a node within its block, from the blocks of half the size
-    below = [written(spark, summed(nodes.filter("depth > 0").select((F.col("depth") - 1).alias("depth"), F.col("parent").alias("id"), *both)), "below")]
-    for k in range(1, rounds + 1):
-        firsts = cuts[k].filter("id = name").select((F.col("lo") + (1 << (k - 1))).alias("depth"), "id", "lo", "root")
-        lifted = below[-1].join(firsts, ["depth", "id"]).select(F.col("lo").alias("depth"), F.col("root").alias("id"), *both)
-        below.append(written(spark, summed(below[-1].filter(F.col("depth") % (1 << k) == 0).union(lifted)), "below"))
-    # everything below a node: its block and what hangs from the block's end
-    whole = below[rounds].filter("depth = 0")
-    for k in range(rounds, 0, -1):
-        size = 1 << (k - 1)
-        at = F.col("lo") + size
-        hung = cuts[k].filter(F.col("len") >= F.col("lo") + 2 * size).select((F.col("lo") + 2 * size).alias("depth"), "id", at.alias("_depth"), "name") \
-            .join(whole, ["depth", "id"]).select(F.col("_depth").alias("depth"), F.col("name").alias("id"), *both)
-        here = below[k - 1].filter(F.col("depth") % (2 * size) == size)
-        whole = whole.union(written(spark, summed(here.union(hung)), "whole"))
-
-    out = nodes.join(whole.select("depth", "id", *(F.col(c).alias(f"_{c}") for c in both)), ["depth", "id"], "left")
-    last = ends[0]
-    for e in ends[1:]:
-        last = last.unionByName(e)
-    out = out.join(last, ["depth", "id"], "left")
-    return out.select("id", "depth", "parent", "n_convs", "n_children",
-                      (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("n_leaves"),
-                      (F.col("saved") + F.coalesce("_saved", F.lit(0))).alias("saved"), "ends")
+    children = nodes.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    return nodes.join(children, ["depth", "id"], "left").select(
+        "id", "depth", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.col("leaves").alias("n_leaves"), "saved", "ends")
