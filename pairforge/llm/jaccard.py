@@ -10,7 +10,11 @@ tree over the whole points can't prune (hundreds of evenly filled
 coordinates), therefore the index has one leaf per (size band, part, counts of
 the part): a leaf is a hash key, looking a document up is an equi-join, and
 long passages that many documents share don't fill a leaf, because a leaf holds
-whole parts.  Then:
+whole parts.  Of a document's parts all but ``D`` are equal in a linked one, so
+its ``D + 1`` first ones suffice, in any order that is the same for all documents
+(``D`` follows from the document's own size).  The order puts parts of many
+shingles first: parts of one shingle, and empty ones, are those that unrelated
+documents have in common, in numbers that grow with the table.  Then:
 
 1. each leaf's smallest class is tested against its other members: the bound on
    the points first, then the exact intersection of the shingle sets,
@@ -53,6 +57,8 @@ BLOCK = 512
 FAMILY = 2048
 #: rows of points (about 300 bytes) and of pairs (16 bytes) that are sent to all tasks; larger tables are shuffled
 SENT_POINTS, SENT_PAIRS = 50_000, 250_000
+#: shingles of a part from which on more of them don't put it before others
+LOADS = 15
 #: ratio of the sizes in one band
 BAND = 1.5
 
@@ -103,7 +109,7 @@ class Bands:
         self.tops = np.array(tops, dtype=np.int64)
         # |A ^ B| <= (den - num) / (den + num) * (|A| + |B|)
         self.most = 2 * self.tops * (den - num) // (den + num)
-        self.parts = self.most + 2 + self.most // 20
+        self.parts = self.most + 2 + self.most // 4
 
     def of(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, band) for each band in which rows of these sizes are entered: their own and, where a linked
@@ -113,6 +119,24 @@ class Bands:
         over = n[some] * self.den // self.num > self.tops[band]
         return [(some, band), (some[over], band[over] + 1)]
 
+    def differing(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The most shingles in which a set of ``n`` shingles can differ from a linked one of this band."""
+        return (self.den - self.num) * (n + np.minimum(n * self.den // self.num, self.tops[band])) // (self.den + self.num)
+
+
+def _first(key: np.ndarray, of: np.ndarray, load: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of the rows' parts are among the first ``need`` of their row: those with more shingles (up to ``LOADS``) first, then by key."""
+    load = np.minimum(load, LOADS)
+    above = np.bincount(of * (LOADS + 2) + load, minlength=len(need) * (LOADS + 2)).reshape(-1, LOADS + 2)[:, ::-1].cumsum(axis=1)[:, ::-1]
+    last = (above >= need[:, None]).sum(axis=1) - 1  # the load of which some parts stay out; -1: all are in
+    kept = load > last[of]
+    some = np.flatnonzero(load == last[of])
+    some = some[np.lexsort((key[some], of[some]))]
+    row = of[some]
+    nth = np.arange(len(some)) - np.searchsorted(row, row)
+    kept[some[nth < (need - above[np.arange(len(need)), last + 1])[row]]] = True
+    return kept
+
 
 def leaves(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every leaf in which a row is entered."""
@@ -131,15 +155,19 @@ def leaves(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, n
         starts = np.flatnonzero(new)
         counts = np.add.reduceat(_words.mix((x & np.uint64(PART_GROUPS - 1)) + np.uint64(0x452821E638D01377)), starts)
         place = _words.mix((band[r[starts]].astype(np.uint64) << np.uint64(40)) + part[starts] + np.uint64(1))
-        rows_out.append(rows[r[starts]])
-        keys_out.append(_words.mix(counts + place))
-        # empty parts are equal too; they count only where filled parts don't suffice for the guarantee
-        filled = np.bincount(r[starts], minlength=len(rows))
-        for i in np.flatnonzero(filled <= bands.most[band]).tolist():
-            empty = np.setdiff1d(np.arange(parts[i]), part[starts][r[starts] == i].astype(np.int64))
+        key, of, load = _words.mix(counts + place), r[starts], np.diff(np.append(starts, len(x)))
+        need = bands.differing(size, band) + 1
+        kept = _first(key, of, load, need)
+        rows_out.append(rows[of[kept]])
+        keys_out.append(key[kept])
+        # empty parts are equal too; they come last, where filled parts don't suffice for the guarantee
+        filled = np.bincount(of, minlength=len(rows))
+        for i in np.flatnonzero(filled < need).tolist():
+            empty = np.setdiff1d(np.arange(parts[i]), part[starts][of == i].astype(np.int64))
             place = _words.mix(np.uint64(int(band[i]) << 40) + empty.astype(np.uint64) + np.uint64(1))
+            empty = np.sort(_words.mix(place))[:need[i] - filled[i]]
             rows_out.append(np.full(len(empty), rows[i]))
-            keys_out.append(_words.mix(place))
+            keys_out.append(empty)
     if not rows_out:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(rows_out), np.concatenate(keys_out)
@@ -279,7 +307,8 @@ def _search(num: int, den: int):
         left, right = (np.flatnonzero(side == -1), np.flatnonzero(side == 1)) if two else (np.arange(len(s)), np.arange(len(s)))
         tied = np.arange(len(s))
         for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & (tied[right] != tied[i]) & (two | (right > i))]
+            js = right[(comp[right] != comp[i]) & (tied[right] != tied[i]) & (two | (right > i))
+                       & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
             if len(js):
                 js = js[_enough(np.minimum(point[js], point[i]).sum(axis=1), n[i], n[js], num, den)]
                 if len(js):
