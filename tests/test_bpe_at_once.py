@@ -43,3 +43,17 @@ def test_tables_without_an_order_and_empty_ones(spark):
     for merges, first in ((same, ["ab", "ab"]), (same.limit(0), list("abab"))):
         got = {r.pos: r.pieces for r in EN.bpe_encode(texts, "k", "t", merges).collect()}
         assert got == {0: first, 1: [], 2: ["b"]}
+
+
+def test_kept_words_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(EN, "_KEPT_WORDS", 4)
+    known, asked = EN._Known(), []
+
+    def encoded(some):
+        asked.append(some.to_pylist())
+        return pa.array([list(w) for w in some.to_pylist()], pa.list_(pa.string()))
+
+    for run in (["ab", "c", "ab"], ["c", "de", "c"], [], ["f", "ab"], ["g", "de"], ["f", "g"], ["c"]):
+        got = known.pieces(pa.array(run, pa.string()).dictionary_encode(), encoded)
+        assert got.to_pylist() == [list(w) for w in run]
+    assert asked == [["ab", "c"], ["de"], ["f"], ["g"], ["f"], ["c"]]  # at the fifth word those of the run stay
